@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam, urls, warc
 from .common import table
+from .decontam import containment
+from .imatch import fingerprints
+from .langid import identify
 from .neardup import near_duplicates
+from .packing import pack_documents
 from .substring import substring_dedup
+from .urls import RULES, judge, listed_urls
+from .warc import archive
+from .wavelet import encode_corpus
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,17 +27,64 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "removed_chars", "removed")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives."""
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold three quarters of a test item's shingles or more."""
+    return containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict.
+
+    No table of listed URLs comes with the pages, so the list is made of the
+    pages' URLs on hosts with a listed label (``urls.LISTED_LABELS``).
+    """
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, listed_urls(pages), RULES)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 4096 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, count and crc32 of every document's ids, as read back from the token files."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the declared language and the source are evidence beside the text."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_warc": op2_warc,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_url_filters": op6_url_filters,
+        "op7_packing": op7_packing,
+        "op8_imatch_fingerprints": op8_imatch_fingerprints,
+        "op9_wavelet_tokens": op9_wavelet_tokens,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.ORACLE, "op3_benchmark_decontamination": decontam.ORACLE, "op6_url_filters": urls.ORACLE}
