@@ -10,10 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import cut, table
+from gridloom.llm.decontam import decontaminate
+from gridloom.llm.langid import keep_identified
 from gridloom.llm.neardup import near_dedup
+from gridloom.llm.packing import pack_documents
 from gridloom.llm.substring import substring_dedup
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go."""
+    return keep_identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return near_dedup(docs)
@@ -24,9 +32,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return substring_dedup(docs, detail=False)
 
 
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item of ``benchmark`` go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of what is left."""
+    return pack_documents(docs)
+
+
 STAGES = [
+    ("language id", language),
     ("minhash near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_free),
+    ("packing", packed),
 ]
 
 #: SQL can't express the stages; tests/llm holds them against brute force.
