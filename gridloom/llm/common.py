@@ -92,11 +92,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Ids that are broadcast at most (some 16 bytes each); beyond, both sides are shuffled.
+MOST_BROADCAST = 2_000_000
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose key is among ``ids`` (one column); all columns stay as they are."""
+    """Rows of ``docs`` whose key is among ``ids``, or with ``left_anti`` is not; all columns stay as they are.
+
+    ``ids`` has one column and was written by :func:`cut`, so its rows are
+    counted from file footers: up to :data:`MOST_BROADCAST` they are broadcast
+    and no text moves; more are joined by shuffle.
+    """
     (other,) = fresh(docs, "key")
     ids = ids.select(F.col(ids.columns[0]).alias(other))
-    return docs.join(ids, F.col(key).eqNullSafe(F.col(other)) if how == "null_safe" else F.col(key) == F.col(other), how)
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(key) == F.col(other), how)
 
 
 def utf8(column: pa.Array) -> list:

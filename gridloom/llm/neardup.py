@@ -11,11 +11,14 @@ buckets, star-shaped candidate links (operator 5).
 3. 51 bands of 5 bins give bucket keys. In each bucket only the least document
    is linked with the others (a star): the count of candidates is linear in
    the rows of the buckets.
-4. Candidates are confirmed on the full sets, then joined to components.
+4. Each document first meets two of its centres; the candidates are confirmed
+   on the full sets and joined to components. Other centres follow only where
+   they are still in another component.
 5. A star alone can miss a link between two members that both differ from the
    centre. So in buckets that still hold more than one component, every member
    outside the bucket's least component meets the members of other components
-   there, if 1024 sketch bits allow it; these too are confirmed on full sets.
+   there, if their sizes and a sketch of 1024 bins allow it; these too are
+   confirmed on full sets.
    No bucket is capped.
 
 A pair at the threshold of 0.75 shares no bucket with a chance of about
@@ -28,10 +31,12 @@ document and are linked with each other's classes.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batches, cut, drop_cut, keep_ids, mix64, shingles, utf8
@@ -39,35 +44,40 @@ from .components import components
 
 BINS, ROWS = 256, 5
 BANDS = BINS // ROWS
-#: Least likeness by 1024 sketch bits for a second look; 0.75 less five standard deviations.
-SKETCH_LEAST = 0.58
+#: Bins of the sketch for the second look, four bits each. Its estimate of a
+#: likeness of 0.75 has a standard deviation of 0.015 at most, that of its first
+#: 128 bins 0.044; a pair is tested if it is less than four of them below.
+FINE_BINS, FINE_LEAST = 1024, 0.69
+COARSE_BINS, COARSE_LEAST = 128, 0.57
+#: Partners that a document meets first at the second look; the others follow if these don't link it.
+FIRST_TRIES = 4
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _borrow_order() -> np.ndarray:
+@functools.cache
+def _borrow_order(bins: int) -> np.ndarray:
     """For each bin the rank of every bin as a lender, an independent order for each."""
     rng = np.random.default_rng(20170811)
-    return np.argsort(rng.random((BINS, BINS)), axis=1).astype(np.int16)
+    return np.argsort(rng.random((bins, bins)), axis=1).astype(np.int16)
 
 
-_ORDER = _borrow_order()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def one_permutation(hashes: np.ndarray) -> np.ndarray:
-    """Densified sketch of a sorted non-empty set of 64-bit hashes."""
-    bins = (hashes >> np.uint64(56)).astype(np.intp)
+def one_permutation(hashes: np.ndarray, count: int = BINS) -> np.ndarray:
+    """Densified sketch of a sorted non-empty set of 64-bit hashes; ``count`` is a power of two."""
+    bins = (hashes >> np.uint64(65 - count.bit_length())).astype(np.intp)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     full = bins[first]
-    out = np.empty(BINS, np.uint64)
+    out = np.empty(count, np.uint64)
     out[full] = hashes[first]
-    if len(full) < BINS:
-        mask = np.ones(BINS, bool)
+    if len(full) < count:
+        mask = np.ones(count, bool)
         mask[full] = False
         empty = np.flatnonzero(mask)
-        out[empty] = out[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
+        out[empty] = out[full[_borrow_order(count)[np.ix_(empty, full)].argmin(axis=1)]]
     return out
 
 
@@ -81,35 +91,46 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each bin, as 16 words."""
+    """Four bits of each bin, 16 bins to a word."""
     low = (mix64(sketch) & np.uint64(15)).astype(np.uint8)
     return ((low[0::2] << 4) | low[1::2]).view(np.int64)
 
 
 def _sketch_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
-    sizes, keys, bands, bits = [], [], [], []
+    sizes, keys, bands = [], [], []
     for text in utf8(batch.column(1)):
         s = shingles(text, memo)
         sizes.append(len(s))
-        if len(s):
-            sketch = one_permutation(s)
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            bands.append(band_keys(sketch))
-            bits.append(sketch_bits(sketch))
-        else:
-            keys.append(None)
-            bands.append(None)
-            bits.append(None)
-    return {"doc_id": batch.column(0), "n_shingles": sizes, "set_key": keys, "bands": bands, "bits": bits}
+        keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+        bands.append(band_keys(one_permutation(s)) if len(s) else None)
+    return {"doc_id": batch.column(0), "n_shingles": sizes, "set_key": keys, "bands": bands}
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> size, digest, band keys and sketch bits of each row's set."""
+    """``docs(doc_id, text)`` -> size, digest and band keys of each row's set."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        batches(_sketch_batch, _SKETCH), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"
+        batches(_sketch_batch, _SKETCH), "doc_id long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
+_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+
+
+def _fine_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
+    sets = [shingles(t, memo) for t in utf8(batch.column(1))]
+    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets]}
+
+
+def _differ_first(a: str, b: str, words: int) -> Column:
+    """Bits in which the first words of two fine sketches differ; unrolled and short, so that it is compiled."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, words)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two fine sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 _SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
@@ -119,7 +140,7 @@ def _set_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets have ``100 * both >= percent * either``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-wanted")
     sets = keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(batches(_set_batch, _SETS), "doc_id long, set array<long>")
     sets = cut(sets, "nd-sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
@@ -140,35 +161,65 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     many = cut(classes.where("rep < last").select("set_key", "rep"), "nd-classes")
     # a row of a class that is not its least document drops out of the comparison
     of_class = real.select("doc_id", "set_key").join(many, "set_key").select("doc_id", "rep")
-    reps = keep_ids(real, of_class.where("doc_id <> rep").select("doc_id").distinct(), how="left_anti")
+    reps = keep_ids(real, cut(of_class.where("doc_id <> rep").select("doc_id").distinct(), "nd-copies"), how="left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z").select("key", "c")
     shared = cut(keys.join(stars, "key"), "nd-buckets")
-    first = cut(shared.where("doc_id <> c").select(F.col("doc_id").alias("a"), F.col("c").alias("b")).distinct(), "nd-stars")
-    links = confirmed(base, first, percent)
+    spokes = cut(shared.where("doc_id <> c").groupBy(F.col("doc_id").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")), "nd-stars")
+
+    # at most two centres for each document: its least one and the one it shares most buckets with
+    near = spokes.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max_by("b", "n"))).alias("bs"))
+    tried = cut(near.select("a", F.explode("bs").alias("b")), "nd-pairs")
+    links = confirmed(base, tried, percent)
     found = cut(components(links), "nd-cc")
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose documents are not yet in one component."""
+        of = found.select(F.col("node"), F.col("component"))
+        ca, cb = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        return pairs.join(ca, "a", "left").join(cb, "b", "left").where("not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
+
+    def also(pairs: DataFrame) -> None:
+        """Confirm more pairs and merge their components."""
+        nonlocal links, found, tried
+        pairs = cut(pairs, "nd-pairs")
+        if pairs.limit(1).count():
+            more = confirmed(base, pairs, percent)
+            tried = tried.unionAll(pairs)
+            if more.limit(1).count():
+                links = links.unionAll(more)
+                found = cut(components(links), "nd-cc")
+
+    # the other centres, where the first ones have not joined the two
+    also(apart(spokes.select("a", "b").join(tried, ["a", "b"], "left_anti")))
+
+    # members of a bucket that its star has left in other components
     marked = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     marked = cut(marked, "nd-marked")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-    open_ = marked.join(mixed, "key").join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id")
-    open_ = cut(open_, "nd-open")
-    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"))
-    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), "low")
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    open_ = cut(marked.join(mixed, "key"), "nd-open")
+    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(_fine_batch, _FINE), "doc_id long, n long, bits array<long>")
+    open_ = open_.join(cut(fine.dropDuplicates(["doc_id"]), "nd-fine"), "doc_id")
+    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"))
+    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), "low")
+    words = COARSE_BINS // 16
     second = (
         u.join(v, "key")
         .where("ca <> cb and (cb = low or a < b)")
-        .where(differ <= int((1 - SKETCH_LEAST) * BINS * 2))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        .where(_differ_first("ba", "bb", words) <= int((1 - COARSE_LEAST) * words * 32))
+        .withColumn("differ", _differ("ba", "bb"))
+        .where(F.col("differ") <= int((1 - FINE_LEAST) * FINE_BINS * 2))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "differ")
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     second = cut(second, "nd-rest")
     if second.limit(1).count():
-        more = confirmed(base, second, percent)
-        if more.limit(1).count():
-            found = cut(components(links.unionAll(more)), "nd-cc")
+        # likeliest partners first: most documents need no others
+        best = Window.partitionBy("a").orderBy("differ", "b")
+        also(second.withColumn("k", F.row_number().over(best)).where(f"k <= {FIRST_TRIES}").select("a", "b"))
+        also(apart(second.select("a", "b").join(tried, ["a", "b"], "left_anti")))
     rep_of = of_class.distinct()
     lead = rep_of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c1"))
     lead = lead.groupBy("doc_id").agg(F.min("c1").alias("c1"))
@@ -180,5 +231,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Rows of ``docs`` that are kept: one document of each group of near copies; columns unchanged."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    gone = cut(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "nd-gone")
     return keep_ids(docs, gone, how="left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontam, urls, warc
 from .common import table
 from .decontam import containment
+from .html_text import extract
 from .imatch import fingerprints
 from .langid import identify
 from .neardup import near_duplicates
@@ -37,6 +38,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_warc": op2_warc,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_html_text": op4_html_text,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_url_filters": op6_url_filters,
         "op7_packing": op7_packing,
