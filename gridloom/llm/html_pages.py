@@ -99,7 +99,7 @@ class Maker:
             self.out.append("</button>")
         elif kind == "comment":
             for _ in range(rng.randint(1, 5)):
-                inner = rng.choice(["div", "article", "li", "p", "section"])
+                inner = rng.choice(["div", "div", "article", "li", "li", "p", "p", "section"])
                 self.out.append(f"<{inner}{rng.choice(['', ' class=\"comment\"', ' class=\"reply\"'])}>")
                 self.text(self.words(3, 70), 0)
                 if inner not in ("p",) and rng.random() < 0.5:
@@ -111,7 +111,7 @@ class Maker:
             for _ in range(rng.randint(1, 3)):
                 inner = rng.choice(["", "p", "div", "p"]) if tag != "p" else ""
                 self.out.append(f"<{inner}>" if inner else "")
-                self.text(self.words(1, 60 if kind in ("notice", "side", "ad") else 20, rng.random() < 0.7), 0)
+                self.text(self.words(1, 60 if kind in ("notice", "side", "ad") else 20, rng.random() < 0.8), 0)
                 self.out.append(f"</{inner}>" if inner else "")
                 if not inner:
                     break
@@ -138,7 +138,7 @@ class Maker:
             kind = rng.random()
             if kind < 0.75:
                 inner = rng.choice(["p", "p", "p", "p", "div"])
-                s = self.words(1, rng.choice([4, 30, 150]))
+                s = self.words(1, rng.choice([4, 30, 150]), rng.random() < 0.65)
                 if rng.random() < 0.2:
                     s = f'<b>{s}<br>' if rng.random() < 0.5 else s + f' <a href="/x">{self.words(1, 4, False)}</a> ' + self.words(2, 20)
                 self.out.append(f"<{inner}>")
@@ -152,7 +152,7 @@ class Maker:
                 self.out.append("<ul>")
                 for _ in range(rng.randint(1, 5)):
                     self.out.append("<li>")
-                    self.text(self.words(1, 20), 1)
+                    self.text(self.words(1, 20, rng.random() < 0.5), 1)
                     self.out.append("</li>")
                 self.out.append("</ul>")
             elif kind < 0.91:

@@ -31,7 +31,7 @@ from .html_pages import KINDS, labelled_pages
 from .html_tree import Node, attributes, parse
 
 #: Pages, passes and step of the training.
-PAGES, PASSES, STEP = 260, 12, 0.15
+PAGES, PASSES, STEP = 400, 10, 0.1
 
 _KIND_OF = {name: kind for kind, names in KINDS.items() for name in names}
 _WORD = re.compile(r"[a-z]+")
@@ -58,19 +58,31 @@ def _name_features(tag: str, attrs: str) -> tuple[str, ...]:
 
 def features(nodes: list[Node]) -> tuple[list[tuple[str, ...]], list[str]]:
     """Features of each node, and the kind of its edge to the parent."""
+    n = len(nodes)
+    chars, links, heads, paragraphs = [x.chars for x in nodes], [x.link_chars for x in nodes], [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        p = nodes[i].parent
+        chars[p] += chars[i]
+        links[p] += links[i]
+        heads[p] |= nodes[i].tag == "h1" or (nodes[i].tag == "header" and heads[i])
+        paragraphs[p] += nodes[i].tag == "p"
     feats, edges = [], []
-    for node in nodes:
+    for i, node in enumerate(nodes):
         if node.tag == "#text":
             above = nodes[node.parent].tag
             words = node.text.count(" ") + 1
             share = node.link_chars / node.chars
             feats.append((
-                "text", f"in={above if above in _CONTENT_TAGS else 'box'}", f"words={min(6, int(math.log2(words)))}",
-                f"links={0 if share == 0 else 1 if share < 0.5 else 2}", f"ends={node.text[-1] in '.!?:;…”\"'}", *(("mark",) if node.text[0] in "©®" else ()),
+                "text", f"in={above if above in _CONTENT_TAGS else 'box'}", f"words={0 if words < 4 else 1 if words < 12 else 2}",
+                f"links={0 if share == 0 else 1 if share < 0.5 else 2}", *(("mark",) if node.text[0] in "©®" else ()),
             ))
             edges.append("leaf")
         else:
-            feats.append(_name_features(node.tag, node.attrs))
+            mine = _name_features(node.tag, node.attrs)
+            if node.tag not in _CONTENT_TAGS:
+                share = chars[i] / max(1, chars[0])
+                mine = (*mine, f"share={0 if share < 0.1 else 1 if share < 0.4 else 2}", f"linked={0 if not links[i] else 1 if 2 * links[i] < chars[i] else 2}", f"head={heads[i]}", f"ps={min(3, paragraphs[i])}", f"{node.tag}&head={heads[i]}")
+            feats.append(mine)
             edges.append("list" if node.tag in ("li", "td", "tr", "tbody", "dd", "dt") else "block" if node.tag in _CONTENT_TAGS else "box")
     return feats, edges
 
@@ -135,6 +147,8 @@ class TreeModel:
             for i in range(len(nodes) - 1, 0, -1):
                 truth[nodes[i].parent] |= truth[i]
             ready.append((nodes, *features(nodes), truth))
+        total: dict[str, float] = {}
+        pair_total = {k: [0.0] * 4 for k in self.pair}
         for k in range(passes):
             rate = step / (1 + 0.3 * k)
             for nodes, feats, edges, truth in ready:
@@ -148,6 +162,14 @@ class TreeModel:
                         w, at = self.pair[edges[i]], 2 * truth[nodes[i].parent] + truth[i]
                         for q in range(4):
                             w[q] += 0.2 * rate * ((q == at) - joint[i][q])
+            if 2 * k >= passes:
+                # the mean over the later passes is steadier than the last step
+                for f, x in self.unary.items():
+                    total[f] = total.get(f, 0.0) + x / (passes - (passes + 1) // 2)
+                for e, w in self.pair.items():
+                    pair_total[e] = [x + y / (passes - (passes + 1) // 2) for x, y in zip(pair_total[e], w, strict=True)]
+        if passes > 1:
+            self.unary, self.pair = total, pair_total
         return self
 
     def text(self, page: str | None) -> str:
