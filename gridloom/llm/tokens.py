@@ -35,42 +35,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words, self.runs = Memo(), Memo()
         self.plain = re.compile(rf"({_LETTERS}*)([^A-Za-z0-9'<\x80-\U0010ffff]*)\Z")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, letters: str) -> bytes:
-        got = self.runs.get(letters)
+        got = self.runs.young.get(letters) or self.runs.get(letters)
         if got is None:
-            if len(self.runs) >= MEMO:
-                self.runs.clear()
-            got = self.runs[letters] = np.array([t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+            spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+            got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            self.runs.put(letters, got)
         return got
 
     def _word(self, word: str) -> bytes:
-        m = self.plain.match(word)
-        if not m:
-            out = self._ids(word)
-        else:
-            out = self._run(m[1].lower()) if m[1] else b""
-            if m[2]:
-                tail = self.runs.get(m[2])
-                if tail is None:
-                    tail = self.runs[m[2]] = self._ids(m[2])
-                out += tail
-        if len(self.words) >= MEMO:
-            self.words.clear()
-        self.words[word] = out
+        out = self.words.get(word)
+        if out is None:
+            m = self.plain.match(word)
+            if not m:
+                out = self._ids(word)
+            else:
+                out = self._run(m[1].lower()) if m[1] else b""
+                if m[2]:
+                    tail = self.runs.young.get(m[2]) or self.runs.get(m[2])
+                    if tail is None:
+                        tail = self._ids(m[2])
+                        self.runs.put(m[2], tail)
+                    out += tail
+            self.words.put(word, out)
         return out
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a whole text; none for null."""
         if not text:
             return b""
-        get, miss = self.words.get, self._word
+        get, miss = self.words.young.get, self._word
         out = []
         for line in text.split("\n"):
             for word in line.split(" "):
