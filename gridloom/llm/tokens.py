@@ -16,8 +16,8 @@ import public_tokenizers
 
 #: Path of the tokenizer file unless a caller names another.
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-#: Words and letter runs whose ids a worker keeps at most.
-MEMO = 400_000
+#: Words, and letter runs, whose ids a worker keeps: twice as many at most.
+MEMO = 500_000
 
 #: Letters of one code point that stay one when composed and lower-cased.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]"
@@ -26,6 +26,26 @@ _BARE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(_BARE)}
 
 
+class Memo:
+    """A map of two generations: when the young one is full it becomes the old one, and what is used again is young again."""
+
+    def __init__(self, most: int = MEMO):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        """The value of a key that is not young."""
+        got = self.old.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old = self.young.copy()
+            self.young.clear()
+        self.young[key] = value
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit words."""
 
