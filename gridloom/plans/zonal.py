@@ -184,7 +184,7 @@ def plan_operations(rasters: list[Raster], weights: list[Raster], ops) -> list[O
     """Descriptors, requests and functions as checked operations with distinct names."""
     by_name = {r.name: r for r in (*weights, *rasters)}
     out: list[Operation] = []
-    for op in [ops] if isinstance(ops, (str, Descriptor, Request)) or callable(ops) else ops:
+    for op in [ops] if isinstance(ops, (str, Descriptor, Request, CustomStat)) or callable(ops) else ops:
         custom = None
         if callable(op) or isinstance(op, CustomStat):
             custom = op if isinstance(op, CustomStat) else CustomStat(op)
