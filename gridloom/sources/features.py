@@ -36,7 +36,7 @@ def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", colum
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of GeoJSON: a collection in each file, or a feature on each line; ``id`` and properties become columns."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     kind = F.get_json_object("value", "$.type")
     whole = text.where(kind == "FeatureCollection").select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("value"))
     lines = text.where((kind != "FeatureCollection") | kind.isNull()).select(F.explode(F.split("value", "\n")).alias("value")).where(F.get_json_object("value", "$.type") == "Feature")
