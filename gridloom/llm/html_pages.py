@@ -134,7 +134,7 @@ class Maker:
             self.text(self.words(1, 12, rng.random() < 0.3), 1)
             self.out.append("</h1>")
             self.out.append("</header>" if header else "")
-        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9, 14])):
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9, 14, 14, rng.randint(20, 120)])):
             kind = rng.random()
             if kind < 0.75:
                 inner = rng.choice(["p", "p", "p", "p", "div"])
