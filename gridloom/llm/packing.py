@@ -96,34 +96,93 @@ class _Shard:
     def __init__(self, window: int, piece: int, base: int):
         self.window, self.piece, self.sequence = window, piece, base
         self.rows: list[tuple] = []
-        self.loose: list[tuple] = []
+        # document, place in it, ids, ids of the document
+        self.loose: list[tuple[int | None, int, bytes, int]] = []
         self.tokens = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, at = len(ids) // 4, 0
         while total - at >= self.window:
-            self._row(doc_id, ids, at, self.window, total, self.sequence, 0)
+            self._row((doc_id, at, ids[4 * at : 4 * (at + self.window)], total), self.sequence, 0)
             self.sequence += 1
             at += self.window
         rest = total - at
         parts = -(-rest // self.piece)
         for j in range(parts):
             a, b = at + rest * j // parts, at + rest * (j + 1) // parts
-            self.loose.append((doc_id, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), total))
+            self.loose.append((doc_id, a, ids[4 * a : 4 * b], total))
         self.tokens += rest
 
-    def _row(self, doc_id, ids, at, n, total, sequence, offset) -> None:
-        self.rows.append((doc_id, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, sequence, offset))
-
-    def flush(self) -> None:
-        part, k = pack([x[2] for x in self.loose], self.window)
+    def _row(self, piece: tuple, sequence: int, offset: int) -> None:
+        doc_id, at, ids, total = piece
+        self.rows.append((doc_id, at, len(ids) // 4, zlib.crc32(ids), total, sequence, offset))
+
+    def flush(self, last: bool = False) -> None:
+        """Deal the loose pieces to windows.
+
+        A task's last shard is mostly small, so its windows would be padded by
+        several hundredths. There the ids beyond whole windows (and a little
+        more, so that the windows can balance) go to sequences whose lengths
+        are powers of two, which need no padding, if that leaves less of it.
+        """
+        part, k = pack([len(x[2]) // 4 for x in self.loose], self.window)
+        if last and self.tokens:
+            whole, best, powers = self.tokens // self.window, k * self.window - self.tokens, None
+            fine = [y for x in self.loose for y in self._cut(x, self.window // 8)]
+            for room in (4, 16, 64, 256):
+                spare = min(self.tokens, self.tokens - whole * self.window + room * whole)
+                kept, cut = self._carve(fine, spare)
+                part2, k2 = pack([len(x[2]) // 4 for x in kept], self.window)
+                if k2 * self.window - (self.tokens - spare) < best:
+                    best, part, k, self.loose, powers = k2 * self.window - (self.tokens - spare), part2, k2, kept, (cut, spare)
+            if powers:
+                self._powers(*powers)
         filled = [0] * k
         for x, p in zip(self.loose, part.tolist(), strict=True):
-            self.rows.append((*x, self.sequence + p, filled[p]))
-            filled[p] += x[2]
+            self._row(x, self.sequence + p, filled[p])
+            filled[p] += len(x[2]) // 4
         self.sequence += k
         self.loose, self.tokens = [], 0
 
+    @staticmethod
+    def _cut(piece: tuple, most: int) -> list[tuple]:
+        """A piece in even parts of at most ``most`` ids."""
+        doc_id, at, ids, total = piece
+        n = len(ids) // 4
+        parts = -(-n // most)
+        ends = [n * j // parts for j in range(parts + 1)]
+        return [(doc_id, at + a, ids[4 * a : 4 * b], total) for a, b in zip(ends, ends[1:])]
+
+    @staticmethod
+    def _carve(pieces: list[tuple], n: int) -> tuple[list[tuple], list[tuple]]:
+        """The pieces without their last ``n`` ids, and those."""
+        kept, cut = list(pieces), []
+        while n:
+            doc_id, at, ids, total = kept.pop()
+            m = len(ids) // 4
+            if m > n:
+                kept.append((doc_id, at, ids[: 4 * (m - n)], total))
+                at, ids, m = at + m - n, ids[4 * (m - n) :], n
+            cut.append((doc_id, at, ids, total))
+            n -= m
+        return kept, cut[::-1]
+
+    def _powers(self, pieces: list[tuple], n: int) -> None:
+        """Lay ``n`` ids in sequences of the powers of two that add up to ``n``."""
+        pieces = pieces[::-1]
+        for size in (1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1):
+            # longer than a window: as many windows, each full
+            for room in [self.window] * (size // self.window) or [size]:
+                filled = 0
+                while filled < room:
+                    doc_id, at, ids, total = pieces.pop()
+                    m = min(len(ids) // 4, room - filled)
+                    self._row((doc_id, at, ids[: 4 * m], total), self.sequence, filled)
+                    filled += m
+                    if 4 * m < len(ids):
+                        pieces.append((doc_id, at + m, ids[4 * m :], total))
+                self.sequence += 1
+
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES)
@@ -146,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = tokens.DEFAULT, end_id: int
                     s.flush()
                 if len(s.rows) >= 20_000:
                     yield s.take()
-        s.flush()
+        s.flush(last=True)
         if s.rows:
             yield s.take()
 
