@@ -17,7 +17,7 @@ import public_tokenizers
 #: Path of the tokenizer file unless a caller names another.
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 #: Words, and letter runs, whose ids a worker keeps: twice as many at most.
-MEMO = 500_000
+MEMO = 350_000
 
 #: Letters of one code point that stay one when composed and lower-cased.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]"
