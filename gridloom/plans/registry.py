@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
     "zonal_category": _oracle("sum(CASE WHEN x = 3 THEN cov ELSE 0 END) k, sum(cov) n", "round(coalesce(k, 0), 6) AS n, round(k / g.n, 6) AS share"),
     "zonal_common_grid": f"{_CELLS}, g AS (SELECT id, sum(CASE WHEN x IS NOT NULL THEN cov END) a, sum(x * cov) b, sum(CASE WHEN w IS NOT NULL THEN cov END) c, sum(w * cov) d FROM m GROUP BY id) " + _ALL.format("round(coalesce(a, 0), 6) AS v_count, round(coalesce(c, 0), 6) AS w_count, round(coalesce(b, 0), 6) AS v_sum, round(coalesce(d, 0), 6) AS w_sum"),
     "zonal_shares_map": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc FROM j GROUP BY id, x) SELECT id, x AS value, round(sc / sum(sc) OVER (PARTITION BY id), 6) AS share FROM h",
-    "coverage_cells": f"{_CELLS} SELECT id, r AS row, c AS col, round(cov, 6) AS coverage, x AS value, w AS weight FROM m",
+    "coverage_cells": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS coverage, x AS value, w AS weight FROM m",
     "line_lengths": _LINE,
-    "subdivide_areas": f"{_CELLS} SELECT id, r AS row, c AS col, round(cov, 6) AS area FROM cov",
+    "subdivide_areas": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS area FROM cov",
 }
