@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of distinct words that one Python worker keeps at most; then the memo starts anew.
-WORD_MEMO = 300_000
+WORD_MEMO = 200_000
 
 #: A-Z to a-z and the white space of a word boundary to blanks, for ``translate``.
 FOLD_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r"

@@ -96,10 +96,14 @@ def sketch_bits(sketch: np.ndarray) -> np.ndarray:
     return ((low[0::2] << 4) | low[1::2]).view(np.int64)
 
 
-def _sketch_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
+#: A worker's memo of word hashes, for all passes.
+_memo = WordHashes()
+
+
+def _sketch_batch(batch: pa.RecordBatch) -> dict:
     sizes, keys, bands = [], [], []
     for text in utf8(batch.column(1)):
-        s = shingles(text, memo)
+        s = shingles(text, _memo)
         sizes.append(len(s))
         keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
         bands.append(band_keys(one_permutation(s)) if len(s) else None)
@@ -113,12 +117,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
-_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
-def _fine_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
-    sets = [shingles(t, memo) for t in utf8(batch.column(1))]
-    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets]}
+def _fine_batch(batch: pa.RecordBatch) -> dict:
+    sets = [shingles(t, _memo) for t in utf8(batch.column(1))]
+    bands = [band_keys(one_permutation(s)) if len(s) else None for s in sets]
+    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bands": bands, "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets]}
 
 
 def _differ_first(a: str, b: str, words: int) -> Column:
@@ -134,8 +139,8 @@ def _differ(a: str, b: str) -> Column:
 _SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
-def _set_batch(batch: pa.RecordBatch, memo: WordHashes = WordHashes()) -> dict:
-    return {"doc_id": batch.column(0), "set": [shingles(t, memo).view(np.int64) for t in utf8(batch.column(1))]}
+def _set_batch(batch: pa.RecordBatch) -> dict:
+    return {"doc_id": batch.column(0), "set": [shingles(t, _memo).view(np.int64) for t in utf8(batch.column(1))]}
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
@@ -198,19 +203,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     marked = cut(marked, "nd-marked")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
     open_ = cut(marked.join(mixed, "key"), "nd-open")
-    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(_fine_batch, _FINE), "doc_id long, n long, bits array<long>")
+    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(_fine_batch, _FINE), "doc_id long, n long, bands array<long>, bits array<long>")
     open_ = open_.join(cut(fine.dropDuplicates(["doc_id"]), "nd-fine"), "doc_id")
-    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"))
-    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), "low")
+    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"), F.col("bands").alias("ka"))
+    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("bands").alias("kb"), "low")
     words = COARSE_BINS // 16
+    # all in the join's condition, cheapest first; last, a pair counts in the first of its common buckets only
+    meet = (
+        F.expr("ca <> cb and (cb = low or a < b)")
+        & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        & (_differ_first("ba", "bb", words) <= int((1 - COARSE_LEAST) * words * 32))
+        & (_differ("ba", "bb") <= int((1 - FINE_LEAST) * FINE_BINS * 2))
+        & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    )
     second = (
         u.join(v, "key")
-        .where("ca <> cb and (cb = low or a < b)")
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .where(_differ_first("ba", "bb", words) <= int((1 - COARSE_LEAST) * words * 32))
-        .withColumn("differ", _differ("ba", "bb"))
-        .where(F.col("differ") <= int((1 - FINE_LEAST) * FINE_BINS * 2))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "differ")
+        .where(meet)
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), _differ("ba", "bb").alias("differ"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
