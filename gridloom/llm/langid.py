@@ -12,9 +12,15 @@ declared labels name often enough:
   without rows of its own has its suffix's prior, and so on.
 
 The model is fitted on the labelled rows of least hash, :data:`SAMPLE` of
-them at most (a documented bound); priors use all rows. A row is rejected
-(``und``) only if its text has no letter at all, or if its language is in
-doubt: posterior under :data:`LEAST_POSTERIOR`.
+them at most (a documented bound); priors use all rows.
+
+Beside the languages there is a class ``und`` of all other text: unmodelled
+languages and scripts, noise. Each trigram costs it the floor of the text's
+best language, which is calibrated on the labelled rows: a quarter of the way
+from a trigram at random to what that language's own texts have under the
+other texts of it (each left out in turn). A row is rejected (``und``) if its
+text has no letter at all, if ``und`` is its likeliest class, or if its
+language is in doubt: posterior under :data:`LEAST_POSTERIOR`.
 
 Rows: null and empty texts are ``und``. A null declared language, host or
 suffix is a missing piece of evidence and counts for nothing. Repeated rows
@@ -40,6 +46,11 @@ MOST_EVIDENCE = 400
 LEAST_POSTERIOR = 0.5
 #: Rows that a prior of a coarser level counts as.
 STRENGTH = 10.0
+#: Share of every language's likelihood that is spread evenly over all trigrams, seen or not.
+EVEN = 0.05
+#: Log likelihood of a trigram at random.
+RANDOM = -float(np.log(BUCKETS))
+OTHER = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(65, 91):
@@ -66,8 +77,9 @@ def trigrams(text: bytes | None) -> np.ndarray:
 class Model:
     """Trigram likelihoods and the table of declared languages."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, declared: np.ndarray):
+    def __init__(self, languages: list[str], weights: np.ndarray, declared: np.ndarray, floor: np.ndarray | None = None):
         self.languages, self.weights, self.declared = languages, weights, declared
+        self.floor = np.full(len(languages), RANDOM) if floor is None else floor
 
     def text_terms(self, text: bytes | None) -> tuple[np.ndarray | None, int]:
         """Tempered log likelihoods, and the count of trigrams; None without a letter."""
@@ -77,6 +89,17 @@ class Model:
         ll = self.weights[t].sum(axis=0)
         return ll * min(1.0, MOST_EVIDENCE / len(t)), len(t)
 
+    def with_other(self, text: bytes | None, declared: str | None) -> tuple[np.ndarray | None, int]:
+        """Log likelihoods of text and declaration, last that of the class of all other text; and the count of trigrams."""
+        ll, n = self.text_terms(text)
+        if ll is None:
+            return None, 0
+        other = self.floor[int(ll.argmax())] * min(n, MOST_EVIDENCE)
+        if declared in self.languages:
+            ll = ll + self.declared[:, self.languages.index(declared)]
+            other -= np.log(len(self.languages))
+        return np.append(ll, other), n
+
 
 def fit(rows: list[tuple[str | None, bytes | None]], least: int = 5) -> Model:
     """Model of ``(declared language, text)`` rows; repeated texts count once, languages of under ``least`` rows not at all."""
@@ -86,12 +109,22 @@ def fit(rows: list[tuple[str | None, bytes | None]], least: int = 5) -> Model:
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     at = {d: i for i, d in enumerate(languages)}
-    counts = np.full((len(languages), BUCKETS), 0.1)
+    counts = np.zeros((len(languages), BUCKETS))
     for d, t in rows:
         if d in at:
             counts[at[d]] += np.bincount(trigrams(t), minlength=BUCKETS)
-    weights = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    model = Model(languages, np.ascontiguousarray(weights), np.zeros((0, 0)))
+    # the even share is the same in all, so a trigram that none has seen favours none
+    sums = counts.sum(axis=1)
+    weights = np.log((1 - EVEN) * counts / np.maximum(sums, 1)[:, None] + EVEN / BUCKETS).T.astype(np.float32)
+    # what a language's texts have per trigram under its other texts
+    own: list[list[float]] = [[] for _ in languages]
+    for d, t in rows:
+        if d in at and len(x := trigrams(t)):
+            left = counts[at[d]][x] - np.bincount(x, minlength=BUCKETS)[x]
+            own[at[d]].append(float(np.log((1 - EVEN) * left / max(1.0, sums[at[d]] - len(x)) + EVEN / BUCKETS).mean()))
+    typical = np.array([np.median(x) if x else RANDOM for x in own])
+    floor = np.minimum(RANDOM + (typical - RANDOM) / 4, typical - 1)
+    model = Model(languages, np.ascontiguousarray(weights), np.zeros((0, 0)), floor)
     # p(declared | language as the text has it), with a row of doubt for each pair
     table = np.ones((len(languages), len(languages)))
     for d, t in rows:
@@ -119,20 +152,17 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     none = F.lit(None).cast("string")
     col = lambda c: F.col(c).cast("string") if c else none
     model = model or (train(df, key, text, declared) if declared else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))))
-    langs, width = model.languages, len(model.languages)
+    langs, width = [*model.languages, OTHER], len(model.languages) + 1
     base = df.select(F.col(key).alias("key"), col(text).alias("text"), col(declared).alias("declared"), col(host).alias("host"), col(suffix).alias("suffix"))
-    if not width:
-        return base.select(F.col("key").alias(key), "declared", "host", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
-    at = {d: i for i, d in enumerate(langs)}
+    if width == 1:
+        return base.select(F.col("key").alias(key), "declared", "host", F.lit(OTHER).alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
     terms_type = pa.list_(pa.float64())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             terms, sizes = [], []
             for t, d in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ll, n = model.text_terms(t)
-                if ll is not None and d in at:
-                    ll = ll + model.declared[:, at[d]]
+                ll, n = model.with_other(t, d)
                 terms.append(None if ll is None else ll - ll.max())
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(terms, terms_type), pa.array(sizes, pa.int64())], names=["key", "declared", "host", "suffix", "terms", "n_trigrams"])
@@ -160,15 +190,15 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     sure = 1.0 / F.aggregate("f", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     name = F.get(F.array(*[F.lit(x) for x in langs]), (F.array_position("f", best) - 1).cast("int"))
     out = joined.select("key", "declared", "host", "n_trigrams", F.coalesce(sure, F.lit(0.0)).alias("posterior"), name.alias("best"))
-    kept = (F.col("n_trigrams") > 0) & (F.col("posterior") >= LEAST_POSTERIOR)
-    return out.select(F.col("key").alias(key), "declared", "host", F.when(kept, F.col("best")).otherwise(F.lit("und")).alias("language"), "posterior", "n_trigrams", kept.alias("kept"))
+    kept = (F.col("n_trigrams") > 0) & (F.col("posterior") >= LEAST_POSTERIOR) & (F.col("best") != OTHER)
+    return out.select(F.col("key").alias(key), "declared", "host", F.when(kept, F.col("best")).otherwise(F.lit(OTHER)).alias("language"), "posterior", "n_trigrams", kept.alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not rejected; columns unchanged, decided row by row without moving a text.
 
-    A document is rejected for want of letters, or for doubt that host and
-    declaration don't lift. Rejected ids are few and come from :func:`identify`.
+    A document is rejected for want of letters, as other text, or for doubt
+    that host and declaration don't lift. Rejected ids come from :func:`identify`.
     """
     bad = cut(identify(docs).where("not kept").select("doc_id").distinct(), "li-rejected")
     out = keep_ids(docs, bad.where("doc_id is not null"), how="left_anti")

@@ -81,6 +81,26 @@ def test_language(spark):
     assert len(trigrams(b"...")) == 0 and len(trigrams("né".encode())) == 3
 
 
+def test_other_text_is_rejected(spark):
+    rng = random.Random(12)
+    stems = {lang: [text(rng, 1) for _ in range(60)] for lang in ("en", "de", "fr", "es")}
+    make = lambda lang, n: " ".join(rng.choice(stems[lang]) + rng.choice(stems[lang]) for _ in range(n))
+    known = [(i, make(lang, rng.randint(3, 120)), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    scripts = [[chr(c) for c in (*range(97, 123), *[32] * 5)], [chr(c) for c in (*range(0x430, 0x450), *[32] * 5)], [chr(c) for c in range(0x4E00, 0x9FFF)]]
+    noise = ["".join(rng.choice(s) for _ in range(n)) for s in scripts for n in (40, 200, 2000) for _ in range(6)]
+    # noise and an unmodelled language, undeclared and under a wrong label
+    other = [(1000 + i, t, lang, "s") for i, (t, lang) in enumerate((t, lang) for t in [*noise, *(make("es", 40) for _ in range(20))] for lang in (None, "en"))]
+    df = spark.createDataFrame(known + other, "doc_id long, text string, lang string, source string")
+    model = fit([(lang, t.encode()) for _, t, lang, _ in known])
+    got = {r.doc_id: r for r in identify(df, model=model).collect()}
+    assert [got[i].language for i, _, lang, _ in known] == [lang for _, _, lang, _ in known]
+    assert not any(got[i].kept or got[i].language != "und" for i, *_ in other)
+    # a trigram that no language has seen favours none
+    unseen = fit([("en", b"abcd " * 50 + b"%d" % i) for i in range(9)] + [("de", b"xyz")] * 1 + [("de", b"xyzz" + b"z" * i) for i in range(9)])
+    terms, _ = unseen.text_terms("ñññ".encode())
+    assert abs(float(terms[0] - terms[1])) < 1e-3
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     item, passage = text(rng, 30), text(rng, 60)
