@@ -11,8 +11,10 @@ declared labels name often enough:
   -> suffix -> host, from one grouped aggregation of text posteriors. A host
   without rows of its own has its suffix's prior, and so on.
 
-The model is fitted on the labelled rows of least hash, :data:`SAMPLE` of
-them at most (a documented bound); priors use all rows.
+The languages are counted over all labelled rows. The model is fitted on a
+sample of them, for each language those of least hash: its share of
+:data:`SAMPLE` rows, :data:`LEAST_SAMPLE` at least (documented bounds); the
+table of declarations weighs them back. Priors use all rows.
 
 Beside the languages there is a class ``und`` of all other text: unmodelled
 languages and scripts, noise. Each trigram costs it the floor of the text's
@@ -34,13 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keep_ids, utf8
 
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled rows that the model is fitted on, shared out by the languages' counts.
 SAMPLE = 3000
+#: Rows of a language that are sampled at least, if it has them.
+LEAST_SAMPLE = 100
+#: Distinct labelled texts that make a language known.
+LEAST_TEXTS = 5
 BUCKETS = 1 << 14
 MOST_EVIDENCE = 400
 LEAST_POSTERIOR = 0.5
@@ -101,8 +107,12 @@ class Model:
         return np.append(ll, other), n
 
 
-def fit(rows: list[tuple[str | None, bytes | None]], least: int = 5) -> Model:
-    """Model of ``(declared language, text)`` rows; repeated texts count once, languages of under ``least`` rows not at all."""
+def fit(rows: list[tuple[str | None, bytes | None]], least: int = LEAST_TEXTS, of: dict[str, int] | None = None) -> Model:
+    """Model of ``(declared language, text)`` rows; repeated texts count once, languages of under ``least`` rows not at all.
+
+    ``of`` has the count of all labelled rows of each language, where ``rows`` are a sample of them.
+    """
+    sampled = Counter(d for d, t in rows if d and t)
     rows = list({t: (d, t) for d, t in rows if d and t}.values())
     count = Counter(d for d, _ in rows)
     languages = sorted(d for d, n in count.items() if n >= least) or sorted(count)
@@ -127,24 +137,37 @@ def fit(rows: list[tuple[str | None, bytes | None]], least: int = 5) -> Model:
     model = Model(languages, np.ascontiguousarray(weights), np.zeros((0, 0)), floor)
     # p(declared | language as the text has it), with a row of doubt for each pair
     table = np.ones((len(languages), len(languages)))
+    # a sampled row stands for so many, in proportion
+    weigh = {d: (of or sampled).get(d, 0) / sampled[d] for d in languages}
+    unit = min(weigh.values()) or 1.0
     for d, t in rows:
         ll, _ = model.text_terms(t)
         if d in at and ll is not None:
-            table[int(ll.argmax()), at[d]] += 1
+            table[int(ll.argmax()), at[d]] += weigh[d] / unit
     model.declared = np.log(table / table.sum(axis=1, keepdims=True))
     return model
 
 
 def train(labelled: DataFrame, key: str, text: str, declared: str, sample: int = SAMPLE) -> Model:
-    """Fit on the ``sample`` labelled rows of least hash."""
+    """Fit on the labelled rows of least hash of each language that all rows name often enough."""
     named = labelled.select(F.col(key).cast("string").alias("k"), F.col(declared).cast("string").alias("d"), F.col(text).cast("string").alias("t")).where("d is not null and d <> '' and t <> ''")
+    of = {r.d: r.n for r in named.groupBy("d").agg(F.count("*").alias("n")).where(f"n >= {LEAST_TEXTS}").collect()}
+    if not of:  # too few rows for any: all of them then
+        of = {r.d: r.n for r in named.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").limit(sample).collect()}
+    if not of:
+        return fit([])
+    total = sum(of.values())
     # so many rows by a bound on the hash that hardly any but the sample reaches the sort
-    n = named.select("k", "d").where("d is not null").count()
-    share = min(1.0, (1.3 * sample + 100) / max(1, n))
-    h = F.xxhash64("k")
-    near = named.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    rows = near.orderBy(h, "k").limit(sample).collect()
-    return fit([(r.d, r.t.encode()) for r in rows])
+    bounds = []
+    for d, n in of.items():
+        most = max(LEAST_SAMPLE, -(-sample * n // total))
+        share = min(1.0, (1.3 * most + 100) / n)
+        bounds.append((d, most, int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    bounded = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "d string, most long, bound long"))
+    near = named.withColumn("h", F.xxhash64("k")).join(bounded, "d").where("h <= bound")
+    place = F.row_number().over(Window.partitionBy("d").orderBy("h", "k", "t"))
+    rows = near.withColumn("place", place).where("place <= most").select("d", "t").collect()
+    return fit([(r.d, r.t.encode()) for r in rows], of=of)
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, model: Model | None = None) -> DataFrame:

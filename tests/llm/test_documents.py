@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 from gridloom.llm.decontam import containment, decontaminate
 from gridloom.llm.imatch import fingerprints
-from gridloom.llm.langid import fit, identify, keep_identified, trigrams
+from gridloom.llm.langid import fit, identify, keep_identified, train, trigrams
 from tests.llm.test_neardup import shingle_set
 
 
@@ -101,6 +101,19 @@ def test_other_text_is_rejected(spark):
     assert abs(float(terms[0] - terms[1])) < 1e-3
 
 
+def test_rare_language_is_known_at_any_size(spark):
+    rng = random.Random(13)
+    letters = {"en": "abcdefgh", "de": "ijklmnöp", "fr": "qrstuvéw"}
+    langs = ["en", "de"] * 1500 + ["fr"] * 6 + ["xx"] * 2
+    df = spark.createDataFrame([(i, text(rng, 12, letters.get(x, "yz")), x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    model = train(df, "doc_id", "text", "lang", sample=60)
+    assert model.languages == ["de", "en", "fr"]
+    fresh_rows = [(x, text(rng, 20, letters[x])) for x in letters for _ in range(20)]
+    assert all(model.languages[int(model.text_terms(t.encode())[0].argmax())] == x for x, t in fresh_rows)
+    # the sample's table of declarations is in proportion to all rows
+    assert model.declared[1, 1] > model.declared[2, 2] > model.declared[1, 2]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     item, passage = text(rng, 30), text(rng, 60)
