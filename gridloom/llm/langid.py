@@ -40,6 +40,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keep_ids, utf8
+from .html_text import trained
+from .urls import host_of
 
 #: Labelled rows that the model is fitted on, shared out by the languages' counts.
 SAMPLE = 3000
@@ -232,3 +234,36 @@ def markup_language(html: Column) -> Column:
     """The language that a page declares in its ``html`` element, two letters; null without."""
     got = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
     return F.when(got != "", got)
+
+
+def site(url: Column) -> Column:
+    """Host of an address without port and last dot; null without."""
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^[^@]*@|:\d*$", ""), r"\.$", "")
+    return F.when(host != "", host)
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label of a host; null for a host of one label and for a number."""
+    got = F.regexp_extract(host, r"\.([^.\d\]:][^.\]:]*)$", 1)
+    return F.when(got != "", got)
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, html)`` -> ``page_id, text, declared, host, suffix``: main text, language of the markup, parts of the address."""
+    model = trained()
+    html, host = F.col("html").cast("string"), site(F.col("url").cast("string"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = pa.array([model.text(h.as_py()) for h in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], names=["page_id", "text", "declared", "host", "suffix"])
+
+    key_type = pages.schema["page_id"].dataType.simpleString()
+    parts = pages.select("page_id", html.alias("html"), markup_language(html).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
+    return parts.mapInArrow(run, f"page_id {key_type}, text string, declared string, host string, suffix string")
+
+
+def identify_pages(pages: DataFrame) -> DataFrame:
+    """:func:`identify` on the main texts of ``pages``, with declared language of the markup, host and suffix."""
+    texts = cut(page_texts(pages), "li-pages")
+    return identify(texts, "page_id", "text", "declared", "host", "suffix")

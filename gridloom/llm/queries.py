@@ -12,7 +12,7 @@ from .common import table
 from .decontam import containment
 from .html_text import extract
 from .imatch import fingerprints
-from .langid import identify
+from .langid import identify, identify_pages
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .substring import substring_dedup
@@ -74,8 +74,14 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language; the declared language and the source are evidence beside the text."""
-    return identify(table(spark, sf_dir, "documents"))
+    """Every document's and every page's language.
+
+    Evidence beside the text: of a document (``page_id`` null) its declared
+    language and source, of a page (``doc_id`` null) its markup language, host
+    and address suffix.
+    """
+    docs, pages = identify(table(spark, sf_dir, "documents")), identify_pages(table(spark, sf_dir, "pages"))
+    return docs.unionByName(pages, allowMissingColumns=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

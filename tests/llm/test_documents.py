@@ -3,10 +3,14 @@
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from gridloom.llm.common import shared_path
 from gridloom.llm.decontam import containment, decontaminate
 from gridloom.llm.imatch import fingerprints
-from gridloom.llm.langid import fit, identify, keep_identified, train, trigrams
+from gridloom.llm.langid import fit, identify, identify_pages, keep_identified, page_texts, train, trigrams
+from gridloom.llm.queries import op10_language_id
 from tests.llm.test_neardup import shingle_set
 
 
@@ -101,6 +105,46 @@ def test_other_text_is_rejected(spark):
     assert abs(float(terms[0] - terms[1])) < 1e-3
 
 
+def test_pages_by_suffix_and_host(spark):
+    rng = random.Random(14)
+    letters = {"en": "abcdefgh", "de": "ijklmnöp"}
+    make = lambda lang, n: text(rng, n, letters[lang])
+    page = lambda lang, t: f"<html{lang and f' lang={lang}-x'}><body><article><p>{t}.</p></article></body></html>"
+    urls = lambda lang: f"http://h{rng.randint(0, 5)}.{'site.' if lang == 'de' else ''}{lang if rng.random() < 0.9 else 'org'}:80/p"
+    langs = ["en", "de", "de"] * 40
+    rows = [(i, urls(x), page(x, make(x, 25))) for i, x in enumerate(langs)]
+    # half of each language: suffix and host decide
+    mixed = make("en", 1)[:3].ljust(3, "a") + " " + make("de", 1)[:3].ljust(3, "i")
+    rows += [(500 + i, u, page("", mixed)) for i, u in enumerate(["http://new.en/", "https://new.de", None, "http://10.0.0.1/x", "http://h1.org/"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r for r in page_texts(df).collect()}
+    assert [(texts[i].host, texts[i].suffix) for i in range(500, 505)] == [("new.en", "en"), ("new.de", "de"), (None, None), ("10.0.0.1", None), ("h1.org", "org")]
+    assert [texts[i].declared for i in range(len(langs))] == langs and texts[500].declared is None and texts[500].text.startswith(mixed)
+    got = {r.page_id: r for r in identify_pages(df).collect()}
+    model = fit([(r.declared, r.text.encode()) for r in texts.values()])
+    # brute force over the rows
+    terms = {}
+    for i, r in texts.items():
+        x, _ = model.with_other(r.text.encode(), r.declared)
+        terms[i] = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, r in texts.items():
+        sums = lambda keep: sum((terms[j] for j, q in texts.items() if keep(q)), np.zeros(3))  # noqa: B023, E731
+        prior = (sums(lambda q: True) + 1) / (len(texts) + 3)
+        if r.suffix:
+            s = sums(lambda q: q.suffix == r.suffix)  # noqa: B023
+            prior = (s + 10 * prior) / (s.sum() + 10)
+        if r.host:
+            s = sums(lambda q: q.host == r.host)  # noqa: B023
+            prior = (s + 10 * prior) / (s.sum() + 10)
+        want = terms[i] * prior
+        assert abs(got[i].posterior - want.max() / want.sum()) < 1e-6
+        assert got[i].language == ["de", "en", "und"][int(want.argmax())]
+    spark.createDataFrame([(1, "abc", "en", "s")] * 5, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{(folder := shared_path(spark, 't-li'))}/documents.parquet")
+    df.write.parquet(f"{folder}/pages.parquet")
+    every = op10_language_id(spark, folder).collect()
+    assert sum(r.doc_id == 1 and r.page_id is None for r in every) == 5 and sorted(r.page_id for r in every if r.doc_id is None) == sorted(texts)
+
+
 def test_rare_language_is_known_at_any_size(spark):
     rng = random.Random(13)
     letters = {"en": "abcdefgh", "de": "ijklmnöp", "fr": "qrstuvéw"}
