@@ -17,7 +17,8 @@ buckets, star-shaped candidate links (operator 5).
 5. A star alone can miss a link between two members that both differ from the
    centre. So in buckets that still hold more than one component, every member
    outside the bucket's least component meets the members of other components
-   there, if their sizes and a sketch of 1024 bins allow it; these too are
+   there, if their sizes and a sketch of 1024 bins, for small sets the sets
+   themselves, allow it; these too are
    confirmed on full sets.
    No bucket is capped.
 
@@ -44,6 +45,8 @@ from .components import components
 
 BINS, ROWS = 256, 5
 BANDS = BINS // ROWS
+#: Below so many shingles the second look compares sets, not sketches: the bins of few shingles depend on each other.
+SMALL = 64
 #: Bins of the sketch for the second look, four bits each. Its estimate of a
 #: likeness of 0.75 has a standard deviation of 0.015 at most, that of its first
 #: 128 bins 0.044; a pair is tested if it is less than four of them below.
@@ -117,13 +120,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
-_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("set", pa.list_(pa.int64()))])
 
 
-def _fine_batch(batch: pa.RecordBatch) -> dict:
+def _fine_batch(batch: pa.RecordBatch, percent: int) -> dict:
     sets = [shingles(t, _memo) for t in utf8(batch.column(1))]
     bands = [band_keys(one_permutation(s)) if len(s) else None for s in sets]
-    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bands": bands, "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets]}
+    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bands": bands, "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets], "set": [s.view(np.int64) if percent * len(s) < 100 * SMALL else None for s in sets]}
 
 
 def _differ_first(a: str, b: str, words: int) -> Column:
@@ -203,17 +206,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     marked = cut(marked, "nd-marked")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
     open_ = cut(marked.join(mixed, "key"), "nd-open")
-    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(_fine_batch, _FINE), "doc_id long, n long, bands array<long>, bits array<long>")
+    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(functools.partial(_fine_batch, percent=percent), _FINE), "doc_id long, n long, bands array<long>, bits array<long>, set array<long>")
     open_ = open_.join(cut(fine.dropDuplicates(["doc_id"]), "nd-fine"), "doc_id")
-    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"), F.col("bands").alias("ka"))
-    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("bands").alias("kb"), "low")
+    u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"), F.col("bands").alias("ka"), F.col("set").alias("sa"))
+    v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("bands").alias("kb"), F.col("set").alias("sb"), "low")
     words = COARSE_BINS // 16
     # all in the join's condition, cheapest first; last, a pair counts in the first of its common buckets only
     meet = (
         F.expr("ca <> cb and (cb = low or a < b)")
         & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        & (_differ_first("ba", "bb", words) <= int((1 - COARSE_LEAST) * words * 32))
-        & (_differ("ba", "bb") <= int((1 - FINE_LEAST) * FINE_BINS * 2))
+        & F.when(F.least("na", "nb") < SMALL, F.expr(f"100 * size(array_intersect(sa, sb)) >= {percent} * (na + nb - size(array_intersect(sa, sb)))")).otherwise(
+            (_differ_first("ba", "bb", words) <= int((1 - COARSE_LEAST) * words * 32)) & (_differ("ba", "bb") <= int((1 - FINE_LEAST) * FINE_BINS * 2))
+        )
         & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
     )
     second = (

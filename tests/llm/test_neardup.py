@@ -91,3 +91,19 @@ def test_repeated_rows(spark):
     rows = [(1, "a b c d e f", ""), (1, "a b c d e f", ""), (2, "a b c d e f", "")]
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_short_texts_at_the_threshold(spark):
+    """Three of four shingles in common, in buckets whose least documents are no near copies."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    rows, pairs = [], []
+    for _ in range(20):
+        common = [word() for _ in range(7)]
+        for _ in range(150):
+            rows.append(" ".join([*common, word(), word(), word()]))
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [" ".join(common), " ".join([*common, word()])]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()} and all(got[a] == got[b] for a, b in pairs)
