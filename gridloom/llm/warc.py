@@ -9,7 +9,9 @@ headers and length fit, and its block and payload digests agree. After a
 failed check the reader looks for the next place, byte by byte, where a gzip
 member or a version line starts a record that counts, goes on from there, and
 logs the bytes between as a gap. A member with a bad end still yields the
-whole records before it.
+whole records before it, and one that holds a bad record those after it, from
+the next version line in the decompressed bytes on; its gap has the place of
+the member and names the decompressed bytes.
 
 Rows: a null payload is empty. A null url is left out of the headers. A null
 id refers to the least id of its payload. Repeated rows are written each.
@@ -38,6 +40,7 @@ LEAST_SHARED = 100
 ARCHIVE_BYTES = 24 << 20
 _DATE = "2000-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -132,14 +135,31 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
             out.append(d.decompress(view[i : i + 65536]))
             i += 65536
     except zlib.error as e:
+        # the failing call gives nothing: once more, byte by byte
+        d, out = zlib.decompressobj(31), [b""]
+        try:
+            out += [d.decompress(view[j : min(j + 65536, i)]) for j in range(at, i, 65536)]
+            for j in range(i, min(i + 65536, len(data))):
+                out.append(d.decompress(view[j : j + 1]))
+        except zlib.error:
+            pass
         return b"".join(out), -1, f"gzip: {e}"
     if not d.eof:
         return b"".join(out), -1, "gzip member is cut short"
     return b"".join(out), min(i, len(data)) - len(d.unused_data), ""
 
 
-def _at(data: bytes, at: int) -> tuple[list[Record], int, str]:
-    """Records that start at ``at``, where they end (-1: not whole), and why."""
+def _counts(data: bytes, at: int) -> bool:
+    """Whether a plain record that counts starts at ``at``."""
+    try:
+        parse(data, at)
+    except Broken:
+        return False
+    return True
+
+
+def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """Records that start at ``at`` and gaps among them, where they end (-1: not whole), and why."""
     if data[at : at + 2] != b"\x1f\x8b":
         try:
             record, end = parse(data, at)
@@ -147,26 +167,34 @@ def _at(data: bytes, at: int) -> tuple[list[Record], int, str]:
             return [], -1, str(e)
         return [record], end, ""
     raw, end, wrong = _member(data, at)
-    records, inner = [], 0
+    items: list[Record | Gap] = []
+    inner, some = 0, False
     while inner < len(raw):
         try:
             record, inner = parse(raw, inner)
         except Broken as e:
-            wrong = wrong or str(e)
-            break
+            why = str(e)
+            to = next((m.start() for m in _VERSION.finditer(raw, inner + 1) if _counts(raw, m.start())), -1)
+            if to < 0:
+                wrong = wrong or why
+                break
+            items.append(Gap(at, max(at, end), f"{why} (bytes {inner} to {to} of the member)"))
+            inner = to
+            continue
         record.start, record.end = at, end
-        records.append(record)
-    if end >= 0 and not records:
+        items.append(record)
+        some = True
+    if not some:
         return [], -1, wrong or "empty member"
-    return records, end, wrong
+    return items, end, wrong
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records of an archive that count, and the gaps between them, in order."""
     at = 0
     while at < len(data):
-        records, end, wrong = _at(data, at)
-        yield from records
+        items, end, wrong = _at(data, at)
+        yield from items
         if end >= 0:
             if wrong:
                 yield Gap(at, end, wrong)
@@ -174,8 +202,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             continue
         to = len(data)
         for m in _START.finditer(data, at + 1):
-            found, to_end, _ = _at(data, m.start())
-            if found and to_end >= 0:
+            found, _, _ = _at(data, m.start())
+            if found:
                 to = m.start()
                 break
         yield Gap(at, to, wrong)

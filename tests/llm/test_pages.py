@@ -42,6 +42,34 @@ def test_salvage_goes_on_after_damage():
     assert list(salvage(b"")) == [] and [type(x) for x in salvage(b"nothing here")] == [Gap]
 
 
+def test_salvage_of_adjacent_damage_and_within_a_member():
+    bodies = [bytes([97 + i]) * 400 + b"%d" % i * 30 for i in range(5)]
+    plain = [zlib.decompress(record(i, b), 31) for i, b in enumerate(bodies)]
+
+    def packed(content):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return packer.compress(content) + packer.flush()
+
+    ids = lambda data: [bodies.index(x.payload()) for x in salvage(data) if isinstance(x, Record)]
+    # two members with a bad check sum, one after the other; the second holds a whole record
+    parts = [bytearray(record(i, b)) for i, b in enumerate(bodies)]
+    parts[1][60] ^= 0xFF
+    parts[2][-6] ^= 0xFF
+    assert ids(b"".join(parts)) == [0, 2, 3, 4]
+    # a member of several records, of which the first, one in the middle or the last is bad
+    for bad in (0, 2, 4):
+        hurt = [bytearray(x) for x in plain]
+        hurt[bad][-30] ^= 1
+        data = packed(b"".join(hurt)) + record(0, bodies[0])
+        assert ids(data) == [i for i in range(5) if i != bad] + [0]
+        (gap,) = [x for x in salvage(data) if isinstance(x, Gap)]
+        assert "digest differs" in gap.reason and gap.start == 0
+    # and one that is also cut short
+    hurt = [bytearray(x) for x in plain]
+    hurt[1][-30] ^= 1
+    assert ids(packed(b"".join(hurt))[:-4]) == [0, 2, 3, 4]
+
+
 def test_archives(spark):
     same = "<p>" + "again " * 30
     rows = [(3, "http://a/é b\r\n", same, "x"), (1, None, None, "x"), (2, "u", "", "x"), (9, "u", same, "x"), (5, "u", same, "x"), (6, "u", "short", "x"), (7, "u", "short", "x"), (8, "u", "é" * 50, "x"), (10, "u", "é" * 50, "x"), (None, "u", same, "x")]
