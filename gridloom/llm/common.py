@@ -117,6 +117,30 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Bytes of texts that are worked on at once; a longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A column's texts in slices: number of the first row, UTF-8 bytes, and where each text begins and the last one ends.
+
+    A null is an empty text. Nothing is copied unless the column has nulls.
+    """
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if not len(texts):
+        return
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, ends, raw = texts.buffers()
+    bounds = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, side="right")) - 1)
+        yield a, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+        a = b
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words with good avalanche (shift, multiply, shift)."""
     x = x ^ (x >> np.uint64(32))

@@ -2,16 +2,18 @@
 
 A shard's distinct ids are renumbered 0..s-1; the numbers are kept as
 ``ceil(log2 s)`` bit planes of a wavelet matrix, top bit first, each plane in
-the order left by the stable partition on the planes above it. Every plane has
-a directory of ones before each 512-bit block, so ``access`` (the id at a
-place), ``rank`` (occurrences before a place) and ``select`` (the place of the
-n-th occurrence) each touch one block per plane.
-
-File: ``GWM1``, then 8-byte little-endian counts (ids, documents, distinct
-ids, planes), then sections, each an 8-byte size and zlib data: distinct ids
-(u4), document ids (i8; null as the least i8), document lengths (u4), zeros of
-each plane (u8), and for each plane its bits (little bit order) and directory
-(u4).
+the order left by the stable partition on the planes above it. A plane is cut
+into chunks of 2**18 bits, each compressed by itself together with a directory
+of the ones before each of its 512-bit blocks; the ones before each chunk stand
+beside them. So ``access`` (the id at a place), ``rank`` (occurrences before a
+place) and ``select`` (the place of the n-th occurrence) inflate one chunk of
+each plane and count within one block of it; nothing else is unpacked.
+
+File: ``GWM2``, then 8-byte little-endian counts (ids, documents, distinct
+ids, planes), the sizes of all sections (u8), then the sections: distinct ids
+(u4), document ids (i8), which of them are null (bits), document lengths (u4),
+each zlib data; and for each plane the ones before each chunk and in all (u8,
+plain), then its chunks (zlib: bits in little order, then the directory, u4).
 
 Rows: a null or empty text has its end id alone; null ``doc_id`` sorts first;
 repeated ids are kept, in any order among themselves. Empty input: no rows.
@@ -33,10 +35,9 @@ from . import tokens
 from .common import cut, shared_path
 from .files import write_file
 
-MAGIC, BLOCK = b"GWM1", 512
+MAGIC, BLOCK, CHUNK = b"GWM2", 512, 1 << 18
 #: Ids of a shard, but for its last document.
 SHARD_IDS = 1 << 21
-_NULL_ID = -(1 << 63)
 
 
 def _split(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -47,14 +48,63 @@ def _split(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.concatenate((pick(~packed), pick(packed)))
 
 
+class Plane:
+    """Bits with the ones before each chunk; a chunk is its bytes and the ones in it before each block."""
+
+    def __init__(self, ones: np.ndarray, chunks: list):
+        #: Chunks are pairs of arrays, or bytes that are inflated when looked at; the last one looked at is kept.
+        self.ones, self.chunks, self.inflated = ones, chunks, 0
+        self._last: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
+
+    def chunk(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not isinstance(self.chunks[k], memoryview):
+            return self.chunks[k]
+        if not self._last or self._last[0] != k:
+            raw = zlib.decompress(self.chunks[k])
+            blocks = len(raw) // (BLOCK // 8 + 4)
+            self.inflated += 1
+            self._last = k, (np.frombuffer(raw, np.uint8, blocks * (BLOCK // 8)), np.frombuffer(raw, "<u4", blocks, blocks * (BLOCK // 8)))
+        return self._last[1]
+
+    def look(self, i: int) -> tuple[int, int]:
+        """The bit at place ``i`` (0 at the end) and the ones before it."""
+        k, i = divmod(i, CHUNK)
+        if k == len(self.chunks):
+            return 0, int(self.ones[k])
+        bits, before = self.chunk(k)
+        if i >> 3 >= len(bits):
+            return 0, int(self.ones[k + 1])
+        whole = bits[i // BLOCK * (BLOCK // 8) : i >> 3]
+        byte = int(bits[i >> 3])
+        ones = int(self.ones[k]) + int(before[i // BLOCK]) + int(np.bitwise_count(whole).sum()) + (byte & ((1 << (i & 7)) - 1)).bit_count()
+        return byte >> (i & 7) & 1, ones
+
+    def place(self, bit: int, nth: int) -> int:
+        """Place of the ``nth`` (from 0) ``bit``."""
+        have = self.ones.astype(np.int64) if bit else np.arange(len(self.ones), dtype=np.int64) * CHUNK - self.ones.astype(np.int64)
+        k = int(np.searchsorted(have, nth, side="right")) - 1
+        k, nth = min(k, len(self.chunks) - 1), nth - int(have[min(k, len(self.chunks) - 1)])
+        bits, before = self.chunk(k)
+        have = before.astype(np.int64) if bit else np.arange(len(before), dtype=np.int64) * BLOCK - before
+        b = int(np.searchsorted(have, nth, side="right")) - 1
+        block = np.unpackbits(bits[b * (BLOCK // 8) : (b + 1) * (BLOCK // 8)], bitorder="little")
+        return k * CHUNK + b * BLOCK + int(np.flatnonzero(block == bit)[nth - int(have[b])])
+
+    def bits(self, n: int) -> np.ndarray:
+        """All bits."""
+        return np.unpackbits(np.concatenate([self.chunk(k)[0] for k in range(len(self.chunks))]), count=n, bitorder="little").view(bool)
+
+
 class WaveletMatrix:
     """Succinct sequence of ids, with the documents it is made of."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, zeros: np.ndarray, planes: list[np.ndarray], directories: list[np.ndarray]):
-        self.n, self.alphabet, self.doc_ids, self.lengths, self.zeros, self.planes, self.directories = n, alphabet, doc_ids, lengths, zeros, planes, directories
+    def __init__(self, n: int, alphabet: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, planes: list[Plane]):
+        self.n, self.alphabet, self.doc_ids, self.nulls, self.lengths, self.planes = n, alphabet, doc_ids, nulls, lengths, planes
+        self.zeros = [n - int(p.ones[-1]) for p in planes]
 
     @classmethod
-    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, nulls: np.ndarray | None = None) -> WaveletMatrix:
+        """Of ids, and of the documents' ids (``nulls``: which have none) and lengths."""
         n = len(ids)
         if n and int(ids.max()) < 1 << 22:
             seen = np.bincount(ids)
@@ -66,62 +116,49 @@ class WaveletMatrix:
             alphabet, codes = np.unique(ids, return_inverse=True)
         levels = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
         codes = codes.astype(np.uint16 if levels <= 16 else np.uint32)
-        planes, directories, zeros = [], [], []
+        planes = []
         for b in range(levels - 1, -1, -1):
             bits = ((codes >> codes.dtype.type(b)) & codes.dtype.type(1)).astype(bool)
-            codes = _split(codes, bits)
+            if b:
+                codes = _split(codes, bits)
             packed = np.zeros(-(-n // BLOCK) * (BLOCK // 8), np.uint8)
             packed[: -(-n // 8)] = np.packbits(bits, bitorder="little")
-            ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
-            directories.append(np.concatenate(([0], np.cumsum(ones))).astype("<u4"))
-            planes.append(packed)
-            zeros.append(n - int(ones.sum()))
-        return cls(n, alphabet.astype("<u4"), doc_ids.astype("<i8"), lengths.astype("<u4"), np.array(zeros, "<u8"), planes, directories)
+            ones = np.cumsum(np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64))
+            before = np.concatenate(([0], ones[:-1])).astype(np.int64)
+            chunks, firsts = [], [*range(0, len(before), CHUNK // BLOCK)]
+            for f in firsts:
+                to = f + CHUNK // BLOCK
+                chunks.append((packed[f * (BLOCK // 8) : to * (BLOCK // 8)], (before[f:to] - before[f]).astype("<u4")))
+            planes.append(Plane(np.append(before[firsts], int(ones[-1])).astype("<u8"), chunks))
+        nulls = np.zeros(len(doc_ids), bool) if nulls is None else nulls
+        return cls(n, alphabet.astype("<u4"), doc_ids.astype("<i8"), nulls, lengths.astype("<u4"), planes)
 
     def to_bytes(self) -> bytes:
+        pack = lambda *xs: zlib.compress(b"".join(x.tobytes() for x in xs), 1)
+        sections = [pack(self.alphabet), pack(self.doc_ids), pack(np.packbits(self.nulls)), pack(self.lengths)]
+        for p in self.planes:
+            sections += [p.ones.tobytes(), *(pack(*p.chunk(k)) for k in range(len(p.chunks)))]
         head = MAGIC + struct.pack("<4Q", self.n, len(self.doc_ids), len(self.alphabet), len(self.planes))
-        sections = [self.alphabet, self.doc_ids, self.lengths, self.zeros]
-        for plane, directory in zip(self.planes, self.directories, strict=True):
-            sections += [plane, directory]
-        out = [head]
-        for x in sections:
-            data = zlib.compress(x.tobytes(), 1)
-            out += [struct.pack("<Q", len(data)), data]
-        return b"".join(out)
+        return b"".join([head, np.array([len(x) for x in sections], "<u8").tobytes(), *sections])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
+        """A file's matrix. Its planes stay compressed; a look-up inflates the chunks that it needs."""
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        n, _, _, levels = struct.unpack_from("<4Q", data, 4)
-        at, raw = 36, []
-        while at < len(data):
-            (size,) = struct.unpack_from("<Q", data, at)
-            raw.append(zlib.decompress(memoryview(data)[at + 8 : at + 8 + size]))
-            at += 8 + size
-        if len(raw) != 4 + 2 * levels:
+        n, docs, _, levels = struct.unpack_from("<4Q", data, 4)
+        each = 1 + -(-n // CHUNK)
+        count = 4 + levels * each
+        if len(data) < 36 + 8 * count:
+            raise ValueError("wavelet-matrix file is cut short")
+        ends = 36 + 8 * count + np.cumsum(np.concatenate(([0], np.frombuffer(data, "<u8", count, 36)))).astype(np.int64)
+        if len(data) != int(ends[-1]):
             raise ValueError("wavelet-matrix file is cut short")
-        as_ = lambda k, t: np.frombuffer(raw[k], t)
-        return cls(n, as_(0, "<u4"), as_(1, "<i8"), as_(2, "<u4"), as_(3, "<u8"), [as_(4 + 2 * k, np.uint8) for k in range(levels)], [as_(5 + 2 * k, "<u4") for k in range(levels)])
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7)) & 1
-
-    def _ones(self, level: int, i: int) -> int:
-        """Ones before place ``i`` of a plane."""
-        b = i // BLOCK
-        from_ = b * (BLOCK // 8)
-        whole = self.planes[level][from_ : i >> 3]
-        extra = int(self.planes[level][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
-        return int(self.directories[level][b]) + int(np.bitwise_count(whole).sum()) + extra
-
-    def _place(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) ``bit`` of a plane."""
-        ones = self.directories[level].astype(np.int64)
-        have = ones if bit else np.arange(len(ones)) * BLOCK - ones
-        b = int(np.searchsorted(have, k, side="right")) - 1
-        block = np.unpackbits(self.planes[level][b * (BLOCK // 8) : (b + 1) * (BLOCK // 8)], bitorder="little")
-        return b * BLOCK + int(np.flatnonzero(block == bit)[k - int(have[b])])
+        view = memoryview(data)
+        parts = [view[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        alphabet, doc_ids, nulls, lengths = (np.frombuffer(zlib.decompress(x), t) for x, t in zip(parts, ("<u4", "<i8", np.uint8, "<u4")))
+        planes = [Plane(np.frombuffer(parts[k], "<u8"), parts[k + 1 : k + each]) for k in range(4, count, each)]
+        return cls(n, alphabet, doc_ids, np.unpackbits(nulls, count=docs).view(bool), lengths, planes)
 
     def access(self, i: int) -> int:
         """The id at place ``i``."""
@@ -129,9 +166,9 @@ class WaveletMatrix:
             raise IndexError(i)
         code = 0
         for level in range(len(self.planes)):
-            bit, ones = self._bit(level, i), self._ones(level, i)
+            bit, ones = self.planes[level].look(i)
             code = code << 1 | bit
-            i = int(self.zeros[level]) + ones if bit else i - ones
+            i = self.zeros[level] + ones if bit else i - ones
         return int(self.alphabet[code])
 
     def _code(self, token: int) -> int | None:
@@ -143,9 +180,9 @@ class WaveletMatrix:
         a = 0
         for level in range(len(self.planes)):
             if code >> (len(self.planes) - 1 - level) & 1:
-                a, i = (int(self.zeros[level]) + self._ones(level, x) for x in (a, i))
+                a, i = (self.zeros[level] + self.planes[level].look(x)[1] for x in (a, i))
             else:
-                a, i = (x - self._ones(level, x) for x in (a, i))
+                a, i = (x - self.planes[level].look(x)[1] for x in (a, i))
         return a, i
 
     def rank(self, token: int, i: int | None = None) -> int:
@@ -164,7 +201,7 @@ class WaveletMatrix:
         i = self._range(code, 0)[0] + k
         for level in range(len(self.planes) - 1, -1, -1):
             bit = code >> (len(self.planes) - 1 - level) & 1
-            i = self._place(level, bit, i - int(self.zeros[level]) if bit else i)
+            i = self.planes[level].place(bit, i - self.zeros[level] if bit else i)
         return i
 
     def decode(self) -> np.ndarray:
@@ -172,8 +209,8 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z, up = int(self.zeros[level]), np.empty(self.n, kind)
+            one = self.planes[level].bits(self.n)
+            z, up = self.zeros[level], np.empty(self.n, kind)
             up[~one] = values[:z]
             up[one] = values[z:] | kind(1 << (len(self.planes) - 1 - level))
             values = up
@@ -189,29 +226,34 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = tokens.DEFAULT,
     Files in the order of their names hold the documents in ascending
     ``doc_id``. Gives a row for each file.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids: list[int] = []
-        ids: list[bytes] = []
-        held = 0
+        encoder, part, shard = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            wm = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4"), np.array(doc_ids, np.int64), lengths)
+            ids, lengths, doc_ids, nulls = (np.concatenate(x) for x in zip(*held))
+            wm = WaveletMatrix.build(ids, doc_ids, lengths, nulls)
             write_file(folder, f"{part:06d}-{shard:06d}.gwm", wm.to_bytes())
-            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "n_ids": [wm.n], "n_docs": [len(ids)]}, schema=_SHARDS)
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "n_ids": [wm.n], "n_docs": [len(lengths)]}, schema=_SHARDS)
 
         for batch in it:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids.append(_NULL_ID if doc_id is None else doc_id)
-                ids.append(encode(text.as_py()) + end)
-                held += len(ids[-1]) // 4
-                if held >= shard_ids:
-                    yield flush()
-                    doc_ids, ids, held, shard = [], [], 0, shard + 1
-        if ids:
+            nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
+            for row, ids, at in encoder.column(batch.column(1), end_id):
+                a, last = 0, len(at) - 1
+                while a < last:
+                    # the rows up to the one that fills the shard
+                    b = min(last, int(np.searchsorted(at, at[a] + shard_ids - size)))
+                    own = slice(row + a, row + b)
+                    held.append((ids[at[a] : at[b]], np.diff(at[a : b + 1]), doc_ids[own], nulls[own]))
+                    size += int(at[b] - at[a])
+                    a = b
+                    if size >= shard_ids:
+                        yield flush()
+                        held, size, shard = [], 0, shard + 1
+        if held:
             yield flush()
 
     spread = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -232,7 +274,7 @@ def read_shards(spark, folder: str) -> DataFrame:
                 raw, ends = memoryview(wm.decode().tobytes()), np.cumsum(wm.lengths, dtype=np.int64)
                 starts = ends - wm.lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                doc_ids = pa.array(wm.doc_ids, mask=wm.doc_ids == _NULL_ID)
+                doc_ids = pa.array(wm.doc_ids, mask=wm.nulls)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(crc)), pa.array([shard] * len(crc)), doc_ids, pa.array(starts), pa.array(wm.lengths.astype(np.int64)), pa.array(crc, pa.int64())], schema=_READ)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gwm").load(folder)
