@@ -1,13 +1,20 @@
 """Packing documents into token windows by multiway differencing (operator 7).
 
 Each task packs its own documents, shard after shard of about 256 windows, so
-nothing is shuffled and a lost task is simply run again. A document's ids get
-its end id; a document longer than a window fills whole windows, and what
-remains is cut into pieces of at most :data:`PIECE` ids. The pieces of a shard
-are dealt by the Karmarkar-Karp multiway differencing method: the two partial
-partitions with the widest spread are merged, largest sum to smallest, so
-their imbalances oppose; the windows end near-equal. The count of windows
-starts at the least possible and rises whenever a window exceeds capacity.
+no text and no ids are shuffled and a lost task is simply run again. A
+document's ids get its end id; a document longer than a window fills whole
+windows, and what remains is cut into pieces of at most :data:`PIECE` ids. The
+pieces of a shard are dealt by the Karmarkar-Karp multiway differencing method:
+the two partial partitions with the widest spread are merged, largest sum to
+smallest, so their imbalances oppose; the windows end near-equal. The count of
+windows starts at the least possible and rises whenever a window exceeds
+capacity. Neighbouring pieces of a few ids go as one.
+
+A task's last shard is mostly not full. Its pieces (their places, sizes and
+checksums, never ids) go on to a next round, where :data:`FAN` tasks' pieces
+meet in one, are packed in the same way, and leave one last shard again; so the
+rounds grow with the logarithm of the count of tasks, a task holds one shard at
+a time, and only the last shard of the last round has room to spare.
 
 Rows: a null or empty text has its end id alone. Null and repeated ``doc_id``
 values are carried as they are; each row is packed once. Empty input: no rows.
@@ -26,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import cut
 
 WINDOW = 4096
 #: Ids of a piece at most, of the documents that don't fill a window.
-PIECE = 2048
+PIECE = 1024
+#: Neighbouring pieces are dealt as one until they have so many ids.
+LEAST_ITEM = 32
 #: Windows of a shard.
 SHARD = 256
+#: Tasks of one round whose last shards meet in one task of the next.
+FAN = 16
 
 
 def differencing(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,130 +95,131 @@ def pack(sizes: list[int], capacity: int = WINDOW) -> tuple[np.ndarray, int]:
         part, sums = differencing(sizes, k)
         if sums.max() <= capacity:
             return part, k
-        k += max(1, k // 64)
+        k += max(1, k // 128)
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task")
+_PIECES = pa.schema([(c, pa.int64()) for c in _COLUMNS])
+_DDL = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 class _Shard:
-    """Pieces of documents until there are enough for a shard of windows."""
+    """Pieces ``(doc_id, start, length, crc32, tokens of the document)`` until there are enough for a shard of windows."""
 
-    def __init__(self, window: int, piece: int, base: int):
-        self.window, self.piece, self.sequence = window, piece, base
+    def __init__(self, window: int, windows: int, round_: int, task: int):
+        self.window, self.windows, self.task = window, windows, task
+        # a number of its own for each round, task and window
+        self.sequence = (round_ << 56) + (task << 28)
         self.rows: list[tuple] = []
-        # document, place in it, ids, ids of the document
-        self.loose: list[tuple[int | None, int, bytes, int]] = []
+        self.loose: list[tuple] = []
         self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        total, at = len(ids) // 4, 0
-        while total - at >= self.window:
-            self._row((doc_id, at, ids[4 * at : 4 * (at + self.window)], total), self.sequence, 0)
-            self.sequence += 1
-            at += self.window
-        rest = total - at
-        parts = -(-rest // self.piece)
-        for j in range(parts):
-            a, b = at + rest * j // parts, at + rest * (j + 1) // parts
-            self.loose.append((doc_id, a, ids[4 * a : 4 * b], total))
-        self.tokens += rest
-
-    def _row(self, piece: tuple, sequence: int, offset: int) -> None:
-        doc_id, at, ids, total = piece
-        self.rows.append((doc_id, at, len(ids) // 4, zlib.crc32(ids), total, sequence, offset))
-
-    def flush(self, last: bool = False) -> None:
-        """Deal the loose pieces to windows.
-
-        A task's last shard is mostly small, so its windows would be padded by
-        several hundredths. There the ids beyond whole windows (and a little
-        more, so that the windows can balance) go to sequences whose lengths
-        are powers of two, which need no padding, if that leaves less of it.
-        """
-        part, k = pack([len(x[2]) // 4 for x in self.loose], self.window)
-        if last and self.tokens:
-            whole, best, powers = self.tokens // self.window, k * self.window - self.tokens, None
-            fine = [y for x in self.loose for y in self._cut(x, self.window // 8)]
-            for room in (4, 16, 64, 256):
-                spare = min(self.tokens, self.tokens - whole * self.window + room * whole)
-                kept, cut = self._carve(fine, spare)
-                part2, k2 = pack([len(x[2]) // 4 for x in kept], self.window)
-                if k2 * self.window - (self.tokens - spare) < best:
-                    best, part, k, self.loose, powers = k2 * self.window - (self.tokens - spare), part2, k2, kept, (cut, spare)
-            if powers:
-                self._powers(*powers)
+    def whole(self, piece: tuple) -> None:
+        """A piece that fills a window."""
+        self.rows.append((*piece, self.sequence, 0, self.task))
+        self.sequence += 1
+
+    def add(self, piece: tuple) -> None:
+        self.loose.append(piece)
+        self.tokens += piece[2]
+        if self.tokens >= self.windows * self.window:
+            self.flush()
+
+    def flush(self) -> None:
+        """Deal the loose pieces to windows."""
+        items: list[list[tuple]] = []
+        sizes: list[int] = []
+        for x in self.loose:
+            if items and sizes[-1] < LEAST_ITEM and sizes[-1] + x[2] <= self.window:
+                items[-1].append(x)
+                sizes[-1] += x[2]
+            else:
+                items.append([x])
+                sizes.append(x[2])
+        part, k = pack(sizes, self.window)
         filled = [0] * k
-        for x, p in zip(self.loose, part.tolist(), strict=True):
-            self._row(x, self.sequence + p, filled[p])
-            filled[p] += len(x[2]) // 4
+        for item, p in zip(items, part.tolist(), strict=True):
+            for x in item:
+                self.rows.append((*x, self.sequence + p, filled[p], self.task))
+                filled[p] += x[2]
         self.sequence += k
         self.loose, self.tokens = [], 0
 
-    @staticmethod
-    def _cut(piece: tuple, most: int) -> list[tuple]:
-        """A piece in even parts of at most ``most`` ids."""
-        doc_id, at, ids, total = piece
-        n = len(ids) // 4
-        parts = -(-n // most)
-        ends = [n * j // parts for j in range(parts + 1)]
-        return [(doc_id, at + a, ids[4 * a : 4 * b], total) for a, b in zip(ends, ends[1:])]
-
-    @staticmethod
-    def _carve(pieces: list[tuple], n: int) -> tuple[list[tuple], list[tuple]]:
-        """The pieces without their last ``n`` ids, and those."""
-        kept, cut = list(pieces), []
-        while n:
-            doc_id, at, ids, total = kept.pop()
-            m = len(ids) // 4
-            if m > n:
-                kept.append((doc_id, at, ids[: 4 * (m - n)], total))
-                at, ids, m = at + m - n, ids[4 * (m - n) :], n
-            cut.append((doc_id, at, ids, total))
-            n -= m
-        return kept, cut[::-1]
-
-    def _powers(self, pieces: list[tuple], n: int) -> None:
-        """Lay ``n`` ids in sequences of the powers of two that add up to ``n``."""
-        pieces = pieces[::-1]
-        for size in (1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1):
-            # longer than a window: as many windows, each full
-            for room in [self.window] * (size // self.window) or [size]:
-                filled = 0
-                while filled < room:
-                    doc_id, at, ids, total = pieces.pop()
-                    m = min(len(ids) // 4, room - filled)
-                    self._row((doc_id, at, ids[: 4 * m], total), self.sequence, filled)
-                    filled += m
-                    if 4 * m < len(ids):
-                        pieces.append((doc_id, at + m, ids[4 * m :], total))
-                self.sequence += 1
+    def leave(self) -> None:
+        """Give the loose pieces as they are, without a window."""
+        self.rows += [(*x, None, None, self.task) for x in self.loose]
+        self.loose, self.tokens = [], 0
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = tokens.DEFAULT, end_id: int = 2, window: int = WINDOW, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
-    """``docs(doc_id, text)`` -> a row for each piece, with its place in a window.
-
-    ``sequence_id`` is the task's number times 2**32 plus a running number.
-    """
-    end = np.array([end_id], "<u4").tobytes()
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, piece: int, shard: int) -> DataFrame:
+    """Encode ``docs`` and pack what fills shards; the pieces of each task's last shard have no window yet."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer)
-        s = _Shard(window, piece, TaskContext.get().partitionId() << 32)
+        encoder, s = tokens.encoder(tokenizer), _Shard(window, shard, 0, TaskContext.get().partitionId())
         for batch in it:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s.add(doc_id, encode(text.as_py()) + end)
-                if s.tokens >= shard * window:
-                    s.flush()
+            doc_ids = batch.column(0).to_pylist()
+            for row, ids, bounds in encoder.column(batch.column(1), end_id):
+                raw, ends = memoryview(ids).cast("B"), bounds.tolist()
+                for j in range(len(ends) - 1):
+                    first, total, at = ends[j], ends[j + 1] - ends[j], 0
+                    of = lambda a, b: (doc_ids[row + j], a, b - a, zlib.crc32(raw[4 * (first + a) : 4 * (first + b)]), total)  # noqa: B023, E731
+                    while total - at >= window:
+                        s.whole(of(at, at + window))
+                        at += window
+                    rest = total - at
+                    parts = -(-rest // piece)
+                    for i in range(parts):
+                        s.add(of(at + rest * i // parts, at + rest * (i + 1) // parts))
                 if len(s.rows) >= 20_000:
                     yield s.take()
-        s.flush(last=True)
+        s.leave()
         if s.rows:
             yield s.take()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DDL)
+
+
+def _next_round(loose: DataFrame, round_: int, window: int, shard: int, last: bool) -> DataFrame:
+    """Pack pieces whose ``task`` is that of this round; each task's last shard is packed too if this is the ``last`` round."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = None
+        for batch in it:
+            for *piece, _, _, task in zip(*(c.to_pylist() for c in batch.columns)):
+                if s is None or s.task != task:
+                    if s is not None:
+                        s.leave()
+                        yield s.take()
+                    s = _Shard(window, shard, round_, task)
+                s.add(tuple(piece))
+                if len(s.rows) >= 20_000:
+                    yield s.take()
+        if s is not None:
+            s.flush() if last else s.leave()
+            if s.rows:
+                yield s.take()
+
+    # the order makes a task that runs again give the same windows
+    return loose.repartition("task").sortWithinPartitions("task", "doc_id", "start", "ids_crc32", "doc_tokens").mapInArrow(run, _DDL)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str = tokens.DEFAULT, end_id: int = 2, window: int = WINDOW, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
+    """``docs(doc_id, text)`` -> a row for each piece, with its place in a window.
+
+    ``sequence_id`` holds the round, the task and a running number; it is unique, but has gaps.
+    """
+    made = cut(_pieces(docs, tokenizer, end_id, window, piece, shard), "pk-pieces")
+    done, round_ = made.where("sequence_id is not null"), 0
+    while True:
+        loose = made.where("sequence_id is null")
+        tasks = loose.agg(F.max("task")).first()[0]
+        if tasks is None:
+            return done.select(*_COLUMNS[:-1])
+        round_ += 1
+        meet = loose.withColumn("task", F.floor(F.col("task") / FAN))
+        made = cut(_next_round(meet, round_, window, shard, last=tasks < FAN), "pk-pieces")
+        done = done.unionAll(made.where("sequence_id is not null"))

@@ -1,9 +1,11 @@
 """Token ids, packing and token files: exact round trips."""
 
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import tokens
@@ -21,8 +23,25 @@ def ids_of(text, end):
 
 
 def test_ids_equal_the_library():
-    for t in ODD:
-        assert tokens.encoder()(t) + b"" == ids_of(t, 0)[:-4]
+    rng = random.Random(4)
+    signs = ["a", "B", "é", "É", "ß", "×", "÷", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "'s", "'", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "½", "_", "-", ".", "日", "İ", "Σ", "\u0301", "ﬁ", "K", "Ÿ", "Œ", "😀", "\x00", "Ã", "Ç"]
+    texts = ODD + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    seen = 0
+    for column in (pa.array(texts), pa.array(["x", *texts], pa.large_string())[1:]):
+        for row, ids, at in tokens.encoder().column(column, 9):
+            for j in range(len(at) - 1):
+                assert ids[at[j] : at[j + 1]].tobytes() == ids_of(texts[row + j], 9)
+                seen += 1
+    assert seen == 2 * len(texts) and list(tokens.encoder().column(pa.array([], pa.string()), 9)) == []
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    e = tokens.Encoder()
+    for k in range(30):
+        text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(k, k + 40))
+        assert e(text) == ids_of(text, 0)[:-4]
+        assert len(e.known) <= 90 and len(e.ids) == e.sizes.sum()
 
 
 def test_differencing():
@@ -35,6 +54,19 @@ def test_differencing():
     assert pack([])[1] == 0 and pack([7])[1] == 1 and pack([4096] * 3)[1] == 3
 
 
+@pytest.mark.parametrize("tasks", [1, 40, 300])
+def test_remainders_of_tasks_are_packed_together(spark, tasks):
+    docs = spark.range(1200).selectExpr("id doc_id", "repeat('w ', cast(37 * id % 300 as int)) text").repartition(tasks)
+    out = pack_documents(docs, window=128, piece=16, shard=16).collect()
+    sums = defaultdict(int)
+    for r in out:
+        sums[r.sequence_id] += r.length
+    total = sum(37 * i % 300 + 1 for i in range(1200))
+    assert sum(sums.values()) == total and max(sums.values()) <= 128
+    # near-equal, whatever the count of tasks
+    assert len(sums) <= 1.1 * total / 128 and min(sums.values()) >= 60
+
+
 def test_packing(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     out = pack_documents(docs).collect()
@@ -70,13 +102,28 @@ def test_wavelet_matrix():
             places = np.flatnonzero(ids == t)
             assert w.rank(t) == len(places) and w.rank(t, n // 2) == (places < n // 2).sum()
             assert [w.select(t, k) for k in range(len(places))] == places.tolist()
-        assert w.rank(1) == 0
+        assert w.rank(1) == 0 and w.rank(int(ids[0]), n) == w.rank(int(ids[0]))
         with pytest.raises(IndexError):
             w.select(1, 0)
     with pytest.raises(ValueError):
         WaveletMatrix.from_bytes(b"GWM0")
 
 
+def test_look_ups_leave_the_file_compressed():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 900, 1_000_003).astype("<u4")
+    w = WaveletMatrix.from_bytes(WaveletMatrix.build(ids, np.array([5]), np.array([len(ids)])).to_bytes())
+    assert sum(p.inflated for p in w.planes) == 0
+    assert w.access(777_777) == ids[777_777] and [p.inflated for p in w.planes] == [1] * len(w.planes)
+    places = np.flatnonzero(ids == 17)
+    assert w.rank(17, 600_000) == (places < 600_000).sum() and [w.select(17, k) for k in (0, 1, len(places) - 1)] == places[[0, 1, -1]].tolist()
+    assert all(len(p.chunks) == 4 for p in w.planes)
+    with pytest.raises(ValueError):
+        WaveletMatrix.from_bytes(w.to_bytes()[:-1])
+    none = WaveletMatrix.from_bytes(WaveletMatrix.build(ids[:2], np.array([-(2**63), 0]), np.array([1, 1]), np.array([False, True])).to_bytes())
+    assert none.doc_ids[0] == -(2**63) and none.nulls.tolist() == [False, True]
+
+
 def test_token_files(spark):
     docs = spark.createDataFrame([r for r in ROWS if r[1] != "same id" and r[0] is not None], SCHEMA)
     got = {r.doc_id: r for r in encode_corpus(docs).collect()}
