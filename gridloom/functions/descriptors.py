@@ -130,12 +130,15 @@ def parse_literal(text: str, dtype: str):
 
 @dataclass(frozen=True)
 class Request:
-    """One result column: a statistic of one value raster, perhaps with a weight raster."""
+    """One result column: a statistic of one value raster, perhaps with a weight raster.
+
+    Rasters go by name, or are rasters themselves.
+    """
 
     stat: str
     name: str
-    values: str
-    weights: str | None = None
+    values: object
+    weights: object = None
     args: dict[str, str] = field(default_factory=dict)
 
 

@@ -13,16 +13,24 @@ from pyspark.sql import DataFrame
 class CustomStat:
     """A function ``(values, coverage)`` or ``(values, coverage, weights)`` and its Spark return type.
 
+    Without a type, that of the function's annotation counts (``int``,
+    ``float``, ``str``, ``bool``, arrays and lists as arrays of doubles), and
+    without one of those, double.
+
     Values and weights come as masked arrays (missing ones masked), coverage
     as a plain array, cells row by row. The function isn't called for a
     feature without cells; its result is null then.
     """
 
-    def __init__(self, function: Callable, return_type: str = "double", name: str | None = None):
-        n = len(inspect.signature(function).parameters)
+    def __init__(self, function: Callable, return_type: str | None = None, name: str | None = None):
+        signature = inspect.signature(function)
+        n = len(signature.parameters)
         if n not in (2, 3):
             raise ValueError("Function must take 2 or 3 arguments")
-        self.function, self.return_type, self.weighted = function, return_type, n == 3
+        said = signature.return_annotation
+        said = {"int": int, "float": float, "str": str, "bool": bool, "list": list, "np.ndarray": np.ndarray}.get(said, said)
+        known = {int: "bigint", float: "double", str: "string", bool: "boolean", list: "array<double>", np.ndarray: "array<double>"}
+        self.function, self.return_type, self.weighted = function, return_type or (known.get(said) if isinstance(said, type) else None) or "double", n == 3
         self.name = name or getattr(function, "__name__", "custom")
 
 

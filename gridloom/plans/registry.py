@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.grid import Grid
 from gridloom.operators.custom import CustomStat
 from gridloom.operators.subdivide import subdivide
+from gridloom.plans import bands
 from gridloom.plans.zonal import coverage_table, zonal_stats
 from gridloom.sources import output, raster
 
@@ -131,6 +132,89 @@ def common_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(df)
 
 
+def grouped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that come from a grouped aggregation: rows without a fixed place."""
+    twice = zones(spark, sf_dir).unionAll(zones(spark, sf_dir))
+    f = twice.groupBy("id").agg(F.first("geometry").alias("geometry"), F.count("*").alias("copies"))
+    return _round(zonal_stats(values(spark, sf_dir), f, ["count", "mean", "variance"], None, ["id", "copies"], kinds="P"))
+
+
+def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON features of two boxes each, six columns apart."""
+    nr, k = _rows(spark, sf_dir), F.col("s_suppkey")
+    s = _table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 29 % 320) / 8).alias("x"), ((k * 41 % (nr * 8 - 24)) / 8).alias("y"))
+    at = lambda dx, dy: F.concat(F.lit("["), (F.col("x") + dx).cast("string"), F.lit(","), (F.col("y") + dy).cast("string"), F.lit("]"))
+    box = lambda dx: F.concat(F.lit("[["), F.concat_ws(",", at(dx, 0.0), at(dx + 1.5, 0.0), at(dx + 1.5, 2.25), at(dx, 2.25), at(dx, 0.0)), F.lit("]]"))
+    text = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), box(0.0), F.lit(","), box(6.0), F.lit("]}"))
+    return _round(zonal_stats(values(spark, sf_dir), s.select("id", text.alias("geometry")), ["count", "sum"], None, "id", kinds="P"))
+
+
+def nodata_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster with a NODATA value, scale and offset."""
+    nr = _rows(spark, sf_dir)
+    cells = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), (F.col("p_partkey") % 50).cast("int").alias("col"), F.col("p_size").alias("value"))
+    r = raster.from_table(cells, Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "v", nodata=13, scale=2.5, offset=-4.0)
+    return _round(zonal_stats(r, zones(spark, sf_dir), ["count", "sum", "max"], None, "id", kinds="P"))
+
+
+def sphere_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered area on the sphere, from square metres."""
+    df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["m2=count(coverage_weight=area_spherical_m2)"], None, "id", kinds="P")
+    return df.select("id", F.round(F.col("m2") / 1e6, 4).alias("km2"))
+
+
+def _banded(spark: SparkSession, sf_dir: str, n: int = 4) -> bands.Bands:
+    nr = _rows(spark, sf_dir)
+    part = _table(spark, sf_dir, "part").select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("band"))
+    cells = part.select("band", F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), (F.col("p_partkey") % 50).cast("int").alias("col"), (F.col("p_size") * F.col("band") % 11).cast("int").alias("value"), (F.col("p_size") % 10 != F.col("band")).alias("ok"))
+    return bands.stack(cells, Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), n, mask="ok")
+
+
+def many_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics for each zone and band, in one plan."""
+    return _round(bands.band_stats(_banded(spark, sf_dir), zones(spark, sf_dir), ["count", "mean", "variety", "variance"], None, "id", kinds="P"))
+
+
+def many_bands_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each band and statistic."""
+    b = _banded(spark, sf_dir, 3)
+    return _round(bands.wide(bands.band_stats(b, zones(spark, sf_dir), ["count", "sum"], None, "id", kinds="P"), b, "id"))
+
+
+def tiled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster in tiles of 8 x 8 cells, of which only those near zones are read."""
+    nr = _rows(spark, sf_dir)
+    key = F.col("p_partkey")
+    row, col = F.floor(key / 50).cast("int"), (key % 50).cast("int")
+    cells = _table(spark, sf_dir, "part").select(row.alias("row"), col.alias("col"), F.col("p_size").alias("value"), (F.col("p_size") % 10 != 0).alias("ok"), F.floor(row / 8).cast("int").alias("tile_row"), F.floor(col / 8).cast("int").alias("tile_col"))
+    r = raster.from_table(cells, Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "v", mask="ok", tiles=8)
+    return _round(zonal_stats(r, zones(spark, sf_dir), ["count", "mean"], None, "id", kinds="P"))
+
+
+def shares_as_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares as maps from value to share, without the values being asked for."""
+    df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["frac", "weighted_frac(default_weight=0)"], weights(spark, sf_dir), "id", kinds="P", frac_as_map=True)
+    return _round(df.select("id", F.explode("frac").alias("value", "share"), F.col("weighted_frac").alias("w")).select("id", "value", "share", F.col("w")[F.col("value")].alias("weighted_share")))
+
+
+def line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and mean value along each zone's outline."""
+    return _round(zonal_stats(values(spark, sf_dir), zones(spark, sf_dir, line=True), ["count", "mean", "max"], None, "id", kinds="L"))
+
+
+def nested_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays as they are in nested output, as text."""
+    df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["values", "cell_id"], None, "id", kinds="P")
+    return df.select("id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("values", "cell_id")])
+
+
+def features_as_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON features with their shapes, as the GeoJSON sink writes them."""
+    z = zones(spark, sf_dir).where("id % 4 < 3")
+    df = zonal_stats(values(spark, sf_dir), z, ["variety", "max"], None, "id", include_geom=True, kinds="P")
+    return output.geojson(df, "geometry", "id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_mean_count": _stats(["count", "mean"]),
     "zonal_sums_extremes": _stats(["sum", "min", "max"]),
@@ -153,6 +237,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_lengths": line_lengths,
     "subdivide_areas": subdivided,
     "zonal_user_function": user_function,
+    "coverage_by_clipping": coverage_cells,
+    "zonal_grouped_features": grouped_features,
+    "zonal_multipolygons": multipolygons,
+    "zonal_nodata_scaled": nodata_scaled,
+    "zonal_sphere_areas": sphere_areas,
+    "zonal_bands": many_bands,
+    "zonal_bands_wide": many_bands_wide,
+    "zonal_tiles": tiled_raster,
+    "zonal_frac_as_map": shares_as_maps,
+    "zonal_lines": line_statistics,
+    "zonal_nested": nested_arrays,
+    "features_geojson": features_as_geojson,
 }
 
 _EDGES = ", ".join(f"({s}, {-1 if i else 1}, {float(a[0])}, {float(a[1])}, {float(b[0])}, {float(b[1])})" for s, rings in SHAPES.items() for i, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1]))
@@ -241,4 +337,39 @@ ORACLES: dict[str, str] = {
     "coverage_cells": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS coverage, x AS value, w AS weight FROM m",
     "line_lengths": _LINE,
     "subdivide_areas": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS area FROM cov",
+    "zonal_user_function": _oracle("max(x) - min(x) s", "CAST(s AS DOUBLE) AS spread"),
+    "zonal_grouped_features": f"{_CELLS}, mu AS (SELECT id, sum(cov) n, sum(x * cov) / sum(cov) mu FROM j GROUP BY id), g AS (SELECT j.id, any_value(n) n, any_value(mu) mu, sum(cov * (x - mu) * (x - mu)) / any_value(n) v FROM j JOIN mu ON j.id = mu.id GROUP BY j.id) " + _ALL.format("CAST(2 AS BIGINT) AS copies, round(coalesce(n, 0), 6) AS count, round(mu, 6) AS mean, round(v, 6) AS variance"),
+    "zonal_nodata_scaled": f"{_CELLS}, p AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * 2.5 - 4 x FROM part WHERE p_size <> 13), g AS (SELECT id, sum(cov) n, sum(x * cov) s, max(x) hi FROM cov JOIN p ON cov.r = p.r AND cov.c = p.c GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, CAST(round(coalesce(s, 0), 6) AS DOUBLE) AS sum, CAST(hi AS DOUBLE) AS max"),
+    "zonal_sphere_areas": _oracle(f"sum(CAST(fc * {_SPHERE.replace('1e-6', '1.0')} AS DOUBLE)) s", "round(coalesce(s, 0) / 1e6, 4) AS km2"),
+    "zonal_tiles": _oracle("sum(cov) n, sum(x * cov) s", "round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean"),
+    "zonal_frac_as_map": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc, sum(cov * coalesce(w, 0)) sw FROM j GROUP BY id, x) SELECT id, x AS value, round(sc / sum(sc) OVER (PARTITION BY id), 6) AS share, CASE WHEN sum(sw) OVER (PARTITION BY id) <> 0 THEN round(sw / sum(sw) OVER (PARTITION BY id), 6) END AS weighted_share FROM h",
+    "zonal_nested": f"{_CELLS}, g AS (SELECT id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY r, c) v, string_agg(CAST(r * 50 + c AS VARCHAR), ',' ORDER BY r, c) k FROM j GROUP BY id) " + _ALL.format("coalesce(v, '') AS \"values\", coalesce(k, '') AS cell_id"),
+    "zonal_lines": _LINE[: _LINE.rindex("SELECT id,")].rstrip() + ", g AS (SELECT id, sum(len) n, sum(len * x) s, max(x) hi FROM (SELECT l.id, x, CAST(CAST(len AS FLOAT) AS DOUBLE) len FROM l JOIN vals ON l.r = vals.r AND l.c = vals.c) GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean, hi AS max"),
+    # no sweep here: overlaps of boxes, and for the diamond the integral over x between its break points
+    "coverage_by_clipping": "WITH" + _ZONES + """,
+b AS (SELECT z.id, nr, sg, zx + zw * ax x0, zx + zw * bx x1, zy + zh * ay y0, zy + zh * byy y1 FROM z JOIN (VALUES (0, 1, 0, 0, 1, 1), (2, 1, 0, 0, 1, 0.5), (2, 1, 0, 0.5, 0.5, 1), (3, 1, 0, 0, 1, 1), (3, -1, 0.25, 0.25, 0.75, 0.75)) t(shape, sg, ax, ay, bx, byy) ON z.shape = t.shape),
+bc AS (SELECT *, unnest(generate_series(CAST(greatest(floor(x0), 0) AS INT), CAST(least(ceil(x1), 50) AS INT) - 1)) c FROM b),
+bb AS (SELECT *, unnest(generate_series(CAST(greatest(floor(nr - y1), 0) AS INT), CAST(least(ceil(nr - y0), nr) AS INT) - 1)) r FROM bc),
+ba AS (SELECT id, r, c, CAST(sum(sg * greatest(least(x1, c + 1) - greatest(x0, c), 0) * greatest(least(y1, nr - r) - greatest(y0, nr - r - 1), 0)) AS DOUBLE) cov FROM bb GROUP BY id, r, c),
+d AS (SELECT id, nr, CAST(zx + zw / 2 AS DOUBLE) mx, CAST(zy + zh / 2 AS DOUBLE) my, CAST(zw / 2 AS DOUBLE) a, CAST(zh / 2 AS DOUBLE) b FROM z WHERE shape = 1),
+dc AS (SELECT *, unnest(generate_series(CAST(greatest(floor(mx - a), 0) AS INT), CAST(least(ceil(mx + a), 50) AS INT) - 1)) c FROM d),
+dd AS (SELECT *, unnest(generate_series(CAST(greatest(floor(nr - my - b), 0) AS INT), CAST(least(ceil(nr - my + b), nr) AS INT) - 1)) r FROM dc),
+dk AS (SELECT *, nr - r - 1 lo, nr - r hi, unnest([c, c + 1, mx, mx - a, mx + a, mx - a * (1 - abs(nr - r - my) / b), mx + a * (1 - abs(nr - r - my) / b), mx - a * (1 - abs(nr - r - 1 - my) / b), mx + a * (1 - abs(nr - r - 1 - my) / b)]) k FROM dd),
+dx AS (SELECT DISTINCT id, r, c, mx, my, a, b, lo, hi, least(greatest(k, c), c + 1) k FROM dk),
+df AS (SELECT *, greatest(least(my + b * (1 - abs(k - mx) / a), hi) - greatest(my - b * (1 - abs(k - mx) / a), lo), 0) f FROM dx),
+dt AS (SELECT id, r, c, (lead(k) OVER w - k) * (f + lead(f) OVER w) / 2 area FROM df WINDOW w AS (PARTITION BY id, r, c ORDER BY k)),
+cv AS (SELECT * FROM ba UNION ALL SELECT id, r, c, sum(area) FROM dt GROUP BY id, r, c)
+SELECT cv.id, CAST(cv.r AS INT) AS row, CAST(cv.c AS INT) AS col, round(CAST(CAST(cov AS FLOAT) AS DOUBLE), 6) AS coverage, x AS value, w AS weight FROM cv
+LEFT JOIN vals ON cv.r = vals.r AND cv.c = vals.c LEFT JOIN wts ON CAST(floor(cv.r / 2) AS INT) = wts.r2 AND CAST(floor(cv.c / 2) AS INT) = wts.c2 WHERE cov > 1e-9""",
+    "zonal_multipolygons": """WITH p0 AS (SELECT CAST(count(*) // 50 AS INT) nr FROM part),
+vals AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size x FROM part WHERE p_size % 10 <> 0),
+b AS (SELECT s_suppkey id, nr, (s_suppkey * 29 % 320) / 8 + dx x0, (s_suppkey * 41 % (nr * 8 - 24)) / 8 y0 FROM supplier, p0, (VALUES (0.0), (6.0)) t(dx)),
+o AS (SELECT id, x, greatest(least(x0 + 1.5, c + 1) - greatest(x0, c), 0) * greatest(least(y0 + 2.25, nr - r) - greatest(y0, nr - r - 1), 0) cov FROM b JOIN vals ON c BETWEEN floor(x0) AND floor(x0 + 1.5) AND r BETWEEN floor(nr - y0 - 2.25) AND floor(nr - y0)),
+g AS (SELECT id, sum(cov) n, sum(x * cov) s FROM o GROUP BY id) """ + _ALL.format("CAST(round(coalesce(n, 0), 6) AS DOUBLE) AS count, CAST(round(coalesce(s, 0), 6) AS DOUBLE) AS sum"),
+    "zonal_bands": f"{_CELLS}, pb AS (SELECT band, CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * band % 11 x FROM part, generate_series(1, 4) t(band) WHERE p_size % 10 <> band), jb AS (SELECT id, band, cov, pb.x FROM cov JOIN pb ON cov.r = pb.r AND cov.c = pb.c), mu AS (SELECT id, band, sum(cov) n, sum(x * cov) / sum(cov) mu, count(DISTINCT x) k FROM jb GROUP BY id, band), g AS (SELECT jb.id, jb.band, any_value(n) n, any_value(mu) mu, any_value(k) k, sum(cov * (x - mu) * (x - mu)) / any_value(n) v FROM jb JOIN mu ON jb.id = mu.id AND jb.band = mu.band GROUP BY jb.id, jb.band) SELECT s_suppkey AS id, CAST(t.band AS INT) AS band, round(coalesce(n, 0), 6) AS count, round(mu, 6) AS mean, coalesce(k, 0) AS variety, round(v, 6) AS variance FROM supplier CROSS JOIN generate_series(1, 4) t(band) LEFT JOIN g ON s_suppkey = g.id AND t.band = g.band",
+    "zonal_bands_wide": f"{_CELLS}, pb AS (SELECT band, CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * band % 11 x FROM part, generate_series(1, 3) t(band) WHERE p_size % 10 <> band), g AS (SELECT id, " + ", ".join(f"sum(CASE WHEN band = {k} THEN cov END) n{k}, sum(CASE WHEN band = {k} THEN cov * pb.x END) s{k}" for k in (1, 2, 3)) + " FROM cov JOIN pb ON cov.r = pb.r AND cov.c = pb.c GROUP BY id) " + _ALL.format(", ".join(f"round(coalesce(n{k}, 0), 6) AS band_{k}_count, round(coalesce(s{k}, 0), 6) AS band_{k}_sum" for k in (1, 2, 3))),
+    "features_geojson": f"""{_CELLS}, g AS (SELECT id, count(DISTINCT x) v, max(x) hi FROM j GROUP BY id),
+corner(shape, k, fx, fy) AS (VALUES {", ".join(f"({s}, {k}, {float(p[0])}, {float(p[1])})" for s in (0, 1, 2) for k, p in enumerate([*SHAPES[s][0], SHAPES[s][0][0]]))}),
+shape AS (SELECT id, string_agg('[' || CAST(CAST(zx + zw * fx AS DOUBLE) AS VARCHAR) || ', ' || CAST(CAST(zy + zh * fy AS DOUBLE) AS VARCHAR) || ']', ', ' ORDER BY k) p FROM z JOIN corner ON z.shape = corner.shape GROUP BY id)
+SELECT '{{"type":"Feature","id":' || s.id || ',"geometry":{{"type": "Polygon", "coordinates": [[' || p || ']]}},"properties":{{"variety":' || coalesce(v, 0) || ',"max":' || coalesce(CAST(hi AS VARCHAR), 'null') || '}}}}' AS value FROM shape s LEFT JOIN g ON s.id = g.id""",
 }

@@ -1,15 +1,17 @@
-"""Zonal statistics: the planner that turns requests into one lazy DataFrame.
+"""Zonal statistics: the planner that turns requests into one DataFrame.
 
-Requests that share rasters and options share one table of joined cells;
-coverage is computed once for all. Filters, joins and aggregation are left to
-Catalyst; a feature without cells still has a row (left join from features).
+Coverage is computed once and joined once with every raster in use; each
+request sees that one table through its own filter. Where the statistics need
+more than one pass over it, it is written once to the shared folder, so that
+no pass repeats the joins. Rasters kept in tiles are read only where features
+lie. A feature without cells still has a row (left join from features).
 """
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from gridloom.operators import statistics as st
 from gridloom.operators.coverage import coverage
 from gridloom.operators.custom import CustomStat, custom_results
 from gridloom.sources.geometry import edges
+from gridloom.shared import cut, fresh, numbered
 from gridloom.sources.raster import Raster, cell_area, prepare
 
 COVERAGE_WEIGHTS = ("fraction", "none", "area_cartesian", "area_spherical_m2", "area_spherical_km2")
@@ -94,38 +97,80 @@ def _index(grid: Grid, common: Grid) -> tuple[Column, Column, Column]:
     return row, col, row.between(0, grid.rows - 1) & col.between(0, grid.cols - 1)
 
 
-def _attach(cells: DataFrame, raster: Raster, common: Grid, out: str, outer: bool) -> DataFrame:
-    """Cells with the raster's value as ``out``; ``outer`` keeps cells without one."""
+def attach(cells: DataFrame, raster: Raster, common: Grid, out: str, outer: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with the raster's value as ``out`` and its columns ``keep``; ``outer`` keeps cells without a value."""
     row, col, _ = _index(raster.grid, common)
-    r = raster.cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias(out))
+    r = raster.cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias(out), *keep)
     if not outer:
         r = r.where(F.col(out).isNotNull())
     return cells.join(r, (row == F.col("_r")) & (col == F.col("_c")), "left" if outer else "inner").drop("_r", "_c")
 
 
-def joined_cells(cov: DataFrame, op: Operation, rasters: dict[str, Raster], weights: dict[str, Raster], grid: Grid) -> DataFrame:
-    """``fid, row, col, c, x, w`` of the cells that an operation's key sees."""
-    values = rasters[op.values]
-    cells = cov.where(F.col("cov") >= F.lit(op.min_coverage).cast("float")) if op.min_coverage > 0 else cov
-    outer = op.default_value is not None or op.custom is not None
-    cells = _attach(cells, values, grid, "x", outer)
+#: Estimated bytes of a raster from which it is worth a job to know which of its cells are covered.
+LARGE_RASTER = 256 << 20
+#: Covered cells (some 40 bytes each) that are sent to the tasks that read such a raster.
+MOST_CELLS = 1_000_000
+
+
+def near_features(rasters: list[Raster], cov: DataFrame, edges_: DataFrame, kinds: str, grid: Grid) -> tuple[list[Raster], DataFrame]:
+    """The rasters without tiles, and large ones without cells, that no feature covers; and the coverage.
+
+    A raster in tiles is read near features only. If one is still large by
+    Spark's estimate, the coverage is written once and counted: up to
+    :data:`MOST_CELLS` cells go to every task, so that the raster's other cells
+    never leave the task that reads them. Beyond, raster and coverage shuffle.
+    """
+    rasters = [r.read_near(edges_, kinds) for r in rasters]
+    size = lambda r: int(str(r.cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # rows from the driver have no estimate, which Spark writes as a very large one
+    large = [LARGE_RASTER <= size(r) < 1 << 60 for r in rasters]
+    if any(large):
+        cov = cut(cov, "zs-coverage")
+        if cov.count() <= MOST_CELLS:
+            rasters = [_covered(r, cov, grid) if x else r for r, x in zip(rasters, large, strict=True)]
+    return rasters, cov
+
+
+def _covered(raster: Raster, cov: DataFrame, grid: Grid) -> Raster:
+    """The raster's covered cells."""
+    row, col, inside = _index(raster.grid, grid)
+    places = F.broadcast(cov.where(inside).select(row.alias("_r"), col.alias("_c")).distinct())
+    return replace(raster, cells=raster.cells.join(places, (F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c")), "left_semi"))
+
+
+def joined_cells(cov: DataFrame, used: list[Raster], grid: Grid, outer: bool) -> DataFrame:
+    """``fid, row, col, cov, v0, v1, ...``: covered cells with the value of each raster in use; ``outer`` keeps cells without any."""
+    for k, r in enumerate(used):
+        cov = attach(cov, r, grid, f"v{k}", outer or k > 0)
+    return cov
+
+
+def cells_of(joined: DataFrame, op: Operation, used: list[Raster], values: Raster, weight: Raster | None, grid: Grid) -> DataFrame:
+    """``fid, row, col, c, x, w`` of the joined cells that an operation's key sees."""
+    at = {id(r): F.col(f"v{k}") for k, r in enumerate(used)}
+    cells = joined.where(F.col("cov") >= F.lit(op.min_coverage).cast("float")) if op.min_coverage > 0 else joined
+    x = at[id(values)]
     if op.default_value is not None:
         inside = _index(values.grid, grid)[2]
-        cells = cells.withColumn("x", F.coalesce("x", F.when(inside, F.lit(op.default_value).cast(values.cells.schema["value"].dataType))))
+        x = F.coalesce(x, F.when(inside, F.lit(op.default_value).cast(values.cells.schema["value"].dataType)))
     if op.custom is None:
-        cells = cells.where("x is not null")
+        cells = cells.where(x.isNotNull())
     cover = {"fraction": lambda: F.col("cov"), "none": lambda: F.lit(1.0).cast("float")}.get(op.coverage_weight, lambda: F.col("cov") * cell_area(grid, F.col("row"), op.coverage_weight.removeprefix("area_")))()
-    cells = cells.withColumn("c", cover.cast("double"))
-    if op.key[1] is not None:
-        cells = _attach(cells, weights[op.key[1]], grid, "w0", True)
-        w = F.col("w0").cast("double")
-        missing = op.default_weight if op.default_weight is not None else None
-        if op.custom is None:
-            w = F.coalesce(w, F.lit(st.NAN if missing is None else missing))
-        elif missing is not None:
-            w = F.coalesce(w, F.lit(missing))
-        return cells.select("fid", "row", "col", "c", "x", w.alias("w"))
-    return cells.select("fid", "row", "col", "c", "x", F.lit(None).cast("double").alias("w"))
+    w = F.lit(None).cast("double")
+    if weight is not None:
+        w = at[id(weight)].cast("double")
+        if op.default_weight is not None:
+            w = F.coalesce(w, F.lit(op.default_weight))
+        elif op.custom is None:
+            w = F.coalesce(w, F.lit(st.NAN))
+    return cells.select("fid", "row", "col", cover.cast("double").alias("c"), x.alias("x"), w.alias("w"))
+
+
+def passes(ops: list[Operation]) -> int:
+    """How often the cells of operations of one key are read."""
+    of = {o.stat for o in ops if o.custom is None}
+    has = lambda names: bool(of & set(names))
+    return has(st.SCALAR) + 2 * has(st.MOMENT) + has(st.HISTOGRAM) + has(st.QUANTILE) + has(st.ARRAY) + has(st.CATEGORY) + sum(o.custom is not None for o in ops)
 
 
 def coverage_table(rasters, features: DataFrame, key: str, geometry: str = "geometry", weights=None, kinds: str = "PL", grid_compat_tol: float = 1e-3) -> DataFrame:
@@ -133,8 +178,8 @@ def coverage_table(rasters, features: DataFrame, key: str, geometry: str = "geom
     rs, ws = prepare(rasters), prepare(weights)
     grid = common_grid([r.grid for r in (*rs, *ws)], grid_compat_tol)
     cov = coverage(edges(features, key, geometry), grid, kinds)
-    cells = _attach(cov, rs[0], grid, "value", True)
-    cells = _attach(cells, ws[0], grid, "weight", True) if ws else cells.withColumn("weight", F.lit(None).cast("double"))
+    cells = attach(cov, rs[0], grid, "value", True)
+    cells = attach(cells, ws[0], grid, "weight", True) if ws else cells.withColumn("weight", F.lit(None).cast("double"))
     row, col, inside = _index(rs[0].grid, grid)
     return cells.select("fid", "row", "col", _x_of(grid).alias("x_center"), _y_of(grid).alias("y_center"), F.when(inside, row.cast("long") * rs[0].grid.cols + col).alias("cell_id"), F.col("cov").cast("double").alias("coverage"), "value", F.col("weight").cast("double").alias("weight"), cell_area(grid, F.col("row"), "cartesian").cast("double").alias("area"))
 
@@ -147,7 +192,7 @@ def _y_of(grid: Grid) -> Column:
     return F.lit(grid.ymax) - (F.col("row") + 0.5) * F.lit(grid.dy)
 
 
-def _results(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
+def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
     """Tables by ``fid`` with the results of operations of one key."""
     out = []
     of = lambda names: [o for o in ops if o.stat in names and o.custom is None]
@@ -180,9 +225,24 @@ def _results(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid)
     return out
 
 
-def plan_operations(rasters: list[Raster], weights: list[Raster], ops) -> list[Operation]:
+def own_rasters(ops) -> tuple[list, dict[str, Raster]]:
+    """Requests that hold rasters themselves, with names in their place, and those rasters by name."""
+    found: dict[str, Raster] = {}
+
+    def name(r) -> str | None:
+        if not isinstance(r, Raster):
+            return r
+        key = next((k for k, x in found.items() if x is r), f"@{len(found)}")
+        found[key] = r
+        return key
+
+    many = [ops] if isinstance(ops, (str, Descriptor, Request, CustomStat)) or callable(ops) else list(ops)
+    return [replace(o, values=name(o.values), weights=name(o.weights)) if isinstance(o, Request) else o for o in many], found
+
+
+def plan_operations(rasters: list[Raster], weights: list[Raster], ops, own: dict[str, Raster] | None = None) -> list[Operation]:
     """Descriptors, requests and functions as checked operations with distinct names."""
-    by_name = {r.name: r for r in (*weights, *rasters)}
+    by_name = {r.name: r for r in (*weights, *rasters)} | (own or {})
     out: list[Operation] = []
     for op in [ops] if isinstance(ops, (str, Descriptor, Request, CustomStat)) or callable(ops) else ops:
         custom = None
@@ -195,8 +255,9 @@ def plan_operations(rasters: list[Raster], weights: list[Raster], ops) -> list[O
         for r in expand([op], [x.name for x in rasters], [x.name for x in weights]):
             if custom is not None:
                 r = Request(custom.name, r.name.replace(op.stat, custom.name), r.values, r.weights, r.args)
-            if r.values not in by_name:
-                raise DescriptorError(f"Unknown raster {r.values} in stat {r.stat}")
+            for raster in (r.values, *([r.weights] if r.weights is not None else [])):
+                if raster not in by_name:
+                    raise DescriptorError(f"Unknown raster {raster} in stat {r.stat}")
             out.append(check(r, by_name[r.values].dtype, custom))
     unique_names([o.name for o in out])
     return out
@@ -230,49 +291,75 @@ def zonal_stats(
     grid_compat_tol: float = 1e-3,
     max_cells_in_memory: int = 30_000_000,
     progress: Callable[[float, str], None] | None = None,
+    frac_as_map: bool = False,
 ) -> DataFrame:
     """One row for each feature: geometry (if asked), included columns, then a column for each operation.
 
-    ``kinds`` limits the plan to polygons (``P``) or lines (``L``) where that is
-    known. ``strategy`` and ``max_cells_in_memory`` are accepted for callers
-    that set them; Spark partitions and spills either way.
+    ``rasters`` may be None where every operation is a :class:`Request` that
+    holds its rasters. ``frac_as_map`` gives ``frac`` and ``weighted_frac`` as
+    maps from value to share. An operation can't have the name of an included
+    column. ``kinds`` limits the plan to polygons (``P``) or lines (``L``)
+    where that is known. ``strategy`` and ``max_cells_in_memory`` are accepted
+    for callers that set them; Spark partitions and spills either way.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"Unknown strategy: {strategy}")
     if max_cells_in_memory <= 0:
         raise ValueError("Invalid value for max_cells_in_memory")
     rs, ws = prepare(rasters), prepare(weights)
-    plan = plan_operations(rs, ws, ops)
-    warn_crs(features_srs, rs, ws)
+    ops, own = own_rasters(ops)
+    plan = plan_operations(rs, ws, ops, own)
+    warn_crs(features_srs, [*rs, *own.values()], ws)
     if progress:
         progress(0.0, "")
-    of_values, of_weights = {r.name: r for r in rs}, {r.name: r for r in (*rs, *ws)}
-    used = {id(r): r for o in plan for r in (of_values[o.values], *([of_weights[o.key[1]]] if o.key[1] is not None else []))}
-    f = features.withColumn("_fid", F.monotonically_increasing_id())
     include = [include_cols] if isinstance(include_cols, str) else list(include_cols or [])
-    base = f.select("_fid", *([geometry] if include_geom else []), *include)
-    out, columns = base, {}
+    shown = [*([geometry] if include_geom else []), *include]
+    unique_names([*shown, *(o.name for o in plan)])
+    of_values, of_weights = own | {r.name: r for r in rs}, own | {r.name: r for r in (*rs, *ws)}
+    pairs = [(of_values[o.values], of_weights[o.key[1]] if o.key[1] is not None else None) for o in plan]
+    fid, other = fresh(features, "fid", "f")
+    f = numbered(features, fid, "zs-features")
+    out, columns = f.select(fid, *shown), {}
     if plan:
-        grid = common_grid([r.grid for r in used.values()], grid_compat_tol)
-        cov = coverage(edges(f, "_fid", geometry), grid, kinds)
+        used = list({id(r): r for pair in pairs for r in pair if r is not None}.values())
+        # the values come first: with one value raster and no use for cells outside it, its join is an inner one
+        used.sort(key=lambda r: not any(r is v for v, _ in pairs))
+        grid = common_grid([r.grid for r in used], grid_compat_tol)
+        e = edges(f, fid, geometry)
+        used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid)
+        outer = len({id(v) for v, _ in pairs}) > 1 or any(o.default_value is not None or o.custom is not None for o in plan)
+        joined = joined_cells(cov, used_now, grid, outer)
         groups: dict[tuple, list[Operation]] = {}
         for o in plan:
             groups.setdefault(o.key, []).append(o)
+        if sum(passes(mine) for mine in groups.values()) > 1:
+            joined = cut(joined, "zs-cells")
         k = 0
         for mine in groups.values():
-            raster = of_values[mine[0].values]
-            cells = joined_cells(cov, mine[0], of_values, of_weights, grid)
-            for table, results in _results(cells, mine, raster, grid):
+            raster, weight = next(p for o, p in zip(plan, pairs, strict=True) if o is mine[0])
+            asked = list(mine)
+            if frac_as_map and any(o.stat in ("frac", "weighted_frac") for o in mine) and not any(o.stat == "unique" for o in mine):
+                asked.append(replace(next(o for o in mine if o.stat in ("frac", "weighted_frac")), stat="unique", name=""))
+            cells = cells_of(joined, mine[0], used, raster, weight, grid)
+            for table, results in results_of(cells, asked, raster, grid):
                 named = []
                 for o, c in results:
-                    columns[o.name] = (f"_s{k}", o, raster)
+                    columns[id(o)] = f"_s{k}", o, raster
                     named.append(c.alias(f"_s{k}"))
                     k += 1
-                out = out.join(table.select(F.col("fid").alias("_f"), *named), F.col("_fid") == F.col("_f"), "left").drop("_f")
+                out = out.join(table.select(F.col("fid").alias(other), *named), F.col(fid) == F.col(other), "left").drop(other)
+            if frac_as_map:
+                keys = next((F.col(columns[id(o)][0]) for o in asked if o.stat == "unique"), None)
+                for o in mine:
+                    if o.stat in ("frac", "weighted_frac"):
+                        c = F.map_from_arrays(keys, F.col(columns[id(o)][0]))
+                        kind = f"map<{raster.result_type},double>"
+                        out = out.withColumn(columns[id(o)][0], F.coalesce(c.cast(kind), F.create_map().cast(kind)))
     final = []
     for o in plan:
-        c, _, raster = columns[o.name]
-        final.append((F.col(c) if o.custom else st.fill(o.stat, F.col(c), st.result_type(o.stat, raster.result_type))).alias(o.name))
+        c, _, raster = columns[id(o)]
+        as_it_is = o.custom or frac_as_map and o.stat in ("frac", "weighted_frac")
+        final.append((F.col(c) if as_it_is else st.fill(o.stat, F.col(c), st.result_type(o.stat, raster.result_type))).alias(o.name))
     if progress:
         progress(1.0, "")
-    return out.select(*([geometry] if include_geom else []), *include, *final)
+    return out.select(*shown, *final)

@@ -22,7 +22,7 @@ def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", colum
     elif end == "csv":
         df = spark.read.option("header", True).csv(path)
     elif end.endswith("json"):
-        df = geojson(spark, path)
+        df = geojson(spark, path, [c for c in [*([identity] if identity else []), *columns] if c not in ("id", geometry)] if columns else None)
     elif layer != "0":
         df = spark.table(layer)
     else:
@@ -34,14 +34,18 @@ def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", colum
     return with_id(df, identity, id_name, id_type) if identity else df
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON: a collection in each file, or a feature on each line; ``id`` and properties become columns."""
+def geojson(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """Features of GeoJSON: a collection in each file, or a feature on each line; ``id`` and properties become columns.
+
+    ``names`` are the properties wanted; without, a pass over the files finds them.
+    """
     text = spark.read.text(path, wholetext=True)
     kind = F.get_json_object("value", "$.type")
     whole = text.where(kind == "FeatureCollection").select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("value"))
     lines = text.where((kind != "FeatureCollection") | kind.isNull()).select(F.explode(F.split("value", "\n")).alias("value")).where(F.get_json_object("value", "$.type") == "Feature")
     f = whole.unionAll(lines).select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.properties").alias("p"), F.get_json_object("value", "$.geometry").alias("geometry"))
-    names = [r[0] for r in f.select(F.explode(F.json_object_keys("p"))).distinct().collect()]
+    if names is None:
+        names = [r[0] for r in f.select(F.explode(F.json_object_keys("p"))).distinct().collect()]
     return f.select("id", *[F.get_json_object("p", f"$['{n}']").alias(n) for n in sorted(names) if n != "id"], "geometry")
 
 
@@ -61,8 +65,10 @@ def from_records(spark: SparkSession, features) -> DataFrame:
     return spark.createDataFrame(frame[keep])
 
 
-def from_pandas(spark: SparkSession, frame, geometry: str = "geometry") -> DataFrame:
-    """Features of a pandas table; geometry objects with ``wkb`` are taken as WKB."""
+def from_pandas(spark: SparkSession, frame, geometry: str = "geometry", index: str | None = None) -> DataFrame:
+    """Features of a pandas table; geometry objects with ``wkb`` are taken as WKB, and ``index`` names a column for the table's index."""
     frame = frame.copy()
+    if index:
+        frame.insert(0, index, frame.index)
     frame[geometry] = [bytearray(g.wkb) if hasattr(g, "wkb") else g for g in frame[geometry]]
     return spark.createDataFrame(frame)

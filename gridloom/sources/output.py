@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources.geometry import to_geojson
+
 
 def _arrays(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
@@ -46,16 +52,53 @@ def with_id(df: DataFrame, column: str, name: str | None = None, kind: str | Non
     return df.select(*[F.col(c).cast({"int32": "int", "int64": "bigint", "text": "string", "float64": "double"}.get(kind, kind)).alias(name) if c == column else F.col(c) for c in df.columns])
 
 
+def _shapes(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in it:
+        yield s.map(lambda g: to_geojson(bytes(g) if isinstance(g, (bytearray, memoryview)) else g) if g is not None else None).astype(object)
+
+
 def geojson(df: DataFrame, geometry: str | None = None, identity: str | None = None) -> DataFrame:
-    """One GeoJSON feature for each row, as text in column ``value``; geometry text must be GeoJSON or null."""
+    """One GeoJSON feature for each row, as text in column ``value``.
+
+    Geometry that is GeoJSON text or null stays as it is; WKT and WKB are converted.
+    """
     rest = [c for c in df.columns if c not in (geometry, identity)]
     properties = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
     head = F.lit('{"type":"Feature",')
     mark = F.concat(F.lit('"id":'), F.to_json(F.struct(F.col(identity).alias("id"))).substr(F.lit(7), F.length(F.to_json(F.struct(F.col(identity).alias("id")))) - 7), F.lit(",")) if identity else F.lit("")
-    shape = F.coalesce(F.col(geometry), F.lit("null")) if geometry else F.lit("null")
+    shape = F.lit("null")
+    if geometry:
+        convert = F.pandas_udf(_shapes, "string")
+        g = F.col(geometry)
+        if isinstance(df.schema[geometry].dataType, T.StringType):
+            plain = F.ltrim(g).startswith("{")
+            shape = F.coalesce(F.when(plain, g).otherwise(convert(F.when(~plain, g))), F.lit("null"))
+        else:
+            shape = F.coalesce(convert(g), F.lit("null"))
     return df.select(F.concat(head, mark, F.lit('"geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
 
 
+def to_writer(df: DataFrame, writer: Callable[[int], object]) -> int:
+    """Give the rows to user-defined writers, one for each partition; gives the count of rows.
+
+    ``writer(partition)`` returns an object with ``write(row as a dict)`` and,
+    if it likes, ``finish()``. A partition that runs again gets a new writer,
+    so a writer should replace what another of its number has left.
+    """
+    names = df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, n = writer(TaskContext.get().partitionId()), 0
+        for batch in it:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                to.write(dict(zip(names, row, strict=True)))
+                n += 1
+        getattr(to, "finish", lambda: None)()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def records(df: DataFrame, array_type: str = "numpy", geometry: str | None = None, identity: str | None = None) -> list[dict]:
     """Features as dictionaries on the driver; arrays as ``numpy``, ``list`` or ``set``."""
     import numpy as np
@@ -75,9 +118,10 @@ def records(df: DataFrame, array_type: str = "numpy", geometry: str | None = Non
     return out
 
 
-def pandas(df: DataFrame):
-    """Result as a pandas table."""
-    return df.toPandas()
+def pandas(df: DataFrame, index: str | None = None):
+    """Result as a pandas table; the column ``index`` becomes its index."""
+    out = df.toPandas()
+    return out.set_index(index) if index else out
 
 
 def write(df: DataFrame, path: str, nested: bool = False, geometry: str | None = None, mode: str = "errorifexists", **options) -> None:

@@ -19,13 +19,18 @@ _OF_SPARK = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "
 
 @dataclass(frozen=True)
 class Raster:
-    """One band: a name, a grid, a cell type and its cells (no row for a missing cell is needed)."""
+    """One band: a name, a grid, a cell type and its cells (no row for a missing cell is needed).
+
+    With ``tiles`` the cells have columns ``tile_row`` and ``tile_col``, the
+    numbers of square tiles of so many cells a side.
+    """
 
     name: str
     grid: Grid
     dtype: str
     cells: DataFrame
     srs: str | None = None
+    tiles: int | None = None
 
     def __post_init__(self):
         if self.dtype not in CELL_TYPES:
@@ -45,6 +50,38 @@ class Raster:
         return replace(self, cells=self.cells.where(F.col("row").between(r, r + g.rows - 1) & F.col("col").between(c, c + g.cols - 1)))
 
 
+    def read_near(self, edges: DataFrame, kinds: str = "PL") -> Raster:
+        """The same raster with only the tiles that the boxes of features touch; as it is without tiles.
+
+        The wanted tiles are found by a job over the edges. Up to
+        :data:`MOST_TILES` they become a filter on the tile columns, which
+        prunes a scan's partitions; more are joined.
+        """
+        if self.tiles is None:
+            return self
+        g, t = self.grid, self.tiles
+        boxes = edges.where(F.col("kind").isin(list(kinds))).groupBy("fid").agg(*[whole(both(f"{a}0", f"{a}1")).alias(f"{n}{a}") for n, whole, both in (("low", F.min, F.least), ("high", F.max, F.greatest)) for a in "xy"])
+        tile = lambda x, most: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most))) / t).cast("int")
+        of_x = lambda c: tile((F.col(c) - F.lit(g.xmin)) / F.lit(g.dx), g.cols - 1)
+        of_y = lambda c: tile((F.lit(g.ymax) - F.col(c)) / F.lit(g.dy), g.rows - 1)
+        inside = boxes.where((F.col("lowx") <= g.xmax) & (F.col("highx") >= g.xmin) & (F.col("lowy") <= g.ymax) & (F.col("highy") >= g.ymin))
+        rows = inside.select(F.explode(F.sequence(of_y("highy"), of_y("lowy"))).alias("r"), of_x("lowx").alias("a"), of_x("highx").alias("b"))
+        wanted = rows.select("r", F.explode(F.sequence("a", "b")).alias("c")).distinct()
+        found = wanted.limit(MOST_TILES + 1).collect()
+        if len(found) > MOST_TILES:
+            cells = self.cells.join(wanted, (F.col("tile_row") == F.col("r")) & (F.col("tile_col") == F.col("c")), "left_semi")
+        else:
+            each = lambda k: sorted({x[k] for x in found})
+            wide = g.cols // t + 1
+            pair = (F.col("tile_row").cast("long") * wide + F.col("tile_col")).isin([x.r * wide + x.c for x in found])
+            cells = self.cells.where(F.col("tile_row").isin(each("r")) & F.col("tile_col").isin(each("c")) & pair)
+        return replace(self, cells=cells)
+
+
+#: Tiles that are a filter of the scan at most.
+MOST_TILES = 10_000
+
+
 def clean(value: Column, dtype: str, nodata=None, scale: float | None = None, offset: float | None = None, mask: Column | None = None) -> tuple[Column, str]:
     """Cell value with missing ones null, and its cell type after scaling.
 
@@ -65,11 +102,17 @@ def clean(value: Column, dtype: str, nodata=None, scale: float | None = None, of
     return out.cast(CELL_TYPES[dtype][0]), dtype
 
 
-def from_table(cells: DataFrame, grid: Grid, name: str = "", dtype: str | None = None, row: str = "row", col: str = "col", value: str = "value", mask: str | None = None, nodata=None, scale=None, offset=None, srs: str | None = None) -> Raster:
-    """A raster from a table with a row for each cell (one row at most for a place)."""
+def from_table(cells: DataFrame, grid: Grid, name: str = "", dtype: str | None = None, row: str = "row", col: str = "col", value: str = "value", mask: str | None = None, nodata=None, scale=None, offset=None, srs: str | None = None, tiles: int | None = None, keep: tuple[str, ...] = ()) -> Raster:
+    """A raster from a table with a row for each cell (one row at most for a place).
+
+    ``tiles`` says that the table has columns ``tile_row`` and ``tile_col``
+    (best as partitions) with the numbers of square tiles of that side.
+    ``keep`` names other columns that the cells keep.
+    """
     dtype = dtype or _OF_SPARK[cells.schema[value].dataType.simpleString()]
     v, dtype = clean(F.col(value), dtype, nodata, scale, offset, F.col(mask) if mask else None)
-    return Raster(name, grid, dtype, cells.select(F.col(row).cast("int").alias("row"), F.col(col).cast("int").alias("col"), v.alias("value")), srs)
+    kept = [*keep, *(["tile_row", "tile_col"] if tiles else [])]
+    return Raster(name, grid, dtype, cells.select(F.col(row).cast("int").alias("row"), F.col(col).cast("int").alias("col"), v.alias("value"), *kept), srs, tiles)
 
 
 def from_parquet(spark: SparkSession, path: str, grid: Grid, **options) -> Raster:
@@ -78,6 +121,12 @@ def from_parquet(spark: SparkSession, path: str, grid: Grid, **options) -> Raste
     return from_table(spark.read.parquet(path), grid, **options)
 
 
+def from_files(spark: SparkSession, paths: list[str], grids: Grid | list[Grid], **options) -> list[Raster]:
+    """One raster for each file of Parquet cells, named after the file; one grid for all, or one for each."""
+    each = grids if isinstance(grids, list) else [grids] * len(paths)
+    return [from_parquet(spark, p, g, **options) for p, g in zip(paths, each, strict=True)]
+
+
 def from_array(spark: SparkSession, array, extent: Box | None = None, name: str = "", nodata=None, mask=None, scale=None, offset=None, srs: str | None = None) -> Raster:
     """A raster from a two-dimensional array (masked arrays too); the extent is (0, 0, columns, rows) by default."""
     import numpy as np
