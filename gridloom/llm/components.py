@@ -4,7 +4,7 @@ Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): each round halves the height of
 the label trees, so the count of rounds grows with the logarithm of the
 longest path. Links never reach the driver; each round is cut into the shared
-folder.
+folder once.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     while True:
         both = edges.selectExpr("a u", "b v").unionAll(edges.selectExpr("b u", "a v"))
         large = both.join(_star(both), "u").where("v > u").selectExpr("v a", "m b").distinct()
-        large = cut(large, label)
         low = large.selectExpr("a u", "b v")
         low_min = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(low_min, "u").select(
@@ -44,7 +43,6 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
         )
         new = cut(small.select("e.a", "e.b").where("a <> b").distinct(), label)
         now = _measure(new)
-        drop_cut(large)
         drop_cut(edges)
         edges = new
         if now == was:

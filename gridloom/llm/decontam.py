@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids
+from .common import cut, keep_ids, tidy
 
 #: Rows of item hashes that are broadcast at once (24 bytes each).
 BLOCK = 200_000
@@ -53,6 +53,7 @@ def _blocks(rows: DataFrame, n: int) -> list[DataFrame]:
     return [F.broadcast(rows.where(F.pmod(F.xxhash64("h", "item_id"), F.lit(k)) == b)) for b in range(k)]
 
 
+@tidy("dc-result")
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``items(item_id, text)`` -> ``doc_id, item_id, n_common, n_item, containment`` of 0.75 or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
 from .html_pages import KINDS, labelled_pages
 from .html_tree import Node, attributes, parse
 
@@ -193,7 +194,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     key_type = pages.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             texts = [model.text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 

@@ -11,7 +11,8 @@ buckets, star-shaped candidate links (operator 5).
 3. 51 bands of 5 bins give bucket keys. In each bucket only the least document
    is linked with the others (a star): the count of candidates is linear in
    the rows of the buckets.
-4. Each document first meets two of its centres; the candidates are confirmed
+4. The full sets of documents that share a bucket are written once. Each
+   document first meets two of its centres; the candidates are confirmed
    on the full sets and joined to components. Other centres follow only where
    they are still in another component.
 5. A star alone can miss a link between two members that both differ from the
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, cut, drop_cut, keep_ids, mix64, shingles, utf8
+from .common import cut, keep_ids, lists, mix64, shingle_sets, sliced, tidy
 from .components import components
 
 BINS, ROWS = 256, 5
@@ -58,75 +59,95 @@ FIRST_TRIES = 4
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
+#: Lenders that every empty bin tries at once; of those without luck each document's are sought by themselves.
+TRIES = 24
+
+
 @functools.cache
-def _borrow_order(bins: int) -> np.ndarray:
-    """For each bin the rank of every bin as a lender, an independent order for each."""
+def _lenders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin all bins in an independent random order, and each bin's place in that order."""
     rng = np.random.default_rng(20170811)
-    return np.argsort(rng.random((bins, bins)), axis=1).astype(np.int16)
+    order = np.argsort(rng.random((bins, bins)), axis=1).astype(np.int16)
+    return order, np.argsort(order, axis=1).astype(np.int16)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def one_permutation(hashes: np.ndarray, count: int = BINS) -> np.ndarray:
-    """Densified sketch of a sorted non-empty set of 64-bit hashes; ``count`` is a power of two."""
-    bins = (hashes >> np.uint64(65 - count.bit_length())).astype(np.intp)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    full = bins[first]
-    out = np.empty(count, np.uint64)
-    out[full] = hashes[first]
-    if len(full) < count:
-        mask = np.ones(count, bool)
-        mask[full] = False
-        empty = np.flatnonzero(mask)
-        out[empty] = out[full[_borrow_order(count)[np.ix_(empty, full)].argmin(axis=1)]]
+def one_permutation(flat: np.ndarray, at: np.ndarray, count: int = BINS) -> np.ndarray:
+    """Densified sketches, a row each, of sorted non-empty sets ``flat[at[i]:at[i+1]]`` of 64-bit hashes; ``count`` is a power of two."""
+    rows = len(at) - 1
+    place = np.repeat(np.arange(rows) * count, np.diff(at)) + (flat >> np.uint64(65 - count.bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out, has = np.zeros(rows * count, np.uint64), np.zeros(rows * count, bool)
+    out[place[first]] = flat[first]
+    has[place[first]] = True
+    out, has = out.reshape(rows, count), has.reshape(rows, count)
+    order, rank = _lenders(count)
+    row, bin_ = np.nonzero(~has)
+    for t in range(TRIES):
+        lender = order[bin_, t]
+        ok = has[row, lender]
+        out[row[ok], bin_[ok]] = out[row[ok], lender[ok]]
+        row, bin_ = row[~ok], bin_[~ok]
+    for i in np.unique(row).tolist():
+        full, empty = np.flatnonzero(has[i]), bin_[row == i]
+        out[i, empty] = out[i, full[rank[np.ix_(empty, full)].argmin(axis=1)]]
     return out
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band."""
-    rows = sketch[: BANDS * ROWS].reshape(BANDS, ROWS)
-    key = _SALT.copy()
+    """One 64-bit bucket key for each band of each sketch."""
+    rows = sketch[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    key = np.tile(_SALT, (len(rows), 1))
     for j in range(ROWS):
-        key = key * _STEP + rows[:, j]
+        key = key * _STEP + rows[:, :, j]
     return mix64(key).view(np.int64)
 
 
 def sketch_bits(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each bin, 16 bins to a word."""
+    """Four bits of each bin of each sketch, 16 bins to a word."""
     low = (mix64(sketch) & np.uint64(15)).astype(np.uint8)
-    return ((low[0::2] << 4) | low[1::2]).view(np.int64)
+    return ((low[:, 0::2] << 4) | low[:, 1::2]).view(np.int64)
+
+
+def _some_lists(full: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """A list for each row of ``full``, the next of ``rows``' rows; null where not full."""
+    offsets = np.concatenate(([0], np.cumsum(full * rows.shape[1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)), mask=pa.array(~full))
 
 
-#: A worker's memo of word hashes, for all passes.
-_memo = WordHashes()
+def _digests(flat: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    raw, ends = memoryview(flat).cast("B"), at.tolist()
+    return [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) if b > a else None for a, b in zip(ends, ends[1:])]
 
 
-def _sketch_batch(batch: pa.RecordBatch) -> dict:
-    sizes, keys, bands = [], [], []
-    for text in utf8(batch.column(1)):
-        s = shingles(text, _memo)
-        sizes.append(len(s))
-        keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-        bands.append(band_keys(one_permutation(s)) if len(s) else None)
-    return {"doc_id": batch.column(0), "n_shingles": sizes, "set_key": keys, "bands": bands}
+def _sketch_slice(others: list, data: np.ndarray, bounds: np.ndarray) -> list:
+    flat, at = shingle_sets(data, bounds)
+    n = np.diff(at)
+    keys = band_keys(one_permutation(flat, np.unique(at)))
+    return [others[0], pa.array(n), pa.array(_digests(flat, at), pa.binary()), _some_lists(n > 0, keys)]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> size, digest and band keys of each row's set."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        batches(_sketch_batch, _SKETCH), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        sliced(_sketch_slice, _SKETCH), "doc_id long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
-_FINE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("set", pa.list_(pa.int64()))])
+_FINE = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("set", pa.list_(pa.int64()))])
+_FINE_DDL = "doc_id long, set_key binary, n long, bands array<long>, bits array<long>, set array<long>"
 
 
-def _fine_batch(batch: pa.RecordBatch, percent: int) -> dict:
-    sets = [shingles(t, _memo) for t in utf8(batch.column(1))]
-    bands = [band_keys(one_permutation(s)) if len(s) else None for s in sets]
-    return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "bands": bands, "bits": [sketch_bits(one_permutation(s, FINE_BINS)) if len(s) else None for s in sets], "set": [s.view(np.int64) if percent * len(s) < 100 * SMALL else None for s in sets]}
+def _fine_slice(others: list, data: np.ndarray, bounds: np.ndarray, percent: int) -> list:
+    flat, at = shingle_sets(data, bounds)
+    n, real = np.diff(at), np.unique(at)
+    small = (n > 0) & (percent * n < 100 * SMALL)
+    sets = flat[np.repeat(small, n)].view(np.int64)
+    own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n * small))).astype(np.int32)), pa.array(sets), mask=pa.array(~small))
+    return [others[0], pa.array(_digests(flat, at), pa.binary()), pa.array(n), _some_lists(n > 0, band_keys(one_permutation(flat, real))), _some_lists(n > 0, sketch_bits(one_permutation(flat, real, FINE_BINS))), own]
 
 
 def _differ_first(a: str, b: str, words: int) -> Column:
@@ -142,24 +163,34 @@ def _differ(a: str, b: str) -> Column:
 _SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
-def _set_batch(batch: pa.RecordBatch) -> dict:
-    return {"doc_id": batch.column(0), "set": [shingles(t, _memo).view(np.int64) for t in utf8(batch.column(1))]}
+def _set_slice(others: list, data: np.ndarray, bounds: np.ndarray) -> list:
+    return [others[0], lists(*shingle_sets(data, bounds))]
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets have ``100 * both >= percent * either``."""
+def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, set`` of the documents among ``ids``, whole sets."""
+    wanted = keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids)
+    return cut(wanted.mapInArrow(sliced(_set_slice, _SETS), "doc_id long, set array<long>"), "nd-sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
+    """Those of distinct ``pairs(a, b)`` whose full sets have ``100 * both >= percent * either``.
+
+    The joins stand alone in their stages, so that adaptive execution can deal
+    a centre of very many pairs to several tasks; rows that repeat a
+    ``doc_id`` give a pair more than once, which is mended after.
+    """
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-wanted")
-    sets = keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(batches(_set_batch, _SETS), "doc_id long, set array<long>")
-    sets = cut(sets, "nd-sets")
+    sets = keep_ids(sets, wanted)
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     sized = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    out = cut(sized.where(F.expr(f"100 * both >= {percent} * (total - both)")).select("a", "b").distinct(), "nd-links")
-    drop_cut(sets)
-    return out
+    met = cut(sized.where(F.expr(f"100 * both >= {percent} * (total - both)")).select("a", "b"), "nd-met")
+    return cut(met.distinct(), "nd-links")
 
 
+@tidy("nd-result")
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_shingles, component_id, kept``, a row for each row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -173,12 +204,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z").select("key", "c")
     shared = cut(keys.join(stars, "key"), "nd-buckets")
+    # whatever is compared shares a bucket: sets are made once, for these documents
+    sets = shingle_table(base, cut(shared.select("doc_id").distinct(), "nd-candidates"))
     spokes = cut(shared.where("doc_id <> c").groupBy(F.col("doc_id").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")), "nd-stars")
 
     # at most two centres for each document: its least one and the one it shares most buckets with
     near = spokes.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max_by("b", "n"))).alias("bs"))
     tried = cut(near.select("a", F.explode("bs").alias("b")), "nd-pairs")
-    links = confirmed(base, tried, percent)
+    links = confirmed(sets, tried, percent)
     found = cut(components(links), "nd-cc")
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -192,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         nonlocal links, found, tried
         pairs = cut(pairs, "nd-pairs")
         if pairs.limit(1).count():
-            more = confirmed(base, pairs, percent)
+            more = confirmed(sets, pairs, percent)
             tried = tried.unionAll(pairs)
             if more.limit(1).count():
                 links = links.unionAll(more)
@@ -206,8 +239,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     marked = cut(marked, "nd-marked")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
     open_ = cut(marked.join(mixed, "key"), "nd-open")
-    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(batches(functools.partial(_fine_batch, percent=percent), _FINE), "doc_id long, n long, bands array<long>, bits array<long>, set array<long>")
-    open_ = open_.join(cut(fine.dropDuplicates(["doc_id"]), "nd-fine"), "doc_id")
+    fine = keep_ids(base, cut(open_.select("doc_id").distinct(), "nd-wanted")).mapInArrow(sliced(functools.partial(_fine_slice, percent=percent), _FINE), _FINE_DDL)
+    # of rows that repeat a doc_id, each text takes part
+    fine = cut(fine, "nd-fine").dropDuplicates(["doc_id", "set_key"]).drop("set_key")
+    open_ = open_.join(fine, "doc_id")
     u = open_.where("comp <> low").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"), F.col("bands").alias("ka"), F.col("set").alias("sa"))
     v = open_.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("bands").alias("kb"), F.col("set").alias("sb"), "low")
     words = COARSE_BINS // 16

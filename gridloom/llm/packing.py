@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut
+from .common import cut, small
 
 WINDOW = 4096
 #: Ids of a piece at most, of the documents that don't fill a window.
@@ -160,7 +160,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, piece: in
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, s = tokens.encoder(tokenizer), _Shard(window, shard, 0, TaskContext.get().partitionId())
-        for batch in it:
+        for batch in small(it):
             doc_ids = batch.column(0).to_pylist()
             for row, ids, bounds in encoder.column(batch.column(1), end_id):
                 raw, ends = memoryview(ids).cast("B"), bounds.tolist()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, shared_path
+from .common import cut, shared_path, small
 from .files import write_file
 
 MAGIC, BLOCK, CHUNK = b"GWM2", 512, 1 << 18
@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = tokens.DEFAULT,
             write_file(folder, f"{part:06d}-{shard:06d}.gwm", wm.to_bytes())
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "n_ids": [wm.n], "n_docs": [len(lengths)]}, schema=_SHARDS)
 
-        for batch in it:
+        for batch in small(it):
             nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy()
             for row, ids, at in encoder.column(batch.column(1), end_id):
