@@ -4,20 +4,21 @@ A gear rolling hash over the UTF-8 bytes (16-byte window) ends a chunk where
 its top five bits are zero, or where it is least if that is nowhere within 96
 bytes, so boundaries move with the text and an insertion disturbs only the
 chunks it touches. Chunks have 12 to 96 bytes (but for the
-last of a text). Each chunk goes by its 64-bit digest; the least ``doc_id``
-that holds a digest owns it. In any other document the chunks owned elsewhere
-are anchors only: from the outer :data:`OUTER` chunks of a run of
+last of a text). Each chunk goes by its 64-bit digest; the first
+place of a digest, by ``doc_id`` and then by position, owns it. Everywhere
+else, later in the same document too, the chunk is an anchor only: from the outer :data:`OUTER` chunks of a run of
 :data:`ANCHOR` bytes or more the match is extended byte by byte against the
 owner's text, up to :data:`CONTEXT` bytes from the anchor (a match runs past a
 chunk only where the two texts are cut out of step). The extended run is
 removed if it has :data:`LEAST_WORDS` whole words or more.
 
-What is removed stays in a document of lesser id; where that one loses a part
-of it in turn, in one of lesser id still.
+What is removed stays at an earlier place; where that one loses a part of it in
+turn, at one earlier still. A passage that a document repeats stays there once.
 
 Rows: null texts stay null, empty texts empty. A row with null ``doc_id``
-neither owns nor loses text. Rows that repeat a ``doc_id`` share ownership:
-they do not lose text to each other. Other columns pass through unchanged.
+neither owns nor loses text. Rows that repeat a ``doc_id`` count as one
+document: of places with equal positions neither loses text to the other.
+Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, cut, fresh, keep_ids, utf8
+from .common import batches, cut, drop_cut, fresh, keep_ids, small, utf8
 
 LEAST, MOST = 12, 96
-#: Whole words that a removed run has at least.
-LEAST_WORDS = 20
+#: Whole words that a removed run has at least: some 50 tokens, as is usual for exact substrings.
+LEAST_WORDS = 40
 #: Bytes of a run of common chunks that is extended at least, chunks at each end to extend from, bytes of the owner's text to compare.
 ANCHOR, OUTER, CONTEXT = 32, 3, 256
 
@@ -201,16 +202,23 @@ def substring_dedup(docs: DataFrame, detail: bool = True) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``.
 
     With ``detail`` also ``removed_chars`` and ``removed`` (list of start and
-    end byte in the old text, and the document that keeps the passage).
+    end byte in the old text, and the document that keeps the passage), in
+    place of columns that ``docs`` has under these names.
     """
+    if detail:
+        docs = docs.drop(*[c for c in docs.columns if c.lower() in ("removed", "removed_chars")])
     ch = chunks(docs)
-    owners = ch.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("other")).where("first.doc_id < other").select("digest", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("place"))
-    taken = ch.join(owners, "digest").where("doc_id > owner")
+    owners = ch.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("place"))
+    # cut, so that the join below stands alone in its stage and a common digest's rows can be dealt to several tasks
+    owners = cut(owners, "sd-firsts")
+    taken = ch.join(owners, "digest").where("doc_id > owner or doc_id = owner and start > place")
     key, found, beside = fresh(docs, "id", "found", "sides")
     lists = cut(taken.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end", "owner", "digest", "place")).alias(found)), "sd-found")
+    found_lists = lists
     want = cut(lists.mapInArrow(batches(_want_batch, _WANT), "doc_id long, at int, owner long, place int, size int, digest long, side int"), "sd-want")
     asked = want.select("owner", "place", "size", "digest", "side").distinct().groupBy("owner").agg(F.collect_list(F.struct("place", "size", "digest", "side")).alias("wants"))
-    named = keep_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut(want.select("owner").distinct(), "sd-owners"))
+    owner_ids = cut(want.select("owner").distinct(), "sd-owners")
+    named = keep_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), owner_ids)
     given = named.join(asked, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "wants").mapInArrow(batches(_side_batch, _SIDE), "owner long, place int, digest long, side int, bytes binary")
     sides = want.join(given, ["owner", "place", "digest", "side"]).groupBy(F.col("doc_id").alias("sides_of")).agg(F.collect_set(F.struct("at", "digest", "side", "bytes")).alias(beside))
     lists = lists.join(sides, F.col(key) == F.col("sides_of"), "left").drop("sides_of")
@@ -224,7 +232,7 @@ def substring_dedup(docs: DataFrame, detail: bool = True) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("owner", pa.int64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             texts = batch.column(at)
             old = utf8(texts)
             lost, spans = [0] * len(old), [[] for _ in old]
@@ -252,4 +260,8 @@ def substring_dedup(docs: DataFrame, detail: bool = True) -> DataFrame:
                 fields += [pa.field("removed_chars", pa.int64()), pa.field("removed", span)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return joined.mapInArrow(run, schema)
+    # written here, in small batches; then nothing reads the lists any more
+    out = cut(joined.mapInArrow(run, schema), "sd-texts")
+    for done in (owners, found_lists, want, owner_ids):
+        drop_cut(done)
+    return out

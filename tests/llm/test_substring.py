@@ -2,7 +2,7 @@
 
 import random
 
-from gridloom.llm.substring import LEAST, MOST, gear_cuts, substring_dedup
+from gridloom.llm.substring import LEAST, LEAST_WORDS, MOST, gear_cuts, substring_dedup
 
 
 def text(rng, n):
@@ -65,6 +65,54 @@ def test_odd_rows(spark):
     got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r.text for r in got}
-    assert by[1] is None and by[2] == "" and by[3] == long and by[None] == long and by[6] == "short one"
-    assert len(by[4]) < 200
+    assert by[1] is None and by[2] == "" and by[None] == long and by[6] == "short one"
+    # what a text repeats without end stays there about once
+    assert long.startswith(by[3]) or set(by[3].split()) == {"word", "another", "thing", "entirely"}
+    assert 20 < len(by[3]) < 400 and len(by[4]) < 200 and by[5].startswith("né né ")
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_passages_within_one_document(spark):
+    rng = random.Random(7)
+    p, between, tail = text(rng, 80), text(rng, 50), text(rng, 30)
+    docs = [(1, f"{p} {between} {p} {tail} {p}", 5, 6), (2, text(rng, 60) + " " + p, 5, 6), (3, text(rng, 100), 5, 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, removed_chars long, Removed long")
+    out = {r.doc_id: r for r in substring_dedup(df).collect()}
+    assert out[1].text.split() == f"{p} {between} {tail}".split() and [s.owner for s in out[1].removed] == [1, 1]
+    assert p not in out[2].text and [s.owner for s in out[2].removed] == [1] and out[3].text == docs[2][1]
+    # of columns with the names of the results, the results stay
+    assert substring_dedup(df).columns == ["doc_id", "text", "removed_chars", "removed"] and out[3].removed_chars == 0
+    assert substring_dedup(df, detail=False).columns == df.columns
+
+
+def brute_repeats(texts, least):
+    """Places of each text whose run of ``least`` words stands earlier, in another text or in the same."""
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        ws, marks = t.split(), set()
+        for j in range(len(ws) - least + 1):
+            key = tuple(ws[j : j + least])
+            if key in seen and seen[key] != (i, j):
+                marks |= set(range(j, j + least))
+            seen.setdefault(key, (i, j))
+        out.append(marks)
+    return out
+
+
+def test_against_brute_force(spark):
+    """What goes is what repeats: all runs of 60 words and more, and nothing that no run of LEAST_WORDS covers."""
+    rng = random.Random(8)
+    parts = [text(rng, n) for n in (25, 60, 61, 90, 200, 15) for _ in range(4)]
+    texts = [" ".join(x for _ in range(rng.randint(1, 4)) for x in (text(rng, rng.randint(5, 60)), rng.choice(parts))) for _ in range(120)]
+    out = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    must, may = brute_repeats(texts, 60), brute_repeats(texts, LEAST_WORDS)
+    for i, t in enumerate(texts):
+        raw, gone, at = t.encode(), set(), 0
+        for j, w in enumerate(t.split()):
+            if any(s.start <= at and at + len(w) <= s.end for s in out[i].removed):
+                gone.add(j)
+            at += len(w) + 1
+        assert must[i] <= gone, (i, sorted(must[i] - gone))
+        # a removed run may reach a word or two further, where texts agree by chance
+        assert len(gone - may[i]) <= 2 * len(out[i].removed), (i, sorted(gone - may[i]))
+        assert len(raw) == len(out[i].text.encode()) + sum(s.end - s.start for s in out[i].removed)
