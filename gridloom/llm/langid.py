@@ -33,13 +33,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, utf8
+from .common import cut, keep_ids, sliced, small, text_slices, tidy
 from .html_text import trained
 from .urls import host_of
 
@@ -66,9 +68,9 @@ for _c in range(65, 91):
 _FOLD[128:] = np.arange(128, 256)
 
 
-def trigrams(text: bytes | None) -> np.ndarray:
-    """Bucket of each letter trigram of a whole text; all but letters count as one blank."""
-    if not text:
+def trigrams(text: bytes | np.ndarray | None) -> np.ndarray:
+    """Bucket of each letter trigram of a whole text (its UTF-8 bytes); all but letters count as one blank."""
+    if text is None or not len(text):
         return np.empty(0, np.int64)
     b = _FOLD[np.frombuffer(text, np.uint8)]
     if not (b != 32).any():
@@ -82,6 +84,19 @@ def trigrams(text: bytes | None) -> np.ndarray:
     return ((h * np.uint32(2654435761)) >> np.uint32(32 - 14)).astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What the fit needs of a text: a digest, its trigrams' buckets and how often each occurs."""
+
+    digest: bytes
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes | np.ndarray) -> Profile:
+        return cls(xxhash.xxh3_128_digest(text), *np.unique(trigrams(text), return_counts=True))
+
+
 class Model:
     """Trigram likelihoods and the table of declared languages."""
 
@@ -89,15 +104,18 @@ class Model:
         self.languages, self.weights, self.declared = languages, weights, declared
         self.floor = np.full(len(languages), RANDOM) if floor is None else floor
 
-    def text_terms(self, text: bytes | None) -> tuple[np.ndarray | None, int]:
+    def text_terms(self, text: bytes | np.ndarray | Profile | None) -> tuple[np.ndarray | None, int]:
         """Tempered log likelihoods, and the count of trigrams; None without a letter."""
-        t = trigrams(text)
-        if not len(t) or not self.languages:
+        if isinstance(text, Profile):
+            n, ll = int(text.counts.sum()), text.counts @ self.weights[text.buckets]
+        else:
+            t = trigrams(text)
+            n, ll = len(t), self.weights[t].sum(axis=0)
+        if not n or not self.languages:
             return None, 0
-        ll = self.weights[t].sum(axis=0)
-        return ll * min(1.0, MOST_EVIDENCE / len(t)), len(t)
+        return ll * min(1.0, MOST_EVIDENCE / n), n
 
-    def with_other(self, text: bytes | None, declared: str | None) -> tuple[np.ndarray | None, int]:
+    def with_other(self, text: bytes | np.ndarray | Profile | None, declared: str | None) -> tuple[np.ndarray | None, int]:
         """Log likelihoods of text and declaration, last that of the class of all other text; and the count of trigrams."""
         ll, n = self.text_terms(text)
         if ll is None:
@@ -109,13 +127,14 @@ class Model:
         return np.append(ll, other), n
 
 
-def fit(rows: list[tuple[str | None, bytes | None]], least: int = LEAST_TEXTS, of: dict[str, int] | None = None) -> Model:
-    """Model of ``(declared language, text)`` rows; repeated texts count once, languages of under ``least`` rows not at all.
+def fit(rows: list[tuple[str | None, bytes | Profile | None]], least: int = LEAST_TEXTS, of: dict[str, int] | None = None) -> Model:
+    """Model of ``(declared language, text or its profile)`` rows; repeated texts count once, languages of under ``least`` rows not at all.
 
     ``of`` has the count of all labelled rows of each language, where ``rows`` are a sample of them.
     """
     sampled = Counter(d for d, t in rows if d and t)
-    rows = list({t: (d, t) for d, t in rows if d and t}.values())
+    profiles = ((d, t if isinstance(t, Profile) else Profile.of(t)) for d, t in rows if d and t)
+    rows = list({t.digest: (d, t) for d, t in profiles}.values())
     count = Counter(d for d, _ in rows)
     languages = sorted(d for d, n in count.items() if n >= least) or sorted(count)
     if not languages:
@@ -124,16 +143,16 @@ def fit(rows: list[tuple[str | None, bytes | None]], least: int = LEAST_TEXTS, o
     counts = np.zeros((len(languages), BUCKETS))
     for d, t in rows:
         if d in at:
-            counts[at[d]] += np.bincount(trigrams(t), minlength=BUCKETS)
+            counts[at[d], t.buckets] += t.counts
     # the even share is the same in all, so a trigram that none has seen favours none
     sums = counts.sum(axis=1)
     weights = np.log((1 - EVEN) * counts / np.maximum(sums, 1)[:, None] + EVEN / BUCKETS).T.astype(np.float32)
     # what a language's texts have per trigram under its other texts
     own: list[list[float]] = [[] for _ in languages]
     for d, t in rows:
-        if d in at and len(x := trigrams(t)):
-            left = counts[at[d]][x] - np.bincount(x, minlength=BUCKETS)[x]
-            own[at[d]].append(float(np.log((1 - EVEN) * left / max(1.0, sums[at[d]] - len(x)) + EVEN / BUCKETS).mean()))
+        if d in at and (n := int(t.counts.sum())):
+            left = counts[at[d], t.buckets] - t.counts
+            own[at[d]].append(float(t.counts @ np.log((1 - EVEN) * left / max(1.0, sums[at[d]] - n) + EVEN / BUCKETS)) / n)
     typical = np.array([np.median(x) if x else RANDOM for x in own])
     floor = np.minimum(RANDOM + (typical - RANDOM) / 4, typical - 1)
     model = Model(languages, np.ascontiguousarray(weights), np.zeros((0, 0)), floor)
@@ -168,10 +187,21 @@ def train(labelled: DataFrame, key: str, text: str, declared: str, sample: int =
     bounded = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "d string, most long, bound long"))
     near = named.withColumn("h", F.xxhash64("k")).join(bounded, "d").where("h <= bound")
     place = F.row_number().over(Window.partitionBy("d").orderBy("h", "k", "t"))
-    rows = near.withColumn("place", place).where("place <= most").select("d", "t").collect()
-    return fit([(r.d, r.t.encode()) for r in rows], of=of)
+    rows = near.withColumn("place", place).where("place <= most").select("d", "t")
+    # the tasks count the trigrams, so that no text comes to the driver
+    got = rows.mapInArrow(sliced(_profile_slice, _PROFILE), "d string, digest binary, buckets array<long>, counts array<long>").collect()
+    return fit([(r.d, Profile(bytes(r.digest), np.array(r.buckets, np.int64), np.array(r.counts, np.int64))) for r in got], of=of)
+
+
+_PROFILE = pa.schema([("d", pa.string()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+def _profile_slice(others: list, data: np.ndarray, bounds: np.ndarray) -> list:
+    ps = [Profile.of(data[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    return [others[0], pa.array([p.digest for p in ps], pa.binary()), *(pa.array([getattr(p, c) for p in ps], pa.list_(pa.int64())) for c in ("buckets", "counts"))]
 
 
+@tidy("li-result")
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, model: Model | None = None) -> DataFrame:
     """``df`` -> ``key, declared, host, language, posterior, n_trigrams, kept``, a row for each row."""
     none = F.lit(None).cast("string")
@@ -182,18 +212,23 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", declared: s
     if width == 1:
         return base.select(F.col("key").alias(key), "declared", "host", F.lit(OTHER).alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
     terms_type = pa.list_(pa.float64())
+    arrow_names = ["key", "declared", "host", "suffix", "terms", "n_trigrams"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            terms, sizes = [], []
-            for t, d in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ll, n = model.with_other(t, d)
-                terms.append(None if ll is None else ll - ll.max())
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(terms, terms_type), pa.array(sizes, pa.int64())], names=["key", "declared", "host", "suffix", "terms", "n_trigrams"])
+        for batch in small(it):
+            for row, data, bounds in text_slices(batch.column(4)):
+                others = [c.slice(row, len(bounds) - 1) for c in batch.columns[:4]]
+                terms, sizes, ends = [], [], bounds.tolist()
+                for a, b, d in zip(ends, ends[1:], others[1].to_pylist(), strict=False):
+                    ll, n = model.with_other(data[a:b], d)
+                    terms.append(None if ll is None else ll - ll.max())
+                    sizes.append(n)
+                yield pa.RecordBatch.from_arrays([*others, pa.array(terms, terms_type), pa.array(sizes, pa.int64())], names=arrow_names)
 
     key_type = df.schema[key].dataType.simpleString()
-    seen = base.mapInArrow(run, f"key {key_type}, declared string, host string, suffix string, terms array<double>, n_trigrams long")
+    base = base.select("key", "declared", "host", "suffix", "text")
+    # read again for the priors and for the answers: without the texts it is small, so it is cut once
+    seen = cut(base.mapInArrow(run, f"key {key_type}, declared string, host string, suffix string, terms array<double>, n_trigrams long"), "li-seen")
     # posteriors of the rows by text and declaration alone, summed for each host
     odds = [F.exp(F.get("terms", F.lit(i))) for i in range(width)]
     total = sum(odds[1:], odds[0])
@@ -254,7 +289,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     html, host = F.col("html").cast("string"), site(F.col("url").cast("string"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             texts = pa.array([model.text(h.as_py()) for h in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], names=["page_id", "text", "declared", "host", "suffix"])
 
@@ -263,6 +298,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, f"page_id {key_type}, text string, declared string, host string, suffix string")
 
 
+@tidy("li-result")
 def identify_pages(pages: DataFrame) -> DataFrame:
     """:func:`identify` on the main texts of ``pages``, with declared language of the markup, host and suffix."""
     texts = cut(page_texts(pages), "li-pages")
