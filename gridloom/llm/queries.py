@@ -55,7 +55,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages' URLs on hosts with a listed label (``urls.LISTED_LABELS``).
     """
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, listed_urls(pages), RULES)
+    return judge(pages, listed_urls(pages), RULES).drop("maybe")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

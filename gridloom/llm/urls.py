@@ -1,10 +1,11 @@
 """URL filters: path rules, then a blocked Bloom filter before an exact hash join (operator 6).
 
-The listed canonical URLs fill a blocked Bloom filter kept as a table: a key
-sets eight bits of one 256-bit block, a row has a block's four words. A URL
-looks at one block (an equi-join on its number; Spark broadcasts the blocks
-only while they are small). Those that may be listed go to an exact join on
-the canonical URL, which removes the false positives; all others are done.
+The listed canonical URLs, a table, fill a blocked Bloom filter: a key sets
+eight bits of one 256-bit block, a row has a block's four words. A URL looks at
+one block. The blocks are sent to the tasks, so that no URL moves for them, as
+long as they are :data:`MOST_BLOCKS` at most; a longer list's blocks are joined
+by their number. Only URLs that may be listed go on to an exact join on the
+canonical URL, which removes the false positives; all others are done.
 
 Rules ``(host, path, verdict)`` go first: a rule fits its host and all
 subdomains if the path starts with the rule's; the longest rule wins.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD_FROM, FOLD_TO, cut, fresh
+from .common import FOLD_FROM, FOLD_TO, cut, fresh, tidy
 
 #: Rules of the registered query: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -31,6 +32,8 @@ MOST_RULES = 1000
 #: Host labels whose pages make up the list of the registered query.
 LISTED_LABELS = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"]
 BITS_PER_KEY, BLOCK_BITS, BITS_SET = 16, 256, 8
+#: Blocks (some 60 bytes each) that are sent to every task: the filter of four million listed URLs.
+MOST_BLOCKS = 1 << 18
 
 
 def after_scheme(url: Column) -> Column:
@@ -84,41 +87,49 @@ def _words(h: Column) -> list[Column]:
     return out
 
 
-def bloom_blocks(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+def bloom_blocks(keys: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
     """``keys(key)`` -> rows ``(block, w0..w3)`` of the filter, and its count of blocks."""
     blocks = 1
-    while blocks * BLOCK_BITS < n * BITS_PER_KEY:
+    while blocks * BLOCK_BITS < n * bits_per_key:
         blocks *= 2
     h = F.xxhash64("key", F.lit("bits"))
     rows = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(_words(h))])
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_BITS // 64)]), blocks
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
-    """``pages(page_id, url)``, ``listed(url)`` -> ``page_id, host, path, rule, verdict, listed``."""
-    keys = cut(listed.select(canonical(F.col(listed.columns[0])).alias("key")).where("key <> ''").distinct(), "url-list")
-    n = keys.count()
-    filter_, blocks = bloom_blocks(keys, n)
-    p = pages.select(F.col(key), F.col(url).alias("url")).select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(canonical(F.col("url")), F.lit("")).alias("canon"))
-    p = p.withColumn("block", F.pmod(F.xxhash64("canon"), F.lit(blocks)))
-    looked = p.join(cut(filter_, "url-bloom"), "block", "left")
-    hit = F.lit(True)
+@tidy("url-verdicts")
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", bits_per_key: int = BITS_PER_KEY, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """``pages(page_id, url)``, ``listed(url)`` -> ``page_id, host, path, rule, verdict, listed, maybe`` (whether the filter let it pass)."""
+    keys = cut(listed.select(canonical(F.col(listed.columns[0]).cast("string")).alias("key")).where("key <> ''").distinct(), "url-list")
+    filter_, blocks = bloom_blocks(keys, keys.count(), bits_per_key)
+    filter_ = cut(filter_, "url-bloom").withColumnRenamed("block", "of")
+    address = F.col(url).cast("string")
+    p = pages.select(F.col(key).alias("key"), host_of(address).alias("host"), path_of(address).alias("path"), F.coalesce(canonical(address), F.lit("")).alias("canon"))
+    if blocks <= most_blocks:
+        block, filter_ = F.pmod(F.xxhash64("canon"), F.lit(blocks)), F.broadcast(filter_)
+    else:
+        # an address without a canonical form is in no list: dealt out by its host and path, not to one block
+        block = F.when(F.col("canon") == "", -1 - F.pmod(F.xxhash64("key", "path"), F.lit(1 << 30))).otherwise(F.pmod(F.xxhash64("canon"), F.lit(blocks)))
+    looked = p.join(filter_, block == F.col("of"), "left")
+    hit = F.col("of").isNotNull() & (F.col("canon") != "")
     for i, w in enumerate(_words(F.xxhash64("canon", F.lit("bits")))):
-        hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(w) == w)
-    looked = looked.select(key, "host", "path", "canon", hit.alias("maybe"))
-    sure = looked.where("maybe").join(keys.withColumnRenamed("key", "canon").withColumn("exact", F.lit(True)), "canon", "left")
-    both = looked.where("not maybe").select(key, "host", "path", F.lit(False).alias("listed")).unionAll(sure.select(key, "host", "path", F.coalesce("exact", F.lit(False)).alias("listed")))
+        hit = hit & (F.col(f"w{i}").bitwiseAND(w) == w)
+    # without the pages' other columns these rows are small; written once, no address is judged again for the second branch
+    looked = cut(looked.select("key", "host", "path", F.when(F.coalesce(hit, F.lit(False)), F.col("canon")).alias("canon")), "url-looked")
+    sure = looked.where("canon is not null").join(keys.select(F.col("key").alias("canon"), F.lit(True).alias("exact")), "canon", "left")
+    passed = sure.select("key", "host", "path", F.coalesce("exact", F.lit(False)).alias("listed"), F.lit(True).alias("maybe"))
+    both = looked.where("canon is null").select("key", "host", "path", F.lit(False).alias("listed"), F.lit(False).alias("maybe")).unionAll(passed)
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(host, path, rules, "verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return both.select(key, "host", "path", rule_of(host, path, rules, "rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return both.select(F.col("key").alias(key), "host", "path", rule_of(host, path, rules, "rule").alias("rule"), verdict.alias("verdict"), "listed", "maybe")
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """Rows of ``pages`` whose URL is allowed; columns unchanged."""
-    (row,) = fresh(pages, "row")
-    marked = pages.withColumn(row, F.xxhash64(F.col(url)))
-    bad = judge(pages.select(F.xxhash64(F.col(url)).alias(key), F.col(url).alias("url")).distinct(), listed, rules, key, "url").where("verdict = 'block'").select(key)
-    return marked.join(bad.withColumnRenamed(key, row).distinct(), row, "left_anti").select(*pages.columns)
+    (bad_url,) = fresh(pages, "bad")
+    urls = pages.select(F.col(url).cast("string").alias("u")).distinct()
+    bad = judge(urls, listed, rules, "u", "u").where("verdict = 'block'").select(F.col("u").alias(bad_url))
+    return pages.join(bad, F.col(url).cast("string") == F.col(bad_url), "left_anti")
 
 
 def listed_urls(pages: DataFrame, labels: list[str] = LISTED_LABELS) -> DataFrame:
