@@ -13,7 +13,9 @@ whole records before it, and one that holds a bad record those after it, from
 the next version line in the decompressed bytes on; its gap has the place of
 the member and names the decompressed bytes.
 
-Rows: a null payload is empty. A null url is left out of the headers. A null
+Rows: a null payload is empty. A null url is left out of the headers; one that
+an address header can't carry as it is (blanks, other scripts, control
+characters) stands there escaped, and whole in a header of its own. A null
 id refers to the least id of its payload. Repeated rows are written each.
 """
 
@@ -41,6 +43,8 @@ ARCHIVE_BYTES = 24 << 20
 _DATE = "2000-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Header with the exact url, every byte but letters, digits and ``_.-~`` escaped.
+_EXACT = "X-Exact-Target-URI"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -86,7 +90,10 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
         ("WARC-Date", _DATE),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="%:/?#[]@!$&'()*+,;=~-._|{}^`\"\\")))
+        plain = quote(url, safe="%:/?#[]@!$&'()*+,;=~-._|{}^`\"\\")
+        fields.append(("WARC-Target-URI", plain))
+        if plain != url:
+            fields.append((_EXACT, quote(url, safe="")))
     if refers_to is not None:
         fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields += [
@@ -104,7 +111,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The plain record at ``at`` and where it ends."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Broken("headers have no end")
     fields: dict[str, str] = {}
@@ -218,7 +225,9 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
     shared = p.where(F.octet_length("body") >= LEAST_SHARED).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
-    p = p.join(shared, F.col("digest") == F.col("d"), "left").select("page_id", "url", "body", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # short payloads need no partner; each has a key of its own, so that they don't meet in one task
+    own = F.when(F.octet_length("body") >= LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url")))
+    p = p.join(shared, own == F.col("d"), "left").select("page_id", "url", "body", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -254,10 +263,10 @@ def _number(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern: str = "*.warc*") -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern: str = "*.warc*", strict: bool = False) -> DataFrame:
     """A row for each record of the archives of ``folder``, and one with ``gap`` set for each quarantined span.
 
-    An archive is read whole, so archives should stay below some 100 MB.
+    With ``strict`` a gap is an error instead. An archive is read whole, so archives should stay below some 100 MB.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +274,8 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
                 for x in salvage(content.as_py()):
+                    if isinstance(x, Gap) and strict:
+                        raise ValueError(f"{path}, bytes {x.start} to {x.end}: {x.reason}")
                     if isinstance(x, Gap):
                         rows.append((path, x.start, x.end, x.reason, None, None, None, None, None, None, None))
                         continue
@@ -272,8 +283,9 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern:
                     payload = b"" if kind == "revisit" else x.payload()
                     n = x.http_length() if kind == "revisit" else len(payload)
                     digest = f.get("warc-payload-digest", "").removeprefix("sha256:") if kind == "revisit" else hashlib.sha256(payload).hexdigest()
-                    uri = f.get("warc-target-uri")
-                    rows.append((path, x.start, x.end, None, _number(f.get("warc-record-id")), uri and unquote(uri) if uri and re.search("%(0|1)", uri) else uri, kind, _number(f.get("warc-refers-to")), n, digest, payload if payloads else None))
+                    exact = f.get(_EXACT.lower())
+                    uri = f.get("warc-target-uri") if exact is None else unquote(exact)
+                    rows.append((path, x.start, x.end, None, _number(f.get("warc-record-id")), uri, kind, _number(f.get("warc-refers-to")), n, digest, payload if payloads else None))
                     size += len(payload)
                     if len(rows) >= 5000 or size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)], schema=_READ)
@@ -286,14 +298,14 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern:
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``pages`` to archives and read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``."""
+    """Write ``pages`` to archives and read them back, each record or none: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``."""
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     written = write_warc(pages, folder)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     if not written.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    return read_warc(spark, folder, payloads=False).where("gap is null").select(*names)
+    return read_warc(spark, folder, payloads=False, strict=True).select(*names)
 
 
 #: The registered query in DuckDB.
