@@ -8,6 +8,7 @@ from gridloom.llm.files import write_file
 from gridloom.llm.html_pages import labelled_pages
 from gridloom.llm.html_text import extract, features, trained
 from gridloom.llm.html_tree import parse
+from gridloom.llm import urls as urls_module
 from gridloom.llm.urls import RULES, filter_urls, judge
 from gridloom.llm.warc import Gap, Record, archive, make_record, read_warc, salvage, write_warc
 
@@ -84,6 +85,12 @@ def test_archives(spark):
     assert archive(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_exact_urls(spark):
+    urls = ["http://a/é", "x y", "http://a/%0A%10%C3%A9", "", " lead and trail ", "tab\there", "日本語?q=%", "http://a/" + "long-" * 420_000, "http://plain/ok?a=b&c=%20#f", None, "\x00\x7f"]
+    df = spark.createDataFrame([(i, u, "<p>x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in archive(df).collect()} == dict(enumerate(urls))
+
+
 def test_damaged_archive_is_logged(spark):
     folder = shared_path(spark, "t-warc")
     write_warc(spark.createDataFrame([(1, "u", "a" * 300, "")], SCHEMA), folder).collect()
@@ -106,6 +113,39 @@ def test_model_holds_on_unseen_pages():
     assert right / total > 0.95
 
 
+#: Pages written by hand, and what a reader would keep of each.
+PAGES = {
+"blog": ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>On kettles</title><style>.x{color:red}</style></head><body>
+<header class="site-header"><a href="/">My blog</a><nav><a href="/about">About</a><a href="/archive">Archive</a><a href="/feed">Feed</a></nav></header>
+<main><article class="post"><h1>On kettles</h1><p class="byline">A kettle is a small thing, but it starts every morning in this house.</p>
+<p>Mine is made of steel and holds a litre and a half. It whistles when it boils, which the cat does not like at all.</p>
+<h2>What to look for</h2><ul><li>A lid that stays on when you pour.</li><li>A handle that stays cool on the stove.</li></ul>
+<p>Buy one that you can open with one hand &mdash; the other one will be holding a cup.</p></article>
+<section id="comments"><h3>3 comments</h3><div class="comment"><p>Great post, I have the same kettle at home!</p></div></section></main>
+<aside class="sidebar"><h4>Related posts</h4><ul><li><a href="/p/1">On spoons</a></li><li><a href="/p/2">On cups</a></li></ul></aside>
+<footer><p>&copy; 2024 My blog. All rights reserved.</p></footer></body></html>""",
+"On kettles\nA kettle is a small thing, but it starts every morning in this house.\nMine is made of steel and holds a litre and a half. It whistles when it boils, which the cat does not like at all.\nWhat to look for\nA lid that stays on when you pour.\nA handle that stays cool on the stove.\nBuy one that you can open with one hand — the other one will be holding a cup."),
+"divs": ("""<html><body><div id="top"><div class="menu"><a href=/1>Home</a> | <a href=/2>News</a> | <a href=/3>Sport</a></div></div>
+<div id="wrap"><div class="content"><h1>River bridge opens again</h1><div>The old bridge over the river was opened again on Monday after two years of work.</div>
+<div>Some 400 people came to walk across it, and the mayor cut a ribbon in the rain.</div><div>The work cost less than planned, the council said, and the lamps will follow in spring.</div></div>
+<div class="ad-banner"><a href="http://ads.example/x">Cheap flights! Book now!</a></div></div>
+<div class="newsletter"><form><label>Sign up for our newsletter</label><input name=mail><button>Subscribe</button></form></div>
+<div id="footer">Contact | Imprint | Privacy</div></body></html>""",
+"River bridge opens again\nThe old bridge over the river was opened again on Monday after two years of work.\nSome 400 people came to walk across it, and the mayor cut a ribbon in the rain.\nThe work cost less than planned, the council said, and the lamps will follow in spring."),
+"cookies": ("""<body><div class="cookie-banner" role="dialog"><p>We use cookies to improve your experience on our site. <button>Accept</button></p></div>
+<nav class="nav"><ul><li><a href="/de">Start</a></li><li><a href="/de/b">Kontakt</a></li></ul></nav>
+<article><h1>Brot backen</h1><p>Für ein gutes Brot braucht man Mehl, Wasser, Salz und vor allem sehr viel Zeit.</p><p>Der Teig ruht &uuml;ber Nacht im K&#252;hlschrank und wird am Morgen bei gro&szlig;er Hitze gebacken.</p></article>
+<footer>Impressum</footer><script>if (a < b) { document.write("<p>Hello there</p>") }</script></body>""",
+"Brot backen\nFür ein gutes Brot braucht man Mehl, Wasser, Salz und vor allem sehr viel Zeit.\nDer Teig ruht über Nacht im Kühlschrank und wird am Morgen bei großer Hitze gebacken."),
+"empty": ("<html><body><nav><a href='/a'>Home</a><a href='/b'>Login</a></nav><footer><a href='/c'>Imprint</a></footer></body></html>", ""),
+}
+
+
+def test_pages_written_by_hand():
+    for name, (html, want) in PAGES.items():
+        assert trained().text(html) == want, name
+
+
 def test_messages_are_exact():
     """Marginals of a small tree by enumeration."""
     import itertools
@@ -147,4 +187,12 @@ def test_urls(spark):
     many = spark.range(3000).selectExpr("concat('http://h', id, '.com/') url")
     hits = judge(spark.range(6000).selectExpr("id page_id", "concat('https://www.h', id, '.com') url"), many, [])
     assert hits.where("listed").count() == 3000 and hits.where("listed and page_id >= 3000").count() == 0
+    # a filter of two bits a key lets many others pass; the exact join stops them, however the filter is sent
+    for most in (urls_module.MOST_BLOCKS, 0):
+        few = judge(spark.range(6000).selectExpr("id page_id", "concat('https://www.h', id, '.com') url"), many, [], bits_per_key=2, most_blocks=most)
+        got = few.groupBy("listed", "maybe").count().collect()
+        count = {(r.listed, r.maybe): r["count"] for r in got}
+        assert count[True, True] == 3000 and count[False, True] > 100 and count[False, True] + count[False, False] == 3000
+    clash = spark.createDataFrame([(1, "http://bad.com/p", "c", "b", "w")], "page_id long, url string, canon string, block string, w0 string")
+    assert filter_urls(clash, listed, RULES).collect() == [] and filter_urls(clash, listed.where("1=0"), []).columns == clash.columns
     assert judge(pages.where("1=0"), listed.where("1=0"), RULES).collect() == []
