@@ -5,10 +5,12 @@ terms whose inverse document frequency ``ln(N / df)`` lies in a band; as each
 lexicon term is in a fixed share of the documents, the lexicon has at most
 ``mean distinct terms / least share`` entries whatever the count of documents.
 
-A text's distinct lexicon terms are sorted; 64 random subsets of the lexicon
-(four tiers of 16, a tier keeps 1/16, 1/64, 1/256, 1/1024 of the terms in each
-subset) pick from them, and the terms picked by a subset are hashed to 16
-bits. The fingerprint is the 64 codes in hex; ``0000`` marks a subset that
+A text's distinct lexicon terms are sorted; 51 random subsets of the lexicon (15
+with 1/16 of the terms each, 10 with 1/64, 14 with 1/256, 12 with 1/1024) pick
+from them, and the terms picked by a subset are hashed to 16 bits. The subsets
+are drawn independently: salted hashes of a term are cut into fields of 4, 6, 8
+and 10 bits, one for each subset, and a subset has the term if its field is
+zero. The fingerprint is the 51 codes in hex; ``0000`` marks a subset that
 picked nothing. A text without any lexicon term is coded by its whole text.
 Coarse tiers tell short texts apart, fine tiers still agree where long texts
 were edited in part. Likeness: of the subsets that pick a term in either text,
@@ -30,8 +32,10 @@ from .decontam import word_array
 
 #: Band of ``ln(N / df)``: terms in 20 % to 0.1 % of the documents.
 LEAST_IDF, MOST_IDF = 1.6094, 6.9078
-TIERS = (16, 64, 256, 1024)
-SUBSETS = 16
+#: Bits of a subset's field (so that it has one of 2**bits terms), and subsets, by tier.
+TIERS = ((4, 15), (6, 10), (8, 14), (10, 12))
+#: Bits of a hash that are cut into fields: some are left, so that no difference of two such words overflows.
+FIELD_BITS = 60
 #: Slots of the lexicon table; a term is sought in one slot.
 SLOTS = 1 << 15
 
@@ -54,28 +58,27 @@ def lexicon_terms(text: Column, lex: Column) -> Column:
 
 
 def _with_codes(df: DataFrame, text: str, made: Column, out: str, lex: DataFrame) -> DataFrame:
-    """``df`` with the text ``made`` as column ``text`` and its 64 codes as ``out``."""
+    """``df`` with the text ``made`` as column ``text`` and its codes as ``out``."""
     # Below this projection stand plain columns only, so the optimizer puts the
     # one-row lexicon into the filter as a constant and no row carries it.
     kept = [c for c in df.columns if c != text]
     df = df.select("*", lex.scalar().alias("_lex")).select(*kept, made.alias(text), lexicon_terms(made, F.col("_lex")).alias("_terms"))
 
-    def residue(h: Column, tier: int) -> Column:
-        return F.pmod(F.shiftrightunsigned(h, 20), F.lit(tier))
-
-    def near(tier: int) -> Column:
-        return F.filter("_terms", lambda h: residue(h, tier) < SUBSETS)
-
-    def picked(k: int, tier: int) -> Column:
-        return F.transform(F.array(*[F.lit(r) for r in range(SUBSETS)]), lambda r: F.filter(F.col(f"_near{k}"), lambda h: residue(h, tier) == r))
-
-    # each tier's candidates are few; a step of its own keeps them from being sought for each subset
-    for k, tier in enumerate(TIERS):
-        df = df.withColumn(f"_near{k}", near(tier))
-    parts = [picked(k, tier) for k, tier in enumerate(TIERS)]
-    whole = F.transform(F.array(*[F.lit(j) for j in range(SUBSETS * len(TIERS))]), lambda j: 1 + F.pmod(F.xxhash64(F.col(text), j), F.lit(65535)).cast("int"))
-    some = F.transform(F.concat(*parts), lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(t), F.lit(65535)).cast("int")))
-    return df.withColumn(out, F.when(F.size("_terms") == 0, whole).otherwise(some)).drop("_terms", *[f"_near{k}" for k in range(len(TIERS))])
+    subsets, words = [], 0
+    for bits, count in TIERS:
+        for start in range(0, count, FIELD_BITS // bits):
+            fields = range(min(FIELD_BITS // bits, count - start))
+            near = f"_near{words}"
+            salted = F.transform("_terms", lambda h: F.shiftrightunsigned(F.xxhash64(h, F.lit(100 * bits + start)), 64 - FIELD_BITS))  # noqa: B023
+            ones = sum(1 << bits * j for j in fields)
+            # a field is zero, or perhaps one above a zero one: few terms are left to look at for each subset
+            some = lambda f: (f - F.lit(ones)).bitwiseAND(F.bitwise_not(f)).bitwiseAND(F.lit(ones << bits - 1)) != 0  # noqa: B023, E731
+            df = df.withColumn(near, F.filter(salted, some))
+            subsets += [F.filter(near, lambda f: f.bitwiseAND(F.lit((1 << bits) - 1 << bits * j)) == 0) for j in fields]  # noqa: B023
+            words += 1
+    whole = F.transform(F.array(*[F.lit(j) for j in range(len(subsets))]), lambda j: 1 + F.pmod(F.xxhash64(F.col(text), j), F.lit(65535)).cast("int"))
+    codes = F.transform(F.array(*subsets), lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(t), F.lit(65535)).cast("int")))
+    return df.withColumn(out, F.when(F.size("_terms") == 0, whole).otherwise(codes)).drop("_terms", *[f"_near{k}" for k in range(words)])
 
 
 def as_text(code: Column) -> Column:
