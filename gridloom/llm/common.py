@@ -55,6 +55,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def distilled(result: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``ids``, which come from ``result``, cut; and then ``result`` deleted."""
+    out = cut(ids, label)
+    drop_cut(result)
+    return out
+
+
 #: Tables that the tidy steps under way have cut, the innermost step's last.
 _made: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("made", default=())
 

@@ -13,8 +13,8 @@ documents' side needs no sketch and no window: its shingles stream once past
 the broadcast sketches, whatever its length. Candidates are then verified on
 whole sets: ``4 * |item and document| >= 3 * |item|``.
 
-Item tables go to the executors in blocks of :data:`BLOCK` rows, so the size
-of a broadcast is bounded for any count of items.
+Item tables go to the executors while they have :data:`MOST_HASHES` rows at
+most; beyond, the documents' shingles are joined with them by a shuffle.
 
 Rows: null and blank texts, of items too, match nothing. Null ids of documents
 or items match nothing. Repeated rows of an id count as one text's union.
@@ -22,15 +22,13 @@ or items match nothing. Repeated rows of an id count as one text's union.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, tidy
+from .common import cut, distilled, keep_ids, tidy
 
-#: Rows of item hashes that are broadcast at once (24 bytes each).
-BLOCK = 200_000
+#: Rows of item hashes that are broadcast (some 60 bytes each).
+MOST_HASHES = 1_000_000
 LEAST_SKETCH_SHARE, MOST_SKETCH = 4, 32
 
 
@@ -47,10 +45,9 @@ def shingle_rows(df: DataFrame, key: str) -> DataFrame:
     return at.select(F.col("k").alias(key), F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(5)]).alias("h"), "n")
 
 
-def _blocks(rows: DataFrame, n: int) -> list[DataFrame]:
-    """``rows(item_id, h, ...)`` in parts of about :data:`BLOCK` rows, each to be broadcast."""
-    k = -(-n // BLOCK) or 1
-    return [F.broadcast(rows.where(F.pmod(F.xxhash64("h", "item_id"), F.lit(k)) == b)) for b in range(k)]
+def _with_items(shingles: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Shingles of documents joined with ``n`` ``rows(item_id, h, ...)``."""
+    return shingles.join(F.broadcast(rows) if n <= MOST_HASHES else rows, "h")
 
 
 @tidy("dc-result")
@@ -67,18 +64,19 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_sketch, n_all = sized.agg(F.count_if("in_sketch"), F.count("*")).first()
 
     stream = shingle_rows(docs, "doc_id")
-    hits = [stream.join(b, "h").where("4 * n >= 3 * n_item").select("doc_id") for b in _blocks(sketch, n_sketch)]
-    candidates = cut(reduce(DataFrame.unionAll, hits).distinct(), "dc-candidates")
+    hits = _with_items(stream, sketch, n_sketch).where("4 * n >= 3 * n_item").select("doc_id")
+    candidates = cut(hits.distinct(), "dc-candidates")
 
     whole = shingle_rows(keep_ids(docs, candidates), "doc_id")
-    met = [whole.join(b, "h").select("doc_id", "item_id", "n_item", "h").distinct() for b in _blocks(sized.select("item_id", "h", "n_item"), n_all)]
-    counted = reduce(DataFrame.unionAll, met).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_common"))
+    met = _with_items(whole, sized.select("item_id", "h", "n_item"), n_all).select("doc_id", "item_id", "n_item", "h").distinct()
+    counted = met.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_common"))
     return counted.where("4 * n_common >= 3 * n_item").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no test item; columns unchanged, null ids stay."""
-    bad = cut(containment(docs, items).select("doc_id").distinct(), "dc-bad")
+    got = containment(docs, items)
+    bad = distilled(got, got.select("doc_id").distinct(), "dc-bad")
     return keep_ids(docs, bad, how="left_anti")
 
 

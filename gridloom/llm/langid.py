@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, sliced, small, text_slices, tidy
+from .common import cut, distilled, keep_ids, sliced, small, text_slices, tidy
 from .html_text import trained
 from .urls import host_of
 
@@ -260,9 +260,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     A document is rejected for want of letters, as other text, or for doubt
     that host and declaration don't lift. Rejected ids come from :func:`identify`.
     """
-    bad = cut(identify(docs).where("not kept").select("doc_id").distinct(), "li-rejected")
-    out = keep_ids(docs, bad.where("doc_id is not null"), how="left_anti")
-    return out
+    got = identify(docs)
+    bad = distilled(got, got.where("not kept and doc_id is not null").select("doc_id").distinct(), "li-rejected")
+    return keep_ids(docs, bad, how="left_anti")
 
 
 def markup_language(html: Column) -> Column:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, lists, mix64, shingle_sets, sliced, tidy
+from .common import cut, distilled, keep_ids, lists, mix64, shingle_sets, sliced, tidy
 from .components import components
 
 BINS, ROWS = 256, 5
@@ -279,5 +279,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Rows of ``docs`` that are kept: one document of each group of near copies; columns unchanged."""
-    gone = cut(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "nd-gone")
+    got = near_duplicates(docs, percent)
+    gone = distilled(got, got.where("not kept").select("doc_id").distinct(), "nd-gone")
     return keep_ids(docs, gone, how="left_anti")
+
+
+#: The registered query in DuckDB: all pairs with a common shingle, and the least document reachable.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a u, b v FROM l UNION ALL SELECT b, a FROM l),
+r(node, low) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.low FROM r JOIN e ON e.u = r.node WHERE r.low < e.v),
+c AS (SELECT node, min(low) m FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""

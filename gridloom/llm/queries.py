@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, urls, warc
+from . import decontam, neardup, urls, warc
 from .common import table
 from .decontam import containment
 from .html_text import extract
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op3_benchmark_decontamination": decontam.ORACLE, "op6_url_filters": urls.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_benchmark_decontamination": decontam.ORACLE, "op5_minhash_near_dedup": neardup.ORACLE, "op6_url_filters": urls.ORACLE}

@@ -1,14 +1,19 @@
 """Operators on documents: decontamination, fingerprints, language, the pipeline."""
 
 import hashlib
+import math
 import random
+import struct
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
+from gridloom.llm import decontam
 from gridloom.llm.common import shared_path
 from gridloom.llm.decontam import containment, decontaminate
-from gridloom.llm.imatch import fingerprints
+from gridloom.llm.imatch import LEAST_IDF, MOST_IDF, TIERS, fingerprints
 from gridloom.llm.langid import fit, identify, identify_pages, keep_identified, page_texts, train, trigrams
 from gridloom.llm.queries import op10_language_id
 from tests.llm.test_neardup import shingle_set
@@ -18,7 +23,7 @@ def text(rng, n, letters="abcdefghijklmnop"):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
-def test_containment_against_brute_force(spark):
+def test_containment_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, text(rng, n)) for i, n in enumerate([1, 3, 4, 5, 6, 9, 17, 33, 70, 140, 300])] + [(90, None), (91, " "), (None, "a b c d e f")]
     docs = []
@@ -41,6 +46,9 @@ def test_containment_against_brute_force(spark):
             if b and 4 * len(a & b) >= 3 * len(b):
                 want[d, i] = (len(a & b), len(b))
     assert got == want and (503, 8) in got
+    # the same where the items are too many to be broadcast
+    monkeypatch.setattr(decontam, "MOST_HASHES", 0)
+    assert {(r.doc_id, r.item_id): (r.n_common, r.n_item) for r in containment(df, it).collect()} == want
     kept = decontaminate(df, it)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _ in docs} - {d for d, _ in want}
     assert containment(df, it.where("1=0")).collect() == [] == containment(df.where("1=0"), it).collect()
@@ -58,7 +66,7 @@ def test_fingerprints(spark):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1 and len(got[i].fingerprint) == 256
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1 and len(got[i].fingerprint) == 4 * 51
     assert got[5002].fingerprint == got[5003].fingerprint and got[5002].near_next == 1
     mean = lambda f: sum(f(r) for r in got.values()) / len(got)
     assert mean(lambda r: r.near_edited) > 3 * mean(lambda r: r.near_next)
@@ -67,6 +75,55 @@ def test_fingerprints(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def brute_codes(texts, lexicon_of):
+    """The 51 codes of each text by the definition: lexicon by inverse document frequency, sorted terms, independent subsets."""
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda x, seed=42: xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    of_int = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<i", x), seed)
+    terms = lambda t: {long(xxhash.xxh64_intdigest(w.encode(), 42)) for w in t.lower().replace("\t", " ").split(" ") if w}
+    df = Counter(h for t in lexicon_of for h in terms(t))
+    lexicon = {h for h, n in df.items() if LEAST_IDF <= math.log(len(lexicon_of) / n) <= MOST_IDF}
+    out = []
+    for t in texts:
+        mine, codes = sorted(terms(t) & lexicon), []
+        for bits, count in TIERS:
+            for j in range(count):
+                word, at = divmod(j, 60 // bits)
+                salted = [of_int(100 * bits + word * (60 // bits), of_long(h)) >> 4 for h in mine]
+                picked = [f for f in salted if f >> bits * at & (1 << bits) - 1 == 0]
+                code = 42
+                for f in picked:
+                    code = xxhash.xxh64_intdigest(struct.pack("<Q", f), code)
+                codes.append(1 + long(code) % 65535 if picked else 0)
+        if not mine:
+            codes = [1 + long(of_int(j, xxhash.xxh64_intdigest(t.encode(), 42))) % 65535 for j in range(51)]
+        out.append(codes)
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(21)
+    vocab = text(rng, 300).split()
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 60))) for _ in range(120)] + ["", "solo", "é ü solo\tword"]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    following = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, following)]
+    own, changed = brute_codes(texts, texts), brute_codes(edited, texts)
+    hexed = lambda codes: "".join(f"{c:04X}" for c in codes)
+
+    def like(a, b):
+        both = [(x, y) for x, y in zip(a, b) if x or y]
+        return 1.0 if a == b else sum(x == y for x, y in both) / len(both) if both else 0.0
+
+    for i in range(len(texts)):
+        assert got[i].fingerprint == hexed(own[i]) and got[i].edited_fingerprint == hexed(changed[i]), i
+        assert got[i].near_edited == like(own[i], changed[i]) and got[i].near_next == like(own[i], own[(i + 1) % len(texts)])
+    # the subsets are independent: no two of them pick the same terms
+    h = [int(x) for x in np.random.default_rng(3).integers(-(2**63), 2**63, 3000)]
+    picks = [frozenset(x for x in h if xxhash.xxh64_intdigest(struct.pack("<i", 100 * b), xxhash.xxh64_intdigest(struct.pack("<q", x), 42)) >> 4 + b * j & (1 << b) - 1 == 0) for b, n in ((4, 15), (6, 10)) for j in range(n)]
+    assert len(set(picks)) == 25 and not any(a <= b for a in picks for b in picks if a is not b)
+
+
 def test_language(spark):
     rng = random.Random(10)
     letters = {"en": "abcdefgh", "de": "ijklmnöp", "fr": "qrstuvéw"}
@@ -178,3 +235,29 @@ def test_pipeline(spark, tmp_path):
     assert passage in rows[103].text and passage not in rows[104].text and rows[104].n_chars == len(rows[104].text)
     assert all(rows[i].text == base[i] for i in range(30))
     assert len({r.sequence_id for r in out}) <= 40
+
+
+def test_pipeline_with_odd_rows_and_columns(spark, tmp_path):
+    rng = random.Random(31)
+    item = text(rng, 12)
+    base = [text(rng, 40) for _ in range(12)]
+    rows = [(i, t, "en") for i, t in enumerate(base)]
+    rows += [(None, base[0], "en"), (None, None, None), (20, None, "en"), (21, "", None), (22, base[3], "en"), (5, base[5], "en"), (23, text(rng, 9) + " " + item.upper(), "en"), (24, text(rng, 30_000), "en")]
+    names = ["key", "terms", "bands", "removed", "_key", "_id", "codes", "item_id", "a"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = [(i, t, lang, None, None if t is None else len(t), *names) for i, t, lang in rows]
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, base[1]), (2, None), (3, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.dtypes == spark.read.parquet(f"{tmp_path}/documents.parquet").dtypes
+    left = df.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == sorted([(False, i) for i in (*range(12), 5, 24)] + [(True, 0)] * 2)
+    assert all([r[n] for n in names] == names for r in left)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {None, *range(12), 24} and sum(r.start == 0 for r in packed) == len(left)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
