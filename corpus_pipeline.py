@@ -1,8 +1,14 @@
 """Corpus pipeline over ``documents``: a list of stages, each one operator.
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the
-columns of ``documents``. Between stages the rows are written as Parquet to
+columns that they get. Between stages the rows are written as Parquet to
 the shared folder and read back, so a lost executor costs one stage at most.
+
+Rows: a null, empty or unreadable text is rejected by the first stage unless
+its ``doc_id`` is null; a row without ``doc_id`` passes all stages as it is and
+is packed. Rows that repeat a ``doc_id`` are judged as one document: they stay
+or go together. Other columns, whatever their names, pass through until the
+last stage. Empty tables give no rows.
 """
 
 from __future__ import annotations
