@@ -11,6 +11,7 @@ import sys
 
 from gridloom.functions.descriptors import parse_raster
 from gridloom.functions.grid import Box, Grid
+from gridloom.plans.progress import watched
 from gridloom.plans.zonal import STRATEGIES, zonal_stats
 from gridloom.sources import features as feature_source
 from gridloom.sources import output, raster
@@ -35,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strategy", choices=STRATEGIES, default=STRATEGIES[0])
     p.add_argument("--grid-compat-tol", type=float, default=1e-6)
     p.add_argument("--max-cells", type=float, default=30.0, help="millions of cells")
-    p.add_argument("--threads", type=int, default=4)
+    p.add_argument("--threads", type=int, help="tasks at once on this machine, where no session is given")
     p.add_argument("--progress", action="store_true")
     p.add_argument("--config")
     return p
@@ -71,13 +72,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if spark is None:
             from pyspark.sql import SparkSession
 
-            spark = SparkSession.builder.getOrCreate()
+            builder = SparkSession.builder
+            spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
         f = feature_source.read(spark, args.polygons, args.geometry)
         cols = [*([args.fid] if args.fid else []), *args.include_col]
         out = zonal_stats(_rasters(spark, args.raster, grids, args.nodata), f, args.stat, _rasters(spark, args.weights, grids, None) or None, cols, args.include_geom, args.geometry, strategy=args.strategy, grid_compat_tol=args.grid_compat_tol, max_cells_in_memory=int(args.max_cells * 1e6))
         if args.fid and args.id_name:
             out = output.with_id(out, args.fid, args.id_name, args.id_type)
-        output.write(out, args.output, args.nested_output, args.geometry if args.include_geom else None)
+        write = lambda: output.write(out, args.output, args.nested_output, args.geometry if args.include_geom else None)
+        if args.progress:
+            watched(spark, write, lambda share, what: print(f"{share:4.0%} {what}", file=sys.stderr))
+        else:
+            write()
     except Exception as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

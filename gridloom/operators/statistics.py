@@ -9,6 +9,7 @@ value counts in ``groupBy(fid, x)``, arrays in one sorted list.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,18 +137,51 @@ def histogram_stats(hist: DataFrame, stats: set[str]) -> DataFrame:
     return got.select("fid", *sorted(stats & aggs.keys()), *[columns[s]().alias(s) for s in sorted(arrays)])
 
 
-def quantiles(hist: DataFrame, qs: list[float], kind: str) -> DataFrame:
+#: Slices of a feature's range of values, where its values are too many for one task.
+SLICES = 4096
+
+
+def _at() -> Column:
+    """Where a value stands on the scale of a quantile, from its rank ``i``, weight ``wt`` and the weight ``lower`` of those before it."""
+    return F.when(F.col("i") == 0, F.lit(0.0)).otherwise(F.col("i") * F.col("wt") + (F.col("n") - 1) * F.col("lower"))
+
+
+def _ranked(values: DataFrame) -> DataFrame:
+    """``fid, x, wt`` with ``all`` weight, count ``n``, place ``s``, and value and place of the next value; a feature in one task."""
+    by, whole = Window.partitionBy("fid").orderBy("x"), Window.partitionBy("fid")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    a = values.select("fid", "x", "wt", (F.row_number().over(by) - 1).alias("i"), F.count("*").over(whole).alias("n"), F.sum("wt").over(whole).alias("all"), F.coalesce(F.sum("wt").over(before), F.lit(0.0)).alias("lower"))
+    return a.withColumn("s", _at()).withColumns({"xr": F.lead("x").over(by), "sr": F.lead("s").over(by)})
+
+
+def _ranked_in_slices(values: DataFrame, qs: list[float]) -> DataFrame:
+    """The same for the slices of values that hold a quantile, from counts and weights of all slices; ``values`` is read three times."""
+    ends = values.groupBy(F.col("fid").alias("f")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    share = (F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    sliced = values.join(ends, F.col("fid") == F.col("f")).select("fid", "x", "wt", F.least(F.coalesce(F.floor(share * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int").alias("slice"))
+    sums = sliced.groupBy("fid", "slice").agg(F.count("*").alias("k"), F.sum("wt").alias("own"), F.min("x").alias("x"), F.min_by("wt", "x").alias("wt"))
+    by, whole = Window.partitionBy("fid").orderBy("slice"), Window.partitionBy("fid")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    first = sums.select("fid", "slice", "x", "wt", none("k").alias("i"), none("own").cast("double").alias("lower"), F.sum("k").over(whole).alias("n"), F.sum("own").over(whole).alias("all"))
+    first = first.withColumn("s", _at()).withColumns({"xn": F.lead("x").over(by), "sn": F.lead("s").over(by)})
+    holds = [(F.col("s") <= t) & (F.col("sn").isNull() | (F.col("sn") > t)) for t in (F.lit(q) * F.col("all") * (F.col("n") - 1) for q in qs)]
+    held = first.where(reduce(Column.__or__, holds)).select(F.col("fid").alias("f"), F.col("slice").alias("b"), F.col("i").alias("i0"), F.col("lower").alias("l0"), "n", "all", "xn", "sn")
+    inside = Window.partitionBy("fid", "slice").orderBy("x")
+    a = sliced.join(held, (F.col("fid") == F.col("f")) & (F.col("slice") == F.col("b")))
+    lower = F.col("l0") + F.coalesce(F.sum("wt").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    a = a.select("fid", "slice", "x", "wt", "n", "all", "xn", "sn", (F.col("i0") + F.row_number().over(inside) - 1).alias("i"), lower.alias("lower")).withColumn("s", _at())
+    return a.select("fid", "x", "all", "n", "i", "s", F.coalesce(F.lead("x").over(inside), "xn").alias("xr"), F.coalesce(F.lead("s").over(inside), "sn").alias("sr"))
+
+
+def quantiles(hist: DataFrame, qs: list[float], kind: str, sliced: bool = False) -> DataFrame:
     """Weighted quantiles ``q0, q1, ...`` by interpolation between the values of a feature.
 
-    Integer rasters get integers, truncated toward zero.
+    Integer rasters get integers, truncated toward zero. With ``sliced`` no
+    task needs all values of a feature (``hist`` should be cut then).
     """
-    by = Window.partitionBy("fid").orderBy("x")
-    whole = Window.partitionBy("fid")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
     h = hist.select("fid", F.col("x").cast("double").alias("x"), F.col("sc").alias("wt"))
-    a = h.select("fid", "x", "wt", (F.row_number().over(by) - 1).alias("i"), F.count("*").over(whole).alias("n"), F.sum("wt").over(whole).alias("all"), F.coalesce(F.sum("wt").over(before), F.lit(0.0)).alias("lower"))
-    a = a.withColumn("s", F.when(F.col("i") == 0, F.lit(0.0)).otherwise(F.col("i") * F.col("wt") + (F.col("n") - 1) * F.col("lower")))
-    a = a.withColumns({"xr": F.lead("x").over(by), "sr": F.lead("s").over(by)})
+    a = _ranked_in_slices(h, qs) if sliced else _ranked(h)
     aggs = []
     for k, q in enumerate(qs):
         t = F.lit(q) * F.col("all") * (F.col("n") - 1)

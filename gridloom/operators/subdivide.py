@@ -1,13 +1,14 @@
 """Polygons cut by a grid: a geometry for each covered cell.
 
-Each ring meets the columns, then the cells of each column, by half-plane
-clipping, so a ring of n points and k cells costs about n per column and its
-share per cell; rows stream out in Arrow batches.
+A ring is halved by half-plane clipping, first between columns, then between
+the rows of each column, until a part lies in one cell. So a ring of n points
+over k columns costs about n log k, and each column's part the same over its
+rows; rows stream out in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,19 @@ def clip(ring: Ring, axis: int, at: float, keep_above: bool) -> Ring:
     return out
 
 
+def bands(ring: Ring, axis: int, first: int, last: int, edge: Callable[[int], float]) -> Iterator[tuple[int, Ring]]:
+    """The parts of a ring between the lines ``edge(k)`` and ``edge(k + 1)``, for each k of ``first..last``; lines may go up or down."""
+    if len(ring) < 3 or first > last:
+        return
+    if first == last:
+        yield first, ring
+        return
+    middle = (first + last + 1) // 2
+    up = edge(last + 1) > edge(first)
+    yield from bands(clip(ring, axis, edge(middle), not up), axis, first, middle - 1, edge)
+    yield from bands(clip(ring, axis, edge(middle), up), axis, middle, last, edge)
+
+
 def _text(ring: Ring) -> str:
     return "(" + ", ".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + ")"
 
@@ -48,17 +62,14 @@ def pieces(value: bytes | str, grid: Grid) -> Iterator[tuple[int, int, float, st
             xs = [p[0] for p in ring]
             c0 = max(0, int((min(xs) - grid.xmin) // grid.dx))
             c1 = min(grid.cols - 1, int((max(xs) - grid.xmin) // grid.dx))
-            for c in range(c0, c1 + 1):
-                left = grid.xmin + c * grid.dx
-                strip = clip(clip(ring, 0, left, True), 0, left + grid.dx, False)
-                if len(strip) < 3:
-                    continue
+            x_of, y_of = (lambda k: grid.xmin + k * grid.dx), (lambda k: grid.ymax - k * grid.dy)
+            inner = clip(clip(ring, 0, x_of(c0), True), 0, x_of(c1 + 1), False) if c0 <= c1 else []
+            for c, strip in bands(inner, 0, c0, c1, x_of):
                 ys = [p[1] for p in strip]
                 r0 = max(0, int((grid.ymax - max(ys)) // grid.dy))
                 r1 = min(grid.rows - 1, int((grid.ymax - min(ys)) // grid.dy))
-                for r in range(r0, r1 + 1):
-                    top = grid.ymax - r * grid.dy
-                    piece = clip(clip(strip, 1, top - grid.dy, True), 1, top, False)
+                inner = clip(clip(strip, 1, y_of(r1 + 1), True), 1, y_of(r0), False) if r0 <= r1 else []
+                for r, piece in bands(inner, 1, r0, r1, y_of):
                     if len(piece) >= 3 and abs(signed_area(piece)) > 1e-12 * grid.dx * grid.dy:
                         cells.setdefault((r, c), []).append([k, i, piece])
     for (r, c), found in sorted(cells.items()):

@@ -1,8 +1,8 @@
 """Registered zonal queries over the driver's tables, and the same in DuckDB SQL.
 
 ``part`` is laid out as a raster of 50 columns (value: size, missing where it
-is a multiple of ten), ``customer`` as a weight raster of half the resolution,
-and every supplier gets a zone: a rectangle, a diamond, an L or a rectangle
+is a multiple of ten), ``customer`` as a weight raster of half the resolution
+(both hold every row of their tables), and every supplier gets a zone: a rectangle, a diamond, an L or a rectangle
 with a hole. The SQL computes the same from first principles.
 """
 
@@ -34,7 +34,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> int:
-    return _table(spark, sf_dir, "part").count() // 50
+    """Rows of 50 cells that hold every part, an even count."""
+    return (_table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] // 50 + 2) // 2 * 2
 
 
 def values(spark: SparkSession, sf_dir: str, value: str = "p_size", name: str = "v") -> raster.Raster:
@@ -45,11 +46,12 @@ def values(spark: SparkSession, sf_dir: str, value: str = "p_size", name: str =
 
 
 def weights(spark: SparkSession, sf_dir: str, name: str = "w") -> raster.Raster:
-    """Customers as a raster of 25 columns over the same extent."""
+    """Customers as a raster of 25 columns of double width, from the same top edge down."""
     nr = _rows(spark, sf_dir)
-    c = _table(spark, sf_dir, "customer").where(F.col("c_custkey") < 25 * (nr // 2))
+    c = _table(spark, sf_dir, "customer")
+    rows = c.agg(F.max("c_custkey")).first()[0] // 25 + 1
     cells = c.select(F.floor(F.col("c_custkey") / 25).cast("int").alias("row"), (F.col("c_custkey") % 25).cast("int").alias("col"), F.floor(F.col("c_acctbal") / 1000).cast("double").alias("value"), (F.col("c_acctbal") >= 0).alias("ok"))
-    return raster.from_table(cells, Grid(0.0, 0.0, 50.0, float(nr), 2.0, 2.0), name, mask="ok")
+    return raster.from_table(cells, Grid(0.0, float(nr - 2 * rows), 50.0, float(nr), 2.0, 2.0), name, mask="ok")
 
 
 def zones(spark: SparkSession, sf_dir: str, line: bool = False) -> DataFrame:
@@ -254,9 +256,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _EDGES = ", ".join(f"({s}, {-1 if i else 1}, {float(a[0])}, {float(a[1])}, {float(b[0])}, {float(b[1])})" for s, rings in SHAPES.items() for i, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1]))
 
 _ZONES = f"""
-p0 AS (SELECT CAST(count(*) // 50 AS INT) nr FROM part),
+p0 AS (SELECT CAST((max(p_partkey) // 50 + 2) // 2 * 2 AS INT) nr FROM part),
 vals AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size x, p_retailprice y FROM part WHERE p_size % 10 <> 0),
-wts AS (SELECT CAST(floor(c_custkey / 25) AS INT) r2, CAST(c_custkey % 25 AS INT) c2, floor(c_acctbal / 1000) w FROM customer, p0 WHERE c_acctbal >= 0 AND c_custkey < 25 * (nr // 2)),
+wts AS (SELECT CAST(floor(c_custkey / 25) AS INT) r2, CAST(c_custkey % 25 AS INT) c2, floor(c_acctbal / 1000) w FROM customer WHERE c_acctbal >= 0),
 tpl(shape, sg, fx, fy, gx, gy) AS (VALUES {_EDGES}),
 z AS (SELECT s_suppkey id, s_suppkey % 4 shape, nr, CASE WHEN s_suppkey % 10 = 9 THEN 1000.0 WHEN s_suppkey % 10 = 8 THEN -0.5 ELSE (s_suppkey * 37 % 368) / 8 END zx,
   (s_suppkey * 53 % (nr * 8 - 16)) / 8 zy, 1 + (s_suppkey % 5) * 0.625 zw, 1 + (s_suppkey % 3) * 0.5 zh FROM supplier, p0),
@@ -361,7 +363,7 @@ dt AS (SELECT id, r, c, (lead(k) OVER w - k) * (f + lead(f) OVER w) / 2 area FRO
 cv AS (SELECT * FROM ba UNION ALL SELECT id, r, c, sum(area) FROM dt GROUP BY id, r, c)
 SELECT cv.id, CAST(cv.r AS INT) AS row, CAST(cv.c AS INT) AS col, round(CAST(CAST(cov AS FLOAT) AS DOUBLE), 6) AS coverage, x AS value, w AS weight FROM cv
 LEFT JOIN vals ON cv.r = vals.r AND cv.c = vals.c LEFT JOIN wts ON CAST(floor(cv.r / 2) AS INT) = wts.r2 AND CAST(floor(cv.c / 2) AS INT) = wts.c2 WHERE cov > 1e-9""",
-    "zonal_multipolygons": """WITH p0 AS (SELECT CAST(count(*) // 50 AS INT) nr FROM part),
+    "zonal_multipolygons": """WITH p0 AS (SELECT CAST((max(p_partkey) // 50 + 2) // 2 * 2 AS INT) nr FROM part),
 vals AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size x FROM part WHERE p_size % 10 <> 0),
 b AS (SELECT s_suppkey id, nr, (s_suppkey * 29 % 320) / 8 + dx x0, (s_suppkey * 41 % (nr * 8 - 24)) / 8 y0 FROM supplier, p0, (VALUES (0.0), (6.0)) t(dx)),
 o AS (SELECT id, x, greatest(least(x0 + 1.5, c + 1) - greatest(x0, c), 0) * greatest(least(y0 + 2.25, nr - r) - greatest(y0, nr - r - 1), 0) cov FROM b JOIN vals ON c BETWEEN floor(x0) AND floor(x0 + 1.5) AND r BETWEEN floor(nr - y0 - 2.25) AND floor(nr - y0)),

@@ -112,21 +112,25 @@ LARGE_RASTER = 256 << 20
 MOST_CELLS = 1_000_000
 
 
-def near_features(rasters: list[Raster], cov: DataFrame, edges_: DataFrame, kinds: str, grid: Grid) -> tuple[list[Raster], DataFrame]:
+def is_large(raster: Raster) -> bool:
+    """Whether Spark estimates a raster at :data:`LARGE_RASTER` bytes or more; rows from the driver have no estimate, which it writes as a very large one."""
+    return LARGE_RASTER <= int(str(raster.cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 60
+
+
+def near_features(rasters: list[Raster], cov: DataFrame, edges_: DataFrame, kinds: str, grid: Grid, always: bool = False, most: int | None = None) -> tuple[list[Raster], DataFrame]:
     """The rasters without tiles, and large ones without cells, that no feature covers; and the coverage.
 
     A raster in tiles is read near features only. If one is still large by
-    Spark's estimate, the coverage is written once and counted: up to
-    :data:`MOST_CELLS` cells go to every task, so that the raster's other cells
-    never leave the task that reads them. Beyond, raster and coverage shuffle.
+    Spark's estimate (or ``always``), the coverage is written once and counted:
+    up to ``most`` cells, :data:`MOST_CELLS` at most, go to every task, so that
+    the raster's other cells never leave the task that reads them. Beyond,
+    raster and coverage shuffle.
     """
     rasters = [r.read_near(edges_, kinds) for r in rasters]
-    size = lambda r: int(str(r.cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # rows from the driver have no estimate, which Spark writes as a very large one
-    large = [LARGE_RASTER <= size(r) < 1 << 60 for r in rasters]
+    large = [always or is_large(r) for r in rasters]
     if any(large):
         cov = cut(cov, "zs-coverage")
-        if cov.count() <= MOST_CELLS:
+        if cov.count() <= min(MOST_CELLS, most or MOST_CELLS):
             rasters = [_covered(r, cov, grid) if x else r for r, x in zip(rasters, large, strict=True)]
     return rasters, cov
 
@@ -192,8 +196,8 @@ def _y_of(grid: Grid) -> Column:
     return F.lit(grid.ymax) - (F.col("row") + 0.5) * F.lit(grid.dy)
 
 
-def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
-    """Tables by ``fid`` with the results of operations of one key."""
+def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid, large: bool = False) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
+    """Tables by ``fid`` with the results of operations of one key; ``large``: a feature may have more values than one task should."""
     out = []
     of = lambda names: [o for o in ops if o.stat in names and o.custom is None]
     if mine := of(st.SCALAR):
@@ -212,7 +216,9 @@ def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Gri
             out.append((st.histogram_stats(hist, {o.stat for o in mine}), [(o, F.col(o.stat)) for o in mine]))
         if mine := of(st.QUANTILE):
             qs = [0.5 if o.stat == "median" else o.q for o in mine]
-            out.append((st.quantiles(hist, qs, raster.result_type), [(o, F.col(f"q{k}")) for k, o in enumerate(mine)]))
+            if large:
+                hist = cut(hist, "zs-values")
+            out.append((st.quantiles(hist, qs, raster.result_type, large), [(o, F.col(f"q{k}")) for k, o in enumerate(mine)]))
     if mine := of(st.ARRAY):
         row, col, inside = _index(raster.grid, grid)
         columns = {"values": F.col("x"), "coverage": F.col("c"), "weights": F.col("w"), "cell_id": F.when(inside, row.cast("long") * raster.grid.cols + col), "center_x": _x_of(grid), "center_y": _y_of(grid)}
@@ -299,8 +305,10 @@ def zonal_stats(
     holds its rasters. ``frac_as_map`` gives ``frac`` and ``weighted_frac`` as
     maps from value to share. An operation can't have the name of an included
     column. ``kinds`` limits the plan to polygons (``P``) or lines (``L``)
-    where that is known. ``strategy`` and ``max_cells_in_memory`` are accepted
-    for callers that set them; Spark partitions and spills either way.
+    where that is known. With ``feature-sequential`` only large rasters stay
+    where they are read and get the features' cells; with the other strategies
+    all do. At most ``max_cells_in_memory`` cells go to each task for that (and
+    never more than :data:`MOST_CELLS`); beyond, both sides shuffle.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"Unknown strategy: {strategy}")
@@ -326,7 +334,7 @@ def zonal_stats(
         used.sort(key=lambda r: not any(r is v for v, _ in pairs))
         grid = common_grid([r.grid for r in used], grid_compat_tol)
         e = edges(f, fid, geometry)
-        used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid)
+        used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid, strategy != STRATEGIES[0], max_cells_in_memory)
         outer = len({id(v) for v, _ in pairs}) > 1 or any(o.default_value is not None or o.custom is not None for o in plan)
         joined = joined_cells(cov, used_now, grid, outer)
         groups: dict[tuple, list[Operation]] = {}
@@ -341,7 +349,7 @@ def zonal_stats(
             if frac_as_map and any(o.stat in ("frac", "weighted_frac") for o in mine) and not any(o.stat == "unique" for o in mine):
                 asked.append(replace(next(o for o in mine if o.stat in ("frac", "weighted_frac")), stat="unique", name=""))
             cells = cells_of(joined, mine[0], used, raster, weight, grid)
-            for table, results in results_of(cells, asked, raster, grid):
+            for table, results in results_of(cells, asked, raster, grid, is_large(raster)):
                 named = []
                 for o, c in results:
                     columns[id(o)] = f"_s{k}", o, raster

@@ -77,7 +77,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Logical operators after which a row's place is the same whenever the plan runs.
-_FIXED = ("Project", "Filter", "LocalRelation", "LogicalRelation", "LogicalRDD", "Range", "Union", "Generate", "SubqueryAlias", "InMemoryRelation")
+_FIXED = ("Project", "Filter", "LocalRelation", "LogicalRelation", "Range", "Union", "Generate", "SubqueryAlias")
 
 
 def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
@@ -85,7 +85,8 @@ def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
 
     Numbers by place are stable only while rows keep their places. A plan
     without shuffles and random parts over files or local rows keeps them; any
-    other is cut first, so that all branches read the same files.
+    other (cached rows and RDDs too, which may be made anew when an executor is
+    lost) is cut first, so that all branches read the same files.
     """
     from pyspark.sql import functions as F
 

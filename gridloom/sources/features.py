@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.descriptors import parse_dataset
 
@@ -65,6 +69,34 @@ def from_records(spark: SparkSession, features) -> DataFrame:
     return spark.createDataFrame(frame[keep])
 
 
+def from_source(spark: SparkSession, source, parts: int = 8) -> DataFrame:
+    """Features of a user-defined source, read by the tasks.
+
+    ``source`` can be sent to the executors and has ``schema`` (the properties'
+    names and types, as Spark writes them) and ``read(part, parts)``, which
+    gives the GeoJSON-like features of one of the parts. Geometry that isn't
+    text is written as GeoJSON.
+    """
+    fields = StructType.fromDDL(source.schema)
+    out = StructType([*fields, StructField("geometry", StringType())])
+    arrow = to_arrow_schema(out)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in batch.column(0).to_pylist():
+                rows: list[dict] = []
+                for f in source.read(part, parts):
+                    f = getattr(f, "__geo_interface__", f)
+                    own, g = {"id": f.get("id"), **(f.get("properties") or {})}, f.get("geometry")
+                    rows.append({n: own.get(n) for n in fields.names} | {"geometry": g if isinstance(g, (str, type(None))) else json.dumps(g)})
+                    if len(rows) >= 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, out)
+
+
 def from_pandas(spark: SparkSession, frame, geometry: str = "geometry", index: str | None = None) -> DataFrame:
     """Features of a pandas table; geometry objects with ``wkb`` are taken as WKB, and ``index`` names a column for the table's index."""
     frame = frame.copy()

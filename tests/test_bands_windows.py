@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.descriptors import DescriptorError
 from gridloom.functions.grid import Grid
+from gridloom.operators import statistics
 from gridloom.operators.coverage import coverage
 from gridloom.plans import zonal
 from gridloom.plans.bands import band_stats, stack, wide
@@ -16,6 +17,7 @@ from gridloom.plans.zonal import zonal_stats
 from gridloom.shared import numbered, shared_path
 from gridloom.sources import output, raster
 from gridloom.sources.features import from_pandas
+from gridloom.sources.features import from_source as from_feature_source
 from gridloom.sources.geometry import edges, to_geojson
 from gridloom.sources.windows import ArraySource, from_source, from_xarray
 from tests import brute
@@ -88,7 +90,7 @@ def test_large_rasters(spark, monkeypatch, most):
     path = shared_path(spark, "t-large")
     cells_table(spark, [VALUES]).drop("band").write.parquet(path)
     big = raster.from_parquet(spark, path, GRID, name="v")
-    ops = ["count", "sum", "median", "d=count(default_value=1)"]
+    ops = ["count", "sum", "median", "d=count(default_value=1)", "quantile(q=0)", "quantile(q=1)", "quantile(q=0.35)", "mode"]
     f = features(spark, KITE, brute.wkt_of(SHAPES["islands"]))
     got = zonal_stats(big, f, ops, include_cols="id").orderBy("id").collect()
     assert got == zonal_stats(plain_raster(spark), f, ops, include_cols="id").orderBy("id").collect()
@@ -188,6 +190,28 @@ def test_geojson_of_wkt_and_wkb(spark):
     assert json.loads(r.value) == {"type": "Feature", "geometry": json.loads(to_geojson(KITE)), "properties": {"n": 5}}
 
 
+class Boxes:
+    """A user's feature source: boxes in a row, every part its share of them."""
+
+    schema = "id long, name string, width double"
+
+    def read(self, part, parts):
+        for k in range(part, 7, parts):
+            x = -4.0 + 2 * k
+            shape = {"type": "Polygon", "coordinates": [[[x, 10.0], [x + 1, 10.0], [x + 1, 19.0], [x, 19.0], [x, 10.0]]]}
+            yield {"type": "Feature", "id": k, "properties": {"name": f"box {k}", "width": 1.0}, "geometry": shape if k != 5 else None}
+
+
+def test_user_defined_features(spark):
+    for parts in (1, 3, 20):
+        f = from_feature_source(spark, Boxes(), parts)
+        assert f.dtypes == [("id", "bigint"), ("name", "string"), ("width", "double"), ("geometry", "string")]
+        got = {r.id: r for r in zonal_stats(plain_raster(spark), f, ["count", "sum"], include_cols=["id", "name"]).collect()}
+        assert len(got) == 7 and got[5]["count"] == 0 and got[3].name == "box 3"
+        for k in (0, 1, 2, 3, 4, 6):
+            assert got[k]["count"] == pytest.approx(3.0) and got[k].sum == pytest.approx(VALUES[:, k].sum() / 2)
+
+
 class FileWriter:
     """A user's writer: a file for each partition."""
 
@@ -230,3 +254,17 @@ def test_numbers_are_stable_where_rows_move(spark):
     assert any("t-moved" in p for p in random.inputFiles())
     (cov,) = coverage(edges(features(spark, "POLYGON ((0.1 10.1, 0.2 10.1, 0.2 10.2, 0.1 10.1))"), "id"), GRID).collect()
     assert cov.row == 5
+
+
+@pytest.mark.parametrize("slices", [1, 3, 4096])
+def test_quantiles_in_slices(spark, monkeypatch, slices):
+    """Where a feature's values go to several tasks, quantiles are the same."""
+    monkeypatch.setattr(statistics, "SLICES", slices)
+    rng = np.random.default_rng(5)
+    rows = [(f, float(x), float(w)) for f, n in ((1, 1), (2, 2), (3, 400), (4, 30)) for x, w in zip(np.unique(rng.normal(size=n).round(3) if f < 4 else rng.exponential(size=n)), rng.random(n) + 0.01)]
+    hist = spark.createDataFrame(rows, "fid long, x double, sc double")
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.fid: [r[f"q{k}"] for k in range(5)] for r in statistics.quantiles(hist, qs, "double", sliced=True).collect()}
+    for f in (1, 2, 3, 4):
+        x, c = (np.array([r[k] for r in rows if r[0] == f]) for k in (1, 2))
+        assert got[f] == pytest.approx([brute.quantile(x, c, q) for q in qs]), f

@@ -8,11 +8,13 @@ import pytest
 
 from gridloom import cli
 from gridloom.functions.grid import Grid
-from gridloom.operators.subdivide import subdivide
+from gridloom.operators.subdivide import bands, pieces, subdivide
+from gridloom.plans.progress import watched
 from gridloom.plans.zonal import zonal_stats
 from gridloom.sources import features, output
 from gridloom.sources.raster import from_array
 from gridloom.streaming.zones import stream_zonal_stats
+from tests import brute
 
 SQUARE = "POLYGON ((0.5 0.5, 2.5 0.5, 2.5 2.5, 0.5 2.5, 0.5 0.5))"
 
@@ -86,3 +88,42 @@ def test_stream(spark, tmp_path):
     r = from_array(spark, np.arange(1, 10).reshape(3, 3))
     stream_zonal_stats(stream, r, ["mean"], lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), f"{tmp_path}/cp", include_cols="id").awaitTermination()
     assert [(x.id, x.mean) for x in spark.read.parquet(f"{tmp_path}/out").orderBy("id").collect()] == [(i, 5.0) for i in range(5)]
+
+
+def test_progress_of_an_action(spark):
+    told = []
+    n = watched(spark, lambda: spark.range(0, 400, 1, 40).selectExpr("sum(id * id)").first()[0], lambda share, what: told.append((share, what)), every=0.01)
+    assert n == sum(i * i for i in range(400))
+    shares = [s for s, _ in told]
+    assert shares[0] == 0 and shares[-1] == 1 and shares == sorted(shares)
+
+    def fails():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        watched(spark, fails, lambda *a: told.append(a))
+    assert told[-1][0] == 0
+
+
+def test_a_wide_polygon_is_cut_by_halves():
+    """A comb over many columns: every cell's area as that of its box."""
+    grid = Grid(0.0, 0.0, 300.0, 4.0, 1.0, 1.0)
+    top = [(float(x), 3.5 if x % 2 else 1.25) for x in range(299, 0, -1)]
+    ring = [(0.5, 0.25), (299.5, 0.25), *top]
+    wkt = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "))"
+    got = {(r, c): area for r, c, area, _ in pieces(wkt, grid)}
+    for r, c, box in brute.boxes(grid):
+        want = brute.inside_box(list(ring), *box)
+        assert got.get((r, c), 0.0) == pytest.approx(want, abs=1e-9)
+    # lines that go down split as lines that go up
+    parts = dict(bands([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], 1, 0, 1, lambda k: 2.0 - k))
+    assert sorted(p[1] for p in parts[0]) == [1.0, 1.0, 2.0, 2.0] and sorted(p[1] for p in parts[1]) == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_strategies_agree(spark, result):
+    f = spark.createDataFrame([(1, SQUARE)], "id int, geometry string")
+    r = from_array(spark, np.arange(9).reshape(3, 3))
+    want = zonal_stats(r, f, ["sum", "count"]).collect()
+    for strategy in ("raster-sequential", "raster-parallel"):
+        for most in (1, 30_000_000):
+            assert zonal_stats(r, f, ["sum", "count"], strategy=strategy, max_cells_in_memory=most).collect() == want
