@@ -16,12 +16,13 @@ Coarse tiers tell short texts apart, fine tiers still agree where long texts
 were edited in part. Likeness: of the subsets that pick a term in either text,
 the share with equal codes (1 when fingerprints are equal).
 
-Rows: null texts count as empty. Repeated ``doc_id`` rows are ordered by text.
-Null ``doc_id`` rows come first in the order.
+Rows: null texts count as empty. Rows that repeat a ``doc_id`` are ordered by a
+hash of the text. Null ``doc_id`` rows come first in the order.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,34 +100,47 @@ def with_next(docs: DataFrame, columns: list[str], rows_each: int = 5000, prepar
     ``prepare`` adds the columns that are to follow, row by row.
 
     The order is cut into buckets of ``doc_id`` ranges of about ``rows_each``
-    rows: 256 quantiles, each halved evenly as often as needed. The first row
-    of a bucket is also dealt to the bucket before it, so one shuffle is enough
-    and no task sees more than a bucket at a time.
+    rows: 256 quantiles, each halved evenly as often as needed. Rows without
+    ``doc_id``, and those of one that holds more than a quantile, are cut by the
+    hash of their text instead, by which rows of one ``doc_id`` are ordered.
+    The first row of a bucket is also dealt to the bucket before it, so one
+    shuffle is enough and no task sees more than a bucket at a time.
     """
-    n, bounds = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / 256 for k in range(257)], 10_000)).first()
+    n, nulls, bounds = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / 256 for k in range(257)], 10_000)).first()
     if not n:
         return prepare(docs).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    bounds = sorted(set(bounds or [0]))
-    wide = max(1, n // (rows_each * max(1, len(bounds) - 1)))
-    edges = F.array(*[F.lit(int(b)) for b in bounds])
-    coarse = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(1))
-    lo = F.get(edges, coarse - 1)
-    hi = F.coalesce(F.get(edges, coarse), lo + 1)
-    fine = F.least(F.greatest(F.floor((F.col("doc_id") - lo) / (hi - lo) * wide), F.lit(0)), F.lit(wide - 1))
-    bucket = F.coalesce(coarse.cast("long") * wide + fine, F.lit(-1).cast("long"))
-    dealt = docs.withColumn("_bucket", bucket)
-    firsts = dealt.groupBy("_bucket").agg(F.min("doc_id").alias("_first"))
+    times = Counter(bounds or [0])
+    many = {b: max(1, t * n // (256 * rows_each)) for b, t in times.items() if t > 1}
+    edges = sorted({*times, *(b + 1 for b in many if b < 2**63 - 1)})
+    wide = max(1, n // (rows_each * max(1, len(edges) - 1)))
+    literal = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    coarse = F.greatest(F.size(F.filter(literal(edges), lambda b: b <= F.col("doc_id"))), F.lit(1))
+    lo = F.get(literal(edges), coarse - 1)
+    hi = F.coalesce(F.get(literal(edges), coarse), lo)
+    own = F.get(literal([many.get(b, 0) for b in edges]), coarse - 1)
+    # where a text's hash stands among all hashes, from 0 to 1
+    share = F.col("_h") / F.lit(2.0**64) + 0.5
+    within = lambda at, count: F.least(F.greatest(F.floor(at * count), F.lit(0)), count - 1)
+    # as doubles, which don't overflow; the same double for two ids puts them into one bucket
+    real = lambda c: c.cast("double")
+    way = F.coalesce((real(F.col("doc_id")) - real(lo)) / F.nullif(real(hi) - real(lo), F.lit(0.0)), F.lit(0.0))
+    fine = F.when(own > 0, within(share, own)).otherwise(within(way, F.lit(wide)))
+    most, none = max(wide, *many.values(), 1), max(1, nulls // rows_each)
+    bucket = F.coalesce(coarse.cast("long") * most + fine, within(share, F.lit(none)) - none)
+    dealt = docs.withColumn("_h", F.xxhash64("text")).withColumn("_bucket", bucket)
+    firsts = dealt.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_h")).alias("_first"))
     before = Window.orderBy("_bucket")
     # one row for each bucket
     steps = firsts.select(F.col("_bucket").alias("_of"), "_first", F.lag("_bucket").over(before).alias("_to"))
     last = firsts.agg(F.max("_bucket").alias("m"))
     steps = steps.withColumn("_to", F.coalesce("_to", last.scalar()))
-    ghosts = dealt.join(steps, (F.col("_bucket") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    ghosts = ghosts.select(*docs.columns, F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"))
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_h") == F.col("_first._h"))
+    ghosts = dealt.join(steps, (F.col("_bucket") == F.col("_of")) & first)
+    ghosts = ghosts.select(*docs.columns, "_h", F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"))
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h", "text")
     both = prepare(dealt.withColumn("_ghost", F.lit(0)).unionByName(ghosts))
     led = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.where("_ghost = 0").drop("_bucket", "_ghost")
+    return led.where("_ghost = 0").drop("_bucket", "_ghost", "_h")
 
 
 def edited_text() -> Column:

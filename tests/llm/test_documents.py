@@ -13,7 +13,7 @@ import corpus_pipeline
 from gridloom.llm import decontam
 from gridloom.llm.common import shared_path
 from gridloom.llm.decontam import containment, decontaminate
-from gridloom.llm.imatch import LEAST_IDF, MOST_IDF, TIERS, fingerprints
+from gridloom.llm.imatch import LEAST_IDF, MOST_IDF, TIERS, fingerprints, with_next
 from gridloom.llm.langid import fit, identify, identify_pages, keep_identified, page_texts, train, trigrams
 from gridloom.llm.queries import op10_language_id
 from tests.llm.test_neardup import shingle_set
@@ -124,6 +124,19 @@ def test_fingerprints_against_brute_force(spark):
     assert len(set(picks)) == 25 and not any(a <= b for a in picks for b in picks if a is not b)
 
 
+def test_next_document_where_ids_repeat(spark):
+    """A third of the rows without id, a third with one id, and buckets of a few rows."""
+    rng = random.Random(22)
+    ids = [None] * 60 + [500] * 60 + rng.sample(range(1000), 60)
+    rows = [(i, f"t{k}" if k % 7 else None) for k, i in enumerate(ids)] + [(500, "same")] * 5 + [(-(2**63), "least"), (2**63 - 1, "most"), (2**63 - 2, "almost")]
+    hashed = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]), r[1] or ""))
+    want = Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    for each in (4, 5000):
+        got = with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], rows_each=each).collect()
+        assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want, each
+
+
 def test_language(spark):
     rng = random.Random(10)
     letters = {"en": "abcdefgh", "de": "ijklmnöp", "fr": "qrstuvéw"}
