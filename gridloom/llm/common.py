@@ -116,7 +116,7 @@ def utf8(column: pa.Array) -> list:
 
 
 #: Bytes of texts that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
