@@ -21,7 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_slices
+from .common import SLICE_BYTES, text_slices
 
 #: Path of the tokenizer file unless a caller names another.
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
@@ -148,13 +148,13 @@ class Encoder:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         return self.encode(raw, np.array([0, len(raw)]))[0].astype("<u4").tobytes()
 
-    def column(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def column(self, texts: pa.Array, end_id: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Ids of a column's texts, each with ``end_id`` at its end; a null is an empty text.
 
-        In slices of some megabytes: number of the first row, ids, and where
+        In slices of about ``most`` bytes: number of the first row, ids, and where
         each row's begin and the last one's end.
         """
-        for row, data, bounds in text_slices(texts):
+        for row, data, bounds in text_slices(texts, most):
             ids, at = self.encode(data, bounds)
             at = at + np.arange(len(at))
             out = np.empty(at[-1], "<u4")

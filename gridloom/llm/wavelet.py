@@ -38,6 +38,8 @@ from .files import write_file
 MAGIC, BLOCK, CHUNK = b"GWM2", 512, 1 << 18
 #: Ids of a shard, but for its last document.
 SHARD_IDS = 1 << 21
+#: Bytes of texts that are encoded at once: larger slices repeat fewer words, and a shard takes more memory anyway.
+SLICE = 1 << 22
 
 
 def _split(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -241,7 +243,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = tokens.DEFAULT,
         for batch in small(it):
             nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy()
-            for row, ids, at in encoder.column(batch.column(1), end_id):
+            for row, ids, at in encoder.column(batch.column(1), end_id, SLICE):
                 a, last = 0, len(at) - 1
                 while a < last:
                     # the rows up to the one that fills the shard
