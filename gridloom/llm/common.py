@@ -41,7 +41,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
     What is cut already stays as it is.
     """
-    if hasattr(df, "_gridloom_path"):
+    if "_gridloom_path" in df.__dict__:
         return df
     conf = df.sparkSession.conf
     was = conf.get(_BATCH)

@@ -256,7 +256,7 @@ def test_pipeline_with_odd_rows_and_columns(spark, tmp_path):
     base = [text(rng, 40) for _ in range(12)]
     rows = [(i, t, "en") for i, t in enumerate(base)]
     rows += [(None, base[0], "en"), (None, None, None), (20, None, "en"), (21, "", None), (22, base[3], "en"), (5, base[5], "en"), (23, text(rng, 9) + " " + item.upper(), "en"), (24, text(rng, 30_000), "en")]
-    names = ["key", "terms", "bands", "removed", "_key", "_id", "codes", "item_id", "a"]
+    names = ["key", "terms", "bands", "removed", "_key", "_id", "codes", "item_id", "a", "_gridloom_path"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
     docs = [(i, t, lang, None, None if t is None else len(t), *names) for i, t, lang in rows]
     spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
