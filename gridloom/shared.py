@@ -58,7 +58,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete what :func:`cut` wrote for ``df``."""
-    path = getattr(df, "_gridloom_path", None)
+    path = df.__dict__.get("_gridloom_path")  # not getattr, which would find a column of that name
     if path:
         drop_path(df.sparkSession, path)
 

@@ -246,7 +246,7 @@ def test_pandas_keeps_an_index(spark):
 
 def test_numbers_are_stable_where_rows_move(spark):
     plain = spark.range(10).selectExpr("id", "id * 2 x").where("id > 3")
-    assert not hasattr(numbered(plain, "n", "t"), "_gridloom_path")
+    assert "_gridloom_path" not in numbered(plain, "n", "t").__dict__
     assert "/t-" not in numbered(plain, "n", "t")._jdf.queryExecution().optimizedPlan().toString()
     moved = numbered(plain.groupBy("x").agg(F.max("id").alias("id")), "n", "t-moved")
     assert any("t-moved" in p for p in moved.inputFiles())
