@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, distilled, keep_ids, lists, mix64, shingle_sets, sliced, tidy
+from .common import MOST_BROADCAST, cut, distilled, keep_ids, lists, mix64, shingle_sets, sliced, tidy
 from .components import components
 
 BINS, ROWS = 256, 5
@@ -178,16 +178,21 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame
 
     The joins stand alone in their stages, so that adaptive execution can deal
     a centre of very many pairs to several tasks; rows that repeat a
-    ``doc_id`` give a pair more than once, which is mended after.
+    ``doc_id`` give a pair more than once.
     """
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-wanted")
-    sets = keep_ids(sets, wanted)
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     sized = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    met = cut(sized.where(F.expr(f"100 * both >= {percent} * (total - both)")).select("a", "b"), "nd-met")
-    return cut(met.distinct(), "nd-links")
+    return cut(sized.where(F.expr(f"100 * both >= {percent} * (total - both)")).select("a", "b"), "nd-links")
+
+
+def sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``sets`` of the documents in ``pairs(a, b)``, which was written by :func:`cut`."""
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= MOST_BROADCAST:
+        return sets.join(F.broadcast(wanted), F.col("doc_id") == F.col("id"), "left_semi")
+    return keep_ids(sets, cut(wanted, "nd-wanted"))
 
 
 @tidy("nd-result")
@@ -225,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         nonlocal links, found, tried
         pairs = cut(pairs, "nd-pairs")
         if pairs.limit(1).count():
-            more = confirmed(sets, pairs, percent)
+            more = confirmed(sets_of(sets, pairs), pairs, percent)
             tried = tried.unionAll(pairs)
             if more.limit(1).count():
                 links = links.unionAll(more)
