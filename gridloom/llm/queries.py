@@ -15,6 +15,9 @@ from .imatch import fingerprints
 from .langid import identify, identify_pages
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .periodic import periodic_runs, repeated_tail, run_digests
+from .resample import resample
+from .secrets import find_secrets, span_digests
 from .substring import substring_dedup
 from .urls import RULES, judge, listed_urls
 from .warc import archive
@@ -84,6 +87,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages, allowMissingColumns=True)
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of secrets, by the base patterns and by inferred formats."""
+    return span_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards ``benchmark``, and its rank in the draw."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, some planted, and what is left without the repetitions."""
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), edit=repeated_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -96,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_imatch_fingerprints": op8_imatch_fingerprints,
         "op9_wavelet_tokens": op9_wavelet_tokens,
         "op10_language_id": op10_language_id,
+        "op11_secret_scans": op11_secret_scans,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
