@@ -92,9 +92,14 @@ def _find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((base, secrets, starts, words), _FOUND.types[1:]))], schema=_FOUND)
 
 
+def _hash(text: Column) -> Column:
+    """A hash that has nothing to do with the one that sketches of distinct strings use."""
+    return F.xxhash64(F.lit("level"), text)
+
+
 def _level(text: Column) -> Column:
     """Leading zero bits of the hash: each level has half as many strings as the one before."""
-    return 64 - F.length(F.bin(F.xxhash64(text)))
+    return 64 - F.length(F.bin(_hash(text)))
 
 
 def examples(found: DataFrame) -> dict[int, list[str]]:
@@ -120,7 +125,7 @@ def examples(found: DataFrame) -> dict[int, list[str]]:
         wanted = F.lit(False)
         for kind, level in least.items():
             wanted = wanted | (F.col("kind") == kind) & (F.col("level") >= level)
-        for r in rows.where(wanted).select("kind", "text").distinct().withColumn("h", F.xxhash64("text")).collect():
+        for r in rows.where(wanted).select("kind", "text").distinct().withColumn("h", _hash(F.col("text"))).collect():
             out[r.kind].append((r.h % (1 << 64), r.text))
     return {k: [t for _, t in sorted(v)[:SAMPLE]] for k, v in out.items()}
 
