@@ -36,8 +36,12 @@ def _between(x: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
-def polygon_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
-    """Polygon edges -> ``fid, row, col, cov`` for every cell covered in part or whole; ``cov`` is a double."""
+def _sweep(edges: DataFrame, grid: Grid) -> DataFrame:
+    """Polygon edges -> ``fid, row, col, own, turn, run, next`` for every cell that an edge meets.
+
+    ``run`` covers the cells from ``col`` on up to ``next``, the next cell that
+    an edge of the feature meets in this row.
+    """
     nr, nc = grid.rows, grid.cols
     e = _in_grid(edges, grid).where("v0 <> v1")
     e = e.withColumns({"ra": _int(F.greatest(F.floor(F.least("v0", "v1")), F.lit(0))), "rb": _int(F.least(F.ceil(F.greatest("v0", "v1")) - 1, F.lit(nr - 1)))})
@@ -56,16 +60,29 @@ def polygon_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
     own = F.when(F.col("col") >= 0, F.col("dv") * (F.col("col") + 1 - (F.col("pa") + F.col("pb")) / 2)).otherwise(F.lit(0.0))
     sums = e.groupBy("fid", "row", "col").agg(F.sum(own).alias("own"), F.sum("dv").alias("turn"))
     along = Window.partitionBy("fid", "row").orderBy("col")
-    run = sums.select("fid", "row", "col", "own", "turn", F.sum("turn").over(along).alias("run"), F.coalesce(F.lead("col").over(along), F.lit(nc)).alias("next"))
-    # one row for a boundary cell, and one for each cell of the run after it
-    spans = F.when((F.abs("run") > GHOST) & (F.col("col") + 1 <= F.col("next") - 1), F.transform(F.sequence(F.col("col") + 1, F.col("next") - 1), lambda c: F.struct(c.alias("col"), F.col("run").alias("cov"))))
-    mine = F.array(F.struct(F.col("col").alias("col"), (F.col("own") + F.col("run") - F.col("turn")).alias("cov")))
-    cells = run.select("fid", "row", F.explode(F.concat(mine, F.coalesce(spans, F.array().cast("array<struct<col:int,cov:double>>")))).alias("c")).select("fid", "row", "c.col", "c.cov")
+    return sums.select("fid", "row", "col", "own", "turn", F.sum("turn").over(along).alias("run"), F.coalesce(F.lead("col").over(along), F.lit(nc)).alias("next"))
+
+
+def polygon_runs(edges: DataFrame, grid: Grid) -> DataFrame:
+    """Polygon edges -> ``fid, row, first, last, cov``: a run of one cell for each that an edge meets, and the runs between them; ``cov`` is a double."""
+    inner = F.when((F.abs("run") > GHOST) & (F.col("col") + 1 < F.col("next")), F.struct((F.col("col") + 1).alias("first"), (F.col("next") - 1).alias("last"), F.col("run").alias("cov")))
+    own = F.struct(F.col("col").alias("first"), F.col("col").alias("last"), (F.col("own") + F.col("run") - F.col("turn")).alias("cov"))
+    runs = _sweep(edges, grid).select("fid", "row", F.explode(F.array(own, inner)).alias("r")).where("r is not null").select("fid", "row", "r.first", "r.last", "r.cov")
     cov = F.when(F.abs(F.col("cov") - 1) < GHOST, F.lit(1.0)).otherwise(F.col("cov"))
-    return cells.where((F.col("col") >= 0) & (F.abs("cov") > GHOST)).select("fid", "row", "col", cov.alias("cov"))
+    return runs.where((F.col("first") >= 0) & (F.abs("cov") > GHOST)).select("fid", "row", "first", "last", cov.alias("cov"))
+
+
+def cells_of_runs(runs: DataFrame) -> DataFrame:
+    """Runs -> ``fid, row, col, cov``, a row for each cell."""
+    return runs.select("fid", "row", F.explode(F.sequence("first", "last")).alias("col"), "cov")
+
+
+def polygon_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
+    """Polygon edges -> ``fid, row, col, cov`` for every cell covered in part or whole; ``cov`` is a double."""
+    return cells_of_runs(polygon_runs(edges, grid))
 
 
-def line_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
+def line_coverage(edges: DataFrame, grid: Grid, least: float = GHOST) -> DataFrame:
     """Line edges -> ``fid, row, col, cov`` with the length of the line in each cell, in map units."""
     nr, nc = grid.rows, grid.cols
     e = _in_grid(edges, grid)
@@ -87,15 +104,32 @@ def line_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
     dv = F.when(upright, F.col("vb") - F.col("va")).otherwise(du * (F.col("vb") - F.col("va")) / F.nullif(F.col("ub") - F.col("ua"), F.lit(0.0)))
     x, y = F.when(upright, F.lit(0.0)).otherwise(du) * F.lit(grid.dx), dv * F.lit(grid.dy)
     e = e.select("fid", "row", "col", F.sqrt(x * x + y * y).alias("len"))
-    return e.groupBy("fid", "row", "col").agg(F.sum("len").alias("cov")).where(F.col("cov") > GHOST)
+    return e.groupBy("fid", "row", "col").agg(F.sum("len").alias("cov")).where(F.col("cov") > least)
 
 
-def coverage(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
-    """Coverage of polygon and line features; ``cov`` in single precision, as a float column."""
+def coverage_runs(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
+    """Coverage of polygon and line features as runs ``fid, row, first, last, cov``; ``cov`` in single precision, as a float column."""
     parts = []
     if "P" in kinds:
-        parts.append(polygon_coverage(edges.where("kind = 'P'"), grid))
+        parts.append(polygon_runs(edges.where("kind = 'P'"), grid))
     if "L" in kinds:
-        parts.append(line_coverage(edges.where("kind = 'L'"), grid))
+        parts.append(line_coverage(edges.where("kind = 'L'"), grid).select("fid", "row", F.col("col").alias("first"), F.col("col").alias("last"), "cov"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("fid", "row", "col", F.col("cov").cast("float").alias("cov"))
+    return out.select("fid", "row", "first", "last", F.col("cov").cast("float").alias("cov"))
+
+
+def coverage(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
+    """Coverage of polygon and line features by cells; ``cov`` in single precision, as a float column."""
+    return cells_of_runs(coverage_runs(edges, grid, kinds))
+
+
+def touched(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
+    """``fid, row, first, last``: the cells of a grid that features meet: those of their edges, however little they cover, and the runs inside polygons."""
+    parts = []
+    if "P" in kinds:
+        inner = F.when(F.abs("run") > GHOST, F.col("next") - 1).otherwise(F.col("col"))
+        swept = _sweep(edges.where("kind = 'P'"), grid).select("fid", "row", F.greatest(F.col("col"), F.lit(0)).alias("first"), inner.alias("last"))
+        parts.append(swept.where("last >= first"))
+    if "L" in kinds:
+        parts.append(line_coverage(edges.where("kind = 'L'"), grid, 0.0).select("fid", "row", F.col("col").alias("first"), F.col("col").alias("last")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

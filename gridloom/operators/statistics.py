@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.shared import cut, drop_cut
+
 NAN = float("nan")
 
 SCALAR = ("count", "sum", "mean", "min", "max", "weighted_sum", "weighted_mean", "weighted_count", "weighted_fraction", "min_center_x", "min_center_y", "max_center_x", "max_center_y")
@@ -137,8 +139,10 @@ def histogram_stats(hist: DataFrame, stats: set[str]) -> DataFrame:
     return got.select("fid", *sorted(stats & aggs.keys()), *[columns[s]().alias(s) for s in sorted(arrays)])
 
 
-#: Slices of a feature's range of values, where its values are too many for one task.
-SLICES = 4096
+#: Values of a feature that one task ranks at most; of more, only those near its quantiles are ranked.
+MANY = 100_000
+#: Slices that a round cuts a feature's values into, and sets of their borders that are broadcast at most.
+SLICES, MOST_BORDERS = 64, 20_000
 
 
 def _at() -> Column:
@@ -154,34 +158,74 @@ def _ranked(values: DataFrame) -> DataFrame:
     return a.withColumn("s", _at()).withColumns({"xr": F.lead("x").over(by), "sr": F.lead("s").over(by)})
 
 
-def _ranked_in_slices(values: DataFrame, qs: list[float]) -> DataFrame:
-    """The same for the slices of values that hold a quantile, from counts and weights of all slices; ``values`` is read three times."""
-    ends = values.groupBy(F.col("fid").alias("f")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    share = (F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    sliced = values.join(ends, F.col("fid") == F.col("f")).select("fid", "x", "wt", F.least(F.coalesce(F.floor(share * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int").alias("slice"))
-    sums = sliced.groupBy("fid", "slice").agg(F.count("*").alias("k"), F.sum("wt").alias("own"), F.min("x").alias("x"), F.min_by("wt", "x").alias("wt"))
-    by, whole = Window.partitionBy("fid").orderBy("slice"), Window.partitionBy("fid")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    none = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    first = sums.select("fid", "slice", "x", "wt", none("k").alias("i"), none("own").cast("double").alias("lower"), F.sum("k").over(whole).alias("n"), F.sum("own").over(whole).alias("all"))
-    first = first.withColumn("s", _at()).withColumns({"xn": F.lead("x").over(by), "sn": F.lead("s").over(by)})
-    holds = [(F.col("s") <= t) & (F.col("sn").isNull() | (F.col("sn") > t)) for t in (F.lit(q) * F.col("all") * (F.col("n") - 1) for q in qs)]
-    held = first.where(reduce(Column.__or__, holds)).select(F.col("fid").alias("f"), F.col("slice").alias("b"), F.col("i").alias("i0"), F.col("lower").alias("l0"), "n", "all", "xn", "sn")
-    inside = Window.partitionBy("fid", "slice").orderBy("x")
-    a = sliced.join(held, (F.col("fid") == F.col("f")) & (F.col("slice") == F.col("b")))
-    lower = F.col("l0") + F.coalesce(F.sum("wt").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    a = a.select("fid", "slice", "x", "wt", "n", "all", "xn", "sn", (F.col("i0") + F.row_number().over(inside) - 1).alias("i"), lower.alias("lower")).withColumn("s", _at())
-    return a.select("fid", "x", "all", "n", "i", "s", F.coalesce(F.lead("x").over(inside), "xn").alias("xr"), F.coalesce(F.lead("s").over(inside), "sn").alias("sr"))
-
-
-def quantiles(hist: DataFrame, qs: list[float], kind: str, sliced: bool = False) -> DataFrame:
+def _sliced(rows: DataFrame) -> DataFrame:
+    """``rows(fid, part, x, ...)`` with ``slice``, the number of its part's borders below ``x``.
+
+    Borders are approximate quantiles of the values as they are (merged
+    sketches, a ten-thousandth off at most), so slices are of about one size
+    whatever the distribution. They are broadcast, or each row is dealt to one
+    of their copies by its value.
+    """
+    borders = cut(rows.groupBy("fid", "part").agg(F.percentile_approx("x", [k / SLICES for k in range(1, SLICES)], 10_000).alias("borders")), "zs-borders")
+    keys = [F.col("fid") == F.col("f"), F.col("part") == F.col("p")]
+    borders = borders.select(F.col("fid").alias("f"), F.col("part").alias("p"), "borders")
+    if borders.count() <= MOST_BORDERS:
+        borders = F.broadcast(borders)
+    else:
+        borders = borders.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        keys.append(F.pmod(F.xxhash64("x"), F.lit(SLICES)) == F.col("copy"))
+    joined = rows.join(borders, reduce(Column.__and__, keys))
+    return joined.select(*rows.columns, F.size(F.filter("borders", lambda b: b < F.col("x"))).alias("slice"))
+
+
+def _narrowed(values: DataFrame, qs: list[float], many: int) -> DataFrame:
+    """What :func:`_ranked` gives, but only for values near the quantiles of each feature; no task sorts more than ``many`` of one.
+
+    Round by round the parts that hold a quantile are cut into slices, whose
+    exact counts and weights tell which of them holds it. ``values`` (each of a
+    feature once) is read several times.
+    """
+    totals = values.groupBy("fid").agg(F.count("*").alias("n"), F.sum("wt").alias("all"))
+    start = {"part": F.lit(0).cast("bigint"), "i0": F.lit(0).cast("bigint"), "l0": F.lit(0.0), "xn": F.lit(None).cast("double"), "sn": F.lit(None).cast("double")}
+    rows, own = values.join(totals, "fid").select("fid", "x", "wt", "n", "all", *[c.alias(k) for k, c in start.items()]), None
+    of_part = ["n", "all", "i0", "l0", "xn", "sn"]
+    while (rows.groupBy("fid", "part").count().agg(F.max("count")).first()[0] or 0) > many:
+        sliced = _sliced(rows)
+        sums = sliced.groupBy("fid", "part", "slice").agg(F.count("*").alias("k"), F.sum("wt").alias("own"), F.min("x").alias("x"), F.min_by("wt", "x").alias("wt"), *[F.first(c).alias(c) for c in of_part])
+        by = Window.partitionBy("fid", "part").orderBy("slice")
+        before = by.rowsBetween(Window.unboundedPreceding, -1)
+        none = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        first = sums.select("fid", "part", "slice", "x", "wt", "n", "all", (F.col("i0") + none("k")).alias("i"), (F.col("l0") + none("own")).alias("lower"), "xn", "sn").withColumn("s", _at())
+        first = first.withColumns({"xn": F.coalesce(F.lead("x").over(by), "xn"), "sn": F.coalesce(F.lead("s").over(by), "sn")})
+        holds = [(F.col("s") <= t) & (F.col("sn").isNull() | (F.col("sn") > t)) for t in (F.lit(q) * F.col("all") * (F.col("n") - 1) for q in qs)]
+        held = first.where(reduce(Column.__or__, holds)).select(F.col("fid").alias("f"), F.col("part").alias("p"), F.col("slice").alias("b"), F.col("i").alias("i1"), F.col("lower").alias("l1"), F.col("xn").alias("x1"), F.col("sn").alias("s1"))
+        inside = sliced.join(held, (F.col("fid") == F.col("f")) & (F.col("part") == F.col("p")) & (F.col("slice") == F.col("b")))
+        new = cut(inside.select("fid", "x", "wt", "n", "all", (F.col("part") * SLICES + F.col("slice")).alias("part"), F.col("i1").alias("i0"), F.col("l1").alias("l0"), F.col("x1").alias("xn"), F.col("s1").alias("sn")), "zs-part")
+        if own is not None:
+            drop_cut(own)
+        rows = own = new
+    by = Window.partitionBy("fid", "part").orderBy("x")
+    lower = F.col("l0") + F.coalesce(F.sum("wt").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    a = rows.select("fid", "part", "x", "wt", "n", "all", "xn", "sn", (F.col("i0") + F.row_number().over(by) - 1).alias("i"), lower.alias("lower")).withColumn("s", _at())
+    return a.select("fid", "x", "all", "n", "i", "s", F.coalesce(F.lead("x").over(by), "xn").alias("xr"), F.coalesce(F.lead("s").over(by), "sn").alias("sr"))
+
+
+def quantiles(hist: DataFrame, qs: list[float], kind: str, many: int | None = None) -> DataFrame:
     """Weighted quantiles ``q0, q1, ...`` by interpolation between the values of a feature.
 
-    Integer rasters get integers, truncated toward zero. With ``sliced`` no
-    task needs all values of a feature (``hist`` should be cut then).
+    Integer rasters get integers, truncated toward zero. With ``many`` features
+    of more values than that are narrowed down round by round, the others are
+    ranked as they are (``hist`` should be cut then).
     """
     h = hist.select("fid", F.col("x").cast("double").alias("x"), F.col("sc").alias("wt"))
-    a = _ranked_in_slices(h, qs) if sliced else _ranked(h)
+    if many is None:
+        a = _ranked(h)
+    else:
+        large = cut(h.groupBy("fid").count().where(F.col("count") > many).select("fid"), "zs-large")
+        columns = ["fid", "x", "all", "n", "i", "s", "xr", "sr"]
+        a = _ranked(h.join(large, "fid", "left_anti")).select(*columns)
+        if large.count():
+            a = a.unionByName(_narrowed(h.join(large, "fid", "left_semi"), qs, many).select(*columns))
     aggs = []
     for k, q in enumerate(qs):
         t = F.lit(q) * F.col("all") * (F.col("n") - 1)

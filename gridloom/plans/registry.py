@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import Grid
+from gridloom.operators import statistics as st
+from gridloom.operators.coverage import coverage
 from gridloom.operators.custom import CustomStat
 from gridloom.operators.subdivide import subdivide
 from gridloom.plans import bands
 from gridloom.plans.zonal import coverage_table, zonal_stats
+from gridloom.shared import cut
 from gridloom.sources import output, raster
+from gridloom.sources.geometry import edges
 
 # Corners of the four zone shapes in units of the zone's size, shell then hole.
 SHAPES = {
@@ -54,8 +58,8 @@ def weights(spark: SparkSession, sf_dir: str, name: str = "w") -> raster.Raster:
     return raster.from_table(cells, Grid(0.0, float(nr - 2 * rows), 50.0, float(nr), 2.0, 2.0), name, mask="ok")
 
 
-def zones(spark: SparkSession, sf_dir: str, line: bool = False) -> DataFrame:
-    """``id, geometry``: a polygon in WKT (or its shell as a line) for each supplier."""
+def zones(spark: SparkSession, sf_dir: str, line: bool = False, wide: bool = False) -> DataFrame:
+    """``id, geometry``: a polygon in WKT (or its shell as a line) for each supplier; ``wide`` ones are up to 41 columns by 14 rows."""
     nr = _rows(spark, sf_dir)
     k = F.col("s_suppkey")
     z = _table(spark, sf_dir, "supplier").select(
@@ -63,8 +67,8 @@ def zones(spark: SparkSession, sf_dir: str, line: bool = False) -> DataFrame:
         (k % 4).alias("shape"),
         F.when(k % 10 == 9, F.lit(1000.0)).when(k % 10 == 8, F.lit(-0.5)).otherwise((k * 37 % 368) / 8).alias("x"),
         ((k * 53 % (nr * 8 - 16)) / 8).alias("y"),
-        (1 + (k % 5) * 0.625).cast("double").alias("w"),
-        (1 + (k % 3) * 0.5).cast("double").alias("h"),
+        (1 + (k % 5) * F.lit(10.125 if wide else 0.625)).cast("double").alias("w"),
+        (1 + (k % 3) * F.lit(6.5 if wide else 0.5)).cast("double").alias("h"),
     )
 
     def point(p: tuple[float, float]) -> Column:
@@ -86,14 +90,31 @@ def _round(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
-def _stats(ops: list, weighted: bool = False, value: str = "p_size", flat: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _stats(ops: list, weighted: bool = False, value: str = "p_size", flat: bool = False, wide: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = zonal_stats(values(spark, sf_dir, value), zones(spark, sf_dir), ops, weights(spark, sf_dir) if weighted else None, "id", kinds="P")
+        df = zonal_stats(values(spark, sf_dir, value), zones(spark, sf_dir, wide=wide), ops, weights(spark, sf_dir) if weighted else None, "id", kinds="P")
         return _round(output.unnest(df) if flat else df)
 
     return run
 
 
+def skewed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of values over twelve powers of ten in wide zones, which are narrowed down as those of features with many values are."""
+    nr = _rows(spark, sf_dir)
+    cells = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), (F.col("p_partkey") % 50).cast("int").alias("col"), (F.col("p_retailprice") * F.pow(F.lit(10.0), (F.col("p_partkey") % 13 - 6).cast("double"))).alias("x"))
+    grid = Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0)
+    z = zones(spark, sf_dir, wide=True)
+    cov = coverage(edges(z, "id"), grid, "P").join(cells, ["row", "col"]).select("fid", "row", "col", F.col("cov").cast("double").alias("c"), "x", F.lit(None).cast("double").alias("w"))
+    hist = cut(st.histogram(cov, False), "zs-values")
+    got = st.quantiles(hist, [0.5, 0.1, 0.99], "double", SMALL_PART).withColumnRenamed("fid", "_fid")
+    out = z.join(got, F.col("id") == F.col("_fid"), "left")
+    return out.select("id", *[F.round(F.col(f"q{k}"), 6).alias(n) for k, n in enumerate(("median", "low", "high"))])
+
+
+#: Values that one task ranks in ``zonal_quantiles_skewed``: few, so that its zones go the way of large features.
+SMALL_PART = 20
+
+
 def coverage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coverage join alone, with values and weights of each cell."""
     cells = coverage_table(values(spark, sf_dir), zones(spark, sf_dir), "id", weights=weights(spark, sf_dir), kinds="P")
@@ -193,6 +214,24 @@ def tiled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(zonal_stats(r, zones(spark, sf_dir), ["count", "mean"], None, "id", kinds="P"))
 
 
+def _tiled(spark: SparkSession, sf_dir: str) -> raster.Raster:
+    nr = _rows(spark, sf_dir)
+    row, col = F.floor(F.col("p_partkey") / 50).cast("int"), (F.col("p_partkey") % 50).cast("int")
+    cells = _table(spark, sf_dir, "part").select(row.alias("row"), col.alias("col"), F.col("p_retailprice").alias("value"), F.floor(row / 4).cast("int").alias("tile_row"), F.floor(col / 4).cast("int").alias("tile_col"))
+    return raster.from_table(cells, Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "v", tiles=4)
+
+
+def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of 4 x 4 cells that each wide zone meets: its outline's and those inside it, not those of its hole."""
+    z = zones(spark, sf_dir, wide=True)
+    return _tiled(spark, sf_dir).tile_cover(edges(z, "id"), "P").select(F.col("fid").alias("id"), "tile_row", "tile_col")
+
+
+def tiles_of_wide_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of wide zones over a raster of which only the tiles that they meet are read."""
+    return _round(zonal_stats(_tiled(spark, sf_dir), zones(spark, sf_dir, wide=True), ["count", "mean", "max"], None, "id", kinds="P"))
+
+
 def shares_as_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares as maps from value to share, without the values being asked for."""
     df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["frac", "weighted_frac(default_weight=0)"], weights(spark, sf_dir), "id", kinds="P", frac_as_map=True)
@@ -223,6 +262,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_variance": _stats(["variance", "stdev", "coefficient_of_variation"], value="p_retailprice"),
     "zonal_quantiles": _stats(["median", "quantile(q=0.25)", "quantile(q=0.9)"]),
     "zonal_quantiles_float": _stats(["median", "quantile(q=0.25)"], value="p_retailprice"),
+    "zonal_wide_runs": _stats(["count", "sum", "mean", "a=count(coverage_weight=area_spherical_km2)", "b=sum(coverage_weight=none,min_coverage_frac=0.5)"], value="p_retailprice", wide=True),
+    "zonal_wide_runs_weighted": _stats(["weighted_sum(default_weight=0)", "weighted_mean(default_weight=0)", "weighted_count(default_weight=0)", "a=weighted_sum"], weighted=True, wide=True),
+    "zonal_quantiles_skewed": skewed_quantiles,
     "zonal_modes": _stats(["mode", "majority", "minority", "variety"]),
     "zonal_shares": _stats(["unique", "frac", "weighted_frac(default_weight=0)"], weighted=True, flat=True),
     "zonal_weighted": _stats(["weighted_sum(default_weight=0)", "weighted_mean(default_weight=0)", "weighted_variance(default_weight=0)", "weighted_stdev(default_weight=0)"], weighted=True),
@@ -247,6 +289,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_bands": many_bands,
     "zonal_bands_wide": many_bands_wide,
     "zonal_tiles": tiled_raster,
+    "tile_index": tile_index,
+    "zonal_tiles_wide": tiles_of_wide_zones,
     "zonal_frac_as_map": shares_as_maps,
     "zonal_lines": line_statistics,
     "zonal_nested": nested_arrays,
@@ -285,17 +329,20 @@ j AS (SELECT * FROM m WHERE x IS NOT NULL)
 """
 )
 
+#: The same cells of the wide zones.
+_WIDE = _CELLS.replace("(s_suppkey % 5) * 0.625", "(s_suppkey % 5) * 10.125").replace("(s_suppkey % 3) * 0.5", "(s_suppkey % 3) * 6.5")
+
 _ALL = "SELECT s_suppkey AS id, {} FROM supplier LEFT JOIN g ON s_suppkey = g.id"
 
 
-def _oracle(grouped: str, columns: str, source: str = "j") -> str:
-    return f"{_CELLS}, g AS (SELECT id, {grouped} FROM {source} GROUP BY id) " + _ALL.format(columns)
+def _oracle(grouped: str, columns: str, source: str = "j", cells: str = _CELLS) -> str:
+    return f"{cells}, g AS (SELECT id, {grouped} FROM {source} GROUP BY id) " + _ALL.format(columns)
 
 
-def _quantile_oracle(value: str, names: dict[str, float], whole: bool) -> str:
+def _quantile_oracle(value: str, names: dict[str, float], whole: bool, cells: str | None = None) -> str:
     cast = (lambda s: f"CAST(trunc({s}) AS INT)") if whole else (lambda s: f"round({s}, 6)")
     parts = ", ".join(f"arg_max(CASE WHEN sr IS NULL THEN x ELSE x + ({q} * sw * (n - 1) - s) * (xr - x) / (sr - s) END, s) FILTER (WHERE s <= {q} * sw * (n - 1)) {n}" for n, q in names.items())
-    return f"""{_CELLS}, hist AS (SELECT id, CAST({value} AS DOUBLE) x, sum(cov) wt FROM j GROUP BY id, {value}),
+    return f"""{cells or _CELLS}, hist AS (SELECT id, CAST({value} AS DOUBLE) x, sum(cov) wt FROM j GROUP BY id, {value}),
 qa AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x) - 1 i, count(*) OVER (PARTITION BY id) n, sum(wt) OVER (PARTITION BY id) sw, coalesce(sum(wt) OVER (PARTITION BY id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) pc FROM hist),
 qb AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE i * wt + (n - 1) * pc END s FROM qa),
 qc AS (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY x) xr, lead(s) OVER (PARTITION BY id ORDER BY x) sr FROM qb),
@@ -324,6 +371,9 @@ ORACLES: dict[str, str] = {
     "zonal_variance": f"{_CELLS}, mu AS (SELECT id, sum(y * cov) / sum(cov) mu FROM j GROUP BY id), g AS (SELECT j.id, any_value(mu) mu, sum(cov * (y - mu) * (y - mu)) / sum(cov) v FROM j JOIN mu ON j.id = mu.id GROUP BY j.id) " + _ALL.format("round(v, 6) AS variance, round(sqrt(v), 6) AS stdev, round(sqrt(v) / mu, 6) AS coefficient_of_variation"),
     "zonal_quantiles": _quantile_oracle("x", {"median": 0.5, "quantile_25": 0.25, "quantile_90": 0.9}, True),
     "zonal_quantiles_float": _quantile_oracle("y", {"median": 0.5, "quantile_25": 0.25}, False),
+    "zonal_wide_runs": _oracle(f"sum(cov) n, sum(y * cov) s, sum(CAST(fc * {_SPHERE} AS DOUBLE)) a, sum(CASE WHEN fc >= 0.5 THEN y END) b", "round(coalesce(n, 0), 6) AS count, round(coalesce(s, 0), 6) AS sum, round(s / n, 6) AS mean, round(coalesce(a, 0), 6) AS a, round(coalesce(b, 0), 6) AS b", cells=_WIDE),
+    "zonal_wide_runs_weighted": _oracle("sum(x * cov * coalesce(w, 0)) s, sum(cov * coalesce(w, 0)) n, CASE WHEN count(*) = count(w) THEN sum(x * cov * w) END a, 1 AS one", "round(coalesce(s, 0), 6) AS weighted_sum, CASE WHEN n <> 0 THEN round(s / n, 6) END AS weighted_mean, round(coalesce(n, 0), 6) AS weighted_count, round(CASE WHEN one IS NULL THEN 0 ELSE a END, 6) AS a", cells=_WIDE),
+    "zonal_quantiles_skewed": _quantile_oracle("y", {"median": 0.5, "low": 0.1, "high": 0.99}, False, _WIDE.replace("p_retailprice y FROM part WHERE p_size % 10 <> 0", "p_retailprice * power(10.0, CAST(p_partkey % 13 - 6 AS DOUBLE)) y FROM part")),
     "zonal_modes": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc FROM j GROUP BY id, x), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sc DESC, x DESC) up, row_number() OVER (PARTITION BY id ORDER BY sc, x) down FROM h), g AS (SELECT id, max(x) FILTER (WHERE up = 1) m, max(x) FILTER (WHERE down = 1) l, count(*) v FROM rk GROUP BY id) " + _ALL.format('m AS mode, m AS majority, l AS minority, coalesce(v, 0) AS variety'),
     "zonal_shares": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc, sum(cov * coalesce(w, 0)) sw FROM j GROUP BY id, x) SELECT id, x AS \"unique\", round(sc / sum(sc) OVER (PARTITION BY id), 6) AS frac, CASE WHEN sum(sw) OVER (PARTITION BY id) <> 0 THEN round(sw / sum(sw) OVER (PARTITION BY id), 6) END AS weighted_frac FROM h",
     "zonal_weighted": f"{_CELLS}, t AS (SELECT *, cov * coalesce(w, 0) cw FROM j), mu AS (SELECT id, sum(x * cw) t, sum(cw) n, CASE WHEN sum(cw) <> 0 THEN sum(x * cw) / sum(cw) END mu FROM t GROUP BY id), g AS (SELECT t.id, any_value(mu.t) s, any_value(mu) mu, any_value(n) n, CASE WHEN any_value(n) <> 0 THEN sum(cw * (x - mu) * (x - mu)) / any_value(n) END v FROM t JOIN mu ON t.id = mu.id GROUP BY t.id) " + _ALL.format("round(coalesce(s, 0), 6) AS weighted_sum, round(mu, 6) AS weighted_mean, round(v, 6) AS weighted_variance, round(sqrt(v), 6) AS weighted_stdev"),
@@ -344,6 +394,8 @@ ORACLES: dict[str, str] = {
     "zonal_nodata_scaled": f"{_CELLS}, p AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * 2.5 - 4 x FROM part WHERE p_size <> 13), g AS (SELECT id, sum(cov) n, sum(x * cov) s, max(x) hi FROM cov JOIN p ON cov.r = p.r AND cov.c = p.c GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, CAST(round(coalesce(s, 0), 6) AS DOUBLE) AS sum, CAST(hi AS DOUBLE) AS max"),
     "zonal_sphere_areas": _oracle(f"sum(CAST(fc * {_SPHERE.replace('1e-6', '1.0')} AS DOUBLE)) s", "round(coalesce(s, 0) / 1e6, 4) AS km2"),
     "zonal_tiles": _oracle("sum(cov) n, sum(x * cov) s", "round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean"),
+    "tile_index": f"{_WIDE}, t AS (SELECT id, r, c FROM k WHERE c >= 0 UNION ALL SELECT id, r, unnest(generate_series(c + 1, coalesce(nx, nc) - 1)) FROM rn WHERE abs(run) > 1e-9 AND c + 1 <= coalesce(nx, nc) - 1) SELECT DISTINCT id, CAST(r // 4 AS INT) AS tile_row, CAST(c // 4 AS INT) AS tile_col FROM t",
+    "zonal_tiles_wide": f"{_WIDE}, a AS (SELECT cov.id, cov.cov, p_retailprice y FROM cov JOIN part ON r = p_partkey // 50 AND c = p_partkey % 50), g AS (SELECT id, sum(cov) n, sum(y * cov) s, max(y) hi FROM a GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean, round(hi, 6) AS max"),
     "zonal_frac_as_map": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc, sum(cov * coalesce(w, 0)) sw FROM j GROUP BY id, x) SELECT id, x AS value, round(sc / sum(sc) OVER (PARTITION BY id), 6) AS share, CASE WHEN sum(sw) OVER (PARTITION BY id) <> 0 THEN round(sw / sum(sw) OVER (PARTITION BY id), 6) END AS weighted_share FROM h",
     "zonal_nested": f"{_CELLS}, g AS (SELECT id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY r, c) v, string_agg(CAST(r * 50 + c AS VARCHAR), ',' ORDER BY r, c) k FROM j GROUP BY id) " + _ALL.format("coalesce(v, '') AS \"values\", coalesce(k, '') AS cell_id"),
     "zonal_lines": _LINE[: _LINE.rindex("SELECT id,")].rstrip() + ", g AS (SELECT id, sum(len) n, sum(len * x) s, max(x) hi FROM (SELECT l.id, x, CAST(CAST(len AS FLOAT) AS DOUBLE) len FROM l JOIN vals ON l.r = vals.r AND l.c = vals.c) GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean, hi AS max"),

@@ -1,7 +1,8 @@
 """Zonal statistics: the planner that turns requests into one DataFrame.
 
-Coverage is computed once and joined once with every raster in use; each
-request sees that one table through its own filter. Where the statistics need
+Requests that are sums over cells are met by runs of coverage and running sums
+of the raster (``operators/runs.py``). For others coverage is computed once and
+joined once with every raster in use; each request sees that one table through its own filter. Where the statistics need
 more than one pass over it, it is written once to the shared folder, so that
 no pass repeats the joins. Rasters kept in tiles are read only where features
 lie. A feature without cells still has a row (left join from features).
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.descriptors import Descriptor, DescriptorError, Request, expand, parse_literal, unique_names
 from gridloom.functions.grid import Grid, common_grid
+from gridloom.operators import runs as rn
 from gridloom.operators import statistics as st
-from gridloom.operators.coverage import coverage
+from gridloom.operators.coverage import cells_of_runs, coverage, coverage_runs
 from gridloom.operators.custom import CustomStat, custom_results
 from gridloom.sources.geometry import edges
 from gridloom.shared import cut, fresh, numbered
@@ -159,7 +161,6 @@ def cells_of(joined: DataFrame, op: Operation, used: list[Raster], values: Raste
         x = F.coalesce(x, F.when(inside, F.lit(op.default_value).cast(values.cells.schema["value"].dataType)))
     if op.custom is None:
         cells = cells.where(x.isNotNull())
-    cover = {"fraction": lambda: F.col("cov"), "none": lambda: F.lit(1.0).cast("float")}.get(op.coverage_weight, lambda: F.col("cov") * cell_area(grid, F.col("row"), op.coverage_weight.removeprefix("area_")))()
     w = F.lit(None).cast("double")
     if weight is not None:
         w = at[id(weight)].cast("double")
@@ -167,7 +168,52 @@ def cells_of(joined: DataFrame, op: Operation, used: list[Raster], values: Raste
             w = F.coalesce(w, F.lit(op.default_weight))
         elif op.custom is None:
             w = F.coalesce(w, F.lit(st.NAN))
-    return cells.select("fid", "row", "col", cover.cast("double").alias("c"), x.alias("x"), w.alias("w"))
+    return cells.select("fid", "row", "col", _cover(op.coverage_weight, grid).cast("double").alias("c"), x.alias("x"), w.alias("w"))
+
+
+def _cover(coverage_weight: str, grid: Grid) -> Column:
+    """What a cell of coverage ``cov`` in ``row`` counts."""
+    if coverage_weight == "none":
+        return F.lit(1.0).cast("float")
+    return F.col("cov") if coverage_weight == "fraction" else F.col("cov") * cell_area(grid, F.col("row"), coverage_weight.removeprefix("area_"))
+
+
+def of_runs(op: Operation, values: Raster, grid: Grid) -> bool:
+    """Whether running sums along rows give an operation: a sum over cells of the common grid, each a cell of the raster."""
+    return op.custom is None and op.stat in rn.RUN_STATS and op.default_value is None and values.grid.ratio(grid) == (1, 1)
+
+
+def grid_cells(values: Raster, weight: Raster | None, op: Operation, grid: Grid) -> DataFrame:
+    """``row, col, x, w`` of the raster's cells, in rows and columns of the common grid."""
+    down, right = values.grid.offset(grid)
+    cells = values.cells.where(F.col("value").isNotNull()).select((F.col("row") + down).cast("int").alias("row"), (F.col("col") + right).cast("int").alias("col"), F.col("value").alias("x"))
+    if weight is None:
+        return cells.withColumn("w", F.lit(None).cast("double"))
+    cells = attach(cells, weight, grid, "w", True)
+    return cells.withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(st.NAN if op.default_weight is None else op.default_weight)))
+
+
+def results_of_runs(runs: DataFrame, ops: list[Operation], values: Raster, weight: Raster | None, grid: Grid, large: bool) -> tuple[DataFrame, list[tuple[Operation, Column]]]:
+    """Results of operations of one key from ``runs`` (``fid, row, first, last, cov``), without a row for any inner cell."""
+    op, weighted = ops[0], weight is not None
+    if op.min_coverage > 0:
+        runs = runs.where(F.col("cov") >= F.lit(op.min_coverage).cast("float"))
+    runs = runs.withColumn("c", _cover(op.coverage_weight, grid).cast("double"))
+    cells, points = grid_cells(values, weight, op, grid), rn.changes(runs)
+    if large:
+        points = cut(points, "zs-points")
+        blocks = points.select(F.col("row").alias("_r"), F.col("block").alias("_b")).distinct()
+        if blocks.count() <= MOST_CELLS:
+            cells = cells.join(F.broadcast(blocks), (F.col("row") == F.col("_r")) & (F.floor(F.col("col") / rn.BLOCK) == F.col("_b")), "left_semi")
+
+    def by_cells(ids: DataFrame) -> DataFrame:
+        mine = cells_of_runs(runs.join(F.broadcast(ids) if not large else ids, "fid", "left_semi").drop("cov").withColumnRenamed("c", "cov")).withColumnRenamed("cov", "c")
+        sums = st.scalar_sums()
+        return mine.join(cells, ["row", "col"]).groupBy("fid").agg(*[sums[k].alias(k) for k in (("n", "s", "nw", "sw") if weighted else ("n", "s"))])
+
+    table = rn.checked(rn.run_sums(points, cells, weighted), by_cells)
+    at = _x_of(grid), _y_of(grid)
+    return table, [(o, st.scalar(o.stat, *at)[1]()) for o in ops]
 
 
 def passes(ops: list[Operation]) -> int:
@@ -196,8 +242,8 @@ def _y_of(grid: Grid) -> Column:
     return F.lit(grid.ymax) - (F.col("row") + 0.5) * F.lit(grid.dy)
 
 
-def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid, large: bool = False) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
-    """Tables by ``fid`` with the results of operations of one key; ``large``: a feature may have more values than one task should."""
+def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Grid, many: int | None = None) -> list[tuple[DataFrame, list[tuple[Operation, Column]]]]:
+    """Tables by ``fid`` with the results of operations of one key; ``many``: values of a feature that one task ranks, where some feature may have more."""
     out = []
     of = lambda names: [o for o in ops if o.stat in names and o.custom is None]
     if mine := of(st.SCALAR):
@@ -216,9 +262,9 @@ def results_of(cells: DataFrame, ops: list[Operation], raster: Raster, grid: Gri
             out.append((st.histogram_stats(hist, {o.stat for o in mine}), [(o, F.col(o.stat)) for o in mine]))
         if mine := of(st.QUANTILE):
             qs = [0.5 if o.stat == "median" else o.q for o in mine]
-            if large:
+            if many is not None:
                 hist = cut(hist, "zs-values")
-            out.append((st.quantiles(hist, qs, raster.result_type, large), [(o, F.col(f"q{k}")) for k, o in enumerate(mine)]))
+            out.append((st.quantiles(hist, qs, raster.result_type, many), [(o, F.col(f"q{k}")) for k, o in enumerate(mine)]))
     if mine := of(st.ARRAY):
         row, col, inside = _index(raster.grid, grid)
         columns = {"values": F.col("x"), "coverage": F.col("c"), "weights": F.col("w"), "cell_id": F.when(inside, row.cast("long") * raster.grid.cols + col), "center_x": _x_of(grid), "center_y": _y_of(grid)}
@@ -334,22 +380,34 @@ def zonal_stats(
         used.sort(key=lambda r: not any(r is v for v, _ in pairs))
         grid = common_grid([r.grid for r in used], grid_compat_tol)
         e = edges(f, fid, geometry)
-        used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid, strategy != STRATEGIES[0], max_cells_in_memory)
-        outer = len({id(v) for v, _ in pairs}) > 1 or any(o.default_value is not None or o.custom is not None for o in plan)
-        joined = joined_cells(cov, used_now, grid, outer)
         groups: dict[tuple, list[Operation]] = {}
         for o in plan:
             groups.setdefault(o.key, []).append(o)
-        if sum(passes(mine) for mine in groups.values()) > 1:
-            joined = cut(joined, "zs-cells")
+        by_runs = all(of_runs(o, v, grid) for o, (v, _) in zip(plan, pairs, strict=True))
+        if by_runs:
+            near = {id(r): r.read_near(e, kinds) for r in used}
+            runs = coverage_runs(e, grid, kinds)
+        else:
+            used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid, strategy != STRATEGIES[0], max_cells_in_memory)
+            outer = len({id(v) for v, _ in pairs}) > 1 or any(o.default_value is not None or o.custom is not None for o in plan)
+            joined = joined_cells(cov, used_now, grid, outer)
+            ranked = any(o.stat in st.QUANTILE for o in plan)
+            if ranked or sum(passes(mine) for mine in groups.values()) > 1:
+                joined = cut(joined, "zs-cells")
+            # cells of a feature bound its values
+            many = st.MANY if ranked and (joined.groupBy("fid").count().agg(F.max("count")).first()[0] or 0) > st.MANY else None
         k = 0
         for mine in groups.values():
             raster, weight = next(p for o, p in zip(plan, pairs, strict=True) if o is mine[0])
             asked = list(mine)
             if frac_as_map and any(o.stat in ("frac", "weighted_frac") for o in mine) and not any(o.stat == "unique" for o in mine):
                 asked.append(replace(next(o for o in mine if o.stat in ("frac", "weighted_frac")), stat="unique", name=""))
-            cells = cells_of(joined, mine[0], used, raster, weight, grid)
-            for table, results in results_of(cells, asked, raster, grid, is_large(raster)):
+            if by_runs:
+                every = strategy != STRATEGIES[0] or is_large(raster)
+                tables = [results_of_runs(runs, mine, near[id(raster)], near[id(weight)] if weight is not None else None, grid, every)]
+            else:
+                tables = results_of(cells_of(joined, mine[0], used, raster, weight, grid), asked, raster, grid, many)
+            for table, results in tables:
                 named = []
                 for o, c in results:
                     columns[id(o)] = f"_s{k}", o, raster

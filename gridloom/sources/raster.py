@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.descriptors import INTEGER_RANGE, band_names, unique_raster_names
 from gridloom.functions.grid import Box, Grid
+from gridloom.operators.coverage import touched
 
 #: Spark type of the cells, and of scalar results, for each cell type.
 CELL_TYPES = {"int8": ("int", "int"), "uint8": ("int", "int"), "int16": ("int", "int"), "uint16": ("int", "int"), "int32": ("int", "int"), "uint32": ("bigint", "bigint"), "int64": ("bigint", "bigint"), "uint64": ("decimal(20,0)", "bigint"), "float32": ("float", "double"), "float64": ("double", "double")}
@@ -49,24 +50,31 @@ class Raster:
         r, c = g.offset(self.grid)
         return replace(self, cells=self.cells.where(F.col("row").between(r, r + g.rows - 1) & F.col("col").between(c, c + g.cols - 1)))
 
+    def tile_cover(self, edges: DataFrame, kinds: str = "PL") -> DataFrame:
+        """``fid, tile_row, tile_col``: the tiles that a feature's edges run through, and those inside it.
+
+        The tiles are the cells of a coarser grid, so the sweep that finds
+        covered cells finds them too, from the outline alone: parts of a
+        feature that are far apart, or a hollow one's inside, call for no tile
+        between them.
+        """
+        g, t = self.grid, self.tiles
+        down, across = -(-g.rows // t), -(-g.cols // t)
+        of_tiles = Grid(g.xmin, g.ymax - down * t * g.dy, g.xmin + across * t * g.dx, g.ymax, t * g.dx, t * g.dy)
+        spans = touched(edges, of_tiles, kinds)
+        return spans.select("fid", F.col("row").alias("tile_row"), F.explode(F.sequence("first", "last")).alias("tile_col")).distinct()
 
     def read_near(self, edges: DataFrame, kinds: str = "PL") -> Raster:
-        """The same raster with only the tiles that the boxes of features touch; as it is without tiles.
+        """The same raster with only the tiles that features meet; as it is without tiles.
 
-        The wanted tiles are found by a job over the edges. Up to
-        :data:`MOST_TILES` they become a filter on the tile columns, which
+        The wanted tiles are found by a job over the edges (:meth:`tile_cover`).
+        Up to :data:`MOST_TILES` they become a filter on the tile columns, which
         prunes a scan's partitions; more are joined.
         """
         if self.tiles is None:
             return self
         g, t = self.grid, self.tiles
-        boxes = edges.where(F.col("kind").isin(list(kinds))).groupBy("fid").agg(*[whole(both(f"{a}0", f"{a}1")).alias(f"{n}{a}") for n, whole, both in (("low", F.min, F.least), ("high", F.max, F.greatest)) for a in "xy"])
-        tile = lambda x, most: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most))) / t).cast("int")
-        of_x = lambda c: tile((F.col(c) - F.lit(g.xmin)) / F.lit(g.dx), g.cols - 1)
-        of_y = lambda c: tile((F.lit(g.ymax) - F.col(c)) / F.lit(g.dy), g.rows - 1)
-        inside = boxes.where((F.col("lowx") <= g.xmax) & (F.col("highx") >= g.xmin) & (F.col("lowy") <= g.ymax) & (F.col("highy") >= g.ymin))
-        rows = inside.select(F.explode(F.sequence(of_y("highy"), of_y("lowy"))).alias("r"), of_x("lowx").alias("a"), of_x("highx").alias("b"))
-        wanted = rows.select("r", F.explode(F.sequence("a", "b")).alias("c")).distinct()
+        wanted = self.tile_cover(edges, kinds).select(F.col("tile_row").alias("r"), F.col("tile_col").alias("c")).distinct()
         found = wanted.limit(MOST_TILES + 1).collect()
         if len(found) > MOST_TILES:
             cells = self.cells.join(wanted, (F.col("tile_row") == F.col("r")) & (F.col("tile_col") == F.col("c")), "left_semi")
