@@ -1,7 +1,8 @@
 """Zonal statistics: the planner that turns requests into one DataFrame.
 
 Requests that are sums over cells are met by runs of coverage and running sums
-of the raster (``operators/runs.py``). For others coverage is computed once and
+of the raster (``operators/runs.py``), and over rasters in blocks by states that
+merge (``operators/block_states.py``). For others coverage is computed once and
 joined once with every raster in use; each request sees that one table through its own filter. Where the statistics need
 more than one pass over it, it is written once to the shared folder, so that
 no pass repeats the joins. Rasters kept in tiles are read only where features
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.descriptors import Descriptor, DescriptorError, Request, expand, parse_literal, unique_names
 from gridloom.functions.grid import Grid, common_grid
+from gridloom.operators import block_states as bs
 from gridloom.operators import runs as rn
 from gridloom.operators import statistics as st
 from gridloom.operators.coverage import cells_of_runs, coverage, coverage_runs
 from gridloom.operators.custom import CustomStat, custom_results
 from gridloom.sources.geometry import edges
 from gridloom.shared import cut, fresh, numbered
+from gridloom.sources.blocks import BlockRaster
 from gridloom.sources.raster import Raster, cell_area, prepare
 
 COVERAGE_WEIGHTS = ("fraction", "none", "area_cartesian", "area_spherical_m2", "area_spherical_km2")
@@ -183,6 +186,22 @@ def of_runs(op: Operation, values: Raster, grid: Grid) -> bool:
     return op.custom is None and op.stat in rn.RUN_STATS and op.default_value is None and values.grid.ratio(grid) == (1, 1)
 
 
+def of_blocks(op: Operation, values: Raster, weight: Raster | None, grid: Grid) -> bool:
+    """Whether states gathered block by block give an operation: all rasters in blocks of one grid."""
+    return op.custom is None and op.stat in bs.BLOCK_STATS and op.default_value is None and all(isinstance(r, BlockRaster) and r.grid == grid and r.tiles == values.tiles for r in (values, weight or values))
+
+
+def results_of_blocks(runs: DataFrame, ops: list[Operation], values: BlockRaster, weight: BlockRaster | None, grid: Grid) -> tuple[DataFrame, list[tuple[Operation, Column]]]:
+    """Results of operations of one key from ``runs``, by the tasks that read the blocks."""
+    op = ops[0]
+    if op.min_coverage > 0:
+        runs = runs.where(F.col("cov") >= F.lit(op.min_coverage).cast("float"))
+    runs = runs.withColumn("c", _cover(op.coverage_weight, grid).cast("double"))
+    table = bs.merge(bs.states(values, weight, runs, op.default_weight))
+    at = _x_of(grid), _y_of(grid)
+    return table, [(o, st.MOMENT_RESULT[o.stat]() if o.stat in st.MOMENT else st.scalar(o.stat, *at)[1]()) for o in ops]
+
+
 def grid_cells(values: Raster, weight: Raster | None, op: Operation, grid: Grid) -> DataFrame:
     """``row, col, x, w`` of the raster's cells, in rows and columns of the common grid."""
     down, right = values.grid.offset(grid)
@@ -383,8 +402,9 @@ def zonal_stats(
         groups: dict[tuple, list[Operation]] = {}
         for o in plan:
             groups.setdefault(o.key, []).append(o)
-        by_runs = all(of_runs(o, v, grid) for o, (v, _) in zip(plan, pairs, strict=True))
-        if by_runs:
+        by_blocks = all(of_blocks(o, v, w, grid) for o, (v, w) in zip(plan, pairs, strict=True))
+        by_runs = not by_blocks and all(of_runs(o, v, grid) for o, (v, _) in zip(plan, pairs, strict=True))
+        if by_blocks or by_runs:
             near = {id(r): r.read_near(e, kinds) for r in used}
             runs = coverage_runs(e, grid, kinds)
         else:
@@ -402,7 +422,9 @@ def zonal_stats(
             asked = list(mine)
             if frac_as_map and any(o.stat in ("frac", "weighted_frac") for o in mine) and not any(o.stat == "unique" for o in mine):
                 asked.append(replace(next(o for o in mine if o.stat in ("frac", "weighted_frac")), stat="unique", name=""))
-            if by_runs:
+            if by_blocks:
+                tables = [results_of_blocks(runs, mine, near[id(raster)], near[id(weight)] if weight is not None else None, grid)]
+            elif by_runs:
                 every = strategy != STRATEGIES[0] or is_large(raster)
                 tables = [results_of_runs(runs, mine, near[id(raster)], near[id(weight)] if weight is not None else None, grid, every)]
             else:

@@ -256,7 +256,7 @@ def test_numbers_are_stable_where_rows_move(spark):
     assert cov.row == 5
 
 
-@pytest.mark.parametrize("slices", [1, 3, 4096])
+@pytest.mark.parametrize("slices", [2, 3, 64])
 def test_quantiles_in_slices(spark, monkeypatch, slices):
     """Where a feature's values go to several tasks, quantiles are the same."""
     monkeypatch.setattr(statistics, "SLICES", slices)
@@ -264,7 +264,7 @@ def test_quantiles_in_slices(spark, monkeypatch, slices):
     rows = [(f, float(x), float(w)) for f, n in ((1, 1), (2, 2), (3, 400), (4, 30)) for x, w in zip(np.unique(rng.normal(size=n).round(3) if f < 4 else rng.exponential(size=n)), rng.random(n) + 0.01)]
     hist = spark.createDataFrame(rows, "fid long, x double, sc double")
     qs = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = {r.fid: [r[f"q{k}"] for k in range(5)] for r in statistics.quantiles(hist, qs, "double", sliced=True).collect()}
+    got = {r.fid: [r[f"q{k}"] for k in range(5)] for r in statistics.quantiles(hist, qs, "double", 10).collect()}
     for f in (1, 2, 3, 4):
         x, c = (np.array([r[k] for r in rows if r[0] == f]) for k in (1, 2))
         assert got[f] == pytest.approx([brute.quantile(x, c, q) for q in qs]), f
