@@ -117,8 +117,14 @@ LARGE_RASTER = 256 << 20
 MOST_CELLS = 1_000_000
 
 
+#: Bytes of a cell, for rasters that tell their count of cells.
+CELL_BYTES = 20
+
+
 def is_large(raster: Raster) -> bool:
-    """Whether Spark estimates a raster at :data:`LARGE_RASTER` bytes or more; rows from the driver have no estimate, which it writes as a very large one."""
+    """Whether a raster has :data:`LARGE_RASTER` bytes or more, by its count of cells or else by Spark's estimate; rows from the driver have none, which Spark writes as a very large one."""
+    if raster.n_cells is not None:
+        return raster.n_cells * CELL_BYTES >= LARGE_RASTER
     return LARGE_RASTER <= int(str(raster.cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 60
 
 

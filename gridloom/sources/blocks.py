@@ -68,7 +68,7 @@ def of_blocks(blocks: DataFrame, grid: Grid, side: int = SIDE, name: str = "", d
 
     blocks = blocks.select(F.col("tile_row").cast("int"), F.col("tile_col").cast("int"), "data")
     cells = blocks.mapInArrow(run, "row int, col int, value double, tile_row int, tile_col int").withColumn("value", F.col("value").cast(CELL_TYPES[dtype][0]))
-    return BlockRaster(name, grid, dtype, cells, srs, side, blocks)
+    return BlockRaster(name, grid, dtype, cells, srs, side, blocks=blocks)
 
 
 def to_blocks(raster: Raster, side: int = SIDE) -> BlockRaster:

@@ -3,7 +3,9 @@
 ``spark.read.format("gridloom_raster")`` gives the cells of a user-defined
 source (``sources/windows.py``). Each partition is a range of windows; filters on
 the window numbers ``tile_row``, ``tile_col`` and ``tile`` are taken over, so that
-windows that fail them are never read. ``df.write.format("gridloom_features")``
+windows that fail them are never read. Spark keeps what a loaded table took over:
+load anew for each filter, or load with option ``push`` false, which takes none
+over. ``df.write.format("gridloom_features")``
 writes GeoJSON features, one a line: tasks write aside, the commit puts all
 files in place, and a job that fails leaves nothing.
 """
@@ -29,7 +31,7 @@ from gridloom.sources.raster import CELL_TYPES
 RASTER, FEATURES = "gridloom_raster", "gridloom_features"
 #: Partitions of a raster at most, and windows of one unless there are more than that allows.
 MOST_PARTITIONS, WINDOWS = 10_000, 8
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}
+ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}
 
 
 def register(spark: SparkSession) -> None:
@@ -65,12 +67,12 @@ def window_cells(source, window: int, tile_row: int, tile_col: int) -> list[pa.A
         raise ValueError(f"A window of {h} x {w} cells has the shape {got.shape}")
     missing = np.ma.getmaskarray(got).ravel()
     rows, cols = np.divmod(np.arange(h * w), w)
-    value = pa.array(got.data.ravel() if kind != "decimal(20,0)" else [int(x) for x in got.data.ravel()], mask=missing).cast(_ARROW[kind])
+    value = pa.array(got.data.ravel() if kind != "decimal(20,0)" else [int(x) for x in got.data.ravel()], mask=missing).cast(ARROW_TYPES[kind])
     return [pa.array((rows + top).astype(np.int32)), pa.array((cols + left).astype(np.int32)), value]
 
 
 class RasterSource(DataSource):
-    """Options: ``source``, a user-defined source as :func:`packed` gives it, and ``window``, the cells of a window's side."""
+    """Options: ``source``, a user-defined source as :func:`packed` gives it, ``window``, the cells of a window's side, and ``push``, whether filters are taken over (true)."""
 
     def __init__(self, options: dict[str, str]):
         super().__init__(options)
@@ -85,7 +87,8 @@ class RasterSource(DataSource):
         return f"row int, col int, value {CELL_TYPES[self.source.dtype][0]}, tile_row int, tile_col int, tile bigint"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WindowReader(self.source, self.window)
+        of = WindowReader if self.options.get("push", "true").lower() == "false" else FilteredReader
+        return of(self.source, self.window)
 
 
 class WindowReader(DataSourceReader):
@@ -96,22 +99,6 @@ class WindowReader(DataSourceReader):
         self.range = {"tile_row": [0, self.down - 1], "tile_col": [0, self.across - 1], "tile": [0, self.down * self.across - 1]}
         self.only: dict[str, frozenset[int]] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Take over comparisons of a window number with constants; give back the others."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name not in self.range:
-                yield f
-            elif isinstance(f, (EqualTo, In)):
-                values = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
-                self.only[name] = self.only.get(name, values) & values
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.range[name][0] = max(self.range[name][0], f.value + isinstance(f, GreaterThan))
-            elif isinstance(f, (LessThan, LessThanOrEqual)):
-                self.range[name][1] = min(self.range[name][1], f.value - isinstance(f, LessThan))
-            else:
-                yield f
-
     def wanted(self, tile: int) -> bool:
         for name, x in zip(("tile_row", "tile_col", "tile"), (*divmod(tile, self.across), tile)):
             low, high = self.range[name]
@@ -122,11 +109,11 @@ class WindowReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Ranges that hold a wanted window; where few windows are asked for by number, these alone."""
         if "tile" in self.only and len(self.only["tile"]) <= MOST_PARTITIONS:
-            return [WindowRange(t, t + 1) for t in sorted(self.only["tile"]) if self.wanted(t)]
+            return [WindowRange(t, t + 1) for t in sorted(self.only["tile"]) if self.wanted(t)] or [WindowRange(0, 0)]
         rows, cols = self.range["tile_row"], self.range["tile_col"]
         first, last = rows[0] * self.across + cols[0], rows[1] * self.across + cols[1] + 1
         step = max(WINDOWS, -(-(last - first) // MOST_PARTITIONS))
-        return [WindowRange(a, min(a + step, last)) for a in range(first, last, step)]
+        return [WindowRange(a, min(a + step, last)) for a in range(first, last, step)] or [WindowRange(0, 0)]
 
     def read(self, partition: WindowRange) -> Iterator[pa.RecordBatch]:
         names = ["row", "col", "value", "tile_row", "tile_col", "tile"]
@@ -138,6 +125,26 @@ class WindowReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*cells, pa.array(np.full(n, r, np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(np.full(n, tile, np.int64))], names=names)
 
 
+class FilteredReader(WindowReader):
+    """Reads only windows that the filters it has taken over leave."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Take over comparisons of a window number with constants; give back the others."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name not in self.range:
+                yield f
+            elif isinstance(f, (EqualTo, In)):
+                values = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+                self.only[name] = self.only.get(name, values) & values
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.range[name][0] = max(self.range[name][0], f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self.range[name][1] = min(self.range[name][1], f.value - isinstance(f, LessThan))
+            else:
+                yield f
+
+
 class FeatureSink(DataSource):
     """Options: ``path``, a folder that all executors share, ``geometry``, the column of GeoJSON geometries, and ``id``, that of the features' ids, if any."""
 

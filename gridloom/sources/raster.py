@@ -32,6 +32,8 @@ class Raster:
     cells: DataFrame
     srs: str | None = None
     tiles: int | None = None
+    #: Cells, where a source knows their count and Spark can't.
+    n_cells: int | None = None
 
     def __post_init__(self):
         if self.dtype not in CELL_TYPES:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import Grid
+from gridloom.sources import raster
+from gridloom.sources.datasource import ARROW_TYPES, RASTER, packed, register, window_cells
 from gridloom.sources.raster import CELL_TYPES, Raster, from_table
 
 
@@ -30,47 +32,48 @@ class WindowSource(Protocol):
     def read_window(self, row: int, col: int, rows: int, cols: int) -> np.ndarray: ...
 
 
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}
-
-
 def from_source(spark: SparkSession, source: WindowSource, window: int = 512) -> Raster:
     """A raster whose cells are read by the tasks, a window of at most ``window`` cells a side at a time.
 
-    A window is a tile: with features, only windows near them are read.
+    A window is a tile: with features, only windows near them are read. The
+    cells come through Spark's reader (``sources/datasource.py``), which gets the
+    wanted windows as filters; more than :data:`raster.MOST_TILES` of them are
+    rows themselves, and read where these are.
     """
     grid, kind = source.grid, CELL_TYPES[source.dtype][0]
     down, across = -(-grid.rows // window), -(-grid.cols // window)
-    schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("value", _ARROW[kind]), ("tile_row", pa.int32()), ("tile_col", pa.int32())])
+    register(spark)
+
+    def load(push: bool) -> DataFrame:
+        return spark.read.format(RASTER).option("source", packed(source)).option("window", window).option("push", push).load()
+
+    options = {k: getattr(source, k, None) for k in ("nodata", "scale", "offset", "srs")}
+    name = getattr(source, "name", "") or ""
+    schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("value", ARROW_TYPES[kind]), ("tile_row", pa.int32()), ("tile_col", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                top, left = r * window, c * window
-                h, w = min(window, grid.rows - top), min(window, grid.cols - left)
-                got = np.ma.asarray(source.read_window(top, left, h, w))
-                if got.shape != (h, w):
-                    raise ValueError(f"A window of {h} x {w} cells has the shape {got.shape}")
-                missing = np.ma.getmaskarray(got).ravel()
-                rows, cols = np.divmod(np.arange(h * w), w)
-                value = pa.array(got.data.ravel() if kind != "decimal(20,0)" else [int(x) for x in got.data.ravel()], mask=missing).cast(_ARROW[kind])
-                fixed = [pa.array(np.full(h * w, x, np.int32)) for x in (r, c)]
-                yield pa.RecordBatch.from_arrays([pa.array((rows + top).astype(np.int32)), pa.array((cols + left).astype(np.int32)), value, *fixed], schema=schema)
-
-    def cells(tiles: DataFrame) -> DataFrame:
-        return tiles.select("tile_row", "tile_col").mapInArrow(run, f"row int, col int, value {kind}, tile_row int, tile_col int")
-
-    tiles = spark.range(down * across).select(F.floor(F.col("id") / across).cast("int").alias("tile_row"), (F.col("id") % across).cast("int").alias("tile_col"))
-    options = {k: getattr(source, k, None) for k in ("nodata", "scale", "offset", "srs")}
-    made = from_table(cells(tiles), grid, getattr(source, "name", "") or "", source.dtype, tiles=window, **options)
+                at = window_cells(source, window, r, c)
+                yield pa.RecordBatch.from_arrays([*at, *(pa.array(np.full(len(at[0]), x, np.int32)) for x in (r, c))], schema=schema)
+
+    def of(table: DataFrame) -> Windows:
+        made = from_table(table, grid, name, source.dtype, tiles=window, **options)
+        return Windows(made.name, made.grid, made.dtype, made.cells, made.srs, made.tiles, grid.size)
 
     class Windows(Raster):
         """The wanted windows are chosen before any is read."""
 
         def read_near(self, edges: DataFrame, kinds: str = "PL") -> Raster:
-            near = Raster(self.name, self.grid, self.dtype, tiles.withColumns({"row": F.lit(0), "col": F.lit(0), "value": F.lit(0)}), self.srs, self.tiles).read_near(edges, kinds)
-            return from_table(cells(near.cells), grid, self.name, source.dtype, tiles=window, **options)
-
-    return Windows(made.name, made.grid, made.dtype, made.cells, made.srs, made.tiles)
+            wanted = self.tile_cover(edges, kinds).select("tile_row", "tile_col").distinct()
+            found = wanted.limit(raster.MOST_TILES + 1).collect()
+            if len(found) <= raster.MOST_TILES:
+                return of(load(True).where(F.col("tile").isin([t.tile_row * across + t.tile_col for t in found]))).named(self.name)
+            spread = spark.range(down * across).select(F.floor(F.col("id") / across).cast("int").alias("tile_row"), (F.col("id") % across).cast("int").alias("tile_col"))
+            near = spread.join(wanted, ["tile_row", "tile_col"], "left_semi")
+            return of(near.mapInArrow(run, f"row int, col int, value {kind}, tile_row int, tile_col int")).named(self.name)
+
+    return of(load(False))
 
 
 def _type(dtype) -> str:
