@@ -6,11 +6,14 @@ all cells to its right, so along a row a running sum of ``dv`` gives the
 coverage: boundary cells from their own pieces, the runs between them from the
 sum alone, without looking at any geometry. Partial sums combine before the
 shuffle, which goes by feature and row, so one huge polygon still spreads over
-its rows.
+its rows. A feature that is one rectangle along the axes (kind ``R``) needs none
+of this: its coverage is the product of two overlaps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,26 @@ def polygon_coverage(edges: DataFrame, grid: Grid) -> DataFrame:
     return cells_of_runs(polygon_runs(edges, grid))
 
 
+def _boxes(boxes: DataFrame, grid: Grid) -> DataFrame:
+    """Rectangles (corners as the ends of an edge) in units of cells, cut off at the grid, a row for each row of cells: its overlap ``h``, columns ``c0`` to ``c1``."""
+    u = lambda x: F.least(F.greatest((F.col(x) - F.lit(grid.xmin)) / F.lit(grid.dx), F.lit(0.0)), F.lit(float(grid.cols)))
+    v = lambda y: F.least(F.greatest((F.lit(grid.ymax) - F.col(y)) / F.lit(grid.dy), F.lit(0.0)), F.lit(float(grid.rows)))
+    b = boxes.select("fid", u("x0").alias("u0"), u("x1").alias("u1"), v("y1").alias("v0"), v("y0").alias("v1")).where("u0 < u1 and v0 < v1")
+    b = b.select("*", _int(F.floor("u0")).alias("c0"), _int(F.ceil("u1") - 1).alias("c1"), F.explode(F.sequence(_int(F.floor("v0")), _int(F.ceil("v1") - 1))).alias("row"))
+    return b.withColumn("h", F.least(F.col("v1"), F.col("row") + 1) - F.greatest("v0", "row"))
+
+
+def rectangle_runs(boxes: DataFrame, grid: Grid) -> DataFrame:
+    """Rectangles along the axes -> ``fid, row, first, last, cov``: the overlap of rows times that of columns, without edges, sums or a shuffle."""
+    run = lambda a, b, part: F.struct(a.alias("first"), b.alias("last"), (part * F.col("h")).alias("cov"))
+    c0, c1 = F.col("c0"), F.col("c1")
+    inner = F.when(c1 > c0 + 1, run(c0 + 1, c1 - 1, F.lit(1.0)))
+    several = F.array(run(c0, c0, c0 + 1 - F.col("u0")), inner, run(c1, c1, F.col("u1") - c1))
+    runs = _boxes(boxes, grid).select("fid", "row", F.explode(F.when(c0 == c1, F.array(run(c0, c0, F.col("u1") - F.col("u0")))).otherwise(several)).alias("r"))
+    cov = F.when(F.abs(F.col("r.cov") - 1) < GHOST, F.lit(1.0)).otherwise(F.col("r.cov"))
+    return runs.where(F.col("r.cov") > GHOST).select("fid", "row", "r.first", "r.last", cov.alias("cov"))
+
+
 def line_coverage(edges: DataFrame, grid: Grid, least: float = GHOST) -> DataFrame:
     """Line edges -> ``fid, row, col, cov`` with the length of the line in each cell, in map units."""
     nr, nc = grid.rows, grid.cols
@@ -107,20 +130,21 @@ def line_coverage(edges: DataFrame, grid: Grid, least: float = GHOST) -> DataFra
     return e.groupBy("fid", "row", "col").agg(F.sum("len").alias("cov")).where(F.col("cov") > least)
 
 
-def coverage_runs(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
-    """Coverage of polygon and line features as runs ``fid, row, first, last, cov``; ``cov`` in single precision, as a float column."""
-    parts = []
-    if "P" in kinds:
-        parts.append(polygon_runs(edges.where("kind = 'P'"), grid))
-    if "L" in kinds:
-        parts.append(line_coverage(edges.where("kind = 'L'"), grid).select("fid", "row", F.col("col").alias("first"), F.col("col").alias("last"), "cov"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("fid", "row", "first", "last", F.col("cov").cast("float").alias("cov"))
+def coverage_runs(edges: DataFrame, grid: Grid, kinds: str = "PL", present: set[str] | None = None) -> DataFrame:
+    """Coverage of polygon and line features as runs ``fid, row, first, last, cov``; ``cov`` in single precision, as a float column.
+
+    ``present`` are the kinds of edges that there are, where that is known; the
+    plan has no branch for others.
+    """
+    of = {"P": polygon_runs, "R": rectangle_runs, "L": lambda e, g: line_coverage(e, g).select("fid", "row", F.col("col").alias("first"), F.col("col").alias("last"), "cov")}
+    wanted = [k for k in "PRL" if k.replace("R", "P") in kinds]
+    parts = [of[k](edges.where(F.col("kind") == k), grid) for k in wanted if present is None or k in present] or [polygon_runs(edges.where("kind = 'P'"), grid)]
+    return reduce(DataFrame.unionByName, parts).select("fid", "row", "first", "last", F.col("cov").cast("float").alias("cov"))
 
 
-def coverage(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
+def coverage(edges: DataFrame, grid: Grid, kinds: str = "PL", present: set[str] | None = None) -> DataFrame:
     """Coverage of polygon and line features by cells; ``cov`` in single precision, as a float column."""
-    return cells_of_runs(coverage_runs(edges, grid, kinds))
+    return cells_of_runs(coverage_runs(edges, grid, kinds, present))
 
 
 def touched(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
@@ -130,6 +154,7 @@ def touched(edges: DataFrame, grid: Grid, kinds: str = "PL") -> DataFrame:
         inner = F.when(F.abs("run") > GHOST, F.col("next") - 1).otherwise(F.col("col"))
         swept = _sweep(edges.where("kind = 'P'"), grid).select("fid", "row", F.greatest(F.col("col"), F.lit(0)).alias("first"), inner.alias("last"))
         parts.append(swept.where("last >= first"))
+        parts.append(_boxes(edges.where("kind = 'R'"), grid).select("fid", "row", F.col("c0").alias("first"), F.col("c1").alias("last")))
     if "L" in kinds:
         parts.append(line_coverage(edges.where("kind = 'L'"), grid, 0.0).select("fid", "row", F.col("col").alias("first"), F.col("col").alias("last")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)

@@ -1,20 +1,22 @@
 """Polygons cut by a grid: a geometry for each covered cell.
 
-A ring is halved by half-plane clipping, first between columns, then between
-the rows of each column, until a part lies in one cell. So a ring of n points
-over k columns costs about n log k, and each column's part the same over its
-rows; rows stream out in Arrow batches.
+A box of cells with the rings in it is halved across its longer side by half-plane
+clipping until it is one cell. So a ring of n points over k cells costs about
+n log k. Large boxes are dealt to other tasks on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import Grid
+from gridloom.shared import cut, drop_cut
 from gridloom.sources.geometry import GeometryError, decode, signed_area
 
 Ring = list[tuple[float, float]]
@@ -51,49 +53,157 @@ def _text(ring: Ring) -> str:
     return "(" + ", ".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + ")"
 
 
-def pieces(value: bytes | str, grid: Grid) -> Iterator[tuple[int, int, float, str]]:
-    """``row, col, area, WKT`` for each cell that a polygon covers in part."""
-    cells: dict[tuple[int, int], list[list[Ring]]] = {}
-    for k, (kind, rings) in enumerate(decode(value)):
+@dataclass
+class Work:
+    """Rings (part, number in the part, points) within a box of cells: first and last row and column."""
+
+    r0: int
+    r1: int
+    c0: int
+    c1: int
+    rings: list[tuple[int, int, Ring]]
+
+    @property
+    def cells(self) -> int:
+        return (self.r1 - self.r0 + 1) * (self.c1 - self.c0 + 1)
+
+
+def whole(value: bytes | str, grid: Grid) -> Work | None:
+    """A polygon with the box of cells that it may cover; none off the grid."""
+    rings, xs, ys = [], [], []
+    for k, (kind, parts) in enumerate(decode(value)):
         if kind != "P":
             raise GeometryError("Unsupported geometry type.")
-        for i, ring in enumerate(rings):
+        for i, ring in enumerate(parts):
             ring = ring[:-1] if ring[0] == ring[-1] else ring
-            xs = [p[0] for p in ring]
-            c0 = max(0, int((min(xs) - grid.xmin) // grid.dx))
-            c1 = min(grid.cols - 1, int((max(xs) - grid.xmin) // grid.dx))
-            x_of, y_of = (lambda k: grid.xmin + k * grid.dx), (lambda k: grid.ymax - k * grid.dy)
-            inner = clip(clip(ring, 0, x_of(c0), True), 0, x_of(c1 + 1), False) if c0 <= c1 else []
-            for c, strip in bands(inner, 0, c0, c1, x_of):
-                ys = [p[1] for p in strip]
-                r0 = max(0, int((grid.ymax - max(ys)) // grid.dy))
-                r1 = min(grid.rows - 1, int((grid.ymax - min(ys)) // grid.dy))
-                inner = clip(clip(strip, 1, y_of(r1 + 1), True), 1, y_of(r0), False) if r0 <= r1 else []
-                for r, piece in bands(inner, 1, r0, r1, y_of):
-                    if len(piece) >= 3 and abs(signed_area(piece)) > 1e-12 * grid.dx * grid.dy:
-                        cells.setdefault((r, c), []).append([k, i, piece])
-    for (r, c), found in sorted(cells.items()):
+            rings.append((k, i, ring))
+            xs += [p[0] for p in ring]
+            ys += [p[1] for p in ring]
+    if not rings:
+        return None
+    c0, c1 = max(0, int((min(xs) - grid.xmin) // grid.dx)), min(grid.cols - 1, int((max(xs) - grid.xmin) // grid.dx))
+    r0, r1 = max(0, int((grid.ymax - max(ys)) // grid.dy)), min(grid.rows - 1, int((grid.ymax - min(ys)) // grid.dy))
+    if c0 > c1 or r0 > r1:
+        return None
+    x_of, y_of = _lines(grid)
+    cut_off = lambda ring: clip(clip(clip(clip(ring, 0, x_of(c0), True), 0, x_of(c1 + 1), False), 1, y_of(r1 + 1), True), 1, y_of(r0), False)
+    return Work(r0, r1, c0, c1, _rings((k, i, cut_off(ring)) for k, i, ring in rings))
+
+
+def _lines(grid: Grid) -> tuple[Callable[[int], float], Callable[[int], float]]:
+    return (lambda k: grid.xmin + k * grid.dx), (lambda k: grid.ymax - k * grid.dy)
+
+
+def _rings(rings) -> list[tuple[int, int, Ring]]:
+    return [(k, i, ring) for k, i, ring in rings if len(ring) >= 3]
+
+
+def halves(work: Work, grid: Grid) -> list[Work]:
+    """The two halves of a box of several cells across its longer side, without those that no ring meets."""
+    x_of, y_of = _lines(grid)
+    if work.c1 - work.c0 >= work.r1 - work.r0:
+        m = (work.c0 + work.c1 + 1) // 2
+        out = [Work(work.r0, work.r1, *cols, _rings((k, i, clip(ring, 0, x_of(m), above)) for k, i, ring in work.rings)) for cols, above in (((work.c0, m - 1), False), ((m, work.c1), True))]
+    else:
+        m = (work.r0 + work.r1 + 1) // 2
+        out = [Work(*rows, work.c0, work.c1, _rings((k, i, clip(ring, 1, y_of(m), above)) for k, i, ring in work.rings)) for rows, above in (((work.r0, m - 1), True), ((m, work.r1), False))]
+    return [w for w in out if w.rings]
+
+
+def smaller(work: Work, grid: Grid, most: int) -> Iterator[Work]:
+    """A box in boxes of at most ``most`` cells."""
+    todo = [work]
+    while todo:
+        w = todo.pop()
+        if w.cells <= most:
+            yield w
+        else:
+            todo += reversed(halves(w, grid))
+
+
+def cells(work: Work, grid: Grid) -> Iterator[tuple[int, int, float, str]]:
+    """``row, col, area, WKT`` for each cell that the rings cover in part; one cell at a time."""
+    for w in smaller(work, grid, 1):
         polygons: dict[int, list[Ring]] = {}
         area = 0.0
-        for k, i, piece in found:
-            area += abs(signed_area(piece)) * (-1 if i else 1)
-            polygons.setdefault(k, []).append(piece)
+        for k, i, piece in w.rings:
+            if abs(signed_area(piece)) > 1e-12 * grid.dx * grid.dy:
+                area += abs(signed_area(piece)) * (-1 if i else 1)
+                polygons.setdefault(k, []).append(piece)
         if area > 1e-9 * grid.dx * grid.dy:
             bodies = ["(" + ", ".join(_text(p) for p in rings) + ")" for rings in polygons.values()]
-            yield r, c, area, f"POLYGON {bodies[0]}" if len(bodies) == 1 else "MULTIPOLYGON (" + ", ".join(bodies) + ")"
+            yield w.r0, w.c0, area, f"POLYGON {bodies[0]}" if len(bodies) == 1 else "MULTIPOLYGON (" + ", ".join(bodies) + ")"
+
 
+def pieces(value: bytes | str, grid: Grid) -> Iterator[tuple[int, int, float, str]]:
+    """``row, col, area, WKT`` for each cell that a polygon covers in part."""
+    work = whole(value, grid)
+    if work:
+        yield from cells(work, grid)
 
-def subdivide(features: DataFrame, grid: Grid, key: str, geometry: str = "geometry") -> DataFrame:
-    """``key, row, col, area, geometry`` (WKT) for each cell of each polygon."""
-    kind = features.schema[key].dataType.simpleString()
-    schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("area", pa.float64()), ("geometry", pa.string())])
+
+_RINGS = "array<struct<part:int,ring:int,points:array<double>>>"
+_WORK = f"r0 int, r1 int, c0 int, c1 int, rings {_RINGS}"
+_WORK_TYPES = [pa.int32()] * 4 + [pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("points", pa.list_(pa.float64()))]))]
+#: Cells of a box that a task cuts, boxes that a round makes of one, rows of a batch.
+MOST_CELLS, HALVED, ROWS = 1 << 16, 16, 1000
+
+
+def _row(w: Work) -> tuple:
+    return w.r0, w.r1, w.c0, w.c1, [{"part": k, "ring": i, "points": [x for p in ring for x in p]} for k, i, ring in w.rings]
+
+
+def _work(row: list) -> Work:
+    return Work(*row[:4], [(x["part"], x["ring"], list(zip(x["points"][0::2], x["points"][1::2]))) for x in row[4]])
+
+
+def _mapped(key: str, types: list[pa.DataType], names: list[str], of: Callable[[list], Iterator[tuple]], rows: int):
+    """A step that makes rows ``names`` of each row, with its key before them, in batches of at most ``rows``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i, g in enumerate(batch.column(1)):
-                rows = list(pieces(g.as_py(), grid)) if g.as_py() is not None else []
-                if rows:
-                    ids = batch.column(0).take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]], names=[key, *schema.names])
-
-    return features.select(key, F.col(geometry)).mapInArrow(run, f"`{key}` {kind}, row int, col int, area double, geometry string")
+            for i in range(batch.num_rows):
+                made = of([batch.column(j)[i].as_py() for j in range(1, batch.num_columns)])
+                while held := list(islice(made, rows)):
+                    ids = batch.column(0).take(pa.array([i] * len(held)))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*held), types)]], names=[key, *names])
+
+    return run
+
+
+def subdivide(features: DataFrame, grid: Grid, key: str, geometry: str = "geometry", most_cells: int = MOST_CELLS) -> DataFrame:
+    """``key, row, col, area, geometry`` (WKT) for each cell of each polygon.
+
+    A polygon over more than ``most_cells`` cells is cut into :data:`HALVED`
+    boxes, which are dealt to tasks and cut again, round by round, until all are
+    small; then each is cut into its cells, which leave the task as they are made.
+    """
+    kind = f"`{key}` {features.schema[key].dataType.simpleString()}"
+
+    def first(row: list) -> Iterator[tuple]:
+        work = whole(row[0], grid) if row[0] is not None else None
+        if work and work.rings:
+            yield _row(work)
+
+    def again(row: list) -> Iterator[tuple]:
+        work = _work(row)
+        yield from map(_row, smaller(work, grid, max(most_cells, -(-work.cells // HALVED))))
+
+    def last(row: list) -> Iterator[tuple]:
+        yield from cells(_work(row), grid)
+
+    names = ["r0", "r1", "c0", "c1", "rings"]
+    work = cut(features.select(key, F.col(geometry)).mapInArrow(_mapped(key, _WORK_TYPES, names, first, 1), f"{kind}, {_WORK}"), "sub-boxes")
+    size = (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
+    while (work.agg(F.max(size)).first()[0] or 0) > most_cells:
+        new = cut(work.repartition(_tasks(work), *names[:4]).mapInArrow(_mapped(key, _WORK_TYPES, names, again, 1), f"{kind}, {_WORK}"), "sub-boxes")
+        drop_cut(work)
+        work = new
+    types = [pa.int32(), pa.int32(), pa.float64(), pa.string()]
+    out = work.repartition(_tasks(work), *names[:4])
+    return out.mapInArrow(_mapped(key, types, ["row", "col", "area", "geometry"], last, ROWS), f"{kind}, row int, col int, area double, geometry string")
+
+
+def _tasks(work: DataFrame) -> int:
+    """Tasks for boxes, whose bytes say little of their cells: one for each up to ten thousand."""
+    return max(1, min(work.count(), 10_000, 64 * work.sparkSession.sparkContext.defaultParallelism))

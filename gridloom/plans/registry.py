@@ -143,6 +143,13 @@ def subdivided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(cut.select("id", "row", "col", "area"))
 
 
+def subdivided_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of wide zones, whose boxes of more than 64 cells are cut by several tasks."""
+    nr = _rows(spark, sf_dir)
+    pieces = subdivide(zones(spark, sf_dir, wide=True), Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "id", most_cells=64)
+    return _round(pieces.select("id", "row", "col", "area"))
+
+
 def value_shares_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of values as a map, entry by entry."""
     df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["unique", "frac"], None, "id", kinds="P")
@@ -288,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_cells": coverage_cells,
     "line_lengths": line_lengths,
     "subdivide_areas": subdivided,
+    "subdivide_wide": subdivided_wide,
     "zonal_user_function": user_function,
     "coverage_by_clipping": coverage_cells,
     "zonal_grouped_features": grouped_features,
@@ -399,6 +407,7 @@ ORACLES: dict[str, str] = {
     "coverage_cells": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS coverage, x AS value, w AS weight FROM m",
     "line_lengths": _LINE,
     "subdivide_areas": f"{_CELLS} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS area FROM cov",
+    "subdivide_wide": f"{_WIDE} SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(cov, 6) AS area FROM cov",
     "zonal_user_function": _oracle("max(x) - min(x) s", "CAST(s AS DOUBLE) AS spread"),
     "zonal_grouped_features": f"{_CELLS}, mu AS (SELECT id, sum(cov) n, sum(x * cov) / sum(cov) mu FROM j GROUP BY id), g AS (SELECT j.id, any_value(n) n, any_value(mu) mu, sum(cov * (x - mu) * (x - mu)) / any_value(n) v FROM j JOIN mu ON j.id = mu.id GROUP BY j.id) " + _ALL.format("CAST(2 AS BIGINT) AS copies, round(coalesce(n, 0), 6) AS count, round(mu, 6) AS mean, round(v, 6) AS variance"),
     "zonal_nodata_scaled": f"{_CELLS}, p AS (SELECT CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * 2.5 - 4 x FROM part WHERE p_size <> 13), g AS (SELECT id, sum(cov) n, sum(x * cov) s, max(x) hi FROM cov JOIN p ON cov.r = p.r AND cov.c = p.c GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, CAST(round(coalesce(s, 0), 6) AS DOUBLE) AS sum, CAST(hi AS DOUBLE) AS max"),

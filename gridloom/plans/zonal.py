@@ -404,7 +404,9 @@ def zonal_stats(
         # the values come first: with one value raster and no use for cells outside it, its join is an inner one
         used.sort(key=lambda r: not any(r is v for v, _ in pairs))
         grid = common_grid([r.grid for r in used], grid_compat_tol)
-        e = edges(f, fid, geometry)
+        # geometries are decoded once, whatever reads their edges
+        e = cut(edges(f, fid, geometry), "zs-edges")
+        present = {r[0] for r in e.select("kind").distinct().collect()}
         groups: dict[tuple, list[Operation]] = {}
         for o in plan:
             groups.setdefault(o.key, []).append(o)
@@ -412,9 +414,9 @@ def zonal_stats(
         by_runs = not by_blocks and all(of_runs(o, v, grid) for o, (v, _) in zip(plan, pairs, strict=True))
         if by_blocks or by_runs:
             near = {id(r): r.read_near(e, kinds) for r in used}
-            runs = coverage_runs(e, grid, kinds)
+            runs = coverage_runs(e, grid, kinds, present)
         else:
-            used_now, cov = near_features(used, coverage(e, grid, kinds), e, kinds, grid, strategy != STRATEGIES[0], max_cells_in_memory)
+            used_now, cov = near_features(used, coverage(e, grid, kinds, present), e, kinds, grid, strategy != STRATEGIES[0], max_cells_in_memory)
             outer = len({id(v) for v, _ in pairs}) > 1 or any(o.default_value is not None or o.custom is not None for o in plan)
             joined = joined_cells(cov, used_now, grid, outer)
             ranked = any(o.stat in st.QUANTILE for o in plan)

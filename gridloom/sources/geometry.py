@@ -1,7 +1,8 @@
 """Geometry decoding on executors: WKB, WKT or GeoJSON text -> boundary edges.
 
 One row for each edge: feature id, kind (``P`` polygon, ``L`` line), sign and
-end points. The sign is +1 for a counter-clockwise shell and a clockwise hole,
+end points. A feature that is one rectangle along the axes is one row of kind
+``R`` with its least and its greatest corner. The sign is +1 for a counter-clockwise shell and a clockwise hole,
 -1 for the others, so that signed areas of all edges add up to covered area.
 """
 
@@ -221,6 +222,14 @@ def edges_of(value: bytes | str) -> list[tuple[str, float, float, float, float,
     return out
 
 
+def _rectangle(found: list[tuple[str, float, float, float, float, float]]) -> bool:
+    """Whether four edges are the sides of a rectangle along the axes."""
+    if len(found) != 4 or any(e[0] != "P" or e[1] != found[0][1] or (e[2] != e[4]) == (e[3] != e[5]) for e in found):
+        return False
+    xs, ys = {e[2] for e in found}, {e[3] for e in found}
+    return len(xs) == len(ys) == 2 and len({e[2:4] for e in found}) == 4
+
+
 _EDGES = pa.schema([("fid", pa.int64()), ("kind", pa.string()), ("sg", pa.float64()), ("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64())])
 
 
@@ -230,7 +239,11 @@ def _edge_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fid, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             g = g.as_py()
             if g is not None:
-                rows += [(fid, *e) for e in edges_of(g)]
+                found = edges_of(g)
+                if _rectangle(found):
+                    xs, ys = [e[2] for e in found], [e[3] for e in found]
+                    found = [("R", 1.0, min(xs), min(ys), max(xs), max(ys))]
+                rows += [(fid, *e) for e in found]
                 if len(rows) >= 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _EDGES.types)], schema=_EDGES)
                     rows = []
@@ -239,5 +252,5 @@ def _edge_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edges(features: DataFrame, fid: str, geometry: str = "geometry") -> DataFrame:
-    """Edges of all features with a geometry; null geometries have none."""
+    """Edges of all features with a geometry, or its corners where that is a rectangle along the axes; null geometries have none."""
     return features.select(F.col(fid).cast("long").alias("fid"), F.col(geometry)).mapInArrow(_edge_rows, "fid long, kind string, sg double, x0 double, y0 double, x1 double, y1 double")
