@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from gridloom.plans import bands
 from gridloom.plans.zonal import coverage_table, zonal_stats
 from gridloom.shared import cut
 from gridloom.sources import blocks, output, raster
-from gridloom.sources.geometry import edges
+from gridloom.sources.geometry import edges, to_wkb
 
 # Corners of the four zone shapes in units of the zone's size, shell then hole.
 SHAPES = {
@@ -247,6 +248,17 @@ def _blocks(ops: list[str], weighted: bool = False) -> Callable[[SparkSession, s
     return run
 
 
+def zones_in_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones as well-known binary."""
+
+    @F.pandas_udf("binary")
+    def binary(texts: pd.Series) -> pd.Series:
+        return texts.map(to_wkb)
+
+    z = zones(spark, sf_dir).select("id", binary("geometry").alias("geometry"))
+    return _round(zonal_stats(values(spark, sf_dir), z, ["count", "mean"], None, "id", kinds="P"))
+
+
 def shares_as_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares as maps from value to share, without the values being asked for."""
     df = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["frac", "weighted_frac(default_weight=0)"], weights(spark, sf_dir), "id", kinds="P", frac_as_map=True)
@@ -307,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_tiles": tiled_raster,
     "zonal_block_variance": _blocks(["variance", "stdev", "coefficient_of_variation", "count", "mean", "min", "max"]),
     "zonal_block_weighted": _blocks(["weighted_variance", "weighted_stdev", "weighted_mean", "weighted_count"], weighted=True),
+    "zonal_wkb": zones_in_wkb,
     "tile_index": tile_index,
     "zonal_tiles_wide": tiles_of_wide_zones,
     "zonal_frac_as_map": shares_as_maps,
@@ -415,6 +428,7 @@ ORACLES: dict[str, str] = {
     "zonal_tiles": _oracle("sum(cov) n, sum(x * cov) s", "round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean"),
     "zonal_block_variance": f"{_WIDE}, mu AS (SELECT id, sum(y * cov) / sum(cov) mu FROM j GROUP BY id), g AS (SELECT j.id, any_value(mu) mu, sum(cov) n, min(y) lo, max(y) hi, sum(cov * (y - mu) * (y - mu)) / sum(cov) v FROM j JOIN mu ON j.id = mu.id GROUP BY j.id) " + _ALL.format("round(v, 6) AS variance, round(sqrt(v), 6) AS stdev, round(sqrt(v) / mu, 6) AS coefficient_of_variation, round(coalesce(n, 0), 6) AS count, round(mu, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max"),
     "zonal_block_weighted": f"{_WIDE}, mu AS (SELECT id, sum(cov * x) n, sum(y * cov * x) / sum(cov * x) mu FROM j GROUP BY id), g AS (SELECT j.id, any_value(mu) mu, any_value(n) n, sum(cov * x * (y - mu) * (y - mu)) / any_value(n) v FROM j JOIN mu ON j.id = mu.id GROUP BY j.id) " + _ALL.format("round(v, 6) AS weighted_variance, round(sqrt(v), 6) AS weighted_stdev, round(mu, 6) AS weighted_mean, CAST(round(coalesce(n, 0), 6) AS DOUBLE) AS weighted_count"),
+    "zonal_wkb": _oracle("sum(cov) n, sum(x * cov) s", "round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean"),
     "tile_index": f"{_WIDE}, t AS (SELECT id, r, c FROM k WHERE c >= 0 UNION ALL SELECT id, r, unnest(generate_series(c + 1, coalesce(nx, nc) - 1)) FROM rn WHERE abs(run) > 1e-9 AND c + 1 <= coalesce(nx, nc) - 1) SELECT DISTINCT id, CAST(r // 4 AS INT) AS tile_row, CAST(c // 4 AS INT) AS tile_col FROM t",
     "zonal_tiles_wide": f"{_WIDE}, a AS (SELECT cov.id, cov.cov, p_retailprice y FROM cov JOIN part ON r = p_partkey // 50 AND c = p_partkey % 50), g AS (SELECT id, sum(cov) n, sum(y * cov) s, max(y) hi FROM a GROUP BY id) " + _ALL.format("round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean, round(hi, 6) AS max"),
     "zonal_frac_as_map": f"{_CELLS}, h AS (SELECT id, x, sum(cov) sc, sum(cov * coalesce(w, 0)) sw FROM j GROUP BY id, x) SELECT id, x AS value, round(sc / sum(sc) OVER (PARTITION BY id), 6) AS share, CASE WHEN sum(sw) OVER (PARTITION BY id) <> 0 THEN round(sw / sum(sw) OVER (PARTITION BY id), 6) END AS weighted_share FROM h",

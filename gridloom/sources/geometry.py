@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +125,45 @@ def _wkb(data: bytes, at: int = 0) -> tuple[list[Part], int]:
     raise GeometryError("Unsupported geometry type.")
 
 
+def _wkb_arrays(data: bytes, at: int = 0) -> tuple[list[tuple[str, int, np.ndarray]], int]:
+    """Kind, number in its part and points (an array of x and y) of each ring or line of a WKB geometry, as views of its bytes."""
+    order = "<" if data[at] else ">"
+    (code,) = struct.unpack_from(order + "I", data, at + 1)
+    at += 9 if code & 0x20000000 else 5
+    dims = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
+    code &= 0x0FFFFFFF
+    dims += {0: 0, 1: 1, 2: 1, 3: 2}[code // 1000]
+    kind = code % 1000
+    if kind not in (2, 3, 5, 6, 7):
+        raise GeometryError("Unsupported geometry type.")
+    (n,) = (1,) if kind == 2 else struct.unpack_from(order + "I", data, at)
+    at += 0 if kind == 2 else 4
+    out: list[tuple[str, int, np.ndarray]] = []
+    for i in range(n):
+        if kind > 3:
+            inner, at = _wkb_arrays(data, at)
+            out += inner
+            continue
+        (size,) = struct.unpack_from(order + "I", data, at)
+        points = np.frombuffer(data, order + "f8", size * dims, at + 4).reshape(size, dims)[:, :2]
+        out.append(("L" if kind == 2 else "P", i, points))
+        at += 4 + 8 * size * dims
+    return out, at
+
+
+def to_wkb(value: bytes | str | None) -> bytes | None:
+    """A geometry (WKB, WKT or GeoJSON) as little-endian WKB."""
+    if value is None:
+        return None
+    line = lambda points: struct.pack(f"<I{2 * len(points)}d", len(points), *(x for p in points for x in p))
+    parts = decode(value)
+    one = [struct.pack("<BI", 1, 2) + line(rings[0]) if kind == "L" else struct.pack("<BII", 1, 3, len(rings)) + b"".join(map(line, rings)) for kind, rings in parts]
+    if len(one) == 1:
+        return one[0]
+    kinds = {kind for kind, _ in parts}
+    return struct.pack("<BII", 1, {"P": 6, "L": 5}[kinds.pop()] if len(kinds) == 1 else 7, len(one)) + b"".join(one)
+
+
 def _geojson(g: dict) -> list[Part]:
     kind, c = g.get("type"), g.get("coordinates")
     ring = lambda r: [(float(p[0]), float(p[1])) for p in r]
@@ -222,33 +262,89 @@ def edges_of(value: bytes | str) -> list[tuple[str, float, float, float, float,
     return out
 
 
-def _rectangle(found: list[tuple[str, float, float, float, float, float]]) -> bool:
-    """Whether four edges are the sides of a rectangle along the axes."""
-    if len(found) != 4 or any(e[0] != "P" or e[1] != found[0][1] or (e[2] != e[4]) == (e[3] != e[5]) for e in found):
-        return False
-    xs, ys = {e[2] for e in found}, {e[3] for e in found}
-    return len(xs) == len(ys) == 2 and len({e[2:4] for e in found}) == 4
+def rings_of(value: bytes | str) -> list[tuple[str, int, np.ndarray]]:
+    """Kind, number in its part and points of each ring or line; WKB is not unfolded to Python numbers.
+
+    An empty geometry, one of points, or one of both lines and polygons is an error.
+    """
+    if isinstance(value, str) and re.fullmatch(r"0[01][0-9A-Fa-f]{8,}", value.strip()):
+        value = bytes.fromhex(value.strip())
+    if isinstance(value, (bytes, bytearray, memoryview)) and bytes(value[:1]) in (b"\x00", b"\x01"):
+        try:
+            out = _wkb_arrays(bytes(value))[0]
+        except (struct.error, IndexError, KeyError, ValueError) as e:
+            raise e if isinstance(e, GeometryError) else GeometryError("Failed to parse geometry.") from None
+    else:
+        out = [(kind, i, np.array(ring, float).reshape(-1, 2)) for kind, rings in decode(value) for i, ring in enumerate(rings)]
+    if not out:
+        raise GeometryError("Can't get statistics for an empty geometry.")
+    if len({kind for kind, *_ in out}) > 1:
+        raise GeometryError("Mixed-type geometries not supported.")
+    return out
 
 
 _EDGES = pa.schema([("fid", pa.int64()), ("kind", pa.string()), ("sg", pa.float64()), ("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64())])
+#: Points whose edges are made at once.
+POINTS = 100_000
+
+
+def _batch(found: list[tuple[int, bool, str, int, np.ndarray]]) -> pa.RecordBatch:
+    """Edges of rings (feature, whether it has this one only, kind, number in its part, closed points), by arrays."""
+    fid, alone, hole = (np.array(x) for x in ([f[0] for f in found], [f[1] for f in found], [f[3] > 0 for f in found]))
+    line = np.array([f[2] == "L" for f in found])
+    size = np.array([len(f[4]) for f in found])
+    xy = np.concatenate([f[4] for f in found]).astype(float)
+    ends = np.cumsum(size)
+    ring = np.repeat(np.arange(len(found)), size)
+    start = np.ones(len(xy), bool)
+    start[ends - 1] = False
+    at = np.flatnonzero(start)
+    a, b, of = xy[at], xy[at + 1], ring[at]
+    corner = xy[(ends - size)[of]]
+    cross = (a[:, 0] - corner[:, 0]) * (b[:, 1] - corner[:, 1]) - (b[:, 0] - corner[:, 0]) * (a[:, 1] - corner[:, 1])
+    area = np.bincount(of, cross, len(found))
+    sign = np.where(line, 1.0, np.where(area >= 0, 1.0, -1.0) * np.where(hole, -1.0, 1.0))
+    # rings of five points whose sides run along the axes in turn are rectangles
+    five = np.flatnonzero(alone & ~line & (size == 5))
+    square = np.zeros(len(found), bool)
+    if len(five):
+        p = xy[(ends - size)[five][:, None] + np.arange(5)]
+        level, upright = p[:, 1:, 1] == p[:, :-1, 1], p[:, 1:, 0] == p[:, :-1, 0]
+        turns = (level != upright).all(axis=1) & (level[:, :-1] != level[:, 1:]).all(axis=1)
+        square[five] = turns & (p[:, 0] == p[:, 4]).all(axis=1)
+    keep = (a != b).any(axis=1) & ~square[of]
+    a, b, of = a[keep], b[keep], of[keep]
+    boxes = np.flatnonzero(square)
+    corners = xy[(ends - size)[boxes][:, None] + np.arange(4)] if len(boxes) else np.empty((0, 4, 2))
+    low, high = corners.min(axis=1), corners.max(axis=1)
+    every = np.concatenate((of, boxes))
+    kind = np.where(square[every], "R", np.where(line[every], "L", "P"))
+    sides = [np.concatenate(x) for x in ((a[:, 0], low[:, 0]), (a[:, 1], low[:, 1]), (b[:, 0], high[:, 0]), (b[:, 1], high[:, 1]))]
+    return pa.RecordBatch.from_arrays([pa.array(fid[every]), pa.array(kind, pa.string()), pa.array(np.where(square[every], 1.0, sign[every])), *map(pa.array, sides)], schema=_EDGES)
 
 
 def _edge_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        rows = []
+        found, points = [], 0
         for fid, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             g = g.as_py()
-            if g is not None:
-                found = edges_of(g)
-                if _rectangle(found):
-                    xs, ys = [e[2] for e in found], [e[3] for e in found]
-                    found = [("R", 1.0, min(xs), min(ys), max(xs), max(ys))]
-                rows += [(fid, *e) for e in found]
-                if len(rows) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _EDGES.types)], schema=_EDGES)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _EDGES.types)], schema=_EDGES)
+            if g is None:
+                continue
+            rings = rings_of(g)
+            for kind, i, xy in rings:
+                if kind == "P":
+                    if len(xy) < 4:
+                        continue
+                    if (xy[0] != xy[-1]).any():
+                        xy = np.concatenate((xy, xy[:1]))
+                if len(xy):
+                    found.append((fid, len(rings) == 1, kind, i, xy))
+                    points += len(xy)
+            if points >= POINTS:
+                yield _batch(found)
+                found, points = [], 0
+        if found:
+            yield _batch(found)
 
 
 def edges(features: DataFrame, fid: str, geometry: str = "geometry") -> DataFrame:
