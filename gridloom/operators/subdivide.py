@@ -180,9 +180,14 @@ def subdivide(features: DataFrame, grid: Grid, key: str, geometry: str = "geomet
     """
     kind = f"`{key}` {features.schema[key].dataType.simpleString()}"
 
-    def first(row: list) -> Iterator[tuple]:
+    def small(row: list) -> Iterator[tuple]:
         work = whole(row[0], grid) if row[0] is not None else None
-        if work and work.rings:
+        if work and work.cells <= most_cells:
+            yield from cells(work, grid)
+
+    def large(row: list) -> Iterator[tuple]:
+        work = whole(row[0], grid) if row[0] is not None else None
+        if work and work.cells > most_cells and work.rings:
             yield _row(work)
 
     def again(row: list) -> Iterator[tuple]:
@@ -192,16 +197,17 @@ def subdivide(features: DataFrame, grid: Grid, key: str, geometry: str = "geomet
     def last(row: list) -> Iterator[tuple]:
         yield from cells(_work(row), grid)
 
-    names = ["r0", "r1", "c0", "c1", "rings"]
-    work = cut(features.select(key, F.col(geometry)).mapInArrow(_mapped(key, _WORK_TYPES, names, first, 1), f"{kind}, {_WORK}"), "sub-boxes")
+    names, types = ["r0", "r1", "c0", "c1", "rings"], [pa.int32(), pa.int32(), pa.float64(), pa.string()]
+    given, to_cells = features.select(key, F.col(geometry)), f"{kind}, row int, col int, area double, geometry string"
+    made = lambda of: _mapped(key, types, ["row", "col", "area", "geometry"], of, ROWS)
+    work = cut(given.mapInArrow(_mapped(key, _WORK_TYPES, names, large, 1), f"{kind}, {_WORK}"), "sub-boxes")
+    out = given.mapInArrow(made(small), to_cells)
     size = (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
-    while (work.agg(F.max(size)).first()[0] or 0) > most_cells:
+    while (most := work.agg(F.max(size)).first()[0] or 0) > most_cells:
         new = cut(work.repartition(_tasks(work), *names[:4]).mapInArrow(_mapped(key, _WORK_TYPES, names, again, 1), f"{kind}, {_WORK}"), "sub-boxes")
         drop_cut(work)
         work = new
-    types = [pa.int32(), pa.int32(), pa.float64(), pa.string()]
-    out = work.repartition(_tasks(work), *names[:4])
-    return out.mapInArrow(_mapped(key, types, ["row", "col", "area", "geometry"], last, ROWS), f"{kind}, row int, col int, area double, geometry string")
+    return out.unionByName(work.repartition(_tasks(work), *names[:4]).mapInArrow(made(last), to_cells)) if most else out
 
 
 def _tasks(work: DataFrame) -> int:
