@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.descriptors import parse_dataset
+from gridloom.sources.geojson import features as geojson_features
 
 
 def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", columns: list[str] | None = None, identity: str | None = None, id_name: str | None = None, id_type: str | None = None) -> DataFrame:
@@ -41,13 +42,11 @@ def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", colum
 def geojson(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """Features of GeoJSON: a collection in each file, or a feature on each line; ``id`` and properties become columns.
 
-    ``names`` are the properties wanted; without, a pass over the files finds them.
+    Files of any size are read in ranges by many tasks (``sources/geojson.py``).
+    ``names`` are the properties wanted; without, one more pass finds them, as
+    any feature may have others.
     """
-    text = spark.read.text(path, wholetext=True)
-    kind = F.get_json_object("value", "$.type")
-    whole = text.where(kind == "FeatureCollection").select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("value"))
-    lines = text.where((kind != "FeatureCollection") | kind.isNull()).select(F.explode(F.split("value", "\n")).alias("value")).where(F.get_json_object("value", "$.type") == "Feature")
-    f = whole.unionAll(lines).select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.properties").alias("p"), F.get_json_object("value", "$.geometry").alias("geometry"))
+    f = geojson_features(spark, path).select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.properties").alias("p"), F.get_json_object("value", "$.geometry").alias("geometry"))
     if names is None:
         names = [r[0] for r in f.select(F.explode(F.json_object_keys("p"))).distinct().collect()]
     return f.select("id", *[F.get_json_object("p", f"$['{n}']").alias(n) for n in sorted(names) if n != "id"], "geometry")
