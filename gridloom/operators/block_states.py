@@ -43,7 +43,7 @@ def by_tile(runs: DataFrame, side: int) -> DataFrame:
     return cut(pieces, "zs-pieces")
 
 
-def _lists(pieces: DataFrame) -> DataFrame:
+def dealt(pieces: DataFrame) -> DataFrame:
     """Lists of at most some :data:`MOST_RUNS` runs; a feature's row stays in one share."""
     at = ["tile_row", "tile_col"]
     hot = cut(pieces.groupBy(*at).count().where(F.col("count") > MOST_RUNS).select(*at, F.ceil(F.col("count") / MOST_RUNS).alias("shares")), "zs-hot")
@@ -113,7 +113,7 @@ def states(values, weights, runs: DataFrame, default_weight: float | None) -> Da
     """A state for each feature and block: ``fid, n, mean, m2, lo, hi, nw, meanw, m2w, gone``; written once."""
     grid, side = values.grid, values.tiles
     pieces = by_tile(runs, side)
-    lists = _lists(pieces)
+    lists = dealt(pieces)
     blocks, at = values.blocks.select("tile_row", "tile_col", "data"), ["tile_row", "tile_col"]
     if weights is not None:
         blocks = blocks.join(weights.blocks.select(*at, F.col("data").alias("weight")), at, "left")
