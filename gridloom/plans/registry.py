@@ -21,9 +21,10 @@ from gridloom.operators.custom import CustomStat
 from gridloom.operators.subdivide import subdivide
 from gridloom.plans import bands
 from gridloom.plans.zonal import coverage_table, zonal_stats
-from gridloom.shared import cut
+from gridloom.shared import cut, shared_path
 from gridloom.sources import blocks, output, raster
 from gridloom.sources.geometry import edges, to_wkb
+from gridloom.streaming.tiles import stream_tiles
 
 # Corners of the four zone shapes in units of the zone's size, shell then hole.
 SHAPES = {
@@ -248,6 +249,29 @@ def _blocks(ops: list[str], weighted: bool = False) -> Callable[[SparkSession, s
     return run
 
 
+MOMENT_OPS = ["variance", "stdev", "coefficient_of_variation", "count", "mean", "min", "max"]
+
+
+def zones_over_arriving_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones over tiles that arrive as a stream, restarted twice: the second arrival replaces the first, the third is late."""
+    new, old = (blocks.to_blocks(values(spark, sf_dir, c), 8) for c in ("p_retailprice", "p_size"))
+    even = (F.col("tile_row") + F.col("tile_col")) % 2 == 0
+    z = zones(spark, sf_dir, wide=True)
+    arriving, out, checkpoint = (shared_path(spark, x) for x in ("st-tiles", "st-results", "st-checkpoint"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    for tiles, version in ((old.blocks.where(even), 1), (new.blocks, 2), (old.blocks.where(~even), 1)):
+        tiles.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema("tile_row int, tile_col int, data binary, version long").parquet(arriving)
+        found = stream_tiles(stream, z, "id", MOMENT_OPS, new.grid, 8, "version", kinds="P")
+        found.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    last = got.groupBy("id").agg(F.max_by(F.struct(*MOMENT_OPS), "batch").alias("r"))
+    return _round(z.select("id").join(last, "id", "left").select("id", *[(F.coalesce("r.count", F.lit(0.0)) if c == "count" else F.col(f"r.{c}")).alias(c) for c in MOMENT_OPS]))
+
+
 def zones_in_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones as well-known binary."""
 
@@ -317,7 +341,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_bands": many_bands,
     "zonal_bands_wide": many_bands_wide,
     "zonal_tiles": tiled_raster,
-    "zonal_block_variance": _blocks(["variance", "stdev", "coefficient_of_variation", "count", "mean", "min", "max"]),
+    "zonal_block_variance": _blocks(MOMENT_OPS),
+    "zonal_stream_tiles": zones_over_arriving_tiles,
     "zonal_block_weighted": _blocks(["weighted_variance", "weighted_stdev", "weighted_mean", "weighted_count"], weighted=True),
     "zonal_wkb": zones_in_wkb,
     "tile_index": tile_index,
@@ -462,3 +487,5 @@ corner(shape, k, fx, fy) AS (VALUES {", ".join(f"({s}, {k}, {float(p[0])}, {floa
 shape AS (SELECT id, string_agg('[' || CAST(CAST(zx + zw * fx AS DOUBLE) AS VARCHAR) || ', ' || CAST(CAST(zy + zh * fy AS DOUBLE) AS VARCHAR) || ']', ', ' ORDER BY k) p FROM z JOIN corner ON z.shape = corner.shape GROUP BY id)
 SELECT '{{"type":"Feature","id":' || s.id || ',"geometry":{{"type": "Polygon", "coordinates": [[' || p || ']]}},"properties":{{"variety":' || coalesce(v, 0) || ',"max":' || coalesce(CAST(hi AS VARCHAR), 'null') || '}}}}' AS value FROM shape s LEFT JOIN g ON s.id = g.id""",
 }
+# what counts is the last version of each tile, that is the raster of the blocks
+ORACLES["zonal_stream_tiles"] = ORACLES["zonal_block_variance"]
