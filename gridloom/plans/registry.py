@@ -22,7 +22,7 @@ from gridloom.operators.subdivide import subdivide
 from gridloom.plans import bands
 from gridloom.plans.zonal import coverage_table, zonal_stats
 from gridloom.shared import cut, shared_path
-from gridloom.sources import blocks, output, raster
+from gridloom.sources import blocks, output, raster, shapefile
 from gridloom.sources.geometry import edges, to_wkb
 from gridloom.streaming.tiles import stream_tiles
 
@@ -307,6 +307,15 @@ def features_as_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.geojson(df, "geometry", "id")
 
 
+def features_in_shapefiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with statistics written as shapefiles and read back, and statistics of what was read."""
+    path = shared_path(spark, "zs-shapes")
+    first = zonal_stats(values(spark, sf_dir), zones(spark, sf_dir), ["variety", "max"], None, "id", include_geom=True, kinds="P")
+    shapefile.write(first, path)
+    back = shapefile.read(spark, path)
+    return _round(zonal_stats(values(spark, sf_dir), back, ["count", "mean"], None, ["id", "variety", "max"], kinds="P"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_mean_count": _stats(["count", "mean"]),
     "zonal_sums_extremes": _stats(["sum", "min", "max"]),
@@ -351,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_lines": line_statistics,
     "zonal_nested": nested_arrays,
     "features_geojson": features_as_geojson,
+    "features_shapefile": features_in_shapefiles,
 }
 
 _EDGES = ", ".join(f"({s}, {-1 if i else 1}, {float(a[0])}, {float(a[1])}, {float(b[0])}, {float(b[1])})" for s, rings in SHAPES.items() for i, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1]))
@@ -487,5 +497,6 @@ corner(shape, k, fx, fy) AS (VALUES {", ".join(f"({s}, {k}, {float(p[0])}, {floa
 shape AS (SELECT id, string_agg('[' || CAST(CAST(zx + zw * fx AS DOUBLE) AS VARCHAR) || ', ' || CAST(CAST(zy + zh * fy AS DOUBLE) AS VARCHAR) || ']', ', ' ORDER BY k) p FROM z JOIN corner ON z.shape = corner.shape GROUP BY id)
 SELECT '{{"type":"Feature","id":' || s.id || ',"geometry":{{"type": "Polygon", "coordinates": [[' || p || ']]}},"properties":{{"variety":' || coalesce(v, 0) || ',"max":' || coalesce(CAST(hi AS VARCHAR), 'null') || '}}}}' AS value FROM shape s LEFT JOIN g ON s.id = g.id""",
 }
+ORACLES["features_shapefile"] = _oracle("sum(cov) n, sum(x * cov) s, count(DISTINCT x) v, max(x) hi", "coalesce(v, 0) AS variety, hi AS max, round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean")
 # what counts is the last version of each tile, that is the raster of the blocks
 ORACLES["zonal_stream_tiles"] = ORACLES["zonal_block_variance"]

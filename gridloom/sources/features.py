@@ -12,11 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.descriptors import parse_dataset
+from gridloom.sources import shapefile
 from gridloom.sources.geojson import features as geojson_features
 
 
 def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", columns: list[str] | None = None, identity: str | None = None, id_name: str | None = None, id_type: str | None = None) -> DataFrame:
-    """Features of ``file[layer]``: Parquet, ORC, CSV, GeoJSON lines or a GeoJSON collection.
+    """Features of ``file[layer]``: Parquet, ORC, CSV, shapefiles, GeoJSON lines or a GeoJSON collection.
 
     Only the columns asked for are read. An id can be renamed and cast on the way.
     """
@@ -28,6 +29,8 @@ def read(spark: SparkSession, descriptor: str, geometry: str = "geometry", colum
         df = spark.read.option("header", True).csv(path)
     elif end.endswith("json"):
         df = geojson(spark, path, [c for c in [*([identity] if identity else []), *columns] if c not in ("id", geometry)] if columns else None)
+    elif end == "shp":
+        df = shapefile.read(spark, path, geometry)
     elif layer != "0":
         df = spark.table(layer)
     else:

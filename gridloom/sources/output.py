@@ -8,11 +8,13 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources import shapefile
 from gridloom.sources.geometry import to_geojson
 
 
@@ -125,9 +127,9 @@ def pandas(df: DataFrame, index: str | None = None):
 
 
 def write(df: DataFrame, path: str, nested: bool = False, geometry: str | None = None, mode: str = "errorifexists", **options) -> None:
-    """Write by extension: ``.csv``, ``.parquet``, ``.orc``, ``*json`` (GeoJSON), or ``PG:``/``jdbc:`` with ``table=``.
+    """Write by extension: ``.csv``, ``.parquet``, ``.orc``, ``*json`` (GeoJSON), ``.shp`` (a folder of parts), or ``PG:``/``jdbc:`` with ``table=``.
 
-    Flat by default: array columns become rows.
+    Flat by default: array columns become rows. A shapefile needs a geometry.
     """
     out = df if nested else unnest(df)
     end = path.lower().rsplit(".", 1)[-1]
@@ -139,6 +141,15 @@ def write(df: DataFrame, path: str, nested: bool = False, geometry: str | None =
         plain.write.mode(mode).options(header="true", **options).csv(path)
     elif end in ("parquet", "orc"):
         out.write.mode(mode).options(**options).format(end).save(path)
+    elif end == "shp":
+        if geometry is None:
+            raise ValueError("A shapefile needs a geometry")
+        system, place = shapefile._place(path)
+        there = system.get_file_info(place).type != fs.FileType.NotFound
+        if there and mode in ("error", "errorifexists"):
+            raise ValueError(f"{path} exists already")
+        if not (there and mode == "ignore"):
+            shapefile.write(out, path, geometry, "overwrite" if mode == "overwrite" else "append")
     elif end.endswith("json"):
         geojson(out, geometry).write.mode(mode).options(**options).text(path)
     else:
