@@ -9,8 +9,9 @@ from __future__ import annotations
 import argparse
 import sys
 
-from gridloom.functions.descriptors import parse_raster
+from gridloom.functions.descriptors import parse_descriptor, parse_raster
 from gridloom.functions.grid import Box, Grid
+from gridloom.plans.bands import Bands, stack
 from gridloom.plans.progress import watched
 from gridloom.plans.zonal import STRATEGIES, zonal_stats
 from gridloom.sources import features as feature_source
@@ -53,6 +54,17 @@ def _rasters(spark, descriptors: list[str], grids: list[Grid], nodata) -> list:
     return out
 
 
+def _stacked(spark, args, grids: list[Grid], n_weights: int) -> Bands | None:
+    """The bands of the only raster as one table, where no statistic names one of them."""
+    if len(args.raster) > 1 or n_weights > 1:
+        return None
+    name, path, band = parse_raster(args.raster[0])
+    cells = spark.read.parquet(path)
+    if band or "band" not in cells.columns or any(parse_descriptor(s).values for s in args.stat):
+        return None
+    return stack(cells, grids[0], root=name or "", nodata=args.nodata)
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if "--config" in argv:
@@ -76,7 +88,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
         f = feature_source.read(spark, args.polygons, args.geometry)
         cols = [*([args.fid] if args.fid else []), *args.include_col]
-        out = zonal_stats(_rasters(spark, args.raster, grids, args.nodata), f, args.stat, _rasters(spark, args.weights, grids, None) or None, cols, args.include_geom, args.geometry, strategy=args.strategy, grid_compat_tol=args.grid_compat_tol, max_cells_in_memory=int(args.max_cells * 1e6))
+        weights = raster.prepare(_rasters(spark, args.weights, grids, None) or None)
+        rasters = _stacked(spark, args, grids, len(weights)) or _rasters(spark, args.raster, grids, args.nodata)
+        out = zonal_stats(rasters, f, args.stat, weights or None, cols, args.include_geom, args.geometry, strategy=args.strategy, grid_compat_tol=args.grid_compat_tol, max_cells_in_memory=int(args.max_cells * 1e6))
         if args.fid and args.id_name:
             out = output.with_id(out, args.fid, args.id_name, args.id_type)
         write = lambda: output.write(out, args.output, args.nested_output, args.geometry if args.include_geom else None)

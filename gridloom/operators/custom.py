@@ -8,6 +8,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class CustomStat:
@@ -42,7 +44,14 @@ def custom_results(cells: DataFrame, stat: CustomStat) -> DataFrame:
     """
     function, weighted = stat.function, stat.weighted
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    kind = cells.schema["fid"].dataType
+    # a key of feature and band is grouped by its parts
+    keys = kind.names if isinstance(kind, StructType) else ["fid"]
+    if keys != ["fid"]:
+        cells = cells.select("fid.*", *[c for c in cells.columns if c != "fid"])
+    types = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"])
         masked = lambda s, kind=None: np.ma.masked_array(s.fillna(0).to_numpy(dtype=kind) if kind else s.fillna(0).to_numpy(), s.isna().to_numpy())
         values = masked(pdf["x"])
@@ -61,6 +70,7 @@ def custom_results(cells: DataFrame, stat: CustomStat) -> DataFrame:
             got = got.item()
         elif got is not None and not isinstance(got, (int, float, str, bool, list, tuple)):
             raise TypeError("Unhandled type returned from Python operation")
-        return pd.DataFrame({"fid": [pdf["fid"].iloc[0]], "result": [got]})
+        return pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "result": [got]})
 
-    return cells.groupBy("fid").applyInPandas(run, f"fid long, result {stat.return_type}")
+    out = cells.groupBy(*keys).applyInPandas(run, f"{types}, result {stat.return_type}")
+    return out if keys == ["fid"] else out.select(F.struct(*keys).alias("fid"), "result")

@@ -213,6 +213,11 @@ def many_bands_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(bands.wide(bands.band_stats(b, zones(spark, sf_dir), ["count", "sum"], None, "id", kinds="P"), b, "id"))
 
 
+def many_bands_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bands through the general entry, with a default where a band lacks a cell."""
+    return _round(zonal_stats(_banded(spark, sf_dir, 3), zones(spark, sf_dir), ["mean(default_value=7)", "max", "variety(default_value=7)"], None, "id", kinds="P"))
+
+
 def tiled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster in tiles of 8 x 8 cells, of which only those near zones are read."""
     nr = _rows(spark, sf_dir)
@@ -349,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zonal_sphere_areas": sphere_areas,
     "zonal_bands": many_bands,
     "zonal_bands_wide": many_bands_wide,
+    "zonal_bands_filled": many_bands_filled,
     "zonal_tiles": tiled_raster,
     "zonal_block_variance": _blocks(MOMENT_OPS),
     "zonal_stream_tiles": zones_over_arriving_tiles,
@@ -498,5 +504,6 @@ shape AS (SELECT id, string_agg('[' || CAST(CAST(zx + zw * fx AS DOUBLE) AS VARC
 SELECT '{{"type":"Feature","id":' || s.id || ',"geometry":{{"type": "Polygon", "coordinates": [[' || p || ']]}},"properties":{{"variety":' || coalesce(v, 0) || ',"max":' || coalesce(CAST(hi AS VARCHAR), 'null') || '}}}}' AS value FROM shape s LEFT JOIN g ON s.id = g.id""",
 }
 ORACLES["features_shapefile"] = _oracle("sum(cov) n, sum(x * cov) s, count(DISTINCT x) v, max(x) hi", "coalesce(v, 0) AS variety, hi AS max, round(coalesce(n, 0), 6) AS count, round(s / n, 6) AS mean")
+ORACLES["zonal_bands_filled"] = f"{_CELLS}, pb AS (SELECT band, CAST(floor(p_partkey / 50) AS INT) r, CAST(p_partkey % 50 AS INT) c, p_size * band % 11 x FROM part, generate_series(1, 3) t(band) WHERE p_size % 10 <> band), jb AS (SELECT id, t.band, cov, pb.x, coalesce(pb.x, 7) y FROM cov CROSS JOIN generate_series(1, 3) t(band) LEFT JOIN pb ON cov.r = pb.r AND cov.c = pb.c AND t.band = pb.band), g AS (SELECT id, " + ", ".join(f"sum(CASE WHEN band = {k} THEN cov * y END) / sum(CASE WHEN band = {k} THEN cov END) m{k}, max(x) FILTER (WHERE band = {k}) x{k}, count(DISTINCT y) FILTER (WHERE band = {k}) v{k}" for k in (1, 2, 3)) + " FROM jb GROUP BY id) " + _ALL.format(", ".join([*(f"round(m{k}, 6) AS band_{k}_mean" for k in (1, 2, 3)), *(f"x{k} AS band_{k}_max" for k in (1, 2, 3)), *(f"coalesce(v{k}, 0) AS band_{k}_variety" for k in (1, 2, 3))]))
 # what counts is the last version of each tile, that is the raster of the blocks
 ORACLES["zonal_stream_tiles"] = ORACLES["zonal_block_variance"]

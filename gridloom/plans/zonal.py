@@ -102,13 +102,16 @@ def _index(grid: Grid, common: Grid) -> tuple[Column, Column, Column]:
     return row, col, row.between(0, grid.rows - 1) & col.between(0, grid.cols - 1)
 
 
-def attach(cells: DataFrame, raster: Raster, common: Grid, out: str, outer: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cells with the raster's value as ``out`` and its columns ``keep``; ``outer`` keeps cells without a value."""
+def attach(cells: DataFrame, raster: Raster, common: Grid, out: str, outer: bool, keep: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with the raster's value as ``out`` and its columns ``keep``; ``outer`` keeps cells without a value. Columns ``on`` of both sides agree."""
     row, col, _ = _index(raster.grid, common)
-    r = raster.cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias(out), *keep)
+    r = raster.cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias(out), *keep, *[F.col(k).alias(f"_on_{k}") for k in on])
     if not outer:
         r = r.where(F.col(out).isNotNull())
-    return cells.join(r, (row == F.col("_r")) & (col == F.col("_c")), "left" if outer else "inner").drop("_r", "_c")
+    same = (row == F.col("_r")) & (col == F.col("_c"))
+    for k in on:
+        same &= F.col(k) == F.col(f"_on_{k}")
+    return cells.join(r, same, "left" if outer else "inner").drop("_r", "_c", *[f"_on_{k}" for k in on])
 
 
 #: Estimated bytes of a raster from which it is worth a job to know which of its cells are covered.
@@ -373,7 +376,7 @@ def zonal_stats(
     """One row for each feature: geometry (if asked), included columns, then a column for each operation.
 
     ``rasters`` may be None where every operation is a :class:`Request` that
-    holds its rasters. ``frac_as_map`` gives ``frac`` and ``weighted_frac`` as
+    holds its rasters, or ``bands.Bands``, whose bands share one plan. ``frac_as_map`` gives ``frac`` and ``weighted_frac`` as
     maps from value to share. An operation can't have the name of an included
     column. ``kinds`` limits the plan to polygons (``P``) or lines (``L``)
     where that is known. With ``feature-sequential`` only large rasters stay
@@ -385,6 +388,13 @@ def zonal_stats(
         raise ValueError(f"Unknown strategy: {strategy}")
     if max_cells_in_memory <= 0:
         raise ValueError("Invalid value for max_cells_in_memory")
+    from gridloom.plans.bands import Bands, zonal_bands
+
+    if isinstance(rasters, Bands):
+        if frac_as_map or progress:
+            raise DescriptorError("Shares as maps and progress are not offered for bands.")
+        warn_crs(features_srs, [rasters.raster], prepare(weights))
+        return zonal_bands(rasters, features, ops, weights, include_cols, include_geom, geometry, kinds, grid_compat_tol, strategy != STRATEGIES[0], max_cells_in_memory)
     rs, ws = prepare(rasters), prepare(weights)
     ops, own = own_rasters(ops)
     plan = plan_operations(rs, ws, ops, own)

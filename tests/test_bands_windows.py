@@ -11,6 +11,7 @@ from gridloom.functions.descriptors import DescriptorError
 from gridloom.functions.grid import Grid
 from gridloom.operators import statistics
 from gridloom.operators.coverage import coverage
+from gridloom.operators.custom import CustomStat
 from gridloom.plans import zonal
 from gridloom.plans.bands import band_stats, stack, wide
 from gridloom.plans.zonal import zonal_stats
@@ -268,3 +269,52 @@ def test_quantiles_in_slices(spark, monkeypatch, slices):
     for f in (1, 2, 3, 4):
         x, c = (np.array([r[k] for r in rows if r[0] == f]) for k in (1, 2))
         assert got[f] == pytest.approx([brute.quantile(x, c, q) for q in qs]), f
+
+
+def spread(values, coverage):
+    """Greatest less least value, and the count of cells without one."""
+    held = values.compressed()
+    return [float(held.max() - held.min()) if len(held) else -1.0, float(np.ma.getmaskarray(values).sum())]
+
+
+def weighted_most(values, coverage, weights) -> float:
+    got = (values * coverage * weights).max()
+    return None if got is np.ma.masked else float(got)
+
+
+def test_bands_share_a_plan(spark):
+    """Stacked bands give what rasters of their own give: same columns, names, order and values."""
+    # each band lacks other cells: as NODATA, or for want of a row
+    table = cells_table(spark, [VALUES + 1, VALUES * 2 % 5, VALUES % 3]).where("(row + 2 * col) % 7 <> band")
+    f = features(spark, KITE, brute.wkt_of(SHAPES["comb"]), "POLYGON ((50 50, 51 50, 51 51, 50 50))", "POLYGON ((-1 14, 2.5 14, 2.5 30, -1 14))")
+    w = plain_raster(spark, WEIGHTS)
+    ops = ["count", "mean", "sum(default_value=9,min_coverage_frac=0.4)", "variance", "weighted_mean", "weighted_sum(default_weight=0)", "quantile(q=0.3)", "min", "values", CustomStat(spread, "array<double>"), weighted_most]
+    for mine, weight in ((ops, w), (["count(default_value=9)", "unique", "frac", "min_center_x"], None)):
+        want = zonal_stats(raster.from_bands(table, GRID, "t", nodata=2), f, mine, weight, "id", include_geom=True)
+        got = zonal_stats(stack(table, GRID, root="t", nodata=2), f, mine, weight, "id", include_geom=True)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        a, b = ({r.id: r.asDict() for r in x.collect()} for x in (got, want))
+        assert len(a) == 4 and a.keys() == b.keys()
+        for i in a:
+            for c in got.columns:
+                x, y = a[i][c], b[i][c]
+                same = x == y or (isinstance(x, float) and (x == pytest.approx(y, rel=1e-9, nan_ok=True))) or (isinstance(x, list) and x == pytest.approx(y, rel=1e-9, nan_ok=True))
+                assert same, (i, c, x, y)
+    b = stack(table, GRID, root="t")
+    with pytest.raises(DescriptorError, match="single bands|Unknown raster"):
+        zonal_stats(b, f, "mean(t_band_2)", None, "id")
+    with pytest.raises(DescriptorError, match="not unique"):
+        zonal_stats(b, f, "x=mean", None, "id")
+    with pytest.raises(DescriptorError, match="one weight raster"):
+        zonal_stats(b, f, "weighted_mean", [w.named("a"), w.named("b")], "id")
+
+
+def test_one_plan_for_any_count_of_bands(spark):
+    table = spark.range(0, 64 * 40, 1, 4).selectExpr("cast(id % 40 + 1 as int) band", "cast(id / 40 % 8 as int) row", "cast(id / 320 as int) col", "cast(id as int) value")
+    joins = []
+    for n in (2, 40):
+        got = zonal_stats(stack(table.where(f"band <= {n}"), Grid(0, 0, 8, 8, 1, 1), n), features(spark, "POLYGON ((1 1, 6 1, 3 7, 1 1))"), ["mean", "max"], None, "id")
+        joins.append(got._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        assert got.columns == ["id", *[f"band_{b}_{s}" for s in ("mean", "max") for b in range(1, n + 1)]]
+        assert got.first().band_2_max - got.first().band_1_max == 1
+    assert joins[0] == joins[1]

@@ -127,3 +127,19 @@ def test_strategies_agree(spark, result):
     for strategy in ("raster-sequential", "raster-parallel"):
         for most in (1, 30_000_000):
             assert zonal_stats(r, f, ["sum", "count"], strategy=strategy, max_cells_in_memory=most).collect() == want
+
+
+def test_command_line_with_bands(spark, tmp_path):
+    rows = [(b, r, c, b * (r * 4 + c)) for b in (1, 2, 3) for r in range(4) for c in range(4)]
+    spark.createDataFrame(rows, "band int, row int, col int, value int").write.parquet(f"{tmp_path}/b.parquet")
+    spark.createDataFrame([(4, "POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))"), (5, None)], "id int, geometry string").write.parquet(f"{tmp_path}/f.parquet")
+    base = ["-g", "0,0,4,4,4,4", "-p", f"{tmp_path}/f.parquet", "-f", "id", "--nodata", "13"]
+    for k, (name, stats, columns) in enumerate((("", ["max", "count"], [f"band_{b}_{s}" for s in ("max", "count") for b in (1, 2, 3)]), ("t:", ["max(t_band_2)"], ["t_band_2_max"]))):
+        assert cli.main([*base, "-r", f"{name}{tmp_path}/b.parquet", *[x for s in stats for x in ("-s", s)], "-o", f"{tmp_path}/{k}.parquet"], spark) == 0
+        got = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+        assert got.columns == ["id", *columns]
+        row = got.where("id = 4").first()
+        # the value 13 of the first band is missing
+        assert (row.band_1_max, row.band_1_count, row.band_3_max, row.band_3_count) == (12, 1.0, 39, 2.0) if k == 0 else row.t_band_2_max == 26
+    assert cli.main([*base, "-r", f"{tmp_path}/b.parquet[2]", "-s", "max", "-o", f"{tmp_path}/o.parquet"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/o.parquet").columns == ["id", "max"]
