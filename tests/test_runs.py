@@ -147,6 +147,26 @@ def test_slices_are_even_whatever_the_values(spark):
     assert sum(sizes) == len(xs) and max(sizes) < 0.05 * len(xs)
 
 
+def test_many_sets_of_borders_are_not_broadcast(spark, monkeypatch):
+    """Borders of many features grow no faster than their values, and small files of them are no reason to send them to the driver."""
+    rows = spark.range(3000).selectExpr("cast(id % 60 as long) fid", "0L part", "cast(id % 7 as double) x").union(spark.range(40_000).selectExpr("99L", "0L", "cast(id as double)"))
+    want = sorted(map(tuple, st._sliced(rows).collect()))
+    monkeypatch.setattr(st, "MOST_BORDERS", 10)
+    for dealt, copies in ((st.DEALT, 61), (100, 60 + st.SLICES)):
+        monkeypatch.setattr(st, "DEALT", dealt)
+        sliced = st._sliced(rows)
+        assert sorted(map(tuple, sliced.collect())) == want
+        plan = sliced._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert "SortMergeJoin" in plan
+        made = []
+        explode = F.explode
+        monkeypatch.setattr(st.F, "explode", lambda c: made.append(c) or explode(c))
+        st._sliced(rows)
+        monkeypatch.setattr(st.F, "explode", explode)
+        sets = rows.groupBy("fid", "part").agg(F.count("*").alias("many")).select(explode(made[0]))
+        assert sets.count() == copies
+
+
 def test_planner_narrows_by_count_of_cells(spark, monkeypatch):
     a = np.random.default_rng(9).lognormal(0, 3, (50, 50))
     values = from_array(spark, a, Box(0, 0, 50, 50), "v")
