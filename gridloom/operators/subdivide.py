@@ -1,15 +1,16 @@
 """Polygons cut by a grid: a geometry for each covered cell.
 
 A box of cells with the rings in it is halved across its longer side by half-plane
-clipping until it is one cell. So a ring of n points over k cells costs about
-n log k. Large boxes are dealt to other tasks on the way.
+clipping until it is one cell, or until what is left in it is one rectangle along the
+axes, whose cells need no clipping. So a ring of n points that meets k cells costs
+about n log k, and the cells inside it little more than their text. Large boxes are
+dealt to other tasks on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,11 @@ Ring = list[tuple[float, float]]
 
 def clip(ring: Ring, axis: int, at: float, keep_above: bool) -> Ring:
     """The part of a ring (without its closing point) on one side of an axis-parallel line."""
+    along = [p[axis] for p in ring]
+    if not ring or (min(along) >= at if keep_above else max(along) <= at):
+        return ring
+    if max(along) < at if keep_above else min(along) > at:
+        return []
     out: Ring = []
     for a, b in zip(ring, ring[1:] + ring[:1]):
         inside, then = (a[axis] >= at, b[axis] >= at) if keep_above else (a[axis] <= at, b[axis] <= at)
@@ -121,14 +127,63 @@ def smaller(work: Work, grid: Grid, most: int) -> Iterator[Work]:
             todo += reversed(halves(w, grid))
 
 
+def rectangle(ring: Ring) -> tuple[float, float, float, float] | None:
+    """``xmin, ymin, xmax, ymax`` if a ring bounds a rectangle along the axes, whatever points lie on its sides."""
+    if len(ring) > 4:
+        kept: Ring = []
+        for p in ring:
+            while kept and (kept[-1] == p or len(kept) > 1 and any(kept[-2][k] == kept[-1][k] == p[k] for k in (0, 1))):
+                kept.pop()
+            kept.append(p)
+        while len(kept) > 4 and any(kept[-1][k] == kept[0][k] == kept[1][k] for k in (0, 1)):
+            kept.pop(0)
+        while len(kept) > 4 and any(kept[-2][k] == kept[-1][k] == kept[0][k] for k in (0, 1)):
+            kept.pop()
+        ring = kept
+    if len(ring) != 4:
+        return None
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = ring
+    if not (ax == bx and by == cy and cx == dx and dy == ay or ay == by and bx == cx and cy == dy and dx == ax):
+        return None
+    return min(ax, cx), min(ay, cy), max(ax, cx), max(ay, cy)
+
+
+def _of_rectangle(work: Work, box: tuple[float, float, float, float], left: bool, grid: Grid) -> Iterator[tuple[int, int, float, str]]:
+    """The cells of a box that a rectangle covers in part; ``left``: it is counter-clockwise."""
+    x_of, y_of = _lines(grid)
+    least = 1e-9 * grid.dx * grid.dy
+    columns = [(c, b - a, repr(a), repr(b)) for c in range(work.c0, work.c1 + 1) for a, b in [(max(box[0], x_of(c)), min(box[2], x_of(c + 1)))] if a < b]
+    for r in range(work.r0, work.r1 + 1):
+        low, high = max(box[1], y_of(r + 1)), min(box[3], y_of(r))
+        down, up = repr(low), repr(high)
+        for c, width, a, b in columns:
+            if (area := width * (high - low)) > least:
+                p, q = (f"{b} {down}", f"{a} {up}") if left else (f"{a} {up}", f"{b} {down}")
+                yield r, c, area, f"POLYGON (({a} {down}, {p}, {b} {up}, {q}, {a} {down}))"
+
+
 def cells(work: Work, grid: Grid) -> Iterator[tuple[int, int, float, str]]:
     """``row, col, area, WKT`` for each cell that the rings cover in part; one cell at a time."""
-    for w in smaller(work, grid, 1):
+    todo = [work]
+    while todo:
+        w = todo.pop()
+        if not w.rings:
+            continue
+        boxes = [rectangle(ring) for _, _, ring in w.rings]
+        if len(boxes) == 1 and boxes[0]:
+            if not w.rings[0][1]:
+                yield from _of_rectangle(w, boxes[0], signed_area(w.rings[0][2]) > 0, grid)
+            continue
+        if boxes[0] and len(set(boxes)) == 1 and sum(-1 if i else 1 for _, i, _ in w.rings) <= 0:
+            continue  # a hole takes all
+        if w.cells > 1:
+            todo += reversed(halves(w, grid))
+            continue
         polygons: dict[int, list[Ring]] = {}
         area = 0.0
         for k, i, piece in w.rings:
-            if abs(signed_area(piece)) > 1e-12 * grid.dx * grid.dy:
-                area += abs(signed_area(piece)) * (-1 if i else 1)
+            if (own := abs(signed_area(piece))) > 1e-12 * grid.dx * grid.dy:
+                area += own * (-1 if i else 1)
                 polygons.setdefault(k, []).append(piece)
         if area > 1e-9 * grid.dx * grid.dy:
             bodies = ["(" + ", ".join(_text(p) for p in rings) + ")" for rings in polygons.values()]
@@ -145,8 +200,8 @@ def pieces(value: bytes | str, grid: Grid) -> Iterator[tuple[int, int, float, st
 _RINGS = "array<struct<part:int,ring:int,points:array<double>>>"
 _WORK = f"r0 int, r1 int, c0 int, c1 int, rings {_RINGS}"
 _WORK_TYPES = [pa.int32()] * 4 + [pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("points", pa.list_(pa.float64()))]))]
-#: Cells of a box that a task cuts, boxes that a round makes of one, rows of a batch.
-MOST_CELLS, HALVED, ROWS = 1 << 16, 16, 1000
+#: Cells of a box that a task cuts, boxes that a round makes of one, rows (or points of rings) of a batch.
+MOST_CELLS, HALVED, ROWS, POINTS = 1 << 16, 16, 1000, 50_000
 
 
 def _row(w: Work) -> tuple:
@@ -157,16 +212,32 @@ def _work(row: list) -> Work:
     return Work(*row[:4], [(x["part"], x["ring"], list(zip(x["points"][0::2], x["points"][1::2]))) for x in row[4]])
 
 
-def _mapped(key: str, types: list[pa.DataType], names: list[str], of: Callable[[list], Iterator[tuple]], rows: int):
-    """A step that makes rows ``names`` of each row, with its key before them, in batches of at most ``rows``."""
+def _points(row: tuple) -> int:
+    """The size of a row of work: its rings' numbers."""
+    return 1 + sum(len(x["points"]) for x in row[4])
+
+
+def _mapped(key: str, types: list[pa.DataType], names: list[str], of: Callable[[list], Iterator[tuple]], most: int, size: Callable[[tuple], int] = lambda row: 1):
+    """A step that makes rows ``names`` of each row, with its key before them, in batches that end once they have the size ``most``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            held, of_row, has = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(of_row))
+                return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*held), types)]], names=[key, *names])
+
             for i in range(batch.num_rows):
-                made = of([batch.column(j)[i].as_py() for j in range(1, batch.num_columns)])
-                while held := list(islice(made, rows)):
-                    ids = batch.column(0).take(pa.array([i] * len(held)))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*held), types)]], names=[key, *names])
+                for row in of([batch.column(j)[i].as_py() for j in range(1, batch.num_columns)]):
+                    held.append(row)
+                    of_row.append(i)
+                    has += size(row)
+                    if has >= most:
+                        yield out()
+                        held, of_row, has = [], [], 0
+            if held:
+                yield out()
 
     return run
 
@@ -198,18 +269,26 @@ def subdivide(features: DataFrame, grid: Grid, key: str, geometry: str = "geomet
         yield from cells(_work(row), grid)
 
     names, types = ["r0", "r1", "c0", "c1", "rings"], [pa.int32(), pa.int32(), pa.float64(), pa.string()]
-    given, to_cells = features.select(key, F.col(geometry)), f"{kind}, row int, col int, area double, geometry string"
+    # a small file, which is one partition, may hold polygons for hours of work
+    spark = features.sparkSession
+    dealt = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # type: ignore[arg-type]
+    given, to_cells = features.select(key, F.col(geometry)).repartition(dealt), f"{kind}, row int, col int, area double, geometry string"
     made = lambda of: _mapped(key, types, ["row", "col", "area", "geometry"], of, ROWS)
-    work = cut(given.mapInArrow(_mapped(key, _WORK_TYPES, names, large, 1), f"{kind}, {_WORK}"), "sub-boxes")
+    boxes = lambda of: _mapped(key, _WORK_TYPES, names, of, POINTS, _points)
+    work = cut(given.mapInArrow(boxes(large), f"{kind}, {_WORK}"), "sub-boxes")
     out = given.mapInArrow(made(small), to_cells)
-    size = (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
-    while (most := work.agg(F.max(size)).first()[0] or 0) > most_cells:
-        new = cut(work.repartition(_tasks(work), *names[:4]).mapInArrow(_mapped(key, _WORK_TYPES, names, again, 1), f"{kind}, {_WORK}"), "sub-boxes")
+    most, tasks = _measure(work)
+    while most > most_cells:
+        new = cut(work.repartition(tasks, *names[:4]).mapInArrow(boxes(again), f"{kind}, {_WORK}"), "sub-boxes")
         drop_cut(work)
         work = new
-    return out.unionByName(work.repartition(_tasks(work), *names[:4]).mapInArrow(made(last), to_cells)) if most else out
+        most, tasks = _measure(work)
+    return out.unionByName(work.repartition(tasks, *names[:4]).mapInArrow(made(last), to_cells)) if most else out
 
 
-def _tasks(work: DataFrame) -> int:
-    """Tasks for boxes, whose bytes say little of their cells: one for each up to ten thousand."""
-    return max(1, min(work.count(), 10_000, 64 * work.sparkSession.sparkContext.defaultParallelism))
+def _measure(work: DataFrame) -> tuple[int, int]:
+    """Cells of the largest box, and tasks for all boxes by their cells, of which their bytes say little: several for each core, and one for each :data:`MOST_CELLS`."""
+    size = (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
+    boxes, most, total = work.agg(F.count("*"), F.max(size), F.sum(size)).first()  # type: ignore[misc]
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    return most or 0, max(1, min(boxes, 10_000, max(4 * cores, (total or 0) // MOST_CELLS)))

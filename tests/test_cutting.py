@@ -2,12 +2,15 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import Grid
+from gridloom.operators import subdivide as sd
 from gridloom.operators.coverage import coverage, polygon_coverage, touched
-from gridloom.operators.subdivide import pieces, subdivide
+from gridloom.operators.subdivide import pieces, rectangle, subdivide
+from gridloom.plans import registry
 from gridloom.sources.geometry import edges, edges_of
 from tests.test_runs import blob, features_of, polygon
 
@@ -49,3 +52,30 @@ def test_large_polygons_are_cut_by_many_tasks(spark):
     assert len({r.task for r in got if r.id == 0}) > 8
     cov = {(r.fid, r.row, r.col): r.cov for r in coverage(edges(f, "id"), grid, "P").collect()}
     assert cov.keys() == areas.keys() and all(abs(cov[k] - areas[k]) < 1e-6 for k in cov)
+
+
+def test_cells_within_a_polygon_need_no_clipping(spark, monkeypatch):
+    """What is left in a box as one rectangle, and a hole that takes all of a box, are not halved on."""
+    calls = []
+    clip = sd.clip
+    monkeypatch.setattr(sd, "clip", lambda *a: calls.append(1) or clip(*a))
+    grid = Grid(0.0, 0.0, 200.0, 100.0, 1.0, 0.5)
+    hole = polygon([(0.5, 0.5), (199.5, 0.5), (199.5, 99.75), (0.5, 99.75)], [(20.25, 20), (170, 20), (170, 80.3), (20.25, 80.3)])
+    got = list(pieces(hole, grid))
+    assert len(calls) < 20 * 4 * (400 + 600)  # some twenty for each cell of the outline, of 40000 cells
+    cov = {(r.row, r.col): r.cov for r in coverage(edges(features_of(spark, [hole]), "id"), grid, "P").collect()}
+    assert cov.keys() == {(r, c) for r, c, _, _ in got} and all(abs(cov[r, c] - area / 0.5) < 1e-6 for r, c, area, _ in got)
+    calls.clear()
+    assert len(list(pieces(polygon([(0.5, 0.5), (199.5, 0.5), (199.5, 99.75), (0.5, 99.75)]), grid))) == 200 * 199 and len(calls) <= 4
+    assert list(pieces(polygon([(300, 300), (301, 300), (301, 301)]), grid)) == []
+
+
+def test_rectangles_with_points_on_their_sides():
+    box = [(0, 0), (3, 0), (3, 2), (0, 2)]
+    for ring in (box, box[::-1], [(1, 0), *box[1:], (0, 0)], [(0, 0), (0, 0), (1, 0), (3, 0), (3, 0), (3, 1), (3, 2), (2, 2), (0, 2), (0, 1)], [*box, (0, 3), (0, 1)], [(0, 1), (0, 0), (0, 0), *box[1:], (0, 2)]):
+        assert rectangle(ring) == (0, 0, 3, 2), ring
+    for ring in ([(0, 0), (3, 0), (3, 2)], [(0, 0), (3, 0), (3, 2), (0, 1)], [(0, 0), (3, 0), (3, 1), (2, 1), (2, 2), (0, 2)], [(0, 0), (3, 2), (3, 0), (0, 2)]):
+        assert rectangle(ring) is None, ring
+    grid = Grid(0.0, 0.0, 3.0, 2.0, 1.0, 1.0)
+    (one,) = pieces(polygon([(0.25, 0.5), (0.75, 0.5), (0.75, 1.0), (0.25, 1.0)]), grid)
+    assert one == (1, 0, 0.25, "POLYGON ((0.25 0.5, 0.75 0.5, 0.75 1.0, 0.25 1.0, 0.25 0.5))")
