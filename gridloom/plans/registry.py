@@ -142,14 +142,19 @@ def subdivided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each zone in each cell, from the cut geometries."""
     nr = _rows(spark, sf_dir)
     cut = subdivide(zones(spark, sf_dir), Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "id")
-    return _round(cut.select("id", "row", "col", "area"))
+    return _areas(cut)
+
+
+def _areas(pieces: DataFrame) -> DataFrame:
+    """Areas of pieces in single precision, as coverage is: so a last digit of a double does not decide how the sixth place is rounded."""
+    return _round(pieces.select("id", "row", "col", F.col("area").cast("float").cast("double").alias("area")))
 
 
 def subdivided_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of wide zones, whose boxes of more than 64 cells are cut by several tasks."""
     nr = _rows(spark, sf_dir)
     pieces = subdivide(zones(spark, sf_dir, wide=True), Grid(0.0, 0.0, 50.0, float(nr), 1.0, 1.0), "id", most_cells=64)
-    return _round(pieces.select("id", "row", "col", "area"))
+    return _areas(pieces)
 
 
 def value_shares_map(spark: SparkSession, sf_dir: str) -> DataFrame:

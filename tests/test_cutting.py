@@ -54,6 +54,17 @@ def test_large_polygons_are_cut_by_many_tasks(spark):
     assert cov.keys() == areas.keys() and all(abs(cov[k] - areas[k]) < 1e-6 for k in cov)
 
 
+def test_areas_equal_the_sql_to_the_last_place(spark):
+    """Areas half-way between two sixth places are rounded as coverage in single precision is."""
+    sf_dir = "/root/testdata/sf0.01"
+    sql = registry.ORACLES["subdivide_wide"]
+    for t in ("part", "supplier", "customer"):
+        sql = sql.replace(f"FROM {t}", f"FROM '{sf_dir}/{t}.parquet'")
+    want = duckdb.sql(sql).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["subdivide_wide"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_cells_within_a_polygon_need_no_clipping(spark, monkeypatch):
     """What is left in a box as one rectangle, and a hole that takes all of a box, are not halved on."""
     calls = []
