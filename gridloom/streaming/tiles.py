@@ -6,8 +6,10 @@ replaces what it gave, so states must come apart again; extremes and squares
 can't be subtracted. Each feature keeps its states in a tree instead: a node
 holds 64 tiles, its parent 64 such nodes, and so on. A tile that changes is put
 in its place and only the nodes above it are merged anew, so its cost grows with
-the height of the tree and nothing is lost by cancelling. The tree is keyed state
-of Spark (a map state in RocksDB), which its checkpoints keep.
+the height of the tree and nothing is lost by cancelling. A feature of few tiles
+(:data:`FEW`) keeps them in one value instead, as reads and writes of state cost
+more than their merging. The tree is keyed state of Spark (a map state in RocksDB),
+which its checkpoints keep.
 """
 
 from __future__ import annotations
@@ -15,9 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,12 +32,15 @@ from gridloom.sources.blocks import BLOCK_TYPES, SIDE, block_array, shape_of
 from gridloom.sources.geometry import edges
 from gridloom.sources.raster import Raster
 
-#: Tiles, or nodes, to a side of one node.
-FAN = 8
+#: Tiles, or nodes, to a side of one node; tiles of a feature that are kept without a tree.
+FAN, FEW = 8, 128
 #: The store of states that keyed maps need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _NODE = np.dtype([("version", "<i8"), ("n", "<f8"), ("mean", "<f8"), ("m2", "<f8"), ("lo", "<f8"), ("hi", "<f8")])
+_TILE = np.dtype([("share", "<i4"), ("r", "<i4"), ("c", "<i4"), *_NODE.descr])
+#: Where the tiles of a feature without a tree are kept; an empty value stands for a tree.
+_ALL = (-1, 0, 0, 0)
 _NOTHING = (np.iinfo(np.int64).min, 0.0, 0.0, 0.0, np.inf, -np.inf)
 _MET = pa.schema([("fid", pa.int64()), ("share", pa.int32()), ("tile_row", pa.int32()), ("tile_col", pa.int32()), ("version", pa.int64()), *((n, pa.float64()) for n in ("n", "mean", "m2", "lo", "hi"))])
 _MET_DDL = "fid long, share int, tile_row int, tile_col int, version long, n double, mean double, m2 double, lo double, hi double"
@@ -105,33 +109,55 @@ class TileTree(StatefulProcessor):
         self.nodes = handle.getMapState("nodes", "share int, level int, r int, c int", "data binary")
 
     def _load(self, key: tuple[int, int, int, int]) -> np.ndarray:
-        found = self.nodes.getValue(key) if self.nodes.containsKey(key) else None
-        return np.full(FAN * FAN, np.array(_NOTHING, _NODE)) if found is None else np.frombuffer(bytes(found[0]), _NODE).copy()
-
-    def _save(self, key: tuple[int, int, int, int], node: np.ndarray) -> None:
-        self.nodes.updateValue(key, (node.tobytes(),))
-
-    def _put(self, frame: pd.DataFrame) -> set[tuple[int, int, int, int]]:
+        """A node, which is read once for all changes that come together."""
+        if key not in self.held:
+            found = self.nodes.getValue(key)
+            self.held[key] = np.full(FAN * FAN, np.array(_NOTHING, _NODE)) if found is None else np.frombuffer(bytes(found[0]), _NODE).copy()
+        return self.held[key]
+
+    def _save(self, key: tuple[int, int, int, int]) -> None:
+        self.nodes.updateValue(key, (self.held[key].tobytes(),))
+
+    def _few(self) -> dict[tuple[int, int, int], tuple] | None:
+        """The tiles of a feature without a tree by share and place; None if it has a tree."""
+        found = self.nodes.getValue(_ALL)
+        if found is None:  # a new feature, or a tree from before trees began as single tiles
+            return None if any(self.nodes.containsKey((s, self.levels, 0, 0)) for s in range(self.shares)) else {}
+        data = bytes(found[0])
+        return {x[:3]: x[3:] for x in np.frombuffer(data, _TILE).tolist()} if data else None
+
+    def _put(self, tiles: list[tuple[tuple[int, int, int], tuple]]) -> set[tuple[int, int, int, int]]:
         """Put tiles in their places; the nodes that changed."""
         changed = set()
-        leaf = [frame["share"], frame["tile_row"] // FAN, frame["tile_col"] // FAN]
-        for (share, r, c), rows in frame.groupby(leaf, sort=True):
-            key = (int(share), 1, int(r), int(c))
-            node, was = self._load(key), None
-            for x in rows.itertuples(index=False):
-                slot = x.tile_row % FAN * FAN + x.tile_col % FAN
-                state = (int(x.version), x.n, x.mean, x.m2, x.lo, x.hi)
-                if state > tuple(node[slot].item()):
-                    node[slot], was = state, key
-            if was:
-                self._save(key, node)
+        for (share, r, c), state in tiles:
+            key, slot = (share, 1, r // FAN, c // FAN), r % FAN * FAN + c % FAN
+            node = self._load(key)
+            if state > tuple(node[slot].item()):
+                node[slot] = state
                 changed.add(key)
+        for key in changed:
+            self._save(key)
         return changed
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changed: set[tuple[int, int, int, int]] = set()
-        for frame in rows:
-            changed |= self._put(frame)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        tiles = [((x.share, x.tile_row, x.tile_col), (x.version, x.n, x.mean, x.m2, x.lo, x.hi)) for x in rows]
+        few = self._few()
+        if few is not None:
+            more = False
+            for at, state in tiles:
+                if state > few.get(at, _NOTHING):
+                    few[at], more = state, True
+            if not more:
+                return
+            tiles = sorted(few.items())
+            if len(few) <= FEW:
+                table = np.array([(*at, *state) for at, state in tiles], _TILE)
+                self.nodes.updateValue(_ALL, (table.tobytes(),))
+                yield self._row(key[0], *merged(table))
+                return
+            self.nodes.updateValue(_ALL, (b"",))
+        self.held: dict[tuple[int, int, int, int], np.ndarray] = {}
+        changed = self._put(tiles)
         if not changed:
             return
         for level in range(1, self.levels):
@@ -142,12 +168,14 @@ class TileTree(StatefulProcessor):
                 node = self._load(up)
                 for k in below:
                     node[k[2] % FAN * FAN + k[3] % FAN] = (0, *merged(self._load(k)))
-                self._save(up, node)
+                self._save(up)
             changed = set(above)
         roots = [(0, *merged(self._load((s, self.levels, 0, 0)))) for s in range(self.shares)]
-        n, mean, m2, lo, hi = merged(np.array(roots, _NODE))
+        yield self._row(key[0], *merged(np.array(roots, _NODE)))
+
+    def _row(self, fid: int, n: float, mean: float, m2: float, lo: float, hi: float) -> Row:
         given = [n, n * mean, lo, hi, mean if n else np.nan, m2 / n if n else np.nan] if lo <= hi else [None] * 6
-        yield pd.DataFrame({"fid": [key[0]]} | {c: pd.Series([x], dtype=object) for c, x in zip(("n", "s", "lo", "hi", "mu", "var"), given, strict=True)})
+        return Row(fid=fid, **dict(zip(("n", "s", "lo", "hi", "mu", "var"), given, strict=True)))
 
 
 def levels_of(grid: Grid, side: int) -> int:
@@ -207,7 +235,7 @@ def stream_tiles(tiles: DataFrame, features: DataFrame, key: str, ops, grid: Gri
         return _met(it, grid, side)
 
     met = given.join(lists, at).select(*at, "version", "data", F.col("share").cast("int").alias("share"), "runs").mapInArrow(run, _MET_DDL)
-    found = met.groupBy("fid").transformWithStateInPandas(TileTree(levels_of(grid, side), int(shares)), _RESULT, "Update", "None")
+    found = met.groupBy("fid").transformWithState(TileTree(levels_of(grid, side), int(shares)), _RESULT, "Update", "None")
     place = zonal._x_of(grid), zonal._y_of(grid)
     results = [st.MOMENT_RESULT[o.stat]() if o.stat in st.MOMENT else st.scalar(o.stat, *place)[1]() for o in plan]
     return found.select(F.col("fid").alias(key), *[st.fill(o.stat, c, st.result_type(o.stat, raster.result_type)).alias(o.name) for o, c in zip(plan, results, strict=True)])

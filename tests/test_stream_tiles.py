@@ -97,3 +97,55 @@ def test_what_is_refused(spark):
     for ops in (["median"], ["mean", "a=mean(min_coverage_frac=0.5)"], ["mean(default_value=1)"]):
         with pytest.raises(ValueError):
             stream_tiles(tiles, f, "id", ops, GRID, SIDE)
+
+
+class Kept:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.data, self.calls = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.data.get(key)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.data
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.data[key] = value
+
+
+@pytest.mark.parametrize("few", [0, 30, 128])
+def test_few_tiles_need_few_calls_and_grow_to_a_tree(monkeypatch, few):
+    from pyspark.sql import Row
+
+    from gridloom.streaming import tiles
+
+    monkeypatch.setattr(tiles, "FEW", few)
+    rng, kept, tree, last = random.Random(4), Kept(), tiles.TileTree(4, 2), {}
+    tree.init(kept)
+    for turn in range(8):
+        rows = []
+        for _ in range(12):
+            at, n, mean = (rng.randrange(2), rng.randrange(3000), rng.randrange(7)), rng.uniform(0.1, 64), rng.uniform(-5, 5)
+            rows.append(Row(fid=1, share=at[0], tile_row=at[1], tile_col=at[2], version=rng.randrange(9), n=n, mean=mean, m2=n, lo=mean - 1, hi=mean + 1))
+            state = (rows[-1].version, n, mean, n, mean - 1, mean + 1)
+            last[at] = max(last.get(at, _NOTHING), state)
+        before = kept.calls
+        (got,) = tree.handleInputRows((1,), iter(rows), None)
+        n, mean, m2, lo, hi = merged(np.array(list(last.values()), _NODE))
+        assert np.allclose([got.n, got.s, got.lo, got.hi, got.mu, got["var"]], [n, n * mean, lo, hi, mean, m2 / n])
+        if len(last) <= few:
+            assert kept.calls - before <= 4
+        # what comes again, or late, changes nothing
+        assert list(tree.handleInputRows((1,), iter([r for r in rows]), None)) == []
+    # a tree from before features began without one
+    if few == 0:
+        del kept.data[tiles._ALL]
+        assert list(tree.handleInputRows((1,), iter(rows), None)) == []
